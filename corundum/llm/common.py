@@ -60,3 +60,20 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """base, with underscores before it until no column of df is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = f"_{base}"
+    return base
+
+
+#: The characters that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
+WHITE = " \t\n\x0b\f\r"
+
+
+def words_of(text: Column) -> Column:
+    """The words [^\\x20\\x09-\\x0D]+ of a text; null has none."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
