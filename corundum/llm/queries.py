@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corundum.llm import bpe, quality
-from corundum.llm.common import table
+from corundum.llm import bpe, quality, secrets
+from corundum.llm.common import table, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = quality.log_ratios(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs, weights, into="r").select("doc_id", *(F.col("r")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+
+
+@query
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = secrets.Ledger(spark, f"{work_dir(spark)}/ledger")
+    ledger.update(docs, path="doc_id")
+    found = ledger.attach(docs).drop("text")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base, every = (tuple(r.kind for r in rules) for rules in (secrets.BASE, secrets.RULES))
+    return found.select("doc_id", *map(count, base), F.sha2(secrets.digest(F.col("spans"), base), 256).alias("base_sha256"), secrets.digest(F.col("spans"), every).alias("spans"))
