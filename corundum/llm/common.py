@@ -77,3 +77,24 @@ WHITE = " \t\n\x0b\f\r"
 def words_of(text: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+
+
+def map_texts(df: DataFrame, column: str, fn: Callable[[list], list], fields: list[tuple[str, str]], keep: list[str]) -> DataFrame:
+    """keep and fields, computed batch by batch in Arrow: fn gets a list of the column's values and
+    gives a list of values for each field (name, Spark type). Columns travel under numbers, so no
+    name of the input can clash; the names of fields mustn't be among keep."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    types = [to_arrow_type(_parse_datatype_string(t)) for _, t in fields]
+    n = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [pa.array(x, t) for x, t in zip(fn(batch.column(n).to_pylist()), types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *out], names=[*(f"k{i}" for i in range(n)), *(f"f{i}" for i in range(len(out)))])
+
+    source = df.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"`{column}`").alias("text"))
+    schema = ", ".join([*(f"k{i} {type_of(df, c)}" for i, c in enumerate(keep)), *(f"f{i} {t}" for i, (_, t) in enumerate(fields))])
+    names = [*((f"k{i}", c) for i, c in enumerate(keep)), *((f"f{i}", c) for i, (c, _) in enumerate(fields))]
+    return map_arrow(source, run, schema).select(*(F.col(a).alias(b) for a, b in names))
