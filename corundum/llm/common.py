@@ -76,7 +76,8 @@ WHITE = " \t\n\x0b\f\r"
 
 def words_of(text: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text; null has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+    bare = F.btrim(text, F.lit(WHITE))
+    return F.when(bare != "", F.split(bare, "[ \\t\\n\\x0B\\f\\r]+")).otherwise(F.array().cast("array<string>"))
 
 
 def map_texts(df: DataFrame, column: str, fn: Callable[[list], list], fields: list[tuple[str, str]], keep: list[str]) -> DataFrame:
