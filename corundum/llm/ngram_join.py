@@ -4,13 +4,13 @@
     N-grams are numbered by (class, hash), one order for all documents, the rarest first.
 2.  Documents with equal sets are one class. Of a set of n only the first n - ceil(t n) + 1
     columns take part: two sets that link must share one of them.
-3.  A column's rows are a block. In it each class is first matched with one hub, the class with
-    the fewest rarer n-grams, by an exact count; each keeps the hub that it shares most columns
-    with. What links is one group.
-4.  The product proper: pairs of a column's rows that aren't in one group yet, if sizes and ranks
-    leave room for the overlap a link needs (size-derived and positional bounds), are counted
-    exactly. Rows in the group of a column's hub are matched with the others only, never with
-    each other, so a group of copies makes no square.
+3.  A column's rows are a block. In it each class meets one hub, the class with the fewest rarer
+    n-grams; each is compared exactly with the hub that it shares most columns with. What links
+    is one group.
+4.  The product proper: over pairs of a column's rows that aren't in one group yet, overlap counts
+    accumulate, and pairs go whose count, sizes and ranks leave no room for the overlap that a link
+    needs. The rest is compared exactly. Rows in the group of a column's hub meet the others only,
+    never each other, so a group of copies makes no square.
 5.  Components of all links.
 
 No row, partner or candidate is capped or sampled; the sketch decides the order of work only.
@@ -23,9 +23,11 @@ null id get a null component; an empty table gives an empty result; other column
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,21 +41,21 @@ PERCENT = 75
 SLOT_BITS, BLOCKS = 23, 256
 #: An n-gram is frequent from FREQUENT times a slot's mean on, and from FREQUENT_LEAST.
 FREQUENT, FREQUENT_LEAST = 4, 32
-#: Parts that the block of a frequent n-gram is split into to choose hubs.
-SALTS = 32
-CLASS_SHIFT = 60
+#: A number is 3 bits of class and 60 of hash; of a frequent n-gram the last bits are left free for
+#: a salt, which splits its block to choose hubs.
+CLASS_SHIFT, SALT_BITS = 60, 5
+#: Bits of the filter of wanted ids, in blocks.
+FILTER_BITS, FILTER_BLOCK = 23, 15
 CACHE_SIZE = 1 << 19
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 class _Hashes(dict):
-    """Word -> 64-bit hash; emptied when full."""
+    """Word -> 64-bit hash."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= CACHE_SIZE:
-            self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
@@ -61,22 +63,29 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    words = (text or "").encode().translate(LOWER).split()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-
+def shingles(texts: list, size: int = WORDS) -> Iterator[np.ndarray]:
+    """Per text (bytes or None) the sorted distinct 64-bit hashes of its n-grams; of the whole text
+    if it has fewer words."""
+    if len(_hashes) > CACHE_SIZE:
+        _hashes.clear()
+    words = [(t or b"").translate(LOWER).split() for t in texts]
+    sizes = list(map(len, words))
+    w = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(words)), np.uint64, sum(sizes))
+
+    def hashed(w: np.ndarray, size: int) -> np.ndarray:
+        h = np.full(max(0, len(w) - size + 1), 0x9E3779B97F4A7C15 * size & (1 << 64) - 1, np.uint64)
+        for k in range(size):
+            h ^= w[k : len(h) + k]
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(29)
+        return h
 
-def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's n-grams; the whole text if it has fewer words."""
-    w = word_hashes(text)
-    if not len(w):
-        return w
-    size = min(size, len(w))
-    h = np.full(len(w) - size + 1, 0x9E3779B97F4A7C15 * size & (1 << 64) - 1, np.uint64)
-    for k in range(size):
-        h = (h ^ w[k : len(w) - size + 1 + k]) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-    return np.unique(h)
+    h, at = hashed(w, size), 0
+    for n in sizes:
+        s = h[at : at + n - size + 1] if n >= size else hashed(w[at : at + n], n) if n else w[:0]
+        at += n
+        s.sort()
+        yield s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) > 1 else s
 
 
 def _signature(s: np.ndarray) -> tuple[int, int]:
@@ -85,22 +94,23 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(s.sum(dtype=np.uint64).view(np.int64)), int((mixed ^ mixed >> np.uint64(32)).sum(dtype=np.uint64).view(np.int64))
 
 
-def _count(docs: DataFrame, text: str, doc_id: str, size: int, folder: str) -> DataFrame:
+def _count(docs: DataFrame, size: int, folder: str) -> DataFrame:
     """One pass over all texts. Rows with a block hold a task's counts of the sketch, the others
     n, low and high, the size and signature of each document's set."""
     width = (1 << SLOT_BITS) // BLOCKS
     names = ["id", "n", "low", "high", "block", "counts"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SLOT_BITS, np.uint16)
+        counts = np.zeros(1 << SLOT_BITS, np.uint8)
+        pack = zstandard.ZstdCompressor(3).compress
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
             rows = []
-            for t in batch.column(1).to_pylist():
-                s = shingles(t, size)
+            for s in shingles(batch.column(1).to_pylist(), size):
                 slots = s >> np.uint64(64 - SLOT_BITS)
-                counts[slots] += counts[slots] < 65535  # distinct n-grams of one text may share a slot: an undercount of one
+                old = counts[slots]
+                counts[slots] = old + (old < 255)  # a task's count ends there, and n-grams of one text may share a slot: only the order of work depends on it
                 rows.append((len(s), *_signature(s)))
             n, low, high = zip(*rows) if rows else ((), (), ())
             none = pa.nulls(len(rows))
@@ -109,10 +119,10 @@ def _count(docs: DataFrame, text: str, doc_id: str, size: int, folder: str) -> D
             part = counts[b * width : (b + 1) * width]
             if part.any():
                 none = pa.nulls(1)
-                yield pa.RecordBatch.from_arrays([none.cast(id_type), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array([b], pa.int32()), pa.array([part.astype("<u2").tobytes()], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([none.cast(id_type), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array([b], pa.int32()), pa.array([pack(part.tobytes())], pa.binary())], names=names)
 
-    source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    return written(map_arrow(source, count, f"id {type_of(docs, doc_id)}, n int, low bigint, high bigint, block int, counts binary"), folder, "counts")
+    source = docs.select("id", F.col("text").cast("binary"))
+    return written(map_arrow(source, count, f"id {type_of(docs, 'id')}, n int, low bigint, high bigint, block int, counts binary"), folder, "counts")
 
 
 def _sketch(counted: DataFrame) -> bytes:
@@ -121,10 +131,11 @@ def _sketch(counted: DataFrame) -> bytes:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 total.setdefault(b, np.zeros(width, np.uint64))
-                total[b] += np.frombuffer(c, "<u2")
+                total[b] += np.frombuffer(unpack(c), np.uint8)
         for b, c in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([c.astype("<u8").tobytes()], pa.binary())], names=["block", "counts"])
 
@@ -137,10 +148,16 @@ def _sketch(counted: DataFrame) -> bytes:
     return np.clip(np.floor(np.log2(np.maximum(counts, 1) / bound)) + 1, 0, 7).astype(np.uint8).tobytes()
 
 
-def _numbered(text: str | None, size: int, classes: np.ndarray) -> np.ndarray:
-    """Sorted numbers (class, hash) of a text's n-grams, and their set's signature."""
-    s = shingles(text, size)
-    return _signature(s), np.sort(classes[s >> np.uint64(64 - SLOT_BITS)].astype(np.uint64) << np.uint64(CLASS_SHIFT) | s >> np.uint64(64 - CLASS_SHIFT))
+def _numbered(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Sorted numbers (class, hash) of n-grams."""
+    kind = classes[s >> np.uint64(64 - SLOT_BITS)]
+    g = s >> np.uint64(64 - CLASS_SHIFT)
+    if kind.any():
+        often = kind > 0
+        g[often] &= np.uint64(-(1 << SALT_BITS) & (1 << 64) - 1)
+        g |= kind.astype(np.uint64) << np.uint64(CLASS_SHIFT)
+        g.sort()
+    return g
 
 
 def _room(n: Column, m: Column, i: Column, j: Column, percent: int) -> Column:
@@ -150,25 +167,49 @@ def _room(n: Column, m: Column, i: Column, j: Column, percent: int) -> Column:
     return near & ((100 + percent) * F.least(n - i, m - j) >= percent * (n + m))
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by exact counts over their whole sets."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(needed, "id", "left_semi")
-    sets = map_texts(texts, "text", lambda rows: [[shingles(t, size).tobytes() for t in rows]], [("s", "binary")], ["id"])
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+def _filter_of(ids: DataFrame) -> bytes:
+    """A bitmap of fixed size with the hashed ids set; it spares texts a shuffle and decides nothing."""
+    slot = F.xxhash64("id").bitwiseAND((1 << FILTER_BITS) - 1)
+    blocks = ids.select(F.shiftright(slot, FILTER_BLOCK).alias("block"), slot.bitwiseAND((1 << FILTER_BLOCK) - 1).cast("int").alias("bit"))
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    for row in blocks.groupBy("block").agg(F.collect_set("bit").alias("bits")).toLocalIterator():
+        bits[(row["block"] << FILTER_BLOCK) + np.array(row["bits"], np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by exact counts over their whole sets. docs: id, text."""
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))))
+    id_type = type_of(docs, "id")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool)
+        compress = zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            batch = batch.filter(pa.array(bits[batch.column(2).to_numpy(zero_copy_only=False)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([compress(t or b"") for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "z"])
+
+    slot = F.xxhash64("id").bitwiseAND((1 << FILTER_BITS) - 1)
+    texts = map_arrow(docs.select("id", F.col("text").cast("binary"), slot.alias("slot")), pack, f"id {id_type}, z binary")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("z").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("z").alias("y")), "b")
 
     def fn(rows: list) -> list[list]:
-        out = []
-        for r in rows:
-            x, y = np.frombuffer(r["x"], np.uint64), np.frombuffer(r["y"], np.uint64)
+        unpack = zstandard.ZstdDecompressor().decompress
+        out, last = [], (None, None)
+        xs = shingles([unpack(r["x"]) for r in rows], size)
+        for r, x in zip(rows, xs):
+            if last[0] != r["y"]:  # rows come by b
+                last = r["y"], next(shingles([unpack(r["y"])], size))
+            y = last[1]
+            n = len(x) + len(y)
             if len(x) > len(y):
                 x, y = y, x
             at = np.searchsorted(y, x)
             common = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-            out.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
+            out.append(common > 0 and 100 * common >= percent * (n - common))
         return [out]
 
-    return map_texts(both.select("a", "b", F.struct("x", "y").alias("sets")), "sets", fn, [("linked", "boolean")], ["a", "b"]).where("linked").select("a", "b").distinct()
+    return map_texts(both.select("a", "b", F.struct("x", "y").alias("texts")), "texts", fn, [("linked", "boolean")], ["a", "b"]).where("linked").select("a", "b").distinct()
 
 
 def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -176,51 +217,67 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: i
     component_id (the least id that links reach, its own included)."""
     spark = docs.sparkSession
     folder = work_dir(spark)
-    docs = docs.select(F.col(doc_id), F.col(text))
-    counted = _count(docs, text, doc_id, size, folder)
+    docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    counted = _count(docs, size, folder)
     sketch = spark.sparkContext.broadcast(_sketch(counted))  # 1 << SLOT_BITS bytes, whatever the corpus
 
     def prefix(rows: list) -> list[list]:
         classes = np.frombuffer(sketch.value, np.uint8)
         out = []
-        for t in rows:
-            (low, high), g = _numbered(t, size, classes)
+        for s in shingles(rows, size):
+            low, high = _signature(s)
+            g = _numbered(s, classes)
             out.append((len(g), low, high, g[: len(g) - -(-percent * len(g) // 100) + (len(g) > 0)].view(np.int64)))
         return [list(x) for x in zip(*out)] if out else [[], [], [], []]
 
-    rows = map_texts(docs, text, prefix, [("n", "int"), ("low", "bigint"), ("high", "bigint"), ("columns", "array<bigint>")], [doc_id])
-    named = rows.select(F.col(doc_id).alias("id"), "n", "low", "high", "columns")
+    named = map_texts(docs.select("id", F.col("text").cast("binary")), "text", prefix, [("n", "int"), ("low", "bigint"), ("high", "bigint"), ("columns", "array<bigint>")], ["id"])
     classes = named.groupBy("n", "low", "high").agg(F.min("id").alias("rep"), F.first("columns").alias("columns"))
     classes = classes.where(F.col("rep").isNotNull() & (F.col("n") > 0))
+    c = F.col
+    often = lambda g: F.shiftright(g, CLASS_SHIFT) > 0
+    salt = F.when(often(c("g")), F.xxhash64("rep").bitwiseAND((1 << SALT_BITS) - 1)).otherwise(F.lit(0).cast("bigint"))
     entries = classes.select("rep", "n", F.posexplode("columns").alias("i", "g"))
-    salt = F.when(F.shiftright("g", CLASS_SHIFT) > 0, F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    block = Window.partitionBy("g", "salt").orderBy("i", "rep")
-    hub = F.first(F.struct("rep", "n", "i")).over(block)
-    matched = entries.withColumn("salt", salt).select("*", hub.alias("hub"), F.lag("rep").over(block).alias("before"), F.lead("rep").over(block).alias("after"))
-    shared = matched.where(F.col("before").isNotNull() | F.col("after").isNotNull() | (F.shiftright("g", CLASS_SHIFT) > 0))
-    shared = written(shared.select("g", "rep", "n", "i", "hub"), folder, "shared")
-
-    first = shared.where((F.col("rep") != F.col("hub.rep")) & _room(F.col("n"), F.col("hub.n"), F.col("i"), F.col("hub.i"), percent))
-    votes = first.groupBy("rep", F.col("hub.rep").alias("hub")).count()
+    entries = entries.select((c("g") + salt).alias("g"), "rep", (F.shiftleft(c("i").cast("bigint"), 32) + c("n")).alias("rank"))
+    block = Window.partitionBy("g").orderBy("rank", "rep")
+    matched = entries.select("*", F.first("rep").over(block).alias("hub"), F.first("rank").over(block).alias("hub_rank"), F.lead("rep").over(block).alias("after"), F.lag("rep").over(block).alias("before"))
+    matched = matched.where(c("before").isNotNull() | c("after").isNotNull() | often(c("g")))
+    n_of, i_of = lambda r: r.bitwiseAND((1 << 32) - 1).cast("int"), lambda r: F.shiftright(r, 32).cast("int")
+    free = F.when(often(c("g")), c("g").bitwiseAND(-(1 << SALT_BITS))).otherwise(c("g"))
+    shared = matched.select(free.alias("g"), "rep", n_of(c("rank")).alias("n"), i_of(c("rank")).alias("i"), "hub", n_of(c("hub_rank")).alias("m"), i_of(c("hub_rank")).alias("j"))
+    shared = written(shared, folder, "shared")
+
+    first = shared.where((c("rep") != c("hub")) & _room(c("n"), c("m"), c("i"), c("j"), percent))
+    votes = first.groupBy("rep", "n", "hub").count().where("20 * count >= n")  # a link shares far more; what a hub misses, the product finds
     chosen = votes.groupBy("rep").agg(F.max(F.struct("count", "hub"))["hub"].alias("hub"))
-    links = written(_linked(chosen.select(F.col("rep").alias("a"), F.col("hub").alias("b")), docs, text, doc_id, size, percent), folder, "hub_links")
-    groups = written(components(links, folder, "groups"), folder, "group_of")
+    chosen = written(chosen.select(c("rep").alias("a"), c("hub").alias("b")), folder, "chosen")
+    links = written(_linked(chosen, docs, size, percent), folder, "hub_links")
+    groups = components(links, folder, "groups").withColumnRenamed("node", "rep")
 
-    grouped = shared.drop("hub").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.coalesce("component", "rep")).drop("component")
+    grouped = shared.select("g", "rep", "n", "i").join(groups, "rep", "left").withColumn("group", F.coalesce("component", "rep")).drop("component")
+    grouped = written(grouped, folder, "grouped")
     main = grouped.groupBy("g").agg(F.min_by("group", F.struct("i", "rep")).alias("main"), F.min("group").alias("least"), F.max("group").alias("most"))
     mixed = grouped.join(main.where("least <> most").select("g", "main"), "g")
-    x, y = mixed.where(F.col("group") != F.col("main")).alias("x"), mixed.alias("y")
-    c = F.col
+    x, y = mixed.where("group <> main").alias("x"), mixed.alias("y")
     once = (c("y.group") == c("y.main")) | (c("x.rep") < c("y.rep"))  # two others meet twice
-    pairs = x.join(y, (c("x.g") == c("y.g")) & (c("x.group") != c("y.group")) & once & _room(c("x.n"), c("y.n"), c("x.i"), c("y.i"), percent))
-    pairs = pairs.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
-    rest = written(_linked(written(pairs, folder, "pairs"), docs, text, doc_id, size, percent), folder, "links")
-    reached = components(links.union(rest), folder).select(F.col("node").alias("rep"), "component")
-
-    named = counted.where("block is null").select("id", "n", "low", "high")
-    of_class = named.groupBy("n", "low", "high").agg(F.min("id").alias("rep")).join(reached, "rep", "left")
-    of_class = of_class.select(F.col("n").alias("n_"), F.col("low").alias("low_"), F.col("high").alias("high_"), F.col("rep"), F.coalesce("component", "rep").alias("component"))
-    out = named.join(of_class, (c("n") == c("n_")) & (c("low") == c("low_")) & (c("high") == c("high_")), "left")
+    room = _room(c("x.n"), c("y.n"), c("x.i"), c("y.i"), percent)
+    near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    # Of a frequent column only pairs that it could be the first common one of.
+    met = x.join(y, (c("x.g") == c("y.g")) & (c("x.group") != c("y.group")) & once & near & (room | ~often(c("x.g"))))
+    met = met.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b"), F.greatest("x.n", "y.n").alias("n"), F.least("x.n", "y.n").alias("m"), room.alias("room"), often(c("x.g")).alias("often"))
+    counts = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("count"), F.max("room").alias("room"), F.max("often").alias("often"))
+    # The overlap is the columns counted and what lies beyond the longer prefix, if no frequent
+    # column, which isn't counted everywhere, is among those of the pair.
+    frequent = grouped.where(often(c("g"))).groupBy("rep").count()
+    counts = counts.join(frequent.select(c("rep").alias("a"), c("count").alias("fa")), "a", "left").join(frequent.select(c("rep").alias("b"), c("count").alias("fb")), "b", "left")
+    most = c("count") + F.least(F.coalesce("fa", F.lit(0)), F.coalesce("fb", F.lit(0))) + F.ceil(c("n") * percent / 100) - 1
+    pairs = counts.where(c("room") & ((100 + percent) * most >= percent * (c("n") + c("m")))).select("a", "b")
+    rest = written(_linked(written(pairs, folder, "pairs"), docs, size, percent), folder, "links")
+    reached = components(links.union(rest), folder).select(c("node").alias("rep"), "component")
+
+    signed = counted.where("block is null").select("id", "n", "low", "high")
+    of_class = signed.groupBy("n", "low", "high").agg(F.min("id").alias("rep")).join(reached, "rep", "left")
+    of_class = of_class.select(c("n").alias("n_"), c("low").alias("low_"), c("high").alias("high_"), "rep", F.coalesce("component", "rep").alias("component"))
+    out = signed.join(of_class, (c("n") == c("n_")) & (c("low") == c("low_")) & (c("high") == c("high_")), "left")
     alone = (c("n") == 0) | c("id").isNull()
     return out.select(c("id").alias(doc_id), c("n").cast("long").alias("n_shingles"), F.when(alone, c("id")).otherwise(c("rep")).alias("class_id"), F.when(alone, c("id")).otherwise(c("component")).alias("component_id"))
 
