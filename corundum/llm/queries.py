@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corundum.llm import bpe, decontaminate, ngram_join, quality, secrets, substring, toxicity
+from corundum.llm import bpe, chat, decontaminate, ngram_join, quality, secrets, substring, token_count, toxicity, url_filter
 from corundum.llm.common import table, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,36 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+#: The one tool of op4: a user's turn calls it, the turn after is its result.
+REPLY = chat.Tool("reply", (chat.Argument("prompt", "string"), chat.Argument("turn", "integer")))
+
+
+@query
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn is a call of REPLY that needs the conversation's user turn two turns before,
+    if there is one; the assistant turn after it is its result."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    call_id = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
+    calls = turns.where("role = 'user'").select("conv_id", call_id(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("tool"), F.to_json(F.struct(F.col("turn"), F.col("text").alias("prompt"))).alias("arguments"), F.when(F.col("turn") >= 2, F.array(call_id(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("needs"))
+    results = turns.where("role = 'assistant'").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    found = chat.link_calls(calls, results, [REPLY])
+    return found.select("conv_id", "call_id", "step", "depth", "status", F.array_join("violations", "; ").alias("violations"), "valid", F.sha2("json", 256).alias("json_sha256"))
+
+
+ORACLES["op4_chat_formatting"] = """
+WITH calls AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+results AS (SELECT conv_id, turn - 1 AS turn, count(*) AS n, min(text) AS content FROM conversations WHERE role = 'assistant' GROUP BY 1, 2),
+known AS (SELECT DISTINCT conv_id, turn FROM calls)
+SELECT c.conv_id, concat('call_', c.turn) AS call_id, c.turn AS step, CAST(0 AS INTEGER) AS depth,
+  CASE WHEN r.n > 1 THEN 'repeated' WHEN r.n = 1 THEN 'linked' ELSE 'pending' END AS status,
+  CASE WHEN c.turn >= 2 AND k.turn IS NULL THEN concat('call_', c.turn - 2, ' isn''t a call') ELSE '' END AS violations,
+  NOT (c.turn >= 2 AND k.turn IS NULL) AS valid,
+  sha256(concat('{"arguments":{"prompt":', to_json(c.text), ',"turn":', c.turn, '},"id":"call_', c.turn, '","name":"reply","result":', coalesce(CAST(to_json(r.content) AS VARCHAR), 'null'), '}')) AS json_sha256
+FROM calls c LEFT JOIN results r ON r.conv_id = c.conv_id AND r.turn = c.turn
+LEFT JOIN known k ON k.conv_id = c.conv_id AND k.turn = c.turn - 2
+"""
+
+
 @query
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,6 +90,27 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+#: The rules of op8.
+URL_RULES = [
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+]
+
+
+@query
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES, into="f")
+    return judged.select("page_id", *(F.col("f")[c].alias(c) for c in ("host", "path", "rule", "verdict")))
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), token_count.load_vocabulary(tokenizer("piece_bpe_32k.model")))
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
