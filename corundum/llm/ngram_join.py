@@ -4,9 +4,9 @@
     N-grams are numbered by (class, hash), one order for all documents, the rarest first.
 2.  Documents with equal sets are one class. Of a set of n only the first n - ceil(t n) + 1
     columns take part: two sets that link must share one of them.
-3.  A column's rows are a block. In it each class meets one hub, the class with the fewest rarer
-    n-grams; each is compared exactly with the hub that it shares most columns with. What links
-    is one group.
+3.  A column's rows are a block. In it each class meets one hub of like size, the class with the
+    fewest rarer n-grams; each is compared exactly with the hub that it shares most columns with.
+    What links is one group.
 4.  The product proper: over pairs of a column's rows that aren't in one group yet, overlap counts
     accumulate, and pairs go whose count, sizes and ranks leave no room for the overlap that a link
     needs. The rest is compared exactly. Rows in the group of a column's hub meet the others only,
@@ -22,6 +22,7 @@ null id get a null component; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corundum.llm.common import map_arrow, map_texts, type_of, work_dir, written
+from corundum.llm.common import claim, map_arrow, map_texts, type_of, work_dir, written
 from corundum.llm.graph import components
 
 WORDS = 5
@@ -42,11 +43,15 @@ SLOT_BITS, BLOCKS = 23, 256
 #: An n-gram is frequent from FREQUENT times a slot's mean on, and from FREQUENT_LEAST.
 FREQUENT, FREQUENT_LEAST = 4, 32
 #: A number is 3 bits of class and 60 of hash; of a frequent n-gram the last bits are left free for
-#: a salt, which splits its block to choose hubs.
+#: a salt, which splits its block where blocks of one row are dropped.
 CLASS_SHIFT, SALT_BITS = 60, 5
+#: Rounds in which classes choose a hub; from the third on those that haven't linked.
+HUB_ROUNDS = 3
+#: 64-bit words of the bitmap of a set's frequent n-grams.
+MAP_WORDS = 8
 #: Bits of the filter of wanted ids, in blocks.
 FILTER_BITS, FILTER_BLOCK = 23, 15
-CACHE_SIZE = 1 << 19
+CACHE_SIZE = 1 << 18
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -66,6 +71,7 @@ _hashes = _Hashes()
 def shingles(texts: list, size: int = WORDS) -> Iterator[np.ndarray]:
     """Per text (bytes or None) the sorted distinct 64-bit hashes of its n-grams; of the whole text
     if it has fewer words."""
+    claim("ngram_join", _hashes.clear)
     if len(_hashes) > CACHE_SIZE:
         _hashes.clear()
     words = [(t or b"").translate(LOWER).split() for t in texts]
@@ -160,6 +166,19 @@ def _numbered(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return g
 
 
+def _bitmap(g: np.ndarray) -> np.ndarray | None:
+    """A bitmap of a set's frequent numbers in MAP_WORDS 64-bit words, then how many there are;
+    bits that only one of two sets has bound from below what the other lacks."""
+    often = g[g >> np.uint64(CLASS_SHIFT) > 0]
+    if not len(often):
+        return None
+    slot = ((often >> np.uint64(SALT_BITS)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 6)) | ((often >> np.uint64(SALT_BITS)) % np.uint64(MAP_WORDS)) << np.uint64(6)
+    words = np.zeros(MAP_WORDS + 1, np.uint64)
+    np.bitwise_or.at(words, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+    words[-1] = len(often)
+    return words.view(np.int64)
+
+
 def _room(n: Column, m: Column, i: Column, j: Column, percent: int) -> Column:
     """Whether sets of n and m whose first common n-gram has ranks i and j can link: what is left
     after the ranks must hold the overlap, and the sizes must be near enough."""
@@ -227,42 +246,54 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: i
         for s in shingles(rows, size):
             low, high = _signature(s)
             g = _numbered(s, classes)
-            out.append((len(g), low, high, g[: len(g) - -(-percent * len(g) // 100) + (len(g) > 0)].view(np.int64)))
-        return [list(x) for x in zip(*out)] if out else [[], [], [], []]
+            out.append((len(g), low, high, g[: len(g) - -(-percent * len(g) // 100) + (len(g) > 0)].view(np.int64), _bitmap(g)))
+        return [list(x) for x in zip(*out)] if out else [[], [], [], [], []]
 
-    named = map_texts(docs.select("id", F.col("text").cast("binary")), "text", prefix, [("n", "int"), ("low", "bigint"), ("high", "bigint"), ("columns", "array<bigint>")], ["id"])
-    classes = named.groupBy("n", "low", "high").agg(F.min("id").alias("rep"), F.first("columns").alias("columns"))
+    named = map_texts(docs.select("id", F.col("text").cast("binary")), "text", prefix, [("n", "int"), ("low", "bigint"), ("high", "bigint"), ("columns", "array<bigint>"), ("bits", "array<bigint>")], ["id"])
+    classes = named.groupBy("n", "low", "high").agg(F.min("id").alias("rep"), F.first("columns").alias("columns"), F.first("bits").alias("bits"))
     classes = classes.where(F.col("rep").isNotNull() & (F.col("n") > 0))
     c = F.col
     often = lambda g: F.shiftright(g, CLASS_SHIFT) > 0
     salt = F.when(often(c("g")), F.xxhash64("rep").bitwiseAND((1 << SALT_BITS) - 1)).otherwise(F.lit(0).cast("bigint"))
-    entries = classes.select("rep", "n", F.posexplode("columns").alias("i", "g"))
-    entries = entries.select((c("g") + salt).alias("g"), "rep", (F.shiftleft(c("i").cast("bigint"), 32) + c("n")).alias("rank"))
-    block = Window.partitionBy("g").orderBy("rank", "rep")
-    matched = entries.select("*", F.first("rep").over(block).alias("hub"), F.first("rank").over(block).alias("hub_rank"), F.lead("rep").over(block).alias("after"), F.lag("rep").over(block).alias("before"))
+    entries = classes.select("rep", "n", "bits", F.posexplode("columns").alias("i", "g"))
+    first_often = often(c("g")) & (c("i") == c("n") - F.get("bits", MAP_WORDS))
+    entries = entries.select((c("g") + salt).alias("g"), "rep", F.when(first_often, c("bits")).alias("bits"), (F.shiftleft(c("i").cast("bigint"), 32) + c("n")).alias("rank"))
+    block = Window.partitionBy("g").orderBy("rep")
+    matched = entries.select("*", F.lead("rep").over(block).alias("after"), F.lag("rep").over(block).alias("before"))
     matched = matched.where(c("before").isNotNull() | c("after").isNotNull() | often(c("g")))
-    n_of, i_of = lambda r: r.bitwiseAND((1 << 32) - 1).cast("int"), lambda r: F.shiftright(r, 32).cast("int")
     free = F.when(often(c("g")), c("g").bitwiseAND(-(1 << SALT_BITS))).otherwise(c("g"))
-    shared = matched.select(free.alias("g"), "rep", n_of(c("rank")).alias("n"), i_of(c("rank")).alias("i"), "hub", n_of(c("hub_rank")).alias("m"), i_of(c("hub_rank")).alias("j"))
+    shared = matched.select(free.alias("g"), "rep", "bits", c("rank").bitwiseAND((1 << 32) - 1).cast("int").alias("n"), F.shiftright("rank", 32).cast("int").alias("i"))
     shared = written(shared, folder, "shared")
 
-    first = shared.where((c("rep") != c("hub")) & _room(c("n"), c("m"), c("i"), c("j"), percent))
-    votes = first.groupBy("rep", "n", "hub").count().where("20 * count >= n")  # a link shares far more; what a hub misses, the product finds
-    chosen = votes.groupBy("rep").agg(F.max(F.struct("count", "hub"))["hub"].alias("hub"))
-    chosen = written(chosen.select(c("rep").alias("a"), c("hub").alias("b")), folder, "chosen")
-    links = written(_linked(chosen, docs, size, percent), folder, "hub_links")
+    links = compared = None
+    for k in range(HUB_ROUNDS):
+        # Sizes on one step of a ladder can link; the second round's steps lie across the first's.
+        step = F.floor(F.log(c("n")) / math.log(100 / percent) + (0.5 if k == 1 else 0))
+        rows = shared if k < 2 else shared.join(links.select(c("a").alias("rep")).union(links.select("b")).distinct(), "rep", "left_anti")
+        rows = rows.select("g", "rep", "n", "i", step.alias("step"))
+        hubs = rows.groupBy("g", "step").agg(F.count("*").alias("size"), F.min(F.struct("i", "rep", "n")).alias("hub")).where("size > 1")  # summed before the shuffle
+        first = rows.join(hubs, ["g", "step"]).where((c("rep") != c("hub.rep")) & _room(c("n"), c("hub.n"), c("i"), c("hub.i"), percent))
+        votes = first.groupBy("rep", "n", c("hub.rep").alias("hub")).count().where("20 * count >= n")  # a link shares far more; what hubs miss, the product finds
+        chosen = votes.groupBy("rep").agg(F.max(F.struct("count", "hub"))["hub"].alias("hub")).select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+        chosen = written(chosen.join(compared, ["a", "b"], "left_anti") if k else chosen, folder, f"chosen{k}")
+        new = written(_linked(chosen, docs, size, percent), folder, f"links{k}") if not chosen.isEmpty() else chosen
+        links, compared = (links.union(new), compared.union(chosen)) if k else (new, chosen)
     groups = components(links, folder, "groups").withColumnRenamed("node", "rep")
 
     grouped = shared.select("g", "rep", "n", "i").join(groups, "rep", "left").withColumn("group", F.coalesce("component", "rep")).drop("component")
-    grouped = written(grouped, folder, "grouped")
+    maps = shared.where("bits is not null").groupBy("rep").agg(F.first("bits").alias("bits"))
+    grouped = written(grouped.join(maps, "rep", "left"), folder, "grouped")
     main = grouped.groupBy("g").agg(F.min_by("group", F.struct("i", "rep")).alias("main"), F.min("group").alias("least"), F.max("group").alias("most"))
     mixed = grouped.join(main.where("least <> most").select("g", "main"), "g")
     x, y = mixed.where("group <> main").alias("x"), mixed.alias("y")
     once = (c("y.group") == c("y.main")) | (c("x.rep") < c("y.rep"))  # two others meet twice
     room = _room(c("x.n"), c("y.n"), c("x.i"), c("y.i"), percent)
     near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    # Of a frequent column only pairs that it could be the first common one of.
-    met = x.join(y, (c("x.g") == c("y.g")) & (c("x.group") != c("y.group")) & once & near & (room | ~often(c("x.g"))))
+    # Of a frequent column only pairs that it could be the first common one of: then all common
+    # ones are frequent, and the bitmaps bound their number.
+    left_in = lambda a, b: F.get(f"{a}.bits", MAP_WORDS) - sum((F.bit_count(F.get(f"{a}.bits", k).bitwiseAND(F.bitwise_not(F.get(f"{b}.bits", k)))) for k in range(MAP_WORDS)), F.lit(0))
+    fits = (100 + percent) * F.least(left_in("x", "y"), left_in("y", "x")) >= percent * (c("x.n") + c("y.n"))
+    met = x.join(y, (c("x.g") == c("y.g")) & (c("x.group") != c("y.group")) & once & near & (~often(c("x.g")) | room & F.coalesce(fits, F.lit(True))))
     met = met.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b"), F.greatest("x.n", "y.n").alias("n"), F.least("x.n", "y.n").alias("m"), room.alias("room"), often(c("x.g")).alias("often"))
     counts = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("count"), F.max("room").alias("room"), F.max("often").alias("often"))
     # The overlap is the columns counted and what lies beyond the longer prefix, if no frequent
@@ -271,7 +302,8 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: i
     counts = counts.join(frequent.select(c("rep").alias("a"), c("count").alias("fa")), "a", "left").join(frequent.select(c("rep").alias("b"), c("count").alias("fb")), "b", "left")
     most = c("count") + F.least(F.coalesce("fa", F.lit(0)), F.coalesce("fb", F.lit(0))) + F.ceil(c("n") * percent / 100) - 1
     pairs = counts.where(c("room") & ((100 + percent) * most >= percent * (c("n") + c("m")))).select("a", "b")
-    rest = written(_linked(written(pairs, folder, "pairs"), docs, size, percent), folder, "links")
+    pairs = written(pairs.join(compared, ["a", "b"], "left_anti"), folder, "pairs")
+    rest = written(_linked(pairs, docs, size, percent), folder, "links")
     reached = components(links.union(rest), folder).select(c("node").alias("rep"), "component")
 
     signed = counted.where("block is null").select("id", "n", "low", "high")
