@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corundum.llm.common import map_arrow, type_of
+from corundum.llm.common import claim, map_arrow, type_of
 
 LETTER, NUMBER, OTHER, SPACES, LAST_SPACE, LAST_WHITE, SHORT, LONG, RESET = range(9)
 START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACES, GLUE, ONE_MORE, TWO_MORE = range(8)
@@ -240,6 +240,7 @@ _loaded: dict[int, tuple[Encoder, list[bytes]]] = {}
 
 
 def _model(data: bytes) -> tuple[Encoder, list[bytes]]:
+    claim("bpe", _loaded.clear)
     key = hash(data)
     if key not in _loaded:
         ranks = load_ranks(data)

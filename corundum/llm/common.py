@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -12,7 +14,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: texts may be long, so batches are kept short.
-ARROW_ROWS = 512
+ARROW_ROWS = 256
+
+
+_held: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """Called in a Python worker by the operator that is about to fill its caches. Workers outlive a
+    stage; the caches of the operator before are emptied and their memory given back."""
+    if owner not in _held:
+        for other in _held.values():
+            other()
+        if _held:
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library
+        _held.clear()
+        _held[owner] = clear
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corundum.llm.common import map_arrow, map_texts, work_dir, written
+from corundum.llm.common import claim, map_arrow, map_texts, work_dir, written
 
 WINDOW = 35
 #: Words of an anchor at least; rounds of naming, after which nearly all text lies in anchors.
 ANCHOR, ROUNDS = 6, 10
-CACHE_SIZE = 1 << 19
+CACHE_SIZE = 1 << 18
 U = np.uint64
 
 
@@ -55,12 +55,16 @@ class _Names(dict):
         self.values += (h & (1 << 64) - 1, h >> 64)
         return at
 
+    def forget(self) -> None:
+        self.clear()
+        self.values, self.done = [], np.zeros((0, 2), U)
+
     def of(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The two names of each word of all texts in one array, each text followed by a break with
         name 0, and where texts start."""
+        claim("substring", self.forget)
         if len(self) > CACHE_SIZE:
-            self.clear()
-            self.values, self.done = [], np.zeros((0, 2), U)
+            self.forget()
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         first = np.concatenate(([0], np.cumsum(sizes)))
         ids = np.full(int(first[-1]), -1, np.int64)

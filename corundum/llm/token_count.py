@@ -20,7 +20,7 @@ from itertools import repeat
 
 from pyspark.sql import DataFrame
 
-from corundum.llm.common import map_texts
+from corundum.llm.common import claim, map_texts
 
 MARK = "▁"
 UNKNOWN = 10.0
@@ -104,6 +104,7 @@ def count_tokens(df: DataFrame, vocabulary: dict[str, float], *, text: str = "te
     key = hash(frozenset(vocabulary.items()))
 
     def fn(texts: list) -> list[list]:
+        claim("token_count", _counters.clear)
         if key not in _counters:
             _counters.clear()
             _counters[key] = Counter(shared.value)

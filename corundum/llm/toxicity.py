@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corundum.llm.common import map_texts
+from corundum.llm.common import claim, map_texts
 
 BITS = 20
 #: Bound of the labelled texts that training takes.
@@ -166,6 +166,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float], *, text: str
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 << BITS weights
 
     def fn(texts: list) -> list[list]:
+        claim("toxicity", _scorers.clear)
         if key not in _scorers:
             _scorers.clear()
             _scorers[key] = Scorer(shared.value)
