@@ -241,19 +241,31 @@ def cut(text: str, spans: list[int]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """docs, with their columns: from texts with hits these are cut out, and documents of which
     more than max_coverage is hit go. Clean texts stay as they are."""
-    name = free_name(docs, "found")
-    found = search(docs, benchmark, text=text, into=name)
-    hit = F.aggregate(F.col(name)["spans"], F.lit(0).cast("bigint"), lambda a, x: x - a)
-    kept = found.where(hit <= F.col(name)["n_words"] * max_coverage)
-
-    def fn(rows: list) -> list[list]:
-        return [[r["text"] if r["text"] is None or not r["spans"] else cut(r["text"], r["spans"]) for r in rows]]
-
-    both, new = free_name(kept, "both"), free_name(kept, "cut_text")
-    source = kept.withColumn(both, F.struct(F.col(text).alias("text"), F.col(name)["spans"].alias("spans")))
-    rest = [c for c in docs.columns if c != text]
-    out = map_texts(source, both, fn, [(new, "string")], rest)
-    return out.select(*(F.col(new).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns))
+    name, new = free_name(docs, "found"), free_name(docs, "cut_text")
+    verdict = "struct<kept:boolean,text:string>"
+
+    def judged(t: str | None, spans: list[int], n_words: int) -> dict:
+        hit = sum(spans[1::2]) - sum(spans[::2])
+        return {"kept": hit <= n_words * max_coverage, "text": cut(t, spans) if hit else t}
+
+    automata = shards_of(benchmark)
+    first, second = next(automata), next(automata, None)
+    if second is None:  # search and cut in one pass
+        model = docs.sparkSession.sparkContext.broadcast(first)
+
+        def fn(texts: list) -> list[list]:
+            words = list(map(words_of, texts))
+            found = model.value.search(words)
+            return [[judged(t, found.get(i, ([], ()))[0], len(w)) for i, (t, w) in enumerate(zip(texts, words))]]
+
+        out = map_texts(docs, text, fn, [(new, verdict)], docs.columns)
+    else:
+        both = free_name(docs, "both")
+        found = written(search(docs, benchmark, text=text, into=name), work_dir(docs.sparkSession), "found")
+        source = found.withColumn(both, F.struct(F.col(text).alias("text"), F.col(name)["spans"].alias("spans"), F.col(name)["n_words"].alias("n_words")))
+        out = map_texts(source, both, lambda rows: [[judged(r["text"], r["spans"], r["n_words"]) for r in rows]], [(new, verdict)], docs.columns)
+    out = out.where(F.col(new)["kept"])
+    return out.select(*(F.col(new)["text"].alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns))
 
 
 __all__ = ["Automaton", "cut", "decontaminate", "drop_dir", "search", "words_of"]
