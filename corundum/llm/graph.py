@@ -17,6 +17,8 @@ def components(links: DataFrame, folder: str, name: str = "components") -> DataF
     """node and component (its smallest node) of every node that a link (a, b) names."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, before, k = written(edges, folder, f"{name}0"), None, 0
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:

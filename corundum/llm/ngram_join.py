@@ -134,24 +134,25 @@ def _count(docs: DataFrame, size: int, folder: str) -> DataFrame:
 def _sketch(counted: DataFrame) -> bytes:
     """The class of each slot: 0, or one for each doubling of its count from the bound on."""
     width = (1 << SLOT_BITS) // BLOCKS
+    total = counted.where("block is null").agg(F.sum("n")).first()[0] or 0
+    bound = max(FREQUENT_LEAST, FREQUENT * total / (1 << SLOT_BITS))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total.setdefault(b, np.zeros(width, np.uint64))
-                total[b] += np.frombuffer(unpack(c), np.uint8)
-        for b, c in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([c.astype("<u8").tobytes()], pa.binary())], names=["block", "counts"])
+                sums.setdefault(b, np.zeros(width, np.uint64))
+                sums[b] += np.frombuffer(unpack(c), np.uint8)
+        for b, c in sums.items():
+            kind = np.clip(np.floor(np.log2(np.maximum(c, 1) / bound)) + 1, 0, 7).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([kind.tobytes()], pa.binary())], names=["block", "kinds"])
 
     partial = counted.where("block is not null").select("block", "counts")
-    summed = map_arrow(partial.repartition("block"), add, "block int, counts binary")
-    counts = np.zeros(1 << SLOT_BITS, np.float32)
-    for row in summed.toLocalIterator():  # BLOCKS rows at most, each of a fixed size
-        counts[row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["counts"], "<u8")
-    bound = max(FREQUENT_LEAST, FREQUENT * float(counts.sum(dtype=np.float64)) / len(counts))
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / bound)) + 1, 0, 7).astype(np.uint8).tobytes()
+    kinds = bytearray(1 << SLOT_BITS)
+    for row in map_arrow(partial.repartition("block"), add, "block int, kinds binary").collect():  # BLOCKS rows at most, each of a fixed size
+        kinds[row["block"] * width : (row["block"] + 1) * width] = row["kinds"]
+    return bytes(kinds)
 
 
 def _numbered(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -191,13 +192,14 @@ def _filter_of(ids: DataFrame) -> bytes:
     slot = F.xxhash64("id").bitwiseAND((1 << FILTER_BITS) - 1)
     blocks = ids.select(F.shiftright(slot, FILTER_BLOCK).alias("block"), slot.bitwiseAND((1 << FILTER_BLOCK) - 1).cast("int").alias("bit"))
     bits = np.zeros(1 << FILTER_BITS, bool)
-    for row in blocks.groupBy("block").agg(F.collect_set("bit").alias("bits")).toLocalIterator():
+    for row in blocks.groupBy("block").agg(F.collect_set("bit").alias("bits")).collect():  # bounded by the filter's size
         bits[(row["block"] << FILTER_BLOCK) + np.array(row["bits"], np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by exact counts over their whole sets. docs: id, text."""
+def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int, folder: str, name: str) -> DataFrame:
+    """The pairs (a, b) that link, by exact counts over their whole sets, as a written table. docs:
+    id, text."""
     wanted = docs.sparkSession.sparkContext.broadcast(_filter_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))))
     id_type = type_of(docs, "id")
 
@@ -228,7 +230,10 @@ def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
             out.append(common > 0 and 100 * common >= percent * (n - common))
         return [out]
 
-    return map_texts(both.select("a", "b", F.struct("x", "y").alias("texts")), "texts", fn, [("linked", "boolean")], ["a", "b"]).where("linked").select("a", "b").distinct()
+    found = map_texts(both.select("a", "b", F.struct("x", "y").alias("texts")), "texts", fn, [("linked", "boolean")], ["a", "b"])
+    out = written(found.where("linked").select("a", "b").distinct(), folder, name)
+    wanted.destroy()
+    return out
 
 
 def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -264,6 +269,7 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: i
     free = F.when(often(c("g")), c("g").bitwiseAND(-(1 << SALT_BITS))).otherwise(c("g"))
     shared = matched.select(free.alias("g"), "rep", "bits", c("rank").bitwiseAND((1 << 32) - 1).cast("int").alias("n"), F.shiftright("rank", 32).cast("int").alias("i"))
     shared = written(shared, folder, "shared")
+    sketch.destroy()
 
     links = compared = None
     for k in range(HUB_ROUNDS):
@@ -276,7 +282,7 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: i
         votes = first.groupBy("rep", "n", c("hub.rep").alias("hub")).count().where("20 * count >= n")  # a link shares far more; what hubs miss, the product finds
         chosen = votes.groupBy("rep").agg(F.max(F.struct("count", "hub"))["hub"].alias("hub")).select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
         chosen = written(chosen.join(compared, ["a", "b"], "left_anti") if k else chosen, folder, f"chosen{k}")
-        new = written(_linked(chosen, docs, size, percent), folder, f"links{k}") if not chosen.isEmpty() else chosen
+        new = _linked(chosen, docs, size, percent, folder, f"links{k}") if not chosen.isEmpty() else chosen
         links, compared = (links.union(new), compared.union(chosen)) if k else (new, chosen)
     groups = components(links, folder, "groups").withColumnRenamed("node", "rep")
 
@@ -303,7 +309,7 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: i
     most = c("count") + F.least(F.coalesce("fa", F.lit(0)), F.coalesce("fb", F.lit(0))) + F.ceil(c("n") * percent / 100) - 1
     pairs = counts.where(c("room") & ((100 + percent) * most >= percent * (c("n") + c("m")))).select("a", "b")
     pairs = written(pairs.join(compared, ["a", "b"], "left_anti"), folder, "pairs")
-    rest = written(_linked(pairs, docs, size, percent), folder, "links")
+    rest = _linked(pairs, docs, size, percent, folder, "links")
     reached = components(links.union(rest), folder).select(c("node").alias("rep"), "component")
 
     signed = counted.where("block is null").select("id", "n", "low", "high")
