@@ -31,10 +31,10 @@ def drop_setup_rows(samples: DataFrame, *, by: tuple[str, ...] = ("pdf",)) -> Da
     """Rows without Km and Vmax go where any row of the same article has one. The articles that
     have are found by an aggregation and met by a join, so no article is gathered in one task."""
     kinetic = ~is_missing(F.col("km_value")) | ~is_missing(F.col("vmax_value"))
-    have = samples.where(kinetic).select(*by).distinct().withColumn("has_kinetic", F.lit(True))
-    same = reduce(lambda a, b: a & b, (samples[c].eqNullSafe(have[c]) for c in by))
-    joined = samples.join(have, same, "left").where(kinetic | F.col("has_kinetic").isNull())
-    return joined.select(*(samples[c] for c in samples.columns))
+    keys = {k: f"{k}_with_kinetic" for k in by}
+    have = samples.where(kinetic).select(*(F.col(k).alias(v) for k, v in keys.items())).distinct().withColumn("has_kinetic", F.lit(True))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(v)) for k, v in keys.items()))
+    return samples.join(have, same, "left").where(kinetic | F.col("has_kinetic").isNull()).drop("has_kinetic", *keys.values())
 
 
 def finalize(d: Domain, samples: DataFrame, *, keep: tuple[str, ...] = ("pdf",)) -> DataFrame:
