@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -28,8 +30,8 @@ LETTER, NUMBER, OTHER, SPACES, LAST_SPACE, LAST_WHITE, SHORT, LONG, RESET = rang
 START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACES, GLUE, ONE_MORE, TWO_MORE = range(8)
 #: Characters of a scan at once.
 SCAN_CHARS = 1 << 20
-#: Cached pre-tokens; the cache is emptied when full.
-CACHE_SIZE = 1 << 18
+#: Pre-tokens in each of the cache's two halves.
+CACHE_SIZE = 1 << 16
 #: Bytes up to which a plain search for the least rank beats a heap.
 SHORT_PIECE = 64
 NEVER = 1 << 62
@@ -194,15 +196,21 @@ def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder(dict):
     """Pre-token -> its ids as little-endian unsigned 32-bit integers, filled on demand."""
 
+    assert sys.byteorder == "little" and array("I").itemsize == 4
+
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_SIZE:
-            self.clear()
-        ids = np.array(merge_pairs(word.encode(), self.ranks), "<u4").tobytes()
+        ids = self.older.pop(word, None)
+        if ids is None:
+            ids = array("I", merge_pairs(word.encode(), self.ranks)).tobytes()
         if len(word) <= 256:
+            if len(self) >= CACHE_SIZE:  # frequent words come back from the older half
+                self.older = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 

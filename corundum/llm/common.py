@@ -28,6 +28,7 @@ def claim(owner: str, clear: Callable[[], None]) -> None:
             other()
         if _held:
             gc.collect()
+            pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL(None).malloc_trim(0)
             except (AttributeError, OSError):

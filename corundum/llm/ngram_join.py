@@ -51,7 +51,7 @@ HUB_ROUNDS = 3
 MAP_WORDS = 8
 #: Bits of the filter of wanted ids, in blocks.
 FILTER_BITS, FILTER_BLOCK = 23, 15
-CACHE_SIZE = 1 << 18
+CACHE_SIZE = 1 << 17
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -212,7 +212,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int, folder:
 
     slot = F.xxhash64("id").bitwiseAND((1 << FILTER_BITS) - 1)
     texts = map_arrow(docs.select("id", F.col("text").cast("binary"), slot.alias("slot")), pack, f"id {id_type}, z binary")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("z").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("z").alias("y")), "b")
+    # Merge joins, the same at every size.
+    both = pairs.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("z").alias("x")), "a").hint("merge").join(texts.select(F.col("id").alias("b"), F.col("z").alias("y")), "b")
 
     def fn(rows: list) -> list[list]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -278,7 +279,7 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: i
         rows = shared if k < 2 else shared.join(links.select(c("a").alias("rep")).union(links.select("b")).distinct(), "rep", "left_anti")
         rows = rows.select("g", "rep", "n", "i", step.alias("step"))
         hubs = rows.groupBy("g", "step").agg(F.count("*").alias("size"), F.min(F.struct("i", "rep", "n")).alias("hub")).where("size > 1")  # summed before the shuffle
-        first = rows.join(hubs, ["g", "step"]).where((c("rep") != c("hub.rep")) & _room(c("n"), c("hub.n"), c("i"), c("hub.i"), percent))
+        first = rows.join(hubs.hint("merge"), ["g", "step"]).where((c("rep") != c("hub.rep")) & _room(c("n"), c("hub.n"), c("i"), c("hub.i"), percent))
         votes = first.groupBy("rep", "n", c("hub.rep").alias("hub")).count().where("20 * count >= n")  # a link shares far more; what hubs miss, the product finds
         chosen = votes.groupBy("rep").agg(F.max(F.struct("count", "hub"))["hub"].alias("hub")).select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
         chosen = written(chosen.join(compared, ["a", "b"], "left_anti") if k else chosen, folder, f"chosen{k}")
@@ -286,11 +287,11 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: i
         links, compared = (links.union(new), compared.union(chosen)) if k else (new, chosen)
     groups = components(links, folder, "groups").withColumnRenamed("node", "rep")
 
-    grouped = shared.select("g", "rep", "n", "i").join(groups, "rep", "left").withColumn("group", F.coalesce("component", "rep")).drop("component")
+    grouped = shared.select("g", "rep", "n", "i").join(groups.hint("merge"), "rep", "left").withColumn("group", F.coalesce("component", "rep")).drop("component")
     maps = shared.where("bits is not null").groupBy("rep").agg(F.first("bits").alias("bits"))
-    grouped = written(grouped.join(maps, "rep", "left"), folder, "grouped")
+    grouped = written(grouped.join(maps.hint("merge"), "rep", "left"), folder, "grouped")
     main = grouped.groupBy("g").agg(F.min_by("group", F.struct("i", "rep")).alias("main"), F.min("group").alias("least"), F.max("group").alias("most"))
-    mixed = grouped.join(main.where("least <> most").select("g", "main"), "g")
+    mixed = grouped.join(main.where("least <> most").select("g", "main").hint("merge"), "g")
     x, y = mixed.where("group <> main").alias("x"), mixed.alias("y")
     once = (c("y.group") == c("y.main")) | (c("x.rep") < c("y.rep"))  # two others meet twice
     room = _room(c("x.n"), c("y.n"), c("x.i"), c("y.i"), percent)
