@@ -57,7 +57,7 @@ def general(x: Column, digits: int = 12) -> Column:
 
     def parts(text: Column) -> Column:
         figures = F.regexp_replace(F.substring_index(text, "e", 1), r"[-.]", "")
-        return F.struct(F.startswith(text, F.lit("-")).alias("negative"), figures.alias("figures"), F.substring_index(text, "e", -1).cast("int").alias("power"))
+        return F.struct(F.startswith(text, F.lit("-")).alias("negative"), figures.alias("figures"), F.substring_index(text, "e", -1).try_cast("int").alias("power"))
 
     def written(p: Column) -> Column:
         figures, power = p["figures"], p["power"]
@@ -68,7 +68,7 @@ def general(x: Column, digits: int = 12) -> Column:
         number = F.when((power < -4) | (power >= digits), scientific).when(power >= 0, large).otherwise(small)
         return F.concat(F.when(p["negative"], F.lit("-")).otherwise(F.lit("")), F.when(x == 0, F.lit("0")).otherwise(number))
 
-    return let(let(F.format_string(f"%.{digits - 1}e", x), parts), written)
+    return F.when(x.isNotNull(), let(let(F.format_string(f"%.{digits - 1}e", x), parts), written))
 
 
 def scientific_product(c: Column) -> Column:
