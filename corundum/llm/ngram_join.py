@@ -301,16 +301,27 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: i
     left_in = lambda a, b: F.get(f"{a}.bits", MAP_WORDS) - sum((F.bit_count(F.get(f"{a}.bits", k).bitwiseAND(F.bitwise_not(F.get(f"{b}.bits", k)))) for k in range(MAP_WORDS)), F.lit(0))
     fits = (100 + percent) * F.least(left_in("x", "y"), left_in("y", "x")) >= percent * (c("x.n") + c("y.n"))
     met = x.join(y, (c("x.g") == c("y.g")) & (c("x.group") != c("y.group")) & once & near & (~often(c("x.g")) | room & F.coalesce(fits, F.lit(True))))
-    met = met.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b"), F.greatest("x.n", "y.n").alias("n"), F.least("x.n", "y.n").alias("m"), room.alias("room"), often(c("x.g")).alias("often"))
-    counts = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("count"), F.max("room").alias("room"), F.max("often").alias("often"))
-    # The overlap is the columns counted and what lies beyond the longer prefix, if no frequent
-    # column, which isn't counted everywhere, is among those of the pair.
-    frequent = grouped.where(often(c("g"))).groupBy("rep").count()
-    counts = counts.join(frequent.select(c("rep").alias("a"), c("count").alias("fa")), "a", "left").join(frequent.select(c("rep").alias("b"), c("count").alias("fb")), "b", "left")
-    most = c("count") + F.least(F.coalesce("fa", F.lit(0)), F.coalesce("fb", F.lit(0))) + F.ceil(c("n") * percent / 100) - 1
-    pairs = counts.where(c("room") & ((100 + percent) * most >= percent * (c("n") + c("m")))).select("a", "b")
+    x_first = c("x.rep") > c("y.rep")
+    by_id = lambda name, of: (F.when(x_first, of("x")).otherwise(of("y")).alias(f"{name}a"), F.when(x_first, of("y")).otherwise(of("x")).alias(f"{name}b"))
+    # Frequent columns among the prefix: what it holds beyond the n-grams that aren't frequent.
+    kept = lambda t: F.greatest(F.floor(c(f"{t}.n") * (100 - percent) / 100) + 1 - c(f"{t}.n") + F.coalesce(F.get(f"{t}.bits", MAP_WORDS), F.lit(0)), F.lit(0))
+    met = met.select(*by_id("", lambda t: c(f"{t}.rep")), *by_id("g", lambda t: c(f"{t}.group")), F.greatest("x.n", "y.n").alias("n"), F.least("x.n", "y.n").alias("m"), F.least(kept("x"), kept("y")).alias("frequent"), room.alias("room"))
+    counts = met.groupBy("a", "b").agg(F.count("*").alias("count"), *(F.max(k).alias(k) for k in ("room", "n", "m", "frequent", "ga", "gb")))
+    # The overlap is at most the columns counted, the frequent ones, which aren't counted
+    # everywhere, and what lies beyond the longer prefix.
+    most = c("count") + c("frequent") + F.ceil(c("n") * percent / 100) - 1
+    pairs = counts.where(c("room") & ((100 + percent) * most >= percent * (c("n") + c("m")))).select("a", "b", "count", F.least("ga", "gb").alias("u"), F.greatest("ga", "gb").alias("v"))
     pairs = written(pairs.join(compared, ["a", "b"], "left_anti"), folder, "pairs")
-    rest = _linked(pairs, docs, size, percent, folder, "links")
+    # Of each two groups the likeliest pair goes first; pairs of groups that it joins needn't follow.
+    lead = pairs.groupBy("u", "v").agg(F.max(F.struct("count", "a", "b")).alias("p")).select("u", "v", "p.a", "p.b")
+    lead = written(lead, folder, "lead")
+    lead_links = _linked(lead.select("a", "b"), docs, size, percent, folder, "lead_links")
+    joined = components(lead.join(lead_links, ["a", "b"]).select(c("u").alias("a"), c("v").alias("b")), folder, "joined")
+    follow = pairs.join(lead.select("a", "b"), ["a", "b"], "left_anti")
+    for side in ("u", "v"):
+        follow = follow.join(joined.select(c("node").alias(side), c("component").alias(f"{side}_of")), side, "left")
+    follow = written(follow.where(F.coalesce("u_of", "u") != F.coalesce("v_of", "v")).select("a", "b"), folder, "follow")
+    rest = lead_links.union(_linked(follow, docs, size, percent, folder, "follow_links"))
     reached = components(links.union(rest), folder).select(c("node").alias("rep"), "component")
 
     signed = counted.where("block is null").select("id", "n", "low", "high")
