@@ -232,11 +232,10 @@ class Encoder(dict):
             ends = cut.tolist()
             pieces = [text[a:b] for a, b in zip(ends, ends[1:])]
             first = 0
-            for length, stop in zip(lengths, np.searchsorted(cut, breaks).tolist()):
+            for start, stop in zip((breaks - lengths).tolist(), np.searchsorted(cut, breaks).tolist()):
                 words = pieces[first:stop]
                 ids = list(map(self.__getitem__, words))
-                offset = cut[first:stop] - (breaks[0] - lengths[0] if not first else 0)
-                yield b"".join(ids), offset, np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+                yield b"".join(ids), cut[first:stop] - start, np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
                 first = stop + 1
 
 
