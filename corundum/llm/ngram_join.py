@@ -311,16 +311,17 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: i
     # everywhere, and what lies beyond the longer prefix.
     most = c("count") + c("frequent") + F.ceil(c("n") * percent / 100) - 1
     pairs = counts.where(c("room") & ((100 + percent) * most >= percent * (c("n") + c("m")))).select("a", "b", "count", F.least("ga", "gb").alias("u"), F.greatest("ga", "gb").alias("v"))
-    pairs = written(pairs.join(compared, ["a", "b"], "left_anti"), folder, "pairs")
+    pairs = written(pairs, folder, "pairs")
     # Of each two groups the likeliest pair goes first; pairs of groups that it joins needn't follow.
     lead = pairs.groupBy("u", "v").agg(F.max(F.struct("count", "a", "b")).alias("p")).select("u", "v", "p.a", "p.b")
     lead = written(lead, folder, "lead")
     lead_links = _linked(lead.select("a", "b"), docs, size, percent, folder, "lead_links")
     joined = components(lead.join(lead_links, ["a", "b"]).select(c("u").alias("a"), c("v").alias("b")), folder, "joined")
-    follow = pairs.join(lead.select("a", "b"), ["a", "b"], "left_anti")
+    follow = pairs
     for side in ("u", "v"):
         follow = follow.join(joined.select(c("node").alias(side), c("component").alias(f"{side}_of")), side, "left")
-    follow = written(follow.where(F.coalesce("u_of", "u") != F.coalesce("v_of", "v")).select("a", "b"), folder, "follow")
+    follow = follow.where(F.coalesce("u_of", "u") != F.coalesce("v_of", "v")).select("a", "b")
+    follow = written(follow.join(lead.select("a", "b").union(compared), ["a", "b"], "left_anti"), folder, "follow")
     rest = lead_links.union(_linked(follow, docs, size, percent, folder, "follow_links"))
     reached = components(links.union(rest), folder).select(c("node").alias("rep"), "component")
 
