@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corundum.functions import chemistry as chem
-from corundum.functions.core import let
 from corundum.functions.values import stable_id
 from corundum.schemas import MISSING
 
@@ -186,6 +185,3 @@ def agent_evidence(measured: DataFrame, links: DataFrame, decisions: DataFrame,
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-__all__ = ["agent_evidence", "compound_links", "conflict_decisions", "let", "measurements", "plan_tables", "scaffolds", "structures"]
