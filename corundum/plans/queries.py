@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corundum.functions import chemistry, text, values
 from corundum.operators import context, evaluate, evidence, heuristics, jobs, layout, normalize, rank, route
-from corundum.schemas import DOMAINS, MISSING
+from corundum.schemas import DOMAINS
 from corundum.sources import web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -417,4 +417,20 @@ def measured_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "m.relation", "m.value", "m.units")
 
 
-__all__ = ["MISSING", "ORACLES", "QUERIES"]
+#: Columns whose type differs between the engines, as the DataFrame has them.
+CASTS = {
+    "eval_per_article": {"tp": "BIGINT", "fp": "BIGINT", "fn": "BIGINT"},
+    "table_measurements": {"confidence": "DOUBLE"},
+    "table_plans": {"confidence": "DOUBLE"},
+    "compound_links": {"confidence": "DOUBLE"},
+    "missing_links": {"missing": "BIGINT"},
+    "conflict_decisions": {"confidence": "DOUBLE"},
+    "nearby_band_topk": {"nth": "INTEGER"},
+    "evidence_rank_topk": {"rank": "INTEGER"},
+    "quota_candidates": {"rank": "INTEGER"},
+    "field_coverage": {"hits": "BIGINT"},
+    "doc_text_tokens": {"text_tokens": "INTEGER", "detected_smiles": "INTEGER"},
+}
+for _name, _types in CASTS.items():
+    _casts = ", ".join(f"CAST({k} AS {t}) AS {k}" for k, t in _types.items())
+    ORACLES[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLES[_name]}) typed"
