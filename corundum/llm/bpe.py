@@ -29,7 +29,7 @@ from corundum.llm.common import claim, map_arrow, type_of
 LETTER, NUMBER, OTHER, SPACES, LAST_SPACE, LAST_WHITE, SHORT, LONG, RESET = range(9)
 START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACES, GLUE, ONE_MORE, TWO_MORE = range(8)
 #: Characters of a scan at once.
-SCAN_CHARS = 1 << 20
+SCAN_CHARS = 1 << 18
 #: Pre-tokens in each of the cache's two halves.
 CACHE_SIZE = 1 << 17
 #: Bytes up to which a plain search for the least rank beats a heap.
@@ -85,11 +85,11 @@ def _classes() -> np.ndarray:
     import regex
 
     table = np.full(0x110000, OTHER, np.uint8)
-    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    codes = np.delete(np.arange(0x110000, dtype=np.uint32), slice(0xD800, 0xE000))
+    text = codes.tobytes().decode("utf-32-le")
     for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
         for m in regex.finditer(pattern, text):
-            a, b = m.span()
-            table[np.fromiter(map(ord, text[a:b]), np.int64, b - a)] = kind
+            table[codes[m.start() : m.end()]] = kind
     # The code points with the Unicode property White_Space.
     for a, b in ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)):
         table[a : b + 1] = SPACES
