@@ -338,7 +338,7 @@ def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id")
     id one; documents with a null id all."""
     joined = written(join(docs, text=text, doc_id=doc_id), work_dir(docs.sparkSession), "joined")
     gone = joined.where(F.col("component_id") != F.col(doc_id)).select(doc_id).distinct()
-    kept = docs.join(gone, doc_id, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = docs.join(gone.hint("merge"), doc_id, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
     if joined.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty():
         return kept
     order = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
