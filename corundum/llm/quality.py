@@ -1,10 +1,11 @@
 """Quality rules: base rules, and a hashed n-gram log-likelihood ratio.
 
-Every word gives one n-gram, the trigram of its last three code points, hashed into BUCKETS. The
-trusted target is the set of documents labelled good, the raw corpus is all of them; both are
-multinomials over buckets with one added count each. A document's score is the mean over its
-n-grams of log p(target) - log p(raw); it is kept if no base rule fails and the score reaches a
-fixed threshold. All of it is DataFrame functions; what reaches the driver is two counts a bucket.
+Every word gives the trigrams of all its code points, or itself if it has less than three, hashed
+into BUCKETS. The trusted target is the set of documents labelled good, the raw corpus is all of
+them; both are multinomials over buckets with one added count each. A document's score is the sum
+over its n-grams of log p(target) - log p(raw), divided by the number of its words; it is kept if no
+base rule fails and the score reaches a fixed threshold. All of it is DataFrame functions; what
+reaches the driver is two counts a bucket.
 
 Cases: null and empty texts have no words and fail a base rule; without any trusted document the
 target says nothing, all scores are 0; several labels of a document count as their largest; rows
@@ -26,9 +27,14 @@ THRESHOLD = -1.0
 SYMBOLS = "#*$%&|<>"
 
 
-def bucket(word: Column) -> Column:
-    """The 64-bit xxHash (seed 42) of the last three code points, modulo BUCKETS."""
-    return F.xxhash64(F.substring(word, -3, 3)).bitwiseAND(BUCKETS - 1).cast("int")
+def n_grams(word: Column) -> Column:
+    """The number of a word's n-grams: one at each code point but the last two, one at least."""
+    return F.greatest(F.length(word) - 2, F.lit(1))
+
+
+def bucket(word: Column, at: Column) -> Column:
+    """The 64-bit xxHash (seed 42) of the n-gram at a place, from 1 on, modulo BUCKETS."""
+    return F.xxhash64(F.substring(word, at, F.lit(3))).bitwiseAND(BUCKETS - 1).cast("int")
 
 
 def repeated_words(words: Column) -> Column:
@@ -69,11 +75,12 @@ def base_rules(text: Column) -> Column:
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> list[float]:
-    """log p(target) - log p(raw) of each bucket, over all documents. Two bytes a word are shuffled
-    to meet the labels, not the text, and by one plan at every size."""
+    """log p(target) - log p(raw) of each bucket, over all documents. Texts are shuffled to meet
+    the labels, as their n-grams would take more room, and by one plan at every size."""
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("id")).distinct().withColumn("good", F.lit(1))
-    hashed = docs.select(F.col(doc_id).alias("id"), F.transform(words_of(F.col(text)), lambda w: bucket(w).cast("short")).alias("b"))
-    counts = hashed.join(good.hint("merge"), "id", "left").select("good", F.explode("b").alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
+    words = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(good.hint("merge"), "id", "left").select("good", F.explode(words_of(F.col("text"))).alias("w"))
+    hashed = words.select("good", "w", F.explode(F.sequence(F.lit(1), n_grams(F.col("w")))).alias("at")).select("good", bucket(F.col("w"), F.col("at")).alias("b"))
+    counts = hashed.groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
     raw, target = [1] * BUCKETS, [1] * BUCKETS
     for row in counts.collect():  # BUCKETS rows at most
         raw[row["b"]] += row["raw"]
@@ -85,9 +92,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id
 
 
 def ratio(words: Column, weights: list[float]) -> Column:
-    """The mean log-likelihood ratio of a text's n-grams; 0 without words."""
+    """The log-likelihood ratio of a text's n-grams, by the word; 0 without words."""
     table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded to one literal
-    total = F.aggregate(words, F.lit(0.0), lambda a, w: a + F.get(table, bucket(w)))
+    total = F.aggregate(words, F.lit(0.0), lambda a, w: F.aggregate(F.sequence(F.lit(1), n_grams(w)), a, lambda x, at: x + F.get(table, bucket(w, at))))
     return F.when(F.size(words) > 0, total / F.size(words)).otherwise(F.lit(0.0))
 
 

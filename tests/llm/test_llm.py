@@ -512,6 +512,29 @@ def test_quality(spark, docs):
     assert kept.columns == df.columns and kept.count() == judged.where("r.kept").count()
 
 
+@pytest.mark.parametrize("mark", ["{}ing!!", "!!!{}ing", "{0[0]}!!!{0[1]}ing"])
+def test_quality_reads_whole_words(spark, mark):
+    """Junk is found by marks at the end, the beginning or in the middle of words."""
+    rng = random.Random(13)
+    prose = [["".join(rng.choices("aeiou", k=3)) for _ in range(80)] for _ in range(50)]
+    texts = [" ".join(("{}ing" if i < 40 else mark).format(w) for w in ws) for i, ws in enumerate(prose)]
+    texts.append("é 的 ab 😀b " * 3 + " ".join(texts[0].split()[:60]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(50)], "doc_id long, quality int")
+    weights = quality.log_ratios(df, labels)
+    grams = [[w[k : k + 3] for w in words(t) for k in range(max(1, len(w) - 2))] for t in texts]
+    names = sorted({g for gs in grams for g in gs})
+    at = {r["g"]: r["b"] for r in spark.createDataFrame([(g,) for g in names], "g string").select("g", F.xxhash64("g").bitwiseAND(quality.BUCKETS - 1).alias("b")).collect()}
+    raw, target = Counter(at[g] for gs in grams for g in gs), Counter(at[g] for gs in grams[:40] for g in gs)
+    whole = lambda c: sum(c.values()) + quality.BUCKETS
+    for b in range(quality.BUCKETS):
+        assert weights[b] == pytest.approx(np.log((target[b] + 1) / whole(target)) - np.log((raw[b] + 1) / whole(raw)), abs=1e-9)
+    for r in quality.judge(df, weights, into="r").collect():
+        assert r["r"]["log_ratio"] == pytest.approx(sum(weights[at[g]] for g in grams[r["doc_id"]]) / len(words(r["text"])), abs=1e-9)
+        if r["doc_id"] < 50:
+            assert r["r"]["kept"] == (r["doc_id"] < 40), r
+
+
 def test_quality_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert set(quality.log_ratios(docs, none)) == {0.0}
