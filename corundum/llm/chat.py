@@ -6,7 +6,9 @@ checked against the schema of their tool, and serialised as canonical JSON: keys
 The topological order gives each call a place (step, depth) such that it comes after every call it
 depends on: step is its turn, or that of the latest call it waits for, and depth counts how often
 it waits within a step. A call that only refers to earlier turns has its own turn; references to
-later ones are settled in rounds, and what depends on itself gets no place. All DataFrame functions.
+later ones are settled in rounds, as many as the longest wait takes. What depends on itself gets no
+place, nor does what would wait for it within its step; other calls keep theirs. All DataFrame
+functions.
 
 Cases: null or invalid arguments fail validation and are written as null; a call without a result
 is "pending", one with several "repeated"; a result without a call is dropped; rows with a null
@@ -18,9 +20,11 @@ result.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corundum.llm.common import work_dir, written
 
@@ -28,8 +32,6 @@ from corundum.llm.common import work_dir, written
 TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "boolean": ("BOOLEAN",)}
 #: A number in JSON is an integer, a decimal or a double there.
 NUMBER = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
-#: Longest chain of references to later turns; what isn't settled by then has no place.
-ROUNDS = 32
 
 
 @dataclass(frozen=True)
@@ -65,30 +67,46 @@ def violations(tool: Column, arguments: Column, tools: list[Tool]) -> Column:
 
 
 def order(calls: DataFrame, folder: str) -> DataFrame:
-    """conv_id, call_id, step and depth of each distinct call; null where it depends on itself.
+    """conv_id, call_id, step and depth of each distinct call; null where it waits for a circle.
     calls: conv_id, call_id, turn, needs (an array of call ids)."""
-    place = lambda step, depth: F.struct(step.cast("bigint").alias("step"), depth.cast("int").alias("depth"))
     nodes = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"))
     edges = calls.select("conv_id", "call_id", F.explode("needs").alias("need")).distinct()
     turn_of = nodes.select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("need_turn"))
     ahead = edges.join(turn_of, ["conv_id", "need"]).join(nodes, ["conv_id", "call_id"]).where("need_turn >= turn").select("conv_id", "call_id", "need")
     ahead = written(ahead, folder, "ahead")
-    places = nodes.select("conv_id", "call_id", place(F.col("turn"), F.lit(0)).alias("place"))
     if ahead.isEmpty():
-        return places.select("conv_id", "call_id", "place.step", "place.depth")
-    # A call that waits makes those wait that need it, so from here on all references count.
-    places, left = written(places.withColumn("last", F.lit(0)), folder, "places0"), 1
-    links = written(edges.join(nodes.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"]), folder, "links")
-    for k in range(1, ROUNDS + 1):
-        after = links.join(places.select("conv_id", F.col("call_id").alias("need"), F.col("place").alias("p")), ["conv_id", "need"])
-        after = after.groupBy("conv_id", "call_id").agg(F.max(place(F.col("p.step"), F.col("p.depth") + 1)).alias("p"))
-        new = places.join(after, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.greatest("place", F.coalesce("p", "place")).alias("place"), F.when(F.col("p") > F.col("place"), k).otherwise(F.col("last")).alias("last"))
-        new = written(new, folder, f"places{k}")
-        left, places = new.where(f"last = {k}").count(), new
-        if not left:
+        return nodes.select("conv_id", "call_id", F.col("turn").cast("bigint").alias("step"), F.lit(0).alias("depth"))
+    # A call that waits makes those wait that need it, so from here on all references count. Steps
+    # only grow, to a turn of the conversation at most: circles don't keep them from coming to rest.
+    links = edges.join(nodes.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"]).join(ahead.select("conv_id").distinct(), "conv_id", "left_semi")
+    links = written(links, folder, "links")
+    steps = written(nodes.select("conv_id", "call_id", F.col("turn").cast("bigint").alias("step")), folder, "steps0")
+    of_need = lambda: steps.select("conv_id", F.col("call_id").alias("need"), F.col("step").alias("need_step"))
+    for k in count(1):
+        after = links.join(of_need(), ["conv_id", "need"]).groupBy("conv_id", "call_id").agg(F.max("need_step").alias("after"))
+        new = steps.join(after, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.greatest("step", "after").alias("step"), F.col("step").alias("was"))
+        new = written(new, folder, f"steps{k}")
+        moved, steps = new.where("not step <=> was"), new.drop("was")
+        if moved.isEmpty():
             break
-    stuck = F.col("last") > ROUNDS // 2 if left else F.lit(False)  # in a circle each moves again and again
-    return places.select("conv_id", "call_id", F.when(~stuck, F.col("place.step")).alias("step"), F.when(~stuck, F.col("place.depth")).alias("depth"))
+    # Within a step calls are peeled off, those of depth k - 1 before those of depth k; what no
+    # round peels off waits for a circle.
+    waits = links.join(of_need(), ["conv_id", "need"]).join(steps, ["conv_id", "call_id"]).where("need_step <=> step").select("conv_id", "call_id", "need")
+    waits = written(waits, folder, "waits0")
+    left = waits.count()
+    if not left:
+        return steps.select("conv_id", "call_id", "step", F.lit(0).alias("depth"))
+    for k in count(1):
+        waiting = waits.select("conv_id", "call_id").distinct()
+        new = written(waits.join(waiting.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_semi"), folder, f"waits{k}")
+        written(waiting.join(new, ["conv_id", "call_id"], "left_anti"), f"{folder}/peeled", f"depth={k}")
+        before, left, waits = left, new.count(), new
+        if left in (0, before):
+            break
+    peeled = steps.sparkSession.read.schema(StructType([*waiting.schema.fields, StructField("depth", IntegerType())])).parquet(f"{folder}/peeled")
+    stuck = waits.select("conv_id", "call_id", F.lit(True).alias("stuck")).distinct()
+    places = steps.join(peeled, ["conv_id", "call_id"], "left").join(stuck, ["conv_id", "call_id"], "left")
+    return places.select("conv_id", "call_id", F.when(F.col("stuck").isNull(), F.col("step")).alias("step"), F.when(F.col("stuck").isNull(), F.coalesce("depth", F.lit(0))).alias("depth"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, tools: list[Tool]) -> DataFrame:

@@ -212,6 +212,20 @@ def test_chat_links_orders_and_validates(spark):
     assert got["twice"]["status"] == "repeated" and got["n"]["status"] == "pending"
 
 
+def test_chat_orders_long_chains_beside_circles(spark, tmp_path):
+    """Places are those of longest waits, whatever circles other conversations have."""
+    rows = [(1, f"c{i}", 3, [f"c{i + 1}"] if i < 35 else []) for i in range(36)]  # one turn
+    rows += [(2, f"f{i}", i, [f"f{i + 1}"] if i < 4 else []) for i in range(5)] + [(2, "back", 9, ["f0"]), (2, "long", 0, ["back", "f4"])]
+    rows += [(3, "p", 0, ["q"]), (3, "q", 1, ["p"]), (3, "waits", 1, ["p"]), (3, "after", 2, ["q"]), (3, "alone", 0, []), (3, "two", 0, ["alone"]), (3, "self", 5, ["self"])]
+    rows += [(4, "x", 1, []), (4, "y", 2, ["x", "x"]), (None, "n", 1, ["n"])]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, needs array<string>")
+    got = {r["call_id"]: (r["step"], r["depth"]) for r in chat.order(calls, f"file://{tmp_path}/w").collect()}
+    want = {f"c{i}": (3, 35 - i) for i in range(36)} | {f"f{i}": (4, 4 - i) for i in range(5)}
+    want |= {"back": (9, 0), "long": (9, 1), "after": (2, 0), "alone": (0, 0), "two": (0, 1), "x": (1, 0), "y": (2, 0)}
+    want |= {k: (None, None) for k in ("p", "q", "waits", "self")}
+    assert got == want
+
+
 def test_chat_without_rows(spark):
     results = spark.createDataFrame([], "conv_id long, call_id string, content string")
     assert chat.link_calls(spark.createDataFrame([], CALL), results, [TOOL]).count() == 0
