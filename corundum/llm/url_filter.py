@@ -7,7 +7,8 @@ former along links; from the latter distrust goes against the links, to hosts th
 A host with more distrust than trust is blocked, any other allowed.
 
 Links are summed by pair of hosts before any round, each round is one aggregation over hosts and is
-written to the shared folder, and rounds end when no score moves by more than TOLERANCE.
+written to the shared folder, and rounds end when no host's score moves by more than TOLERANCE of
+itself: all that links reach gets its part, however many seeds share the mass and however far.
 
 Cases: a null URL, or one without ://, has an empty host and path, fits no rule and is allowed;
 null html has no links; links of a host to itself, relative ones too, move nothing; repeated rows
@@ -17,13 +18,14 @@ are repeated pages; an empty table gives an empty result; other columns are pass
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corundum.llm.common import free_name, let, work_dir, written
 
-DAMPING, ROUNDS, TOLERANCE = 0.85, 30, 1e-6
+DAMPING, TOLERANCE = 0.85, 1e-6
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ANCHOR = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 
@@ -78,18 +80,17 @@ def propagate(seeds: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
     rank = start.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
     if moves.isEmpty():
         return rank
-    for k in range(ROUNDS):
+    for k in count():
         sent = moves.join(rank.withColumnRenamed("host", "source"), "source")
         got = sent.groupBy("host").agg(F.sum(F.when(F.col("forward"), F.col("part") * F.col("trust"))).alias("t"), F.sum(F.when(~F.col("forward"), F.col("part") * F.col("distrust"))).alias("d"))
         flow = lambda seed, x: (1 - DAMPING) * F.coalesce(seed, F.lit(0.0)) + DAMPING * F.coalesce(x, F.lit(0.0))
         both = start.join(got, "host", "full").join(rank.select("host", F.col("trust").alias("was_t"), F.col("distrust").alias("was_d")), "host", "left")
         new = both.select("host", flow(F.col("trust0"), F.col("t")).alias("trust"), flow(F.col("distrust0"), F.col("d")).alias("distrust"), "was_t", "was_d")
         new = written(new, folder, f"round{k}")
-        moved = new.agg(F.max(F.greatest(F.abs(F.col("trust") - F.coalesce("was_t", F.lit(0.0))), F.abs(F.col("distrust") - F.coalesce("was_d", F.lit(0.0)))))).first()[0]
+        moves_on = lambda now, was: F.abs(F.col(now) - F.coalesce(was, F.lit(0.0))) > TOLERANCE * F.col(now)
         rank = new.select("host", "trust", "distrust")
-        if moved is None or moved <= TOLERANCE:
-            break
-    return rank
+        if new.where(moves_on("trust", "was_t") | moves_on("distrust", "was_d")).isEmpty():
+            return rank
 
 
 def judge(pages: DataFrame, rules: list[Rule], *, url: str = "url", html: str = "html", into: str = "filter") -> DataFrame:

@@ -460,6 +460,20 @@ def test_propagation_equals_a_plain_one(spark, tmp_path):
     assert all(abs(r["trust"] - trust[r["host"]]) < 0.01 and abs(r["distrust"] - distrust[r["host"]]) < 0.01 for r in got)
 
 
+def test_propagation_reaches_far_hosts_among_many_seeds(spark, tmp_path):
+    """The heavy host stands for many seeds: the others' share of the mass is small."""
+    chain = [f"h{i}" for i in range(36)]
+    edges = [(a, b, 1) for a, b in zip(chain, chain[1:])] + [("x", "y", 1), ("y", "x", 1), ("z", "x", 1)]
+    seeds = [(h, 0.0, float(h == "h35")) for h in chain] + [("x", 1.0, 0.0), ("heavy", 1e7, 1e7)]
+    found = url_filter.propagate(spark.createDataFrame(seeds, "host string, trusted double, blocked double"), spark.createDataFrame(edges, "source string, target string, n long"), f"file://{tmp_path}/w")
+    got = {r["host"]: r for r in found.collect()}
+    part = 0.15 / (1e7 + 1)
+    for k in range(36):
+        assert got[f"h{35 - k}"]["distrust"] == pytest.approx(part * 0.85**k, rel=1e-4, abs=0)
+    assert got["x"]["trust"] == pytest.approx(part / (1 - 0.85**2), rel=1e-4, abs=0)
+    assert got["y"]["trust"] == pytest.approx(0.85 * part / (1 - 0.85**2), rel=1e-4, abs=0)
+
+
 # 9
 
 
