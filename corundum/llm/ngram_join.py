@@ -11,7 +11,7 @@
     accumulate, and pairs go whose count, sizes and ranks leave no room for the overlap that a link
     needs. The rest is compared exactly. Rows in the group of a column's hub meet the others only,
     never each other, so a group of copies makes no square.
-5.  Components of all links.
+5.  Components of all links, and of the classes that the rows of one id are in.
 
 No row, partner or candidate is capped or sampled; the sketch decides the order of work only.
 
@@ -323,14 +323,27 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: i
     follow = follow.where(F.coalesce("u_of", "u") != F.coalesce("v_of", "v")).select("a", "b")
     follow = written(follow.join(lead.select("a", "b").union(compared), ["a", "b"], "left_anti"), folder, "follow")
     rest = lead_links.union(_linked(follow, docs, size, percent, folder, "follow_links"))
-    reached = components(links.union(rest), folder).select(c("node").alias("rep"), "component")
-
     signed = counted.where("block is null").select("id", "n", "low", "high")
-    of_class = signed.groupBy("n", "low", "high").agg(F.min("id").alias("rep")).join(reached, "rep", "left")
+    reps = signed.groupBy("n", "low", "high").agg(F.min("id").alias("rep"))
+    sign = F.struct("n", "low", "high")
+    unlike = signed.where("id is not null").groupBy("id").agg(F.min(sign).alias("least"), F.max(sign).alias("most")).where("least <> most").select("id")
+    unlike = written(unlike, folder, "unlike")  # ids whose rows have several sets
+    repeated, links = not unlike.isEmpty(), links.union(rest)
+    if repeated:
+        classes_of = signed.where("n > 0").join(unlike, "id", "left_semi").join(reps, ["n", "low", "high"]).select("id", "rep").distinct()
+        classes_of = written(classes_of, folder, "classes_of")
+        first_of = classes_of.groupBy("id").agg(F.min("rep").alias("first"))
+        links = links.union(classes_of.join(first_of, "id").select(c("rep").alias("a"), c("first").alias("b")))
+    reached = components(links, folder).select(c("node").alias("rep"), "component")
+
+    of_class = reps.join(reached, "rep", "left")
     of_class = of_class.select(c("n").alias("n_"), c("low").alias("low_"), c("high").alias("high_"), "rep", F.coalesce("component", "rep").alias("component"))
     out = signed.join(of_class, (c("n") == c("n_")) & (c("low") == c("low_")) & (c("high") == c("high_")), "left")
-    alone = (c("n") == 0) | c("id").isNull()
-    return out.select(c("id").alias(doc_id), c("n").cast("long").alias("n_shingles"), F.when(alone, c("id")).otherwise(c("rep")).alias("class_id"), F.when(alone, c("id")).otherwise(c("component")).alias("component_id"))
+    alone, by_itself = (c("n") == 0) | c("id").isNull(), c("id")
+    if repeated:  # an empty row of an id that has others goes with them
+        of_id = first_of.join(reached, c("first") == c("rep"), "left").select(c("id").alias("id_"), F.coalesce("component", "first").alias("of_id"))
+        out, by_itself = out.join(of_id, c("id") == c("id_"), "left"), F.coalesce("of_id", "id")
+    return out.select(c("id").alias(doc_id), c("n").cast("long").alias("n_shingles"), F.when(alone, c("id")).otherwise(c("rep")).alias("class_id"), F.when(alone, by_itself).otherwise(c("component")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -355,6 +355,21 @@ def test_jaccard_join(spark, often, monkeypatch):
     assert sorted(i for i in ids if i is not None) == sorted(set(want.values())) and ids.count(None) == 1
 
 
+def test_jaccard_join_of_unlike_rows_of_an_id(spark):
+    rng = random.Random(15)
+    a, b, d = ([f"{k}{rng.randrange(10**6)}" for _ in range(60)] for k in "abd")
+    near = [*b[:-1], "other"]
+    rows = [(3, a), (5, a), (5, b), (7, near), (8, d), (9, d), (9, []), (10, d), (10, a), (12, ["alone"]), (12, []), (13, []), (None, b)]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    want, _ = brute_components(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.join(df).collect()
+    assert len(got) == len(rows) and want[7] == 3
+    for r in got:
+        assert r["component_id"] == (None if r["doc_id"] is None else want[r["doc_id"]]), r
+    assert sorted((r["doc_id"] for r in ngram_join.deduplicate(df).collect()), key=repr) == [12, 13, 3, None]
+
+
 def test_jaccard_join_of_nothing(docs):
     assert ngram_join.join(docs.where("false")).count() == 0
 
