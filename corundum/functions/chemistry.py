@@ -81,7 +81,7 @@ def measured(c: Column) -> Column:
     a target within 30 characters, or is the whole text; null if there is none.
 
     A regular-expression function gives no offsets; they are summed from the matches and from the
-    gaps between them."""
+    gaps between them. What a match consists of is read from the match itself."""
 
     def found(m: Column) -> Column:
         whole, gaps = m["whole"], m["gaps"]
@@ -89,8 +89,14 @@ def measured(c: Column) -> Column:
         start = lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x) + F.length(F.get(gaps, i))
 
         def one(w: Column, i: Column) -> Column:
-            head = F.length(w) - F.length(F.regexp_replace(w, r"(?U)\A(?:<=|>=|=|<|>)?\s*", ""))
-            return let(F.struct(start(i).alias("at"), F.get(m["value"], i).alias("value"), F.get(m["units"], i).alias("units"), head.alias("head"), w.alias("w"), F.get(m["relation"], i).alias("relation")), judged)
+            sign = F.regexp_extract(w, r"\A(?:<=|>=|=|<|>)", 0)
+
+            def parts(p: Column) -> Column:
+                units = F.regexp_replace(F.substring(w, p["head"] + F.length(p["value"]) + 1, F.length(w)), r"(?U)\A\s+", "")
+                return F.struct(start(i).alias("at"), p["value"].alias("value"), units.alias("units"), p["head"].alias("head"), w.alias("w"), sign.alias("relation"))
+
+            value = let(F.regexp_extract(w, r"(?U)\d+(?:[.,]\d+)?", 0), lambda v: F.struct(v.alias("value"), (F.instr(w, v) - 1).alias("head")))
+            return let(let(value, parts), judged)
 
         def judged(s: Column) -> Column:
             at = s["at"] + s["head"]
@@ -105,8 +111,7 @@ def measured(c: Column) -> Column:
 
         return F.get(F.array_compact(F.transform(whole, one)), 0)
 
-    group = lambda k: F.regexp_extract_all(c, F.lit(VALUE), F.lit(k))
-    parts = F.struct(group(0).alias("whole"), group(1).alias("relation"), group(2).alias("value"), group(3).alias("units"), F.split(c, VALUE, -1).alias("gaps"))
+    parts = F.struct(F.regexp_extract_all(c, F.lit(VALUE), F.lit(0)).alias("whole"), F.split(c, VALUE, -1).alias("gaps"))
     return F.when(c.rlike(r"(?U)\d"), let(parts, found))
 
 

@@ -78,6 +78,12 @@ def row_text(label: Column, title: Column, columns: Column, cells: Column) -> Co
     return F.array_join(F.concat(present(label, title), F.array_compact(shown)), " | ")
 
 
+def rows_text(rows: Column, limit: int = 80) -> Column:
+    """The first rows (an array of maps) as lines of key: value, empty values left out."""
+    line = lambda r: F.array_join(F.transform(F.filter(F.map_entries(r), lambda e: F.coalesce(e["value"], F.lit("")) != ""), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
+    return F.array_join(F.transform(F.slice(rows, 1, limit), line), "\n")
+
+
 def is_supplement(link: Column) -> Column:
     """A link to a PDF whose address or text says that it is supplementary."""
     marked = F.lit(False)

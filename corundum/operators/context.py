@@ -7,12 +7,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corundum.functions.core import present
-from corundum.functions.text import caption, heading, markdown_table
+from corundum.functions.text import markdown_table
 from corundum.functions.values import strip
 
 #: Evidence that extraction is shown.
 CONTEXT_SOURCES = (
-    "table_caption", "figure_caption", "table_row", "scheme_image", "figure_image", "chemical_structure_smiles",
+    "table_caption", "figure_caption", "figure_image", "scheme_image", "chemical_structure_image", "chemical_structure_smiles",
     "agent_table_measurement", "agent_compound_link", "agent_conflict_decision", "agent_scaffold_resolution",
 )
 
@@ -23,21 +23,6 @@ def carry_forward(df: DataFrame, value: Column, into: str, by: list[str], order:
     return df.withColumn(into, F.last(value, ignorenulls=True).over(past))
 
 
-def evidence_blocks(blocks: DataFrame, *, least: int = 20) -> DataFrame:
-    """Text blocks (doc_id, file_id, page_number, block_index, text) as evidence: short ones go, the
-    section is carried across pages, ids number the blocks of a page."""
-    c = F.col
-    kept = blocks.where(F.length("text") >= least)
-    cap = caption(c("text"))
-    kind = F.lower(cap["kind"])
-    source = F.when(kind == "table", "table_caption").when(kind.isNotNull(), "figure_caption").when(heading(c("text")).isNotNull(), "section_heading").otherwise("paragraph")
-    kept = kept.withColumn("source_type", source)
-    title = F.when(c("source_type") == "section_heading", heading(c("text")))
-    kept = carry_forward(kept, title, "section", ["doc_id", "file_id"], ["page_number", "block_index"])
-    nth = F.row_number().over(Window.partitionBy("doc_id", "file_id", "page_number").orderBy("block_index"))
-    return kept.withColumn("evidence_id", F.format_string("%s:%s:p%04d:b%04d", "doc_id", "file_id", "page_number", nth))
-
-
 def table_markdown(tables: DataFrame, rows: DataFrame) -> DataFrame:
     """doc_id, table_id, page_number, markdown: label and caption above the table. A table's rows
     are gathered, which a page of paper bounds."""
@@ -63,6 +48,29 @@ def page_text(pages: DataFrame, evidence: DataFrame) -> DataFrame:
     return pages.join(found, ["doc_id", "page_number"], "left").withColumn("context", whole).drop("found")
 
 
+def document(pages: DataFrame, tables: DataFrame, rows: DataFrame, evidence: DataFrame) -> DataFrame:
+    """doc_id, page_number, context, tables, whole: a page's text with what was found on it, its
+    tables in Markdown in order of their ids, and both together."""
+    shown = table_markdown(tables, rows).groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("table_id", "markdown"))).alias("t"))
+    out = page_text(pages, evidence).join(shown, ["doc_id", "page_number"], "left")
+    listed = F.filter(F.transform(F.coalesce("t", F.array().cast("array<struct<table_id:string,markdown:string>>")), lambda x: x["markdown"]), lambda x: x != "")
+    out = out.withColumn("tables", listed)
+    number = F.col("page_number").cast("string")
+    titled = F.transform("tables", lambda x, i: F.concat(F.lit("TABLE "), number, F.lit("."), (i + 1).cast("string"), F.lit("\n"), x))
+    whole = F.array_join(F.concat(present(F.concat(F.lit("PAGE "), number), strip(F.coalesce("context", F.lit("")))), titled), "\n\n")
+    return out.select("doc_id", "page_number", "context", "tables", whole.alias("whole"))
+
+
+def window_text(pages: DataFrame, size: int = 4) -> DataFrame:
+    """doc_id, window (from 0), n_windows, text: pages of document() in windows of size."""
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number"))
+    w = pages.select("doc_id", "page_number", "whole", F.floor((nth - 1) / size).alias("window"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "whole"))), lambda x: x["whole"]), "\n\n")
+    out = w.groupBy("doc_id", "window").agg(text.alias("text"))  # size pages each
+    count = out.groupBy("doc_id").agg(F.count("*").alias("n_windows"))
+    return out.join(count, "doc_id")
+
+
 def page_windows(pages: DataFrame, size: int = 4, *, by: str = "doc_id", order: str = "page_number") -> DataFrame:
     """by, window (from 0), first, last, pages: consecutive pages, size at a time."""
     nth = F.row_number().over(Window.partitionBy(by).orderBy(order))

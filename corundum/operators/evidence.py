@@ -3,10 +3,13 @@ scaffolds. All are keyed by doc_id, so that any number of documents run in one j
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corundum.functions import chemistry as chem
+from corundum.functions.core import once
 from corundum.functions.values import stable_id
 from corundum.schemas import MISSING
 
@@ -48,7 +51,7 @@ def plan_tables(tables: DataFrame, rows: DataFrame) -> DataFrame:
 
     cells = few.select(*KEY, "nth", F.posexplode("cells").alias("index", "cell")).join(head, KEY).where("compound_index is null or index <> compound_index")
     column = F.coalesce(F.get("columns", F.col("index")), F.lit(""))
-    cells = cells.withColumn("column", column).where(~chem.no_value(F.col("cell"))).withColumn("hit", chem.measured_cell(F.col("cell"), F.col("column")))
+    cells = once(cells.withColumn("column", column).where(~chem.no_value(F.col("cell"))), chem.measured_cell(F.col("cell"), F.col("column")), "hit")
     units_at = F.when(F.col("hit.units").isNotNull(), F.struct("nth", F.col("hit.units").alias("units")))
     per_column = cells.groupBy(*KEY, "index", "column", "caption", "columns", "target_type", "target_units").agg(F.count("hit").alias("hits"), F.count("*").alias("values"), F.min(units_at).alias("units_at")).where("hits > 0")
     near = chem.context(F.col("caption"), F.col("column"))
@@ -83,9 +86,9 @@ def measurements(tables: DataFrame, rows: DataFrame, plans: DataFrame | None = N
     r = rows.select(*KEY, "row_id", "evidence_id", "row_index", "cells", "normalized_text").join(t, KEY)
     c = F.col
     text = chem.context(c("caption"), F.coalesce(F.nullif(c("normalized_text"), F.lit("")), F.array_join("cells", " | ")))
-    r = r.withColumn("compound_id", chem.compound_id(c("cells"), text, c("compound_index"))).where("compound_id is not null and compound_id <> ''")
+    r = once(r, chem.compound_id(c("cells"), text, c("compound_index")), "compound_id").where("compound_id is not null and compound_id <> ''")
     r = r.select("*", F.explode("measurement_columns").alias("p")).withColumn("cell", F.get("cells", c("p.index"))).where(~chem.no_value(c("cell")) & c("cell").isNotNull())
-    r = r.withColumn("m", chem.measured_cell(c("cell"), c("p.column"))).where("m is not null")
+    r = once(r, chem.measured_cell(c("cell"), c("p.column")), "m").where("m is not null")
     units = F.coalesce("m.units", "p.target_units", chem.default_unit(c("p.target_type")))
     r = r.withColumn("units", units).withColumn("organism", F.coalesce("p.bacteria", chem.organism(chem.context(c("p.column"), c("cell"), c("caption")))))
     blank = lambda x: F.coalesce(x, F.lit(""))
@@ -140,7 +143,7 @@ def conflict_decisions(links: DataFrame) -> DataFrame:
     sure = -c("b.order")
     sure = F.when(c("open") == 1, F.least(sure, F.lit(0.62))).otherwise(sure)
     sure = F.when(differ, F.least(sure, F.lit(0.55))).otherwise(sure)
-    reason = F.when(differ, "multiple canonical SMILES candidates for the same measurement").when(c("open") == 1, "one or more candidate links are incomplete").otherwise("best supported linked compound record")
+    reason = F.when(differ, "its links name several structures").when(c("open") == 1, "a link lacks its structure").otherwise("the best supported link")
     canonical = F.struct("compound_id", c("b.of.canonical_smiles").alias("smiles"), "target_type", "target_value", "target_units", "bacteria", c("b.of.link_id").alias("source_link_id"), issues.alias("issues"))
     return g.select(
         stable_id("cr", *(c(k) for k in key[1:])).alias("decision_id"), "doc_id", c("b.of.file_id").alias("file_id"), c("b.of.page_number").alias("page_number"), "compound_id",
@@ -161,7 +164,7 @@ def scaffolds(evidence: DataFrame) -> DataFrame:
     return found.select(
         stable_id("sr", c("evidence_id"), F.array_join("variable_sites", ",")).alias("scaffold_id"), "doc_id", "file_id", "page_number", c("evidence_id").alias("source_evidence_id"),
         F.when(open_, "needs_review").otherwise("detected").alias("status"), F.coalesce(chem.compound_range(c("whole")), F.lit(MISSING)).alias("compound_range"), "variable_sites",
-        F.when(open_, "scaffold or R-group evidence detected; substituent assembly is not automated yet").otherwise("scaffold-like evidence detected").alias("reason"),
+        F.when(open_, "variable sites are named; what stands at them has to be put together by hand").otherwise("a scaffold is named").alias("reason"),
     )
 
 
@@ -169,19 +172,16 @@ def _joined(sep: str, *pairs: tuple[str, Column]) -> Column:
     return F.concat_ws(sep, *(F.concat(F.lit(f"{k}="), F.coalesce(v.cast("string"), F.lit("None"))) for k, v in pairs))
 
 
-def agent_evidence(measured: DataFrame, links: DataFrame, decisions: DataFrame, found: DataFrame) -> DataFrame:
-    """What the four agents found, as evidence blocks."""
+def agent_evidence(measured: DataFrame | None = None, links: DataFrame | None = None, decisions: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """What the agents found, those that ran, as evidence blocks."""
     c = F.col
     names = F.array_join
     block = lambda df, kind, key, title, caption, text, sure: df.select(F.concat(c(key), F.lit(":evidence")).alias("evidence_id"), "doc_id", "file_id", "page_number", F.lit(kind).alias("source_type"), title.alias("title"), caption.alias("caption"), text.alias("text"), sure.alias("confidence"))
     k = c("canonical")
     parts = [
-        block(measured, "agent_table_measurement", "record_id", c("table_id"), c("compound_id"), F.concat(F.lit("Agent table measurement: "), _joined(" | ", *((n, c(f)) for n, f in (("compound_id", "compound_id"), ("target_type", "target_type"), ("relation", "target_relation"), ("target_value", "target_value"), ("target_units", "target_units"), ("bacteria", "bacteria"), ("source_table", "table_id"), ("source_evidence", "evidence_id"), ("raw", "raw_text"))))), c("confidence")),
-        block(links, "agent_compound_link", "link_id", c("compound_id"), c("status"), F.concat(F.lit("Agent compound link: "), _joined(" | ", *((n, c(n)) for n in ("compound_id", "canonical_smiles", "target_type", "target_value", "target_units", "bacteria", "status")), ("issues", F.coalesce(F.nullif(names("issues", ","), F.lit("")), F.lit("none"))), ("measurement_record_id", c("measurement_record_id")), ("smiles_evidence_id", F.coalesce("smiles_evidence_id", F.lit(MISSING))))), c("confidence")),
-        block(decisions, "agent_conflict_decision", "decision_id", c("compound_id"), c("decision"), F.concat(F.lit("Agent conflict decision: "), _joined(" | ", ("decision", c("decision")), *((n, k[n]) for n in ("compound_id", "smiles", "target_type", "target_value", "target_units", "bacteria")), ("reason", c("reason")))), c("confidence")),
-        block(found, "agent_scaffold_resolution", "scaffold_id", c("source_evidence_id"), c("status"), F.concat(F.lit("Agent scaffold resolution: "), _joined(" | ", ("status", c("status")), ("compound_range", c("compound_range")), ("variable_sites", F.coalesce(F.nullif(names("variable_sites", ","), F.lit("")), F.lit(MISSING))), ("source_evidence", c("source_evidence_id")), ("reason", c("reason")))), F.when(F.size("variable_sites") > 0, 0.72).otherwise(0.58)),
+        measured is not None and block(measured, "agent_table_measurement", "record_id", c("table_id"), c("compound_id"), F.concat(F.lit("Agent table measurement: "), _joined(" | ", *((n, c(f)) for n, f in (("compound_id", "compound_id"), ("target_type", "target_type"), ("relation", "target_relation"), ("target_value", "target_value"), ("target_units", "target_units"), ("bacteria", "bacteria"), ("source_table", "table_id"), ("source_evidence", "evidence_id"), ("raw", "raw_text"))))), c("confidence")),
+        links is not None and block(links, "agent_compound_link", "link_id", c("compound_id"), c("status"), F.concat(F.lit("Agent compound link: "), _joined(" | ", *((n, c(n)) for n in ("compound_id", "canonical_smiles", "target_type", "target_value", "target_units", "bacteria", "status")), ("issues", F.coalesce(F.nullif(names("issues", ","), F.lit("")), F.lit("none"))), ("measurement_record_id", c("measurement_record_id")), ("smiles_evidence_id", F.coalesce("smiles_evidence_id", F.lit(MISSING))))), c("confidence")),
+        decisions is not None and block(decisions, "agent_conflict_decision", "decision_id", c("compound_id"), c("decision"), F.concat(F.lit("Agent conflict decision: "), _joined(" | ", ("decision", c("decision")), *((n, k[n]) for n in ("compound_id", "smiles", "target_type", "target_value", "target_units", "bacteria")), ("reason", c("reason")))), c("confidence")),
+        found is not None and block(found, "agent_scaffold_resolution", "scaffold_id", c("source_evidence_id"), c("status"), F.concat(F.lit("Agent scaffold resolution: "), _joined(" | ", ("status", c("status")), ("compound_range", c("compound_range")), ("variable_sites", F.coalesce(F.nullif(names("variable_sites", ","), F.lit("")), F.lit(MISSING))), ("source_evidence", c("source_evidence_id")), ("reason", c("reason")))), F.when(F.size("variable_sites") > 0, 0.72).otherwise(0.58)),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, [p for p in parts if p is not False])

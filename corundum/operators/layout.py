@@ -29,11 +29,14 @@ def lines_of_page(spans: pd.DataFrame) -> pd.DataFrame:
     return spans.assign(line=line)
 
 
-def cluster_lines(spans: DataFrame) -> DataFrame:
-    """spans (doc_id, page_number, span_id, text, x0, y0, x1, y1) with their line on the page."""
-    names = [*PAGE, "span_id", "text", "x0", "y0", "x1", "y1"]
+def cluster_lines(spans: DataFrame, by: list[str] | None = None, *, within: str | None = None) -> DataFrame:
+    """spans (by, as a rule doc_id and page_number; span_id, text, x0, y0, x1, y1) with their line;
+    with within, lines are those of each of its values alone."""
+    by = PAGE if by is None else by
+    names = [*by, *([within] if within else []), "span_id", "text", "x0", "y0", "x1", "y1"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spans.select(*names).schema) + ", line int"
-    return spans.select(*names).where(F.coalesce(strip("text"), F.lit("")) != "").groupBy(*PAGE).applyInPandas(lines_of_page, schema)
+    of_group = (lambda pdf: pd.concat([lines_of_page(part) for _, part in pdf.groupby(within)])) if within else lines_of_page
+    return spans.select(*names).where(F.coalesce(strip("text"), F.lit("")) != "").groupBy(*by).applyInPandas(of_group, schema)
 
 
 def merge_spans(spans: DataFrame, *, by: list[str], gap: float = SPAN_GAP) -> DataFrame:

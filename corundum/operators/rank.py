@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corundum.functions.core import let
+from corundum.functions.core import let, once
 from corundum.functions.text import snippet
 from corundum.schemas import Domain
 
@@ -17,19 +17,43 @@ NUMBER = r"(?<![A-Za-z])(?:[<>]=?|=)?\s*\d+(?:[.,]\d+)?(?:\s*[-–]\s*\d+(?:[.,]
 CHEMISTRY = r"(?i)\b(?:SMILES|MIC|pMIC|IC50|EC50|AgNP|Fe3O4|TiO2|SiO2|ZnO|AuNP|DOTA|logK|lgK|Km|Vmax)\b"
 MEASURE_TERMS = ("mic", "pmic", "mic50", "mic80", "ic50", "ec50", "fic", "km", "vmax")
 SOURCE_WORTH = (("table_row", 1.25), ("table_caption", 0.75), ("figure_caption", 0.75), ("chemical_structure_smiles", 1.0), ("chemical_structure_image", 1.0))
+# Other words for the fields of molecule and kinetics records. Those of further
+# record types come from a file (sources.prompts.read_aliases).
+FIELD_ALIASES: dict[str, tuple[str, ...]] = {
+    "compound_id": ("compound", "molecule", "derivative", "ligand", "complex", "sample", "id"),
+    "compound_name": ("compound", "name", "ligand", "complex", "material"),
+    "name": ("name", "sample", "material", "nanoparticle"),
+    "smiles": ("smiles", "structure", "chemical structure", "compound", "molecule"),
+    "target_type": ("MIC", "pMIC", "IC50", "EC50", "activity", "measurement"),
+    "target_relation": ("<", ">", "=", "less than", "greater than"),
+    "target_value": ("MIC", "pMIC", "logK", "lgK", "IC50", "EC50", "activity", "value"),
+    "target_units": ("ug/mL", "microg/mL", "mg/L", "mM", "uM", "units"),
+    "bacteria": ("bacteria", "strain", "Staphylococcus", "aureus", "Escherichia", "coli", "E. coli", "S. aureus"),
+    "activity": ("activity", "catalytic", "enzyme", "nanozyme"),
+    "reaction_type": ("reaction", "substrate", "oxidase", "peroxidase", "catalase"),
+    "km_value": ("Km", "Michaelis", "kinetic"),
+    "km_unit": ("Km", "mM", "uM"),
+    "vmax_value": ("Vmax", "kinetic", "velocity"),
+    "vmax_unit": ("Vmax", "mM", "s-1", "min-1"),
+    "ph": ("pH", "acidic", "basic"),
+    "temperature": ("temperature", "C", "K"),
+    "formula": ("formula", "composition", "material"),
+    "surface": ("surface", "coating", "shell", "functional"),
+}
 
 
 @dataclass(frozen=True)
 class Skill:
-    """What to look for: a name, the fields of its records, further terms."""
+    """What to look for: a name, the fields of its records, further terms, other words for fields."""
 
     name: str
     fields: tuple[str, ...]
     keywords: tuple[str, ...] = ()
+    aliases: dict[str, tuple[str, ...]] = field(default_factory=dict, hash=False)
 
     @staticmethod
-    def of(d: Domain, keywords: tuple[str, ...] = ()) -> Skill:
-        return Skill(d.key, d.columns, keywords)
+    def of(d: Domain, keywords: tuple[str, ...] = (), aliases: dict[str, tuple[str, ...]] | None = None) -> Skill:
+        return Skill(d.key, d.columns, keywords, FIELD_ALIASES if aliases is None else aliases)
 
     @property
     def needs_structure(self) -> bool:
@@ -37,7 +61,10 @@ class Skill:
 
     @property
     def terms(self) -> tuple[str, ...]:
-        return ordered_unique((*self.keywords, *(t for f in self.fields for t in field_terms(f))))
+        return ordered_unique((*self.keywords, *(t for f in self.fields for t in self.terms_of(f))))
+
+    def terms_of(self, name: str) -> tuple[str, ...]:
+        return field_terms(name, self.aliases)
 
 
 def ordered_unique(values: tuple[str, ...]) -> tuple[str, ...]:
@@ -46,21 +73,25 @@ def ordered_unique(values: tuple[str, ...]) -> tuple[str, ...]:
 
 
 def field_terms(name: str, aliases: dict[str, tuple[str, ...]] | None = None) -> tuple[str, ...]:
-    """A field's name, with spaces, its parts of two letters or more, and its aliases."""
+    """A field's name, with spaces, its parts of two letters or more, and its aliases, those of its
+    name in small letters too."""
     parts = tuple(p for p in re.split(r"[_\W]+", name) if len(p) > 1)
-    return ordered_unique((name, name.replace("_", " "), *parts, *(aliases or {}).get(name, ())))
+    known = aliases or {}
+    return ordered_unique((name, name.replace("_", " "), *parts, *known.get(name, ()), *known.get(name.lower(), ())))
 
 
-def matched(text: Column, terms: tuple[str, ...]) -> Column:
-    """The terms in the text, in their order: words whole, anything else as part of the text."""
-    low = F.lower(text)
+def _found(low: Column, term: str) -> Column:
+    """Whether a term is in a lower-cased text: a word whole, anything else as part of the text. The
+    plain search comes first: few texts get as far as the expression."""
+    word = term.lower()
+    there = F.contains(low, F.lit(word))
+    return there & low.rlike(rf"(?U)(?<!\w)\Q{word}\E(?!\w)") if word.isalnum() else there
 
-    def find(t: str) -> Column:
-        word = t.lower()
-        hit = low.rlike(rf"(?U)(?<!\w)\Q{word}\E(?!\w)") if word.isalnum() else F.contains(low, F.lit(word))
-        return F.when(hit, F.lit(t))
 
-    return F.array_compact(F.array(*map(find, ordered_unique(terms)))).cast("array<string>")
+def matched(text: Column, terms: tuple[str, ...]) -> Column:
+    """The terms in the text, in their order."""
+    listed = lambda low: F.array_compact(F.array(*(F.when(_found(low, t), F.lit(t)) for t in ordered_unique(terms)))).cast("array<string>")
+    return let(F.lower(text), listed)
 
 
 def score(text: Column, source: Column, confidence: Column, matches: Column) -> Column:
@@ -77,10 +108,11 @@ def candidates(evidence: DataFrame, skill: Skill, *, top: int = 20, by: str = "d
     """by, rank, score, evidence_id, page_number, source_type, matched_terms, snippet: the best top
     evidence of each document."""
     c = F.col
-    scored = evidence.withColumn("matches", matched(c("text"), skill.terms)).withColumn("score", score(c("text"), c("source_type"), c("confidence"), c("matches"))).where("score > 0")
-    nth = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "page_number", "evidence_id"))
+    judged = let(matched(c("text"), skill.terms), lambda m: F.struct(m.alias("matches"), score(c("text"), c("source_type"), c("confidence"), m).alias("score")))
+    scored = once(evidence, judged, "judged").where("judged.score > 0")
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("judged.score"), "page_number", "evidence_id"))
     best = scored.withColumn("rank", nth).where(c("rank") <= top)
-    return best.select(by, "rank", F.round("score", 3).alias("score"), "evidence_id", "page_number", "source_type", F.slice("matches", 1, 12).alias("matched_terms"), snippet(c("text"), 520).alias("snippet"))
+    return best.select(by, "rank", F.round("judged.score", 3).alias("score"), "evidence_id", "page_number", "source_type", F.slice("judged.matches", 1, 12).alias("matched_terms"), snippet(c("text"), 520).alias("snippet"))
 
 
 def select_balanced(found: DataFrame, limit: int, *, by: str = "doc_id") -> DataFrame:
@@ -111,11 +143,33 @@ def select_balanced(found: DataFrame, limit: int, *, by: str = "doc_id") -> Data
 def field_coverage(evidence: DataFrame, skill: Skill, *, by: str = "doc_id") -> DataFrame:
     """by, field, hits, status: present from three pieces of evidence, partial from one."""
     c = F.col
-    hits = F.array(*(F.struct(F.lit(f).alias("field"), (F.size(matched(c("text"), field_terms(f))) > 0).cast("int").alias("hit")) for f in skill.fields))
+    hits = let(F.lower("text"), lambda low: F.array(*(F.struct(F.lit(f).alias("field"), _any(low, skill.terms_of(f)).cast("int").alias("hit")) for f in skill.fields)))
     per = evidence.select(by, F.explode(hits).alias("h")).groupBy(by, c("h.field").alias("field")).agg(F.sum("h.hit").alias("hits"))
     return per.withColumn("status", F.when(c("hits") >= 3, "present").when(c("hits") > 0, "partial").otherwise("missing"))
 
 
+def _any(low: Column, terms: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for t in terms:
+        out = out | _found(low, t)
+    return F.coalesce(out, F.lit(False))
+
+
+def field_examples(evidence: DataFrame, skill: Skill, *, most: int = 3, by: str = "doc_id") -> DataFrame:
+    """by, field, nth, evidence_id, page_number, source_type, matched_terms, snippet: the first
+    evidence of each field by page and id. Matches are exploded before texts are cut, and only the
+    first of each field are kept."""
+    c = F.col
+
+    def of(name: str) -> Column:
+        return let(matched(c("text"), skill.terms_of(name)), lambda m: F.when(F.size(m) > 0, F.struct(F.lit(name).alias("field"), F.slice(m, 1, 8).alias("terms"))))
+
+    fields = F.array_compact(F.array(*map(of, skill.fields)))
+    found = evidence.select(by, "evidence_id", "page_number", "source_type", "text", F.explode(fields).alias("f"))
+    nth = F.row_number().over(Window.partitionBy(by, "f.field").orderBy("page_number", "evidence_id"))
+    return found.withColumn("nth", nth).where(c("nth") <= most).select(by, "f.field", "nth", "evidence_id", "page_number", "source_type", c("f.terms").alias("matched_terms"), snippet(c("text")).alias("snippet"))
+
+
 def skill_check(evidence: DataFrame, skill: Skill, structures: DataFrame, *, top: int = 20, by: str = "doc_id") -> DataFrame:
     """by, coverage, best, score, status. structures: by, smiles, detections, visual_tasks counts."""
     c = F.col

@@ -34,9 +34,9 @@ def page_tasks(pages: DataFrame, tables: DataFrame) -> DataFrame:
     c = F.col
     key = lambda what: F.format_string(f"%s:%s:p%04d:{what}", "doc_id", "file_id", "page_number")
     size = F.length(strip(c("text")))
-    bare = pages.where(size < LITTLE_TEXT).select(*_task("document_ocr", "page", key("document_ocr"), c("page_id"), "surya_or_paddleocr", F.lit(90), F.format_string("Low selectable text on page: %d characters.", size)))
+    bare = pages.where(size < LITTLE_TEXT).select(*_task("document_ocr", "page", key("document_ocr"), c("page_id"), "surya_or_paddleocr", F.lit(90), F.format_string("The page has %d characters of text.", size)))
     lost = pages.where(F.contains(F.lower("text"), F.lit("table"))).join(tables.select("doc_id", "file_id", "page_number").distinct(), ["doc_id", "file_id", "page_number"], "left_anti")
-    return bare.unionByName(lost.select(*_task("table_ocr", "page", key("table_ocr"), c("page_id"), "surya_table_or_paddle_structure", F.lit(75), F.lit("Page mentions a table but no structured table was recovered."))))
+    return bare.unionByName(lost.select(*_task("table_ocr", "page", key("table_ocr"), c("page_id"), "surya_table_or_paddle_structure", F.lit(75), F.lit("A table is spoken of, none was found."))))
 
 
 def document_facts(pages: DataFrame, tables: DataFrame, rows: DataFrame) -> DataFrame:
@@ -61,10 +61,10 @@ def figure_tasks(figures: DataFrame, facts: DataFrame) -> DataFrame:
     boosted = depends | scheme
     task = lambda when, suffix, kind, provider, priority, reason: F.when(when, F.struct(F.lit(suffix).alias("suffix"), F.lit(kind).alias("kind"), F.lit(provider).alias("provider"), priority.cast("int").alias("priority"), F.lit(reason).alias("reason")))
     tasks = F.array_compact(F.array(
-        task(rich, "structure_detection", "chemical_structure_detection", "structure_detector", F.when(boosted, 85).otherwise(55), "Figure/scheme likely contains chemical structures; structure detection can link compound ids from text/tables to image-local structures."),
-        task(rich, "ocsr", "ocsr", "molscribe_or_decimer", F.when(boosted, 80).otherwise(50), "Chemical structure crops should be converted to structure strings after detection."),
-        task(holds_any(low, DOCKING_WORDS + ACTIVITY_WORDS), "vlm_describe", "vlm_describe", "vlm", F.when(c("table_rows") > 0, 60).otherwise(80), "Caption suggests visual-only semantic information such as docking, activity, or graphs."),
-        task((c("kind") == "figure") & rich & ~depends, "light_ocr", "image_text_ocr", "surya_or_paddleocr", F.lit(35), "Structure-rich figure may contain labels, but text/table coverage is already decent."),
+        task(rich, "structure_detection", "chemical_structure_detection", "structure_detector", F.when(boosted, 85).otherwise(55), "The caption speaks of structures; ids of text and tables may be told from them."),
+        task(rich, "ocsr", "ocsr", "molscribe_or_decimer", F.when(boosted, 80).otherwise(50), "Structures that are found have to be read."),
+        task(holds_any(low, DOCKING_WORDS + ACTIVITY_WORDS), "vlm_describe", "vlm_describe", "vlm", F.when(c("table_rows") > 0, 60).otherwise(80), "The caption names what only the image shows."),
+        task((c("kind") == "figure") & rich & ~depends, "light_ocr", "image_text_ocr", "surya_or_paddleocr", F.lit(35), "Labels may stand in the figure, though text and tables tell most of it."),
     ))
     out = figures.join(facts, "doc_id", "left").na.fill(0, ["table_rows", "smiles_count", "compound_ids"]).select("*", F.explode(tasks).alias("t"))
     return out.select(F.concat("figure_id", F.lit(":"), "t.suffix").alias("task_id"), "doc_id", "file_id", "page_number", c("t.kind").alias("task_type"), F.lit("figure").alias("target_type"), c("figure_id").alias("target_id"), c("t.provider").alias("provider_hint"), c("t.priority").alias("priority"), c("t.reason").alias("reason"))

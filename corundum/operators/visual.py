@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corundum.functions.core import once
 from corundum.functions.values import strip
 from corundum.schemas import MISSING
 
@@ -44,36 +45,55 @@ def grid_components(active: np.ndarray) -> np.ndarray:
         label = new
 
 
+# Sides and area of a box, the shares of an image that a frame takes, and how near, in
+# pixels, boxes are that belong together: in both directions, or in one if they overlap in the other.
+LEAST_SIDES, LEAST_AREA, FRAME = (28, 20), 900, (0.95, 0.85)
+NEAR, BESIDE, ABOVE, OVERLAP = 10, 28, 22, 0.45
+
+
+def keep_boxes(boxes: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    """Which boxes (rows of x0, y0, x1, y1) are large enough and no frame of the image."""
+    sides = boxes[:, 2:] - boxes[:, :2]
+    frame = (sides > np.array(size) * FRAME).all(axis=1)
+    return (sides >= LEAST_SIDES).all(axis=1) & (sides.prod(axis=1) >= LEAST_AREA) & ~frame
+
+
 def keep_box(box: Box, size: tuple[int, int]) -> bool:
-    w, h = box[2] - box[0], box[3] - box[1]
-    return w >= 28 and h >= 20 and w * h >= 900 and not (w > size[0] * 0.95 and h > size[1] * 0.85)
+    return bool(keep_boxes(np.array([box]), size)[0])
+
+
+def close_to(box: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of the others belong to a box."""
+    between = np.maximum(box[:2], others[:, :2]) - np.minimum(box[2:], others[:, 2:])  # below 0 where they overlap
+    shorter = np.minimum(box[2:] - box[:2], others[:, 2:] - others[:, :2])
+    gap, share = np.maximum(between, 0), np.maximum(-between, 0) / np.maximum(shorter, 1)
+    return (gap <= NEAR).all(axis=1) | ((gap[:, 0] <= BESIDE) & (share[:, 1] > OVERLAP)) | ((gap[:, 1] <= ABOVE) & (share[:, 0] > OVERLAP))
 
 
 def boxes_close(a: Box, b: Box) -> bool:
-    gap_x = max(0, max(a[0], b[0]) - min(a[2], b[2]))
-    gap_y = max(0, max(a[1], b[1]) - min(a[3], b[3]))
-    share = lambda lo, hi: max(0, min(a[hi], b[hi]) - max(a[lo], b[lo])) / max(1, min(a[hi] - a[lo], b[hi] - b[lo]))
-    return gap_x <= 10 and gap_y <= 10 or gap_x <= 28 and share(1, 3) > 0.45 or gap_y <= 22 and share(0, 2) > 0.45
+    return bool(close_to(np.array(a), np.array([b]))[0])
 
 
 def merge_boxes(boxes: list[Box], size: tuple[int, int]) -> list[Box]:
-    """Close boxes grow into one, in order, until none are close."""
+    """Boxes that belong together as one, until none do. In each pass the first box takes up, in
+    order, what is close to what it has grown to; what stays apart is left for the next first."""
+    rows = np.array(boxes, np.int64).reshape(-1, 4)
     while True:
-        rest, out = list(boxes), []
-        while rest:
-            box = rest.pop(0)
-            apart = []
-            for other in rest:
-                if boxes_close(box, other):
-                    box = (min(box[0], other[0]), min(box[1], other[1]), max(box[2], other[2]), max(box[3], other[3]))
-                else:
-                    apart.append(other)
-            rest = apart
+        out, todo = [], rows
+        while len(todo):
+            box, todo = todo[0], todo[1:]
+            taken, at = np.zeros(len(todo), bool), 0
+            while at < len(todo) and (near := close_to(box, todo[at:])).any():
+                k = at + int(near.argmax())
+                box = np.concatenate((np.minimum(box[:2], todo[k, :2]), np.maximum(box[2:], todo[k, 2:])))
+                taken[k], at = True, k + 1
             out.append(box)
-        grown = len(out) < len(boxes)
-        boxes = [b for b in out if keep_box(b, size)]
-        if not grown:
-            return boxes
+            todo = todo[~taken]
+        merged = np.array(out, np.int64).reshape(-1, 4)
+        same = len(merged) == len(rows)
+        rows = merged[keep_boxes(merged, size)] if len(merged) else merged
+        if same:
+            return [tuple(map(int, r)) for r in rows]
 
 
 def find_boxes(rgb: np.ndarray, mask_of: Callable[[np.ndarray], np.ndarray], *, cell: int, least: int, most: int) -> list[Box]:
@@ -158,8 +178,9 @@ def accept(records: DataFrame) -> DataFrame:
     review = (c("model_validity") == "not_checked") & (c("model_smiles") != "")
     shut = F.coalesce("open_scaffold", F.lit(False))
     pick = lambda a, b, r, none: F.when(shut, F.lit(none)).when(by_model, a).when(by_other, b).when(review, r).otherwise(F.lit(none))
-    return records.withColumns({
-        "final_smiles": pick(c("model_smiles"), c("recognised_smiles"), c("model_smiles"), MISSING),
-        "smiles_source": pick(F.lit("vision_chemical_ocr_agent"), F.lit("molscribe_fallback"), F.lit("vision_chemical_ocr_agent"), "none"),
-        "validation_status": pick(F.lit("accepted"), F.lit("accepted"), F.lit("needs_review"), "rejected"),
-    })
+    verdict = F.struct(
+        pick(c("model_smiles"), c("recognised_smiles"), c("model_smiles"), MISSING).alias("final_smiles"),
+        pick(F.lit("vision_chemical_ocr_agent"), F.lit("molscribe_fallback"), F.lit("vision_chemical_ocr_agent"), "none").alias("smiles_source"),
+        pick(F.lit("accepted"), F.lit("accepted"), F.lit("needs_review"), "rejected").alias("validation_status"),
+    )
+    return once(records, verdict, "verdict").select("*", "verdict.*").drop("verdict")

@@ -5,40 +5,18 @@ jobs; a view is one SQL text for both engines. {name} stands for a table."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corundum.functions import chemistry, text, values
 from corundum.operators import context, evaluate, evidence, heuristics, jobs, layout, normalize, rank, route
+from corundum.plans.base import ORACLES, QUERIES, query, rounded, view
 from corundum.schemas import DOMAINS
 from corundum.sources import web
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 c = F.col
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    names = set(re.findall(r"\{(\w+)\}", sql))
-    return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
-
-
-def plain(sql: str) -> str:
-    return re.sub(r"\{(\w+)\}", r"\1", sql)
-
-
-def query(oracle: str) -> Callable:
-    def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[fn.__name__] = fn
-        ORACLES[fn.__name__] = plain(oracle)
-        return fn
-
-    return add
-
-
 # Evaluation: suppliers are articles; a third of the predictions is off.
 TRUTH = """SELECT concat('S', CAST(l_suppkey AS VARCHAR(20)), '.pdf') AS pdf, CAST(CAST(l_quantity AS INT) AS VARCHAR(20)) AS target_value,
  CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_returnflag END AS target_type, l_linestatus AS bacteria FROM {lineitem}"""
@@ -60,21 +38,17 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return evaluate.prepare_truth(d, truth), evaluate.prepare_prediction(d, view(spark, sf_dir, PREDICTION))
 
 
-def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
-
-
 MEANS = ("tp", "fp", "fn", "precision", "recall", "f1")
 
 
 @query(_EVAL + " SELECT col AS field, " + ", ".join(f"round(sum({m}) / (SELECT count(*) FROM article_list), 6) AS {m}" for m in MEANS) + " FROM per WHERE article IN (SELECT article FROM article_list) GROUP BY 1")
 def eval_per_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluate.evaluate(*_sides(spark, sf_dir), FIELDS), *MEANS).withColumnRenamed("column", "field")
+    return rounded(evaluate.evaluate(*_sides(spark, sf_dir), FIELDS), *MEANS).withColumnRenamed("column", "field")
 
 
 @query(_EVAL + " SELECT round(avg(f), 6) AS macro_f1 FROM (SELECT col, sum(f1) / (SELECT count(*) FROM article_list) AS f FROM per GROUP BY 1) q")
 def eval_macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluate.macro_f1(evaluate.evaluate(*_sides(spark, sf_dir), FIELDS)), "macro_f1")
+    return rounded(evaluate.macro_f1(evaluate.evaluate(*_sides(spark, sf_dir), FIELDS)), "macro_f1")
 
 
 _SUBSET = "SELECT concat('S', CAST(s_suppkey AS VARCHAR(20))) AS article FROM {supplier} WHERE s_nationkey < 8 UNION ALL SELECT 'elsewhere' AS article"
@@ -82,7 +56,7 @@ _SUBSET = "SELECT concat('S', CAST(s_suppkey AS VARCHAR(20))) AS article FROM {s
 
 @query(_EVAL + f", chosen AS (SELECT lower(article) AS article FROM ({_SUBSET}) q) SELECT col AS field, " + ", ".join(f"round(sum({m}) / (SELECT count(*) FROM chosen), 6) AS {m}" for m in MEANS) + " FROM per JOIN chosen USING (article) GROUP BY 1")
 def eval_article_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(evaluate.evaluate(*_sides(spark, sf_dir), FIELDS, articles=view(spark, sf_dir, _SUBSET)), *MEANS).withColumnRenamed("column", "field")
+    return rounded(evaluate.evaluate(*_sides(spark, sf_dir), FIELDS, articles=view(spark, sf_dir, _SUBSET)), *MEANS).withColumnRenamed("column", "field")
 
 
 @query(_EVAL + " SELECT article, col AS field, tp, fp, fn, round(f1, 6) AS f1 FROM per")

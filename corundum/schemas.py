@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 #: The value of a field that an article doesn't give. Record columns hold it, never null.
@@ -32,42 +33,103 @@ class Domain:
         return StructType([StructField(c, StringType(), False) for c in self.columns])
 
 
-def _domain(key: str, title: str, text: str, enums: dict | None = None, aliases: dict | None = None) -> Domain:
-    """text: columns in order, one a line or separated by commas; # after a name marks a number."""
-    names = [c.strip() for c in text.replace("\n", ",").split(",") if c.strip()]
-    return Domain(key, title, tuple(c.removesuffix("#") for c in names), frozenset(c[:-1] for c in names if c.endswith("#")), enums or {}, aliases or {})
-
-
-_MOLECULE = "compound_id, smiles, target_type, target_relation, target_value#, target_units, bacteria"
 _RELATION = {"target_relation": ("=", "<", ">")}
+_MOLECULE = ("compound_id", "smiles", "target_type", "target_relation", "target_value", "target_units", "bacteria")
 
 # Names, order, kinds, allowed values and aliases of record columns are the exchange
 # format of predictions and truth tables.
-DOMAINS: dict[str, Domain] = {d.key: d for d in (
-    _domain("benzimidazole", "Benzimidazoles", _MOLECULE, _RELATION),
-    _domain("oxazolidinone", "Oxazolidinones", _MOLECULE, _RELATION),
-    _domain("cocrystals", "Co-crystals", "name_cocrystal, ratio_cocrystal, name_drug, SMILES_drug, name_coformer, SMILES_coformer, photostability_change",
-            {"photostability_change": ("decrease", "does not change", "increase")}),
-    _domain("eyedrops", "EyeDrops", "smiles, name, perm (cm/s)#, logP#",
-            aliases={"SMILES": "smiles", "compound": "name", "compound_name": "name", "drug": "name", "permeability": "perm (cm/s)", "perm": "perm (cm/s)",
-                     "perm_cm_s": "perm (cm/s)", "corneal_permeability": "perm (cm/s)", "log_p": "logP", "logp": "logP"}),
-    _domain("complexes", "Complexes", "compound_id, compound_name, SMILES, SMILES_type, target#", aliases={"target_value": "target"}),
-    _domain("nanozymes", "Nanozymes", """formula, activity, syngony, length#, width#, depth#, surface, km_value#, km_unit, vmax_value#, vmax_unit, reaction_type
-            c_min#, c_max#, c_const#, c_const_unit, ccat_value#, ccat_unit, ph#, temperature#"""),
-    _domain("magnetic", "Nanomag", """name, np_core, np_shell, core_shell_formula, np_shell_2, np_hydro_size#, xrd_scherrer_size#, emic_size#, space_group_core, space_group_shell
-            squid_sat_mag#, squid_rem_mag#, exchange_bias_shift_Oe#, vertical_loop_shift_M_vsl_emu_g#, hc_kOe#, squid_h_max#, zfc_h_meas#, instrument, fc_field_T#
-            squid_temperature#, coercivity#, htherm_sar#, mri_r1#, mri_r2#"""),
-    _domain("cytotoxicity", "Cytotox", """material, shape, coat_functional_group, synthesis_method, surface_charge, core_nm#, size_in_medium_nm#, hydrodynamic_nm#, potential_mv#
-            zeta_in_medium_mv#, no_of_cells_cells_well#, human_animal, cell_source, cell_tissue, cell_morphology, cell_age, time_hr#, concentration#, test, test_indicator, viability_%#"""),
-    _domain("seltox", "SelTox", """np, coating, bacteria, mdr#, strain, np_synthesis, method, mic_np_µg_ml#, concentration#, zoi_np_mm#, np_size_min_nm#, np_size_max_nm#, np_size_avg_nm#
-            shape, time_set_hours#, zeta_potential_mV#, solvent_for_extract, temperature_for_extract_C#, duration_preparing_extract_min#, precursor_of_np
-            concentration_of_precursor_mM#, hydrodynamic_diameter_nm#, ph_during_synthesis#"""),
-    _domain("synergy", "Synergy", """NP, bacteria, strain, NP_synthesis, drug, drug_dose_µg_disk#, NP_concentration_µg_ml#, NP_size_min_nm#, NP_size_max_nm#, NP_size_avg_nm#, shape, method
-            ZOI_drug_mm_or_MIC _µg_ml#, error_ZOI_drug_mm_or_MIC_µg_ml#, ZOI_NP_mm_or_MIC_np_µg_ml#, error_ZOI_NP_mm_or_MIC_np_µg_ml#, ZOI_drug_NP_mm_or_MIC_drug_NP_µg_ml#
-            error_ZOI_drug_NP_mm_or_MIC_drug_NP_µg_ml#, fold_increase_in_antibacterial_activity#, zeta_potential_mV#, MDR, FIC#, effect, time_hr#
-            coating_with_antimicrobial_peptide_polymers, combined_MIC#, peptide_MIC#, viability_%#, viability_error#""",
-            aliases={"Bacteria": "bacteria", "ZOI_drug_mm_or_MIC_µg_ml": "ZOI_drug_mm_or_MIC _µg_ml", "ZOI_drug_mm_or_MIC_µg_m": "ZOI_drug_mm_or_MIC _µg_ml"}),
-)}
+_ALL: tuple[Domain, ...] = (
+    Domain(
+        "benzimidazole", "Benzimidazoles", _MOLECULE,
+        frozenset({"target_value"}), enums=_RELATION,
+    ),
+    Domain(
+        "oxazolidinone", "Oxazolidinones", _MOLECULE,
+        frozenset({"target_value"}), enums=_RELATION,
+    ),
+    Domain(
+        "cocrystals", "Co-crystals", (
+            "name_cocrystal", "ratio_cocrystal", "name_drug", "SMILES_drug", "name_coformer", "SMILES_coformer", "photostability_change",
+        ),
+        frozenset({}), enums={"photostability_change": ("decrease", "does not change", "increase")},
+    ),
+    Domain(
+        "eyedrops", "EyeDrops", (
+            "smiles", "name", "perm (cm/s)", "logP",
+        ),
+        frozenset({"perm (cm/s)", "logP"}), aliases={
+            "SMILES": "smiles", "compound": "name", "compound_name": "name", "drug": "name", "permeability": "perm (cm/s)", "perm": "perm (cm/s)", "perm_cm_s": "perm (cm/s)", "corneal_permeability": "perm (cm/s)", "log_p": "logP", "logp": "logP",
+        },
+    ),
+    Domain(
+        "complexes", "Complexes", (
+            "compound_id", "compound_name", "SMILES", "SMILES_type", "target",
+        ),
+        frozenset({"target"}), enums={"SMILES_type": ("ligand", "environment")}, aliases={
+            "target_value": "target",
+        },
+    ),
+    Domain(
+        "nanozymes", "Nanozymes", (
+            "formula", "activity", "syngony", "length", "width", "depth", "surface", "km_value", "km_unit", "vmax_value", "vmax_unit", "reaction_type", "c_min",
+            "c_max", "c_const", "c_const_unit", "ccat_value", "ccat_unit", "ph", "temperature",
+        ),
+        frozenset({
+            "length", "width", "depth", "km_value", "vmax_value", "c_min", "c_max", "c_const", "ccat_value", "ph", "temperature",
+        }),
+    ),
+    Domain(
+        "magnetic", "Nanomag", (
+            "name", "np_core", "np_shell", "core_shell_formula", "np_shell_2", "np_hydro_size", "xrd_scherrer_size", "emic_size", "space_group_core",
+            "space_group_shell", "squid_sat_mag", "squid_rem_mag", "exchange_bias_shift_Oe", "vertical_loop_shift_M_vsl_emu_g", "hc_kOe", "squid_h_max",
+            "zfc_h_meas", "instrument", "fc_field_T", "squid_temperature", "coercivity", "htherm_sar", "mri_r1", "mri_r2",
+        ),
+        frozenset({
+            "np_hydro_size", "xrd_scherrer_size", "emic_size", "squid_sat_mag", "squid_rem_mag", "exchange_bias_shift_Oe", "vertical_loop_shift_M_vsl_emu_g",
+            "hc_kOe", "squid_h_max", "zfc_h_meas", "fc_field_T", "squid_temperature", "coercivity", "htherm_sar", "mri_r1", "mri_r2",
+        }),
+    ),
+    Domain(
+        "cytotoxicity", "Cytotox", (
+            "material", "shape", "coat_functional_group", "synthesis_method", "surface_charge", "core_nm", "size_in_medium_nm", "hydrodynamic_nm",
+            "potential_mv", "zeta_in_medium_mv", "no_of_cells_cells_well", "human_animal", "cell_source", "cell_tissue", "cell_morphology", "cell_age",
+            "time_hr", "concentration", "test", "test_indicator", "viability_%",
+        ),
+        frozenset({
+            "core_nm", "size_in_medium_nm", "hydrodynamic_nm", "potential_mv", "zeta_in_medium_mv", "no_of_cells_cells_well", "time_hr", "concentration",
+            "viability_%",
+        }), enums={"surface_charge": ("Negative", "Neutral", "Positive"), "human_animal": ("H", "A")},
+    ),
+    Domain(
+        "seltox", "SelTox", (
+            "np", "coating", "bacteria", "mdr", "strain", "np_synthesis", "method", "mic_np_µg_ml", "concentration", "zoi_np_mm", "np_size_min_nm",
+            "np_size_max_nm", "np_size_avg_nm", "shape", "time_set_hours", "zeta_potential_mV", "solvent_for_extract", "temperature_for_extract_C",
+            "duration_preparing_extract_min", "precursor_of_np", "concentration_of_precursor_mM", "hydrodynamic_diameter_nm", "ph_during_synthesis",
+        ),
+        frozenset({
+            "mdr", "mic_np_µg_ml", "concentration", "zoi_np_mm", "np_size_min_nm", "np_size_max_nm", "np_size_avg_nm", "time_set_hours", "zeta_potential_mV",
+            "temperature_for_extract_C", "duration_preparing_extract_min", "concentration_of_precursor_mM", "hydrodynamic_diameter_nm", "ph_during_synthesis",
+        }), enums={"mdr": ("0", "1")},
+    ),
+    Domain(
+        "synergy", "Synergy", (
+            "NP", "bacteria", "strain", "NP_synthesis", "drug", "drug_dose_µg_disk", "NP_concentration_µg_ml", "NP_size_min_nm", "NP_size_max_nm",
+            "NP_size_avg_nm", "shape", "method", "ZOI_drug_mm_or_MIC _µg_ml", "error_ZOI_drug_mm_or_MIC_µg_ml", "ZOI_NP_mm_or_MIC_np_µg_ml",
+            "error_ZOI_NP_mm_or_MIC_np_µg_ml", "ZOI_drug_NP_mm_or_MIC_drug_NP_µg_ml", "error_ZOI_drug_NP_mm_or_MIC_drug_NP_µg_ml",
+            "fold_increase_in_antibacterial_activity", "zeta_potential_mV", "MDR", "FIC", "effect", "time_hr", "coating_with_antimicrobial_peptide_polymers",
+            "combined_MIC", "peptide_MIC", "viability_%", "viability_error",
+        ),
+        frozenset({
+            "drug_dose_µg_disk", "NP_concentration_µg_ml", "NP_size_min_nm", "NP_size_max_nm", "NP_size_avg_nm", "ZOI_drug_mm_or_MIC _µg_ml",
+            "error_ZOI_drug_mm_or_MIC_µg_ml", "ZOI_NP_mm_or_MIC_np_µg_ml", "error_ZOI_NP_mm_or_MIC_np_µg_ml", "ZOI_drug_NP_mm_or_MIC_drug_NP_µg_ml",
+            "error_ZOI_drug_NP_mm_or_MIC_drug_NP_µg_ml", "fold_increase_in_antibacterial_activity", "zeta_potential_mV", "FIC", "time_hr", "combined_MIC",
+            "peptide_MIC", "viability_%", "viability_error",
+        }), aliases={
+            "Bacteria": "bacteria", "ZOI_drug_mm_or_MIC_µg_ml": "ZOI_drug_mm_or_MIC _µg_ml", "ZOI_drug_mm_or_MIC_µg_m": "ZOI_drug_mm_or_MIC _µg_ml",
+        },
+    ),
+)
+DOMAINS: dict[str, Domain] = {d.key: d for d in _ALL}
 
 
 def domain(key: str) -> Domain:
@@ -76,6 +138,12 @@ def domain(key: str) -> Domain:
     return DOMAINS[key]
 
 
+def shaped(table: str, df: DataFrame) -> DataFrame:
+    """The columns of an evidence table in order, null where df has none."""
+    have = lambda f: F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)
+    return df.select(*(have(f).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(TABLES[table])))
+
+
 def registry(spark: SparkSession) -> DataFrame:
     """A row a column of each domain."""
     rows = [(d.key, d.title, i, c, c in d.numeric, c in d.smiles, list(d.enums.get(c, ()))) for d in DOMAINS.values() for i, c in enumerate(d.columns)]

@@ -98,8 +98,49 @@ def fields_markdown(d: Domain) -> str:
     return "\n".join(f"- `{c}` ({kind(c)}){allowed(c)}" for c in d.columns)
 
 
+def _asked(d: Domain, kind: str, extra: bool) -> str:
+    return f"{kind} {d.title} records. Answer with JSON of this schema: {json.dumps(structured_schema(d, with_evidence=extra), ensure_ascii=False)}"
+
+
 def window_requests(windows: DataFrame, d: Domain) -> DataFrame:
     """Requests for windows of pages (doc_id, window, text)."""
-    system = f"Extract {d.title} records. Answer with JSON of this schema: {json.dumps(structured_schema(d, with_evidence=True), ensure_ascii=False)}"
     prompt = F.concat(F.lit(f"Fields:\n{fields_markdown(d)}\n\nText:\n"), F.col("text"))
-    return windows.select(F.concat_ws(":", "doc_id", F.col("window").cast("string")).alias("request_id"), F.lit(system).alias("system"), prompt.alias("prompt"), F.lit(None).cast("array<binary>").alias("images"))
+    return windows.select("doc_id", F.concat_ws(":", "doc_id", F.col("window").cast("string")).alias("request_id"), F.lit(_asked(d, "Extract", True)).alias("system"), prompt.alias("prompt"), F.lit(None).cast("array<binary>").alias("images"))
+
+
+def review_requests(candidates: DataFrame, contexts: DataFrame, d: Domain, *, by: str = "doc_id") -> DataFrame:
+    """A request for each document: its candidate rows (by and the domain's columns) as JSON, under
+    the text they came from (contexts: by, text). A document's candidates are gathered: they are as
+    many as one answer may hold."""
+    sample = F.struct(*(F.col(f"`{x}`") for x in d.columns))
+    listed = candidates.groupBy(by).agg(F.to_json(F.array_sort(F.collect_list(sample))).alias("samples"))
+    prompt = F.concat(F.lit(f"Fields:\n{fields_markdown(d)}\n\nText:\n"), F.coalesce("text", F.lit("")), F.lit('\n\nCandidates:\n{"samples": '), "samples", F.lit("}"))
+    both = listed.join(contexts.select(by, "text"), by, "left")
+    return both.select(by, F.col(by).cast("string").alias("request_id"), F.lit(_asked(d, "Review candidates and give the final", False)).alias("system"), prompt.alias("prompt"), F.lit(None).cast("array<binary>").alias("images"))
+
+
+#: Images that a client is given: kinds by suffix, and the most bytes of one.
+IMAGE_TYPES = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".webp": "image/webp"}
+MOST_IMAGE_BYTES = 20 * 2**20
+
+
+def image_problem(path: Column, size: Column) -> Column:
+    """Why an image can't be sent; null if it can."""
+    known = F.lit(False)
+    for suffix in IMAGE_TYPES:
+        known = known | F.endswith(F.lower(path), F.lit(suffix))
+    return F.when(~known, "the image type isn't known").when(size > MOST_IMAGE_BYTES, "the image is too large")
+
+
+def image_url(path: Column, content: Column) -> Column:
+    """An image as a data address."""
+    kind = F.lit(None).cast("string")
+    for suffix, name in IMAGE_TYPES.items():
+        kind = F.when(F.endswith(F.lower(path), F.lit(suffix)), F.lit(name)).otherwise(kind)
+    return F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64(content))
+
+
+def answer_text(c: Column) -> Column:
+    """The text of a chat answer (JSON): the first choice's content, texts of a list of parts joined."""
+    content = let(F.try_parse_json(c), lambda v: F.struct(F.try_variant_get(v, "$.choices[0].message.content", "string").alias("one"), F.try_variant_get(v, "$.choices[0].message.content", "array<variant>").alias("parts")))
+    return let(content, lambda x: F.coalesce(F.when(x["parts"].isNotNull(), F.array_join(F.transform(x["parts"], lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit(""))), "")), x["one"], F.lit("")))

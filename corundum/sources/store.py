@@ -1,19 +1,40 @@
-"""The evidence store: one Parquet table each, partitioned by document, and exports.
+"""The evidence store: one Parquet table each, in buckets of documents, and exports.
 
-A document is written again by overwriting its partitions, so a run that is repeated leaves the
-same store. Tables are read with their schema, never inferred."""
+A document's rows lie in the bucket of its hashed id, so a table has as many folders as buckets
+however many documents there are; their number is fixed when a store is begun. A write names the documents that it replaces: their old rows go, whether new
+ones come or not, and a run that is repeated leaves the same store. Only the buckets of these
+documents are rewritten. Writers of one table mustn't run at the same time; a writer that dies has
+changed whole buckets only, and its repetition mends the rest. Tables are read with their schema,
+never inferred."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from corundum.schemas import TABLES
+from corundum.sources.folders import exists, remove, scratch, settled
+
+BUCKETS = 256
+BUCKET = "doc_bucket"
+#: What a document's reset removes besides its table rows.
+OF_DOCUMENT = ("structure_detections", "ocr_blocks", "visual_tasks", "figures", "tables", "evidence_blocks", "pages", "files", "diagnostics", "documents")
+#: The evidence that each table of the agents is told by.
+AGENT_TABLES = {
+    "agent_table_measurements": "agent_table_measurement", "agent_compound_links": "agent_compound_link",
+    "agent_conflict_decisions": "agent_conflict_decision", "agent_scaffold_resolutions": "agent_scaffold_resolution",
+}
 
 
 class EvidenceStore:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
+
+    def bucket_of(self, doc_id: Column) -> Column:
+        return F.pmod(F.xxhash64(doc_id), F.lit(self.buckets)).cast("int")
 
     def path(self, table: str) -> str:
         if table not in TABLES:
@@ -21,35 +42,87 @@ class EvidenceStore:
         return f"{self.folder}/{table}"
 
     def exists(self, table: str) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        return exists(self.spark, self.path(table))
 
-    def read(self, table: str) -> DataFrame:
-        """The table, or an empty one."""
+    def schema(self, table: str) -> StructType:
+        self.path(table)
+        return StructType.fromDDL(TABLES[table])
+
+    def _bucketed(self, table: str) -> DataFrame:
+        schema = StructType([*self.schema(table).fields]).add(BUCKET, IntegerType())
         if not self.exists(table):
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(self.path(table))
+            return self.spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+        return self.spark.read.schema(schema).parquet(self.path(table))
 
-    def write(self, table: str, df: DataFrame) -> None:
-        """Replace what the table has of the documents in df. Columns that df lacks are null."""
-        schema = self.spark.createDataFrame([], TABLES[table]).schema
-        full = df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
-        full.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(self.path(table))
+    def read(self, table: str) -> DataFrame:
+        """The table, or an empty one."""
+        return self._bucketed(table).drop(BUCKET)
+
+    def write(self, table: str, df: DataFrame, docs: DataFrame | None = None) -> None:
+        """Replace what the table has of docs (a column doc_id; as a rule those of df) by df. Columns
+        that df lacks are null; those that the table lacks are left out."""
+        full = df.select(*((F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema(table)))
+        room = scratch(self.spark)
+        new = settled(full, f"{room}/new")
+        replaced = settled((new if docs is None else docs).select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), f"{room}/docs")
+        touched = {r[0] for r in replaced.select(self.bucket_of(F.col("doc_id"))).distinct().collect()}  # as many as there are buckets
+        touched |= {r[0] for r in new.select(self.bucket_of(F.col("doc_id"))).distinct().collect()}
+        if not touched:
+            return
+        old = self._bucketed(table).where(F.col(BUCKET).isin(*touched)).drop(BUCKET)  # other buckets aren't read
+        kept = old.join(replaced.withColumn("was_replaced", F.lit(True)), old["doc_id"].eqNullSafe(replaced["doc_id"]), "left_anti")
+        merged = settled(kept.unionByName(new).withColumn(BUCKET, self.bucket_of(F.col("doc_id"))), f"{room}/merged")
+        filled = {r[0] for r in merged.select(BUCKET).distinct().collect()}
+        # Small buckets share a task, a large one is dealt to several.
+        merged.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path(table))
+        for b in touched - filled:
+            remove(self.spark, f"{self.path(table)}/{BUCKET}={b}")
+        remove(self.spark, room)
 
     def upsert(self, table: str, df: DataFrame, key: str) -> None:
         """Rows of df in place of those with the same document and key; the document's others stay."""
-        old = self.read(table)
-        touched = old.join(df.select("doc_id").distinct(), "doc_id", "left_semi").join(df.select("doc_id", key), ["doc_id", key], "left_anti")
-        merged = touched.unionByName(df, allowMissingColumns=True)
-        self.write(table, _settled(self, table, merged))
+        keys = df.select("doc_id", key).distinct()
+        old = self.read(table).join(keys.select("doc_id").distinct(), "doc_id", "left_semi")
+        self.write(table, old.join(keys, ["doc_id", key], "left_anti").unionByName(df, allowMissingColumns=True), keys)
 
     def clear(self, table: str, docs: DataFrame, **having: str) -> None:
-        """Remove the documents' rows that have these values."""
-        old = self.read(table).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-        gone = F.lit(True)
-        for k, v in having.items():
-            gone = gone & (F.col(k) == v)
-        self.write(table, _settled(self, table, old.where(~gone)))
+        """Remove the documents' rows that have all these values, all their rows if none is given. A
+        null isn't such a value: its row stays."""
+        names = docs.select("doc_id").distinct()
+        gone = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.lit(v)) for k, v in having.items()), F.lit(True))
+        self.write(table, self.read(table).join(names, "doc_id", "left_semi").where(~gone), names)
+
+    def reset(self, docs: DataFrame) -> None:
+        """Remove all that the store has of documents: rows of their tables or with their evidence
+        first, whichever document these rows are filed under."""
+        names = docs.select("doc_id").distinct()
+        rows = self.read("table_rows")
+        tables = self.read("tables").join(names, "doc_id", "left_semi").select("table_id").distinct()
+        blocks = self.read("evidence_blocks").join(names, "doc_id", "left_semi").select("evidence_id").distinct()
+        gone = rows.join(tables, "table_id", "left_semi").select("doc_id", "row_id").union(rows.join(blocks, "evidence_id", "left_semi").select("doc_id", "row_id")).distinct()
+        gone = settled(gone, f"{scratch(self.spark)}/gone")
+        kept = rows.join(gone.select("doc_id").distinct(), "doc_id", "left_semi").join(gone, ["doc_id", "row_id"], "left_anti")
+        self.write("table_rows", kept, gone)
+        for table in OF_DOCUMENT:
+            if self.exists(table):
+                self.clear(table, names)
+
+    def put_document(self, parts: dict[str, DataFrame], docs: DataFrame) -> None:
+        """A scrape again: what the store has of docs goes, parts (table: rows) come. Table rows are
+        taken only with their evidence."""
+        self.reset(docs)
+        blocks = parts.get("evidence_blocks", self.read("evidence_blocks"))
+        for table, df in parts.items():
+            self.write(table, self.attach_rows(df, blocks) if table == "table_rows" else df, docs)
+
+    def put_agents(self, tables: dict[str, DataFrame], evidence: DataFrame, docs: DataFrame) -> None:
+        """What the agents found of docs, in place of what they found before; evidence are its blocks."""
+        names = docs.select("doc_id").distinct()
+        for table, df in tables.items():
+            self.write(table, df, names)
+        kinds = [AGENT_TABLES[t] for t in tables]
+        old = self.read("evidence_blocks").join(names, "doc_id", "left_semi").where(~F.coalesce(F.col("source_type").isin(*kinds), F.lit(False)))
+        self.write("evidence_blocks", old.unionByName(evidence, allowMissingColumns=True), names)
 
     def attach_rows(self, rows: DataFrame, evidence: DataFrame) -> DataFrame:
         """Table rows whose evidence is there."""
@@ -59,12 +132,14 @@ class EvidenceStore:
         """doc_id, source_type, n of evidence."""
         return self.read("evidence_blocks").join(docs.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id", "source_type").agg(F.count("*").alias("n"))
 
+    def table_counts(self, *tables: str) -> DataFrame:
+        """table_name, n; 0 for a table that isn't there."""
+        of = lambda t: self.read(t).agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "n")
+        return reduce(DataFrame.unionAll, map(of, tables or tuple(TABLES)))
 
-def _settled(store: EvidenceStore, table: str, df: DataFrame) -> DataFrame:
-    """df written beside its table and read back: a table can't be read and overwritten at once."""
-    out = f"{store.folder}/_next/{table}"
-    df.write.mode("overwrite").parquet(out)
-    return store.spark.read.schema(df.schema).parquet(out)
+    def latest_document(self) -> DataFrame:
+        """The document that was filed last: doc_id, source_path."""
+        return self.read("documents").orderBy(F.desc_nulls_last("created_at"), "doc_id").limit(1).select("doc_id", "source_path")
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -10,18 +10,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corundum.functions.values import strip
+from corundum.functions.values import clean_article, strip
+from corundum.schemas import MISSING
 
 #: Limits of uploads, as their readers state them.
 MAX_BYTES, MAX_ARCHIVE_BYTES, MAX_PDFS, TEXT_LIMIT = 50 * 2**20, 120 * 2**20, 12, 250_000
 SUFFIXES = (".csv", ".tsv", ".pdf", ".txt", ".md", ".zip")
 
 
-def read_table(spark: SparkSession, path: str, *, separator: str | None = None) -> DataFrame:
-    """A CSV or TSV file with a header: every value a stripped string, nothing inferred."""
+def read_table(spark: SparkSession, path: str, *, separator: str | None = None, multiline: bool | None = None) -> DataFrame:
+    """A CSV or TSV file with a header: every value a stripped string, nothing inferred. A file is
+    split among tasks unless a value may go over lines (multiline; None: looked for first)."""
     sep = separator or ("\t" if path.lower().endswith(".tsv") else ",")
-    df = spark.read.csv(path, header=True, sep=sep, inferSchema=False, multiLine=True, escape='"')
-    return df.toDF(*(c.lstrip("﻿").strip() for c in df.columns)).select(*(strip(F.col(f"`{c}`")).alias(c) for c in (x.lstrip("﻿").strip() for x in df.columns)))
+    if multiline is None:  # a quote left open at the end of a line
+        lone = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multiline = not spark.read.text(path).where(lone % 2 == 1).limit(1).isEmpty()
+    df = spark.read.csv(path, header=True, sep=sep, inferSchema=False, multiLine=multiline, escape='"', mode="PERMISSIVE")
+    names = [x.lstrip("\ufeff").strip() for x in df.columns]
+    return df.toDF(*names).select(*(strip(F.col(f"`{x}`")).alias(x) for x in names))
 
 
 def preview(df: DataFrame, limit: int = 8) -> DataFrame:
@@ -29,9 +35,16 @@ def preview(df: DataFrame, limit: int = 8) -> DataFrame:
 
 
 def as_rows(df: DataFrame, doc_id: str) -> DataFrame:
-    """doc_id, nth, row: a table as maps of header to value, for readers that don't know its header."""
+    """doc_id, nth, row: a table as maps of header to value, for readers that don't know its header.
+    df is a file as it is read: nth counts from 1 in its order, whose parts are numbered; the driver
+    is told the rows of each part."""
     pairs = F.map_from_arrays(F.array(*(F.lit(c) for c in df.columns)), F.array(*(F.col(f"`{c}`").cast("string") for c in df.columns)))
-    return df.select(F.lit(doc_id).alias("doc_id"), (F.monotonically_increasing_id() + 1).alias("nth"), pairs.alias("row"))
+    rows = df.select(pairs.alias("row"), F.monotonically_increasing_id().alias("at"))
+    part = F.shiftright("at", 33)
+    sizes = {r["part"]: r["n"] for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # one a partition
+    before = F.create_map(*(F.lit(x) for p in sizes for x in (p, sum(n for q, n in sizes.items() if q < p)))) if sizes else F.create_map().cast("map<bigint,bigint>")
+    nth = F.element_at(before, part) + F.col("at").bitwiseAND((1 << 33) - 1) + 1
+    return rows.select(F.lit(doc_id).alias("doc_id"), nth.cast("bigint").alias("nth"), "row")
 
 
 def read_text(spark: SparkSession, path: str, *, limit: int = TEXT_LIMIT) -> DataFrame:
@@ -52,24 +65,34 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_members(files: DataFrame, *, suffix: str = ".pdf", most: int = MAX_PDFS, max_bytes: int = MAX_ARCHIVE_BYTES) -> DataFrame:
-    """path, nth, member, content of the members of ZIP files with a suffix: no folders, hidden
-    files or encrypted members; by name whatever its case; most of them, max_bytes in all."""
+    """path, nth, member, content, error of the members of ZIP files with a suffix: no folders,
+    hidden files or encrypted members; by name whatever its case; most of them, max_bytes in all. An
+    archive or member that can't be read is a row with an error."""
+
+    def members(path: str, content: bytes) -> Iterator[tuple]:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            wanted = [i for i in z.infolist() if not i.is_dir() and i.filename.lower().endswith(suffix) and not any(p.startswith((".", "__MACOSX")) for p in i.filename.split("/"))]
+            total = 0
+            for nth, i in enumerate(sorted(wanted, key=lambda i: i.filename.lower())[:most], 1):
+                total += i.file_size
+                if i.flag_bits & 1 or total > max_bytes:
+                    continue
+                try:
+                    yield path, nth, i.filename, z.read(i), None
+                except Exception as e:  # one bad member mustn't stop the others
+                    yield path, nth, i.filename, None, str(e)[:1000]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            out: list[tuple] = []
             for r in pdf.itertuples():
-                with zipfile.ZipFile(io.BytesIO(r.content)) as z:
-                    wanted = [i for i in z.infolist() if not i.is_dir() and i.filename.lower().endswith(suffix) and not any(p.startswith((".", "__MACOSX")) for p in i.filename.split("/"))]
-                    total = 0
-                    for nth, i in enumerate(sorted(wanted, key=lambda i: i.filename.lower())[:most], 1):
-                        total += i.file_size
-                        if i.flag_bits & 1 or total > max_bytes:
-                            continue
-                        out.append((r.path, nth, i.filename, z.read(i)))
-            yield pd.DataFrame(out, columns=["path", "nth", "member", "content"])
+                try:
+                    out += members(r.path, r.content)
+                except Exception as e:  # nor one bad archive
+                    out.append((r.path, None, None, None, str(e)[:1000]))
+            yield pd.DataFrame(out, columns=["path", "nth", "member", "content", "error"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, nth int, member string, content binary")
+    return files.select("path", "content").mapInPandas(run, "path string, nth int, member string, content binary, error string")
 
 
 def upload_problem(name: F.Column, size: F.Column) -> F.Column:
@@ -85,11 +108,17 @@ def read_jobs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def open_articles(frame: DataFrame) -> DataFrame:
-    """doi, pdf_id: the distinct open-access articles of a truth table."""
-    access = F.trim(F.col("access").cast("string")).isin("1", "1.0", "true", "True")
-    doi, pdf = (strip(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("doi", "pdf"))
-    return frame.where(access).select(doi.alias("doi"), pdf.alias("pdf_id")).where("doi <> ''").distinct()
+def open_articles(frame: DataFrame, *, ids: tuple[str, ...] = ("pdf",)) -> DataFrame:
+    """doi, pdf_id, first: the distinct open-access articles of a truth table, all its articles where
+    it doesn't tell access; first is the place of their first row. The id is the first of ids that
+    is given; words for missing aren't."""
+    rows = frame.where(F.trim(F.col("access").cast("string")).isin("1", "1.0", "true", "True")) if "access" in frame.columns else frame
+    given = lambda name: F.nullif(clean_article(F.col(f"`{name}`").cast("string")), F.lit(MISSING))
+    have = [c for c in ids if c in frame.columns]
+    if "doi" not in frame.columns or not have:
+        return frame.sparkSession.range(0).select(F.lit("").alias("doi"), F.lit("").alias("pdf_id"), F.col("id").alias("first"))
+    out = rows.select(given("doi").alias("doi"), F.coalesce(*map(given, have)).alias("pdf_id"), F.monotonically_increasing_id().alias("at"))
+    return out.where("doi is not null and pdf_id is not null").groupBy("doi", "pdf_id").agg(F.min("at").alias("first"))
 
 
 READERS = {".csv": read_table, ".tsv": read_table, ".txt": read_text, ".md": read_text, ".zip": read_files, ".pdf": read_files}

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from corundum.operators import evidence as e
 from corundum.schemas import MISSING
+from corundum.operators import extract
 from corundum.sources.store import EvidenceStore
 
 TABLE = "doc_id string, file_id string, page_number int, table_id string, caption string, columns array<string>"
@@ -69,7 +70,7 @@ def test_empty_tables(spark, tables):
 
 
 def test_store(spark, tables, tmp_path):
-    s = EvidenceStore(spark, str(tmp_path))
+    s = EvidenceStore(spark, str(tmp_path), buckets=4)
     m = e.measurements(*tables)
     s.write("agent_table_measurements", m)
     s.write("agent_table_measurements", m.unionByName(m.withColumn("doc_id", F.lit("d2"))))
@@ -80,3 +81,37 @@ def test_store(spark, tables, tmp_path):
     assert s.read("agent_table_measurements").where("doc_id = 'd'").count() == 5
     s.clear("agent_table_measurements", spark.createDataFrame([("d",)], "doc_id string"), compound_id="6a")
     assert s.read("figures").count() == 0
+
+
+def test_store_clears_and_resets(spark, tmp_path):
+    s = EvidenceStore(spark, f"{tmp_path}/s", buckets=4)
+    rows = [("e1", "d1", "agent_x"), ("e2", "d2", "agent_x"), ("e3", "d2", None), ("e4", "d3", "agent_x"), ("e5", None, "agent_x")]
+    s.write("evidence_blocks", spark.createDataFrame(rows, "evidence_id string, doc_id string, source_type string"))
+    left = lambda: sorted(r.evidence_id for r in s.read("evidence_blocks").collect())
+    s.clear("evidence_blocks", spark.createDataFrame([("d1",), ("d2",)], "doc_id string"), source_type="agent_x")
+    assert left() == ["e3", "e4", "e5"]  # d1 is empty now; a null is no agent_x
+    s.write("evidence_blocks", spark.createDataFrame([], "evidence_id string, doc_id string"), spark.createDataFrame([("d3",), ("d9",)], "doc_id string"))
+    assert left() == ["e3", "e5"]
+    # A row filed under another document goes with its table.
+    s.write("tables", spark.createDataFrame([("t", "d2")], "table_id string, doc_id string"))
+    s.write("table_rows", spark.createDataFrame([("r1", "d7", "t", "x"), ("r2", "d7", "u", "e3"), ("r3", "d7", "u", "x")], "row_id string, doc_id string, table_id string, evidence_id string"))
+    s.reset(spark.createDataFrame([("d2",)], "doc_id string"))
+    assert left() == ["e5"] and [r.row_id for r in s.read("table_rows").collect()] == ["r3"] and s.read("tables").count() == 0
+    assert {r.table_name: r.n for r in s.table_counts("tables", "evidence_blocks", "figures").collect()} == {"tables": 0, "evidence_blocks": 1, "figures": 0}
+
+
+def test_agents_into_the_store(spark, tables, tmp_path):
+    s = EvidenceStore(spark, f"{tmp_path}/s", buckets=4)
+    s.write("tables", tables[0])
+    s.write("table_rows", tables[1])
+    told = spark.createDataFrame([("own", "d", "paragraph", "a scaffold with R1"), ("old", "d", "agent_compound_link", "x")], "evidence_id string, doc_id string, source_type string, text string").withColumns({"file_id": F.lit("f"), "page_number": F.lit(1), "caption": F.lit(None).cast("string"), "title": F.lit(None).cast("string"), "metadata": F.lit(None).cast("string"), "confidence": F.lit(0.5)})
+    s.write("evidence_blocks", told)
+    for _ in range(2):  # a second run leaves the same
+        found, blocks = extract.run_agents(s.read("tables"), s.read("table_rows"), s.read("evidence_blocks"))
+        s.put_agents(found, blocks, told.select("doc_id"))
+        n = {r.table_name: r.n for r in s.table_counts(*found).collect()}
+        kinds = {r.source_type: r.n for r in s.counts(told).collect()}
+        assert n["agent_table_measurements"] == n["agent_compound_links"] == 5 and n["agent_scaffold_resolutions"] == 1
+        assert kinds["agent_compound_link"] == 5 and kinds["paragraph"] == 1 and kinds["agent_scaffold_resolution"] == 1
+    some, blocks = extract.run_agents(s.read("tables"), s.read("table_rows"), s.read("evidence_blocks"), extract.Agents(measure=False, scaffold=False, link=False), before={"agent_compound_links": s.read("agent_compound_links")})
+    assert list(some) == ["agent_conflict_decisions"] and blocks.count() == some["agent_conflict_decisions"].count()

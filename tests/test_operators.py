@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corundum.operators import context, evaluate, heuristics, jobs, layout, normalize, rank, route, visual
+from corundum.operators import context, evaluate, heuristics, jobs, layout, normalize, rank, route, scrape, visual
 from corundum.schemas import DOMAINS, MISSING
 
 METRICS = ("tp", "fp", "fn", "precision", "recall", "f1")
@@ -63,8 +63,9 @@ def test_samples_of_nanozymes(spark):
 
 def test_sections_cross_pages(spark):
     rows = [("d", "f", 1, 0, "Introduction to the whole matter"), ("d", "f", 1, 1, "short"), ("d", "f", 2, 0, "A paragraph that is long enough to stay."), ("d", "f", 2, 1, "Table 2. Something measured in it")]
-    out = context.evidence_blocks(spark.createDataFrame(rows, "doc_id string, file_id string, page_number int, block_index int, text string")).orderBy("evidence_id").collect()
-    assert [(r.evidence_id, r.source_type, r.section) for r in out] == [("d:f:p0001:b0001", "section_heading", "Introduction to the whole matter"), ("d:f:p0002:b0001", "paragraph", "Introduction to the whole matter"), ("d:f:p0002:b0002", "table_caption", "Introduction to the whole matter")]
+    blocks = spark.createDataFrame(rows, "doc_id string, file_id string, page_number int, block_index int, text string").withColumn("bbox", F.lit(None).cast("array<double>"))
+    out = scrape.text_evidence(blocks).orderBy("evidence_id").collect()
+    assert [(r.evidence_id, r.source_type, r.section) for r in out] == [("d:f:p0001:text:0001", "section_heading", "Introduction to the whole matter"), ("d:f:p0002:text:0001", "paragraph", "Introduction to the whole matter"), ("d:f:p0002:text:0002", "table_caption", "Introduction to the whole matter")]
 
 
 def test_markdown_and_page_text(spark):

@@ -3,10 +3,13 @@
 import pytest
 
 import __spark_entry__
-from corundum.plans import queries as q
+from corundum.plans import base as q
 from tests.conftest import SF, same_rows
 
 
+__spark_entry__.queries()  # registers them
+
+
 @pytest.mark.parametrize("name", sorted(q.QUERIES))
 def test_query_equals_its_sql(spark, duck, name):
     ours, theirs = same_rows(q.QUERIES[name](spark, SF), duck, q.ORACLES[name])

@@ -13,6 +13,17 @@ def test_tables(spark, tmp_path):
     assert df.columns == ["name", "value"]
     assert {tuple(r) for r in df.collect()} == {("x", "04"), ("a,b", None)}
     assert {r.row["name"] for r in tables.as_rows(df, "d").collect()} == {"x", "a,b"}
+    (tmp_path / "long.csv").write_text("k,v\n" + "".join(f"{i},x\n" for i in range(3000)))
+    whole, spark_bytes = spark.conf.get("spark.sql.files.maxPartitionBytes"), "spark.sql.files.maxPartitionBytes"
+    try:
+        spark.conf.set(spark_bytes, "4096")
+        rows = tables.as_rows(tables.read_table(spark, str(tmp_path / "long.csv")), "d")
+        assert rows.rdd.getNumPartitions() > 2
+        assert {r.nth: r.row["k"] for r in rows.collect()} == {i + 1: str(i) for i in range(3000)}
+    finally:
+        spark.conf.set(spark_bytes, whole)
+    (tmp_path / "lines.csv").write_text('k,v\n1,"a\nb"\n2,c\n')
+    assert {tuple(r) for r in tables.read_table(spark, str(tmp_path / "lines.csv")).collect()} == {("1", "a\nb"), ("2", "c")}
     (tmp_path / "a.tsv").write_text("n\tm\n1\t2\n")
     assert tables.read_any(spark, str(tmp_path / "a.tsv")).first().m == "2"
     (tmp_path / "ids.txt").write_text("p1\n\n  p2 \n")
@@ -28,6 +39,9 @@ def test_archives(spark, tmp_path):
     (tmp_path / "z.zip").write_bytes(data.getvalue())
     got = tables.archive_members(tables.read_files(spark, str(tmp_path / "z.zip"))).orderBy("nth").collect()
     assert [r.member for r in got] == ["A.pdf", "b.PDF", "x/c.pdf"] and bytes(got[0].content) == b"A.pdf"
+    (tmp_path / "broken.zip").write_bytes(b"no archive")
+    both = tables.archive_members(tables.read_files(spark, str(tmp_path / "*.zip"))).collect()
+    assert len(both) == 4 and [r.member for r in both if r.error] == [None]
     names = spark.createDataFrame([("a.csv", 1), ("a.exe", 1), ("b.PDF", 99 * 2**20)], "n string, s long")
     assert [r[0] for r in names.select(tables.upload_problem(F.col("n"), F.col("s"))).collect()] == [None, "the file type isn't known", "the file is too large"]
 
@@ -36,14 +50,25 @@ def test_links(spark):
     page = [(1, "https://h.org/a/b.html", '<a href="/x/supplement_1.pdf">s</a> <a class="c" href="esi.pdf"> <a href="https://o.org/supporting.pdf"> <a href="/x/supplement_1.pdf"> <a href="main.pdf">')]
     df = spark.createDataFrame(page, "page_id long, url string, html string")
     assert [r.link for r in web.supplements(df).orderBy("position").collect()] == ["https://h.org/x/supplement_1.pdf", "https://h.org/a/esi.pdf", "https://o.org/supporting.pdf"]
-    a = spark.createDataFrame([("d", '{"best_oa_location":{"pdf_url":"u1"},"locations":[{"pdf_url":"u2"},{"pdf_url":"u1"},{}],"open_access":{"oa_url":"u3"}}')], "doi string, answer string")
+    a = spark.createDataFrame([("d", '{"primary_location":{"pdf_url":" u1"},"locations":[{"pdf_url":"u2"},{"pdf_url":"u1"},{}],"open_access":{"oa_url":"u3"}}')], "doi string, answer string")
     assert web.pdf_candidates(a).first().candidates == ["u1", "u2", "u3"]
     assert web.pdf_candidates(a.withColumn("answer", F.lit("no"))).first().candidates == []
 
 
+def test_addresses(spark):
+    cases = {"b.pdf": "https://h.org/a/b.pdf", "../x/./c": "https://h.org/x/c", "?q": "https://h.org/a/p?q", "#f": "https://h.org/a/p?x#f", "//o.org/z": "https://o.org/z", "/r": "https://h.org/r", "mailto:x": "mailto:x", "..": "https://h.org/"}
+    df = spark.createDataFrame([("https://h.org/a/p?x", h) for h in cases], "b string, h string")
+    assert {r.h: r.l for r in df.select("h", web.absolute(F.col("b"), F.col("h")).alias("l")).collect()} == cases
+    page = spark.createDataFrame([(1, "https://h.org/", "<A HREF=a.pdf title='Supporting Information'>x</A><a name=n>y</a>")], "page_id long, url string, html string")
+    assert [(r.href, r.label) for r in web.anchors(page).collect()] == [("a.pdf", "a.pdf Supporting Information")]
+    assert web.supplements(page).first().link == "https://h.org/a.pdf"
+
+
 def test_open_articles(spark):
     df = spark.createDataFrame([("d1", "p", "1"), ("d1", "p", "True"), ("d2", "q", "0"), (None, "r", "1")], "doi string, pdf string, access string")
-    assert [tuple(r) for r in tables.open_articles(df).collect()] == [("d1", "p")]
+    assert [tuple(r)[:2] for r in tables.open_articles(df).collect()] == [("d1", "p")]
+    assert {tuple(r)[:2] for r in tables.open_articles(df.drop("access").union(spark.createDataFrame([("d3", "nan")], "doi string, pdf string"))).collect()} == {("d1", "p"), ("d2", "q")}
+    assert tables.open_articles(df.drop("doi")).count() == 0
 
 
 def test_job_stream(spark, tmp_path):
