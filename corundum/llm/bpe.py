@@ -6,8 +6,9 @@ generate a small monoid, and composing them is associative, so the state before
 of a batch comes from a blocked prefix scan over monoid elements. A table on (state, class) then
 says where a pre-token starts. The slices go through pair merging, whose results are cached.
 
-Cases: null and empty texts have no tokens and decode to nothing; repeated rows give repeated
-rows; a null id stays null; other columns of the input, whatever their names, aren't read.
+Cases: null and empty texts have no tokens and decode to nothing; very long texts are scanned by
+SCAN_CHARS or whole, their pieces merged at n log n; repeated rows give repeated rows; a null id
+stays null; an empty table gives an empty result; other columns of the input aren't read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corundum.llm.common import claim, map_arrow, type_of
+from corundum.llm.common import claim, free_names, map_arrow, type_of
 
 LETTER, NUMBER, OTHER, SPACES, LAST_SPACE, LAST_WHITE, SHORT, LONG, RESET = range(9)
 START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACES, GLUE, ONE_MORE, TWO_MORE = range(8)
@@ -267,18 +268,19 @@ def _apply(df: DataFrame, columns: list[str], path: str, fields: list[tuple[str,
         encoder, vocabulary = _model(model.value)
         for batch in batches:
             out = fn(batch.column(batch.num_columns - 1), encoder, vocabulary)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), *(pa.array(x, t) for x, (_, t, _) in zip(out, fields))], names=[*(f"k{i}" for i in range(batch.num_columns - 1)), *(n for n, _, _ in fields)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), *(pa.array(x, t) for x, (_, t, _) in zip(out, fields))], names=[*(f"k{i}" for i in range(batch.num_columns - 1)), *(f"f{i}" for i in range(len(fields)))])
 
-    source = df.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), *(F.col(f"`{c}`") for c in columns))
-    schema = ", ".join([*(f"k{i} {type_of(df, c)}" for i, c in enumerate(keep)), *(f"{n} {t}" for n, _, t in fields)])
-    out = map_arrow(source, run, schema)
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *(n for n, _, _ in fields))
+    source = df.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
+    schema = ", ".join([*(f"k{i} {type_of(df, c)}" for i, c in enumerate(keep)), *(f"f{i} {t}" for i, (_, _, t) in enumerate(fields))])
+    names = free_names(keep, [n for n, _, _ in fields])
+    return map_arrow(source, run, schema).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *(F.col(f"f{i}").alias(n) for i, n in enumerate(names)))
 
 
 def encode(df: DataFrame, path: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), offsets: bool = False, decoded: bool = False) -> DataFrame:
     """keep, n_tokens, ids (binary, little-endian unsigned 32-bit integers) of every whole text;
     with offsets, the code-point offset of each pre-token and its number of ids; with decoded, the
-    ids decoded again (binary). path: the ranks. A column of keep mustn't be called as a result is."""
+    ids decoded again (binary). path: the ranks. A result whose name is among keep gets underscores
+    before it."""
 
     def fn(texts: pa.Array, encoder: Encoder, vocabulary: list[bytes]) -> list[list]:
         found = list(encoder.encode([x or "" for x in texts.to_pylist()]))

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: texts may be long, so batches are kept short.
-ARROW_ROWS = 256
+#: Rows and bytes of an Arrow batch: texts may be long, so batches are kept short in both.
+ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
 
 
 _held: dict[str, Callable[[], None]] = {}
@@ -42,13 +42,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches bounded in rows, so that a worker holds a few MB of text at a time."""
+    """mapInArrow with batches bounded in rows and bytes, so that a worker holds some MB of text at a
+    time, or one longer text. The bounds are settings of the session, read when the plan runs: they
+    are lowered here where they are higher, and stay."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < _number(conf.get(key)) <= most:
+            conf.set(key, str(most))
     return df.mapInArrow(fn, schema)
 
 
+def _number(setting: str) -> int:
+    """A setting in rows or bytes; 0 if it has a unit, or none is set."""
+    return int(setting.removesuffix("b")) if setting.removesuffix("b").lstrip("-").isdigit() else 0
+
+
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
@@ -60,13 +69,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share. Only where that is
-    unset (tests, local mode) one of its own is chosen."""
+    """A new folder below spark.checkpoint.dir, which all executors share. Only a local session may
+    do without that setting (tests): it gets a folder of the machine's own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "corundum-work")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -79,6 +88,7 @@ def written(df: DataFrame, path: str, name: str) -> DataFrame:
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
+    """Remove a folder of rounds that nothing reads any more."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -92,6 +102,17 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def free_names(taken: list[str], names: list[str]) -> list[str]:
+    """names, each with underscores before it until none of taken or of those before is called so."""
+    seen, out = {t.lower() for t in taken}, []
+    for n in names:
+        while n.lower() in seen:
+            n = f"_{n}"
+        seen.add(n.lower())
+        out.append(n)
+    return out
+
+
 #: The characters that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\f\r"
 
@@ -105,7 +126,7 @@ def words_of(text: Column) -> Column:
 def map_texts(df: DataFrame, column: str, fn: Callable[[list], list], fields: list[tuple[str, str]], keep: list[str]) -> DataFrame:
     """keep and fields, computed batch by batch in Arrow: fn gets a list of the column's values and
     gives a list of values for each field (name, Spark type). Columns travel under numbers, so no
-    name of the input can clash; the names of fields mustn't be among keep."""
+    name of the input can clash; a field whose name is among keep gets underscores before it."""
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
@@ -119,5 +140,5 @@ def map_texts(df: DataFrame, column: str, fn: Callable[[list], list], fields: li
 
     source = df.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"`{column}`").alias("text"))
     schema = ", ".join([*(f"k{i} {type_of(df, c)}" for i, c in enumerate(keep)), *(f"f{i} {t}" for i, (_, t) in enumerate(fields))])
-    names = [*((f"k{i}", c) for i, c in enumerate(keep)), *((f"f{i}", c) for i, (c, _) in enumerate(fields))]
+    names = [*((f"k{i}", c) for i, c in enumerate(keep)), *((f"f{i}", c) for i, c in enumerate(free_names(keep, [n for n, _ in fields])))]
     return map_arrow(source, run, schema).select(*(F.col(a).alias(b) for a, b in names))

@@ -4,24 +4,27 @@ Items are normalised to words and put into one automaton a shard. A document's w
 through it: the automaton carries the length of the longest match that ends at each word, and
 marks on its states say which windows (WINDOW consecutive item words, or a shorter item whole)
 end there. Stretches whose neighbouring word pairs no item has can't hold a window and are passed
-over at array speed. Broadcasts are bounded: a shard holds about SHARD_WORDS item words, and a
-larger benchmark makes more shards, which documents pass one after the other.
+over at array speed. Broadcasts are bounded: a shard holds about SHARD_WORDS item words (one item
+whole at least). A larger benchmark makes more shards. Then one pass over all documents finds those
+with any stretch of neighbours that some item of any shard has, by a filter of fixed size; they
+alone pass the shards' automata, one after the other.
 
 Cases: null and empty texts have no words; null or wordless items have no window; rows that share
 an item_id are one item; a null item_id is left out; repeated documents keep their rows; an empty
-benchmark hits nothing; other columns are passed through whatever their names.
+benchmark hits nothing; very long texts stream through whole; other columns are passed through
+whatever their names, and a result whose name one of them has gets underscores before it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corundum.llm.common import drop_dir, free_name, map_texts, work_dir, written
+from corundum.llm.common import claim, free_name, map_texts, work_dir, written
 
 WINDOW = 10
 #: Item words of one automaton: about 50 MB in a worker.
@@ -31,6 +34,8 @@ MAX_COVERAGE = 0.5
 #: A-Z lower-cased; every ASCII character that isn't a letter or digit ends a word.
 NORMAL = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 PAIR_BITS = 22
+#: Bits of the filter of neighbours of all shards.
+FILTER_BITS, CACHE_SIZE = 25, 1 << 18
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -168,11 +173,16 @@ class Automaton:
         return found
 
 
-def shards_of(benchmark: DataFrame, *, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> Iterator[Automaton]:
-    """An automaton for each shard of the items; one shard's items at a time are on the driver."""
+def _items(benchmark: DataFrame, item_id: str, text: str) -> tuple[DataFrame, int]:
+    """id and text of the items that have both, and the number of shards."""
     rows = benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-size // (4 * SHARD_WORDS)))  # a word and its separator take four characters or more, as a rule
+    return rows, max(1, -(-size // (4 * SHARD_WORDS)))  # a word and its separator take four characters or more, as a rule
+
+
+def shards_of(benchmark: DataFrame, *, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> Iterator[Automaton]:
+    """An automaton for each shard of the items; one shard's items at a time are on the driver."""
+    rows, n = _items(benchmark, item_id, text)
     for k in range(n):
         items: dict[str, list[list[bytes]]] = {}
         for row in rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).toLocalIterator():
@@ -180,9 +190,65 @@ def shards_of(benchmark: DataFrame, *, item_id: str = "item_id", text: str = "te
         yield Automaton(items, window)
 
 
-def _union(a: list[int], b: list[int]) -> list[int]:
+class _Hashes(dict):
+    """Word -> 64-bit hash."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = _Hashes()
+
+
+class Neighbours:
+    """A filter of the neighbouring words of all items: which texts may hold a window."""
+
+    def __init__(self, benchmark: DataFrame, *, item_id: str, text: str, window: int):
+        rows, _ = _items(benchmark, item_id, text)
+        bits, self.shortest = np.zeros(1 << FILTER_BITS, bool), window
+        for row in rows.select("text").toLocalIterator():
+            words = words_of(row["text"])
+            if words:
+                self.shortest = min(self.shortest, len(words))
+                bits[self._slots(words)] = True
+        _hashes.clear()
+        self.bits = np.packbits(bits)
+
+    @staticmethod
+    def _slots(words: list[bytes]) -> np.ndarray:
+        """Of each word alone, then of each two neighbours."""
+        if len(_hashes) > CACHE_SIZE:
+            _hashes.clear()
+        h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+        pairs = h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        return np.concatenate((h, pairs)) >> np.uint64(64 - FILTER_BITS)
+
+    def may_hold(self, words: list[bytes]) -> bool:
+        if not hasattr(self, "seen"):
+            self.seen = np.unpackbits(self.bits).astype(bool)
+        n, least = len(words), self.shortest
+        if n < least:
+            return False
+        known = self.seen[self._slots(words)]
+        if least == 1:
+            return bool(known[:n].any())
+        joined = known[n:]
+        if least == 2:
+            return bool(joined.any())
+        run = np.concatenate(([0], np.cumsum(joined)))
+        return bool((run[least - 1 :] - run[: -(least - 1)] == least - 1).any())
+
+
+FOUND = "struct<n_words:bigint,spans:array<bigint>,items:array<string>>"
+
+
+def _merged(spans: list[int]) -> list[int]:
+    """start, end, start, end of ranges, in any order, as disjoint ones."""
     out: list[int] = []
-    for start, end in sorted([*zip(a[::2], a[1::2]), *zip(b[::2], b[1::2])]):
+    for start, end in sorted(zip(spans[::2], spans[1::2])):
         if out and start <= out[-1]:
             out[-1] = max(out[-1], end)
         else:
@@ -190,38 +256,50 @@ def _union(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-FOUND = "struct<n_words:bigint,spans:array<bigint>,items:array<string>>"
-
-
 def search(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", into: str = "found", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with a struct column into: n_words; spans, the merged ranges of hit words as start, end,
     start, end and so on; items, the ids with an occurring window, as sorted strings."""
     spark = docs.sparkSession
-    folder = None
-    parts: list[str] = []
-    out = docs
-    for k, automaton in enumerate(shards_of(benchmark, item_id=item_id, text=item_text, window=window)):
-        if k:  # an automaton at a time in a worker
-            folder = folder or work_dir(spark)
-            out = written(out, folder, f"shard{k}")
-        model = spark.sparkContext.broadcast(automaton)
+    name = free_name(docs, into)
+    automata = shards_of(benchmark, item_id=item_id, text=item_text, window=window)
+    first, second = next(automata), next(automata, None)
+    if second is None:
+        model = spark.sparkContext.broadcast(first)
 
-        def fn(texts: list, model=model) -> list[list]:
+        def fn(texts: list) -> list[list]:
             words = list(map(words_of, texts))
             found = model.value.search(words)
             names = model.value.items
             return [[{"n_words": len(w), "spans": f[0], "items": sorted(names[i] for i in f[1])} for w, f in zip(words, (found.get(i, ([], ())) for i in range(len(words))))]]
 
-        parts.append(free_name(out, f"{into}_{k}" if k else into))
-        out = map_texts(out, text, fn, [(parts[-1], FOUND)], out.columns)
-    if len(parts) > 1:
-        merge = F.udf(_union, "array<bigint>")
-        spans, items = F.col(parts[0])["spans"], F.col(parts[0])["items"]
-        for p in parts[1:]:
-            spans, items = merge(spans, F.col(p)["spans"]), F.array_union(items, F.col(p)["items"])
-        whole = F.struct(F.col(parts[0])["n_words"].alias("n_words"), spans.alias("spans"), F.array_sort(items).alias("items"))
-        out = out.select(*(F.col(f"`{c}`") for c in docs.columns), whole.alias(parts[0]))
-    return out
+        return map_texts(docs, text, fn, [(name, FOUND)], docs.columns)
+
+    folder = work_dir(spark)
+    filter_ = spark.sparkContext.broadcast(Neighbours(benchmark, item_id=item_id, text=item_text, window=window))
+    flag, both = free_name(docs, "may_hold"), free_name(docs, "both")
+
+    def look(texts: list) -> list[list]:
+        claim("neighbours", _hashes.clear)
+        words = list(map(words_of, texts))
+        return [[{"n_words": len(w), "spans": [], "items": []} for w in words], list(map(filter_.value.may_hold, words))]
+
+    looked = written(map_texts(docs, text, look, [(name, FOUND), (flag, "boolean")], docs.columns), folder, "looked")
+    rest = looked.where(f"`{flag}`").drop(flag)
+    for k, automaton in enumerate(chain((first, second), automata)):  # an automaton at a time in a worker
+        model = spark.sparkContext.broadcast(automaton)
+
+        def add(rows: list, model=model) -> list[list]:
+            found = model.value.search([words_of(r["text"]) for r in rows])
+            names, out = model.value.items, []
+            for i, r in enumerate(rows):
+                old, (spans, items) = r["found"], found.get(i, ([], ()))
+                out.append({"n_words": old["n_words"], "spans": _merged([*old["spans"], *spans]), "items": sorted({*old["items"], *(names[j] for j in items)})})
+            return [out]
+
+        paired = rest.withColumn(both, F.struct(F.col(f"`{text}`").alias("text"), F.col(f"`{name}`").alias("found")))
+        rest = written(map_texts(paired, both, add, [(name, FOUND)], docs.columns), folder, f"shard{k}")
+        model.destroy()
+    return looked.where(f"not `{flag}`").drop(flag).unionByName(rest)
 
 
 def cut(text: str, spans: list[int]) -> str:
@@ -267,5 +345,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     out = out.where(F.col(new)["kept"])
     return out.select(*(F.col(new)["text"].alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns))
 
-
-__all__ = ["Automaton", "cut", "decontaminate", "drop_dir", "search", "words_of"]

@@ -2,7 +2,8 @@
 
 Each round is two aggregations and joins over links only and is written to the shared folder, so
 no round recomputes another and nothing is gathered on the driver. A star's centre is aggregated
-before the shuffle; its many links are split by the adaptive skew join.
+before the shuffle; its many links are split by the adaptive skew join. A round that the next one
+has read is removed.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corundum.llm.common import written
+from corundum.llm.common import drop_dir, written
 
 
 def components(links: DataFrame, folder: str, name: str = "components") -> DataFrame:
@@ -30,3 +31,4 @@ def components(links: DataFrame, folder: str, name: str = "components") -> DataF
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
         edges = written(small, folder, f"{name}{k}")
+        drop_dir(edges.sparkSession, f"{folder}/{name}{k - 1}")

@@ -17,7 +17,8 @@ No row, partner or candidate is capped or sampled; the sketch decides the order
 
 Cases: null and empty texts have an empty set and link with nothing; fewer words than n are one
 n-gram; rows that share an id are one document that links if any of its rows does; rows with a
-null id get a null component; an empty table gives an empty result; other columns aren't read.
+null id get a null component; an empty table gives an empty result; very long texts are read whole;
+other columns aren't read, and deduplicate() passes them through whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corundum.llm.common import claim, map_arrow, map_texts, type_of, work_dir, written
+from corundum.llm.common import claim, free_name, map_arrow, map_texts, type_of, work_dir, written
 from corundum.llm.graph import components
 
 WORDS = 5
@@ -44,13 +45,14 @@ SLOT_BITS, BLOCKS = 23, 256
 FREQUENT, FREQUENT_LEAST = 4, 32
 #: A number is 3 bits of class and 60 of hash; of a frequent n-gram the last bits are left free for
 #: a salt, which splits its block where blocks of one row are dropped.
-CLASS_SHIFT, SALT_BITS = 60, 5
+CLASS_SHIFT, SALT_BITS = 60, 10
 #: Rounds in which classes choose a hub; from the third on those that haven't linked.
 HUB_ROUNDS = 3
 #: 64-bit words of the bitmap of a set's frequent n-grams.
 MAP_WORDS = 8
-#: Bits of the filter of wanted ids, in blocks.
-FILTER_BITS, FILTER_BLOCK = 23, 15
+#: Bits of the filter of wanted ids: eight an id, at least and at most two to the power of these;
+#: it is made in blocks.
+LEAST_FILTER, MOST_FILTER, FILTER_BLOCK = 20, 27, 15
 CACHE_SIZE = 1 << 18
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -187,31 +189,50 @@ def _room(n: Column, m: Column, i: Column, j: Column, percent: int) -> Column:
     return near & ((100 + percent) * F.least(n - i, m - j) >= percent * (n + m))
 
 
-def _filter_of(ids: DataFrame) -> bytes:
-    """A bitmap of fixed size with the hashed ids set; it spares texts a shuffle and decides nothing."""
-    slot = F.xxhash64("id").bitwiseAND((1 << FILTER_BITS) - 1)
+def _filter_of(ids: DataFrame) -> tuple[int, bytes]:
+    """A bitmap of bounded size with the hashed ids set; it spares texts a shuffle and decides
+    nothing. Its blocks are made in executors."""
+    n = ids.count()
+    bits = min(MOST_FILTER, max(LEAST_FILTER, (8 * n).bit_length()))
+    slot = _slot(bits)
     blocks = ids.select(F.shiftright(slot, FILTER_BLOCK).alias("block"), slot.bitwiseAND((1 << FILTER_BLOCK) - 1).cast("int").alias("bit"))
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    for row in blocks.groupBy("block").agg(F.collect_set("bit").alias("bits")).collect():  # bounded by the filter's size
-        bits[(row["block"] << FILTER_BLOCK) + np.array(row["bits"], np.int64)] = True
-    return np.packbits(bits).tobytes()
+    blocks = blocks.groupBy("block").agg(F.collect_set("bit").alias("bits"))  # a block's bits at most
+
+    def pack(rows: list) -> list[list]:
+        out = []
+        for r in rows:
+            block = np.zeros(1 << FILTER_BLOCK, bool)
+            block[r] = True
+            out.append(np.packbits(block).tobytes())
+        return [out]
+
+    whole = bytearray(1 << bits - 3)
+    size = 1 << FILTER_BLOCK - 3
+    for row in map_texts(blocks, "bits", pack, [("packed", "binary")], ["block"]).collect():  # the filter, in blocks
+        whole[row["block"] * size : (row["block"] + 1) * size] = row["packed"]
+    return bits, bytes(whole)
+
+
+def _slot(bits: int) -> Column:
+    return F.xxhash64("id").bitwiseAND((1 << bits) - 1)
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int, folder: str, name: str) -> DataFrame:
     """The pairs (a, b) that link, by exact counts over their whole sets, as a written table. docs:
     id, text."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_filter_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))))
+    n_bits, packed = _filter_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+    wanted = docs.sparkSession.sparkContext.broadcast(packed)  # 1 << MOST_FILTER - 3 bytes at most
     id_type = type_of(docs, "id")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool)
+        bits = np.frombuffer(wanted.value, np.uint8)
         compress = zstandard.ZstdCompressor(3).compress
         for batch in batches:
-            batch = batch.filter(pa.array(bits[batch.column(2).to_numpy(zero_copy_only=False)]))
+            slots = batch.column(2).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((bits[slots >> 3] >> (7 - (slots & 7)) & 1).astype(bool)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([compress(t or b"") for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "z"])
 
-    slot = F.xxhash64("id").bitwiseAND((1 << FILTER_BITS) - 1)
-    texts = map_arrow(docs.select("id", F.col("text").cast("binary"), slot.alias("slot")), pack, f"id {id_type}, z binary")
+    texts = map_arrow(docs.select("id", F.col("text").cast("binary"), _slot(n_bits).alias("slot")), pack, f"id {id_type}, z binary")
     # Merge joins, the same at every size.
     both = pairs.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("z").alias("x")), "a").hint("merge").join(texts.select(F.col("id").alias("b"), F.col("z").alias("y")), "b")
 
@@ -292,7 +313,12 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: i
     grouped = written(grouped.join(maps.hint("merge"), "rep", "left"), folder, "grouped")
     main = grouped.groupBy("g").agg(F.min_by("group", F.struct("i", "rep")).alias("main"), F.min("group").alias("least"), F.max("group").alias("most"))
     mixed = grouped.join(main.where("least <> most").select("g", "main").hint("merge"), "g")
-    x, y = mixed.where("group <> main").alias("x"), mixed.alias("y")
+    # A frequent column is tiled by size: only rows on one step of the ladder, or on two neighbours,
+    # can link, so a row meets three steps; other columns are one tile.
+    size_step = F.when(often(c("g")), F.floor(F.log(c("n")) / math.log(100 / percent))).otherwise(F.lit(0)).cast("int")
+    tiled = mixed.withColumn("tile", size_step)
+    reach = F.when(often(c("g")), F.array(c("tile") - 1, c("tile"), c("tile") + 1)).otherwise(F.array("tile"))
+    x, y = tiled.where("group <> main").withColumn("tile", F.explode(reach)).alias("x"), tiled.alias("y")
     once = (c("y.group") == c("y.main")) | (c("x.rep") < c("y.rep"))  # two others meet twice
     room = _room(c("x.n"), c("y.n"), c("x.i"), c("y.i"), percent)
     near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
@@ -300,7 +326,7 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: i
     # ones are frequent, and the bitmaps bound their number.
     left_in = lambda a, b: F.get(f"{a}.bits", MAP_WORDS) - sum((F.bit_count(F.get(f"{a}.bits", k).bitwiseAND(F.bitwise_not(F.get(f"{b}.bits", k)))) for k in range(MAP_WORDS)), F.lit(0))
     fits = (100 + percent) * F.least(left_in("x", "y"), left_in("y", "x")) >= percent * (c("x.n") + c("y.n"))
-    met = x.join(y, (c("x.g") == c("y.g")) & (c("x.group") != c("y.group")) & once & near & (~often(c("x.g")) | room & F.coalesce(fits, F.lit(True))))
+    met = x.join(y, (c("x.g") == c("y.g")) & (c("x.tile") == c("y.tile")) & (c("x.group") != c("y.group")) & once & near & (~often(c("x.g")) | room & F.coalesce(fits, F.lit(True))))
     x_first = c("x.rep") > c("y.rep")
     by_id = lambda name, of: (F.when(x_first, of("x")).otherwise(of("y")).alias(f"{name}a"), F.when(x_first, of("y")).otherwise(of("x")).alias(f"{name}b"))
     # Frequent columns among the prefix: what it holds beyond the n-grams that aren't frequent.
@@ -355,5 +381,5 @@ def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id")
     if joined.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty():
         return kept
     order = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
-    name = "row_of_id"
+    name = free_name(docs, "row_of_id")
     return kept.withColumn(name, F.when(F.col(doc_id).isNull(), 1).otherwise(F.row_number().over(order))).where(F.col(name) == 1).drop(name)

@@ -9,7 +9,9 @@ reaches the driver is two counts a bucket.
 
 Cases: null and empty texts have no words and fail a base rule; without any trusted document the
 target says nothing, all scores are 0; several labels of a document count as their largest; rows
-with equal ids are judged each by its own text; other columns are left alone.
+with equal ids are judged each by its own text; very long texts are read whole; an empty table gives
+an empty result; other columns are left alone, and a result whose name one of them has gets
+underscores before it.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corundum.llm.common import WHITE, free_name, let, words_of
 
-BUCKETS = 4096
+BUCKETS = 1 << 16
 #: Junk lies several nats a word below the raw corpus, clean text about at it.
 THRESHOLD = -1.0
 SYMBOLS = "#*$%&|<>"
@@ -100,10 +102,11 @@ def ratio(words: Column, weights: list[float]) -> Column:
 
 def judge(docs: DataFrame, weights: list[float], *, text: str = "text", into: str = "quality_rules", threshold: float = THRESHOLD) -> DataFrame:
     """docs with a struct column into: the fields of base_rules(), log_ratio and kept."""
-    rules = base_rules(F.col(text))
-    score = let(words_of(F.col(text)), lambda w: ratio(w, weights))
+    body = F.col(f"`{text}`")
+    rules = base_rules(body)
+    score = let(words_of(body), lambda w: ratio(w, weights))
     both = F.struct(rules.alias("r"), score.alias("s"))
-    return docs.withColumn(into, let(both, lambda x: F.struct(
+    return docs.withColumn(free_name(docs, into), let(both, lambda x: F.struct(
         *(x["r"][c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")),
         x["s"].alias("log_ratio"),
         (~x["r"]["base_failed"] & (x["s"] >= threshold)).alias("kept"),

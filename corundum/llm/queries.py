@@ -31,6 +31,21 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: In SQL: texts with A-Z lower-cased, and words between white space.
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+ORACLES["op2_substring_dedup"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+g AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d) q),
+twice AS (SELECT s FROM g GROUP BY 1 HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM g JOIN twice USING (s)),
+p AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d),
+k AS (SELECT p.r, count(gone.j) AS n_removed, string_agg(CASE WHEN gone.j IS NULL THEN x END, ' ' ORDER BY p.j) AS kept FROM p LEFT JOIN gone ON gone.r = p.r AND gone.j = p.j GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.r = d.r
+"""
+
+
 @query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.deduplicate(table(spark, sf_dir, "documents"))
@@ -42,8 +57,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels"), ~held_out))
-    scored = toxicity.score(docs, model, keep=["doc_id"])
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    scored = toxicity.score(docs, model, keep=["doc_id"], worst=True)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "worst_sentence", "worst_score")
 
 
 #: The one tool of op4: a user's turn calls it, the turn after is its result.
@@ -52,27 +67,36 @@ REPLY = chat.Tool("reply", (chat.Argument("prompt", "string"), chat.Argument("tu
 
 @query
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user turn is a call of REPLY that needs the conversation's user turn two turns before,
-    if there is one; the assistant turn after it is its result."""
+    """Every user turn is a call of REPLY; the assistant turn after it is its result. Of six turns the
+    first four need the user turn two turns later, so that places have to be settled; the others
+    need none, but in every seventh conversation the first, which makes a circle."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    call_id = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
-    calls = turns.where("role = 'user'").select("conv_id", call_id(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("tool"), F.to_json(F.struct(F.col("turn"), F.col("text").alias("prompt"))).alias("arguments"), F.when(F.col("turn") >= 2, F.array(call_id(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("needs"))
-    results = turns.where("role = 'assistant'").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    turn = F.col("turn")
+    call_id = lambda t: F.concat(F.lit("call_"), t.cast("string"))
+    needs = F.when(turn % 6 < 4, F.array(call_id(turn + 2))).when(F.col("conv_id") % 7 == 0, F.array(call_id(turn - 4))).otherwise(F.array().cast("array<string>"))
+    calls = turns.where("role = 'user'").select("conv_id", call_id(turn).alias("call_id"), "turn", F.lit("reply").alias("tool"), F.to_json(F.struct("turn", F.col("text").alias("prompt"))).alias("arguments"), needs.alias("needs"))
+    results = turns.where("role = 'assistant'").select("conv_id", call_id(turn - 1).alias("call_id"), F.col("text").alias("content"))
     found = chat.link_calls(calls, results, [REPLY])
     return found.select("conv_id", "call_id", "step", "depth", "status", F.array_join("violations", "; ").alias("violations"), "valid", F.sha2("json", 256).alias("json_sha256"))
 
 
+# A call needs one other at most, so what it reaches is a path, and its depth is the path's length
+# within its step.
 ORACLES["op4_chat_formatting"] = """
-WITH calls AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+WITH RECURSIVE calls AS (SELECT conv_id, turn, text, CASE WHEN turn % 6 < 4 THEN turn + 2 WHEN conv_id % 7 = 0 THEN turn - 4 END AS need FROM conversations WHERE role = 'user'),
 results AS (SELECT conv_id, turn - 1 AS turn, count(*) AS n, min(text) AS content FROM conversations WHERE role = 'assistant' GROUP BY 1, 2),
-known AS (SELECT DISTINCT conv_id, turn FROM calls)
-SELECT c.conv_id, concat('call_', c.turn) AS call_id, c.turn AS step, CAST(0 AS INTEGER) AS depth,
+known AS (SELECT DISTINCT conv_id, turn FROM calls),
+edges AS (SELECT DISTINCT c.conv_id, c.turn, c.need FROM calls c JOIN known k ON k.conv_id = c.conv_id AND k.turn = c.need),
+reach(conv_id, turn, to_turn) AS (SELECT conv_id, turn, need FROM edges UNION SELECT r.conv_id, r.turn, e.need FROM reach r JOIN edges e ON e.conv_id = r.conv_id AND e.turn = r.to_turn),
+steps AS (SELECT k.conv_id, k.turn, greatest(k.turn, coalesce(max(r.to_turn), k.turn)) AS step, coalesce(bool_or(r.to_turn = k.turn), FALSE) AS circle FROM known k LEFT JOIN reach r ON r.conv_id = k.conv_id AND r.turn = k.turn GROUP BY 1, 2),
+places AS (SELECT s.conv_id, s.turn, s.step, count(o.turn) AS depth, s.circle OR coalesce(bool_or(o.circle), FALSE) AS stuck FROM steps s LEFT JOIN reach r ON r.conv_id = s.conv_id AND r.turn = s.turn LEFT JOIN steps o ON o.conv_id = s.conv_id AND o.turn = r.to_turn AND o.step = s.step GROUP BY 1, 2, 3, s.circle)
+SELECT c.conv_id, concat('call_', c.turn) AS call_id, CAST(CASE WHEN NOT p.stuck THEN p.step END AS BIGINT) AS step, CAST(CASE WHEN NOT p.stuck THEN p.depth END AS INTEGER) AS depth,
   CASE WHEN r.n > 1 THEN 'repeated' WHEN r.n = 1 THEN 'linked' ELSE 'pending' END AS status,
-  CASE WHEN c.turn >= 2 AND k.turn IS NULL THEN concat('call_', c.turn - 2, ' isn''t a call') ELSE '' END AS violations,
-  NOT (c.turn >= 2 AND k.turn IS NULL) AS valid,
+  CASE WHEN c.need IS NOT NULL AND k.turn IS NULL THEN concat('call_', c.need, ' isn''t a call') ELSE '' END AS violations,
+  NOT (c.need IS NOT NULL AND k.turn IS NULL) AS valid,
   sha256(concat('{"arguments":{"prompt":', to_json(c.text), ',"turn":', c.turn, '},"id":"call_', c.turn, '","name":"reply","result":', coalesce(CAST(to_json(r.content) AS VARCHAR), 'null'), '}')) AS json_sha256
 FROM calls c LEFT JOIN results r ON r.conv_id = c.conv_id AND r.turn = c.turn
-LEFT JOIN known k ON k.conv_id = c.conv_id AND k.turn = c.turn - 2
+LEFT JOIN known k ON k.conv_id = c.conv_id AND k.turn = c.need JOIN places p ON p.conv_id = c.conv_id AND p.turn = c.turn
 """
 
 
@@ -85,6 +109,34 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", f["n_words"].alias("n_words"), hit.alias("n_hit"), F.size(f["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(f["items"], ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+_ITEM_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+ORACLES["op5_benchmark_decontamination"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, {_ITEM_WORDS}) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOW}, {_ITEM_WORDS}) AS w FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT item_id, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0),
+wins AS (SELECT DISTINCT k, item_id, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM s) q),
+occ AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT k FROM wins) z) q),
+hit AS (SELECT DISTINCT r, k, i, item_id FROM occ JOIN wins USING (k, g)),
+n AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS j FROM hit) q GROUP BY 1),
+t AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit) q GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN t ON t.r = d.r
+"""
+
+
+# A document by its id: ids are unique in the table. Texts with equal sets would meet one by one.
+ORACLES["op6_ngram_jaccard_join"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW}, {_WORDS}) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0) q),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON b.g = a.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+reach(doc_id, other) AS (SELECT a, b FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+least_of AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_of m ON m.doc_id = d.doc_id
+"""
+
+
 @query
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -100,6 +152,18 @@ URL_RULES = [
 ]
 
 
+# The given pages link to no other host, so no rank moves: what no rule fits is blocked on hosts most
+# of whose pages the rules block.
+ORACLES["op8_url_filters"] = """
+WITH u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+ WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/' WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM h),
+b AS (SELECT host FROM r WHERE host <> '' GROUP BY 1 HAVING count(*) FILTER (rule IN ('example.com/en/', 'net/es/', 'net/fr/')) > 0.5 * count(*))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END AS verdict FROM r
+"""
+
+
 @query
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES, into="f")
@@ -118,6 +182,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, weights, into="r").select("doc_id", *(F.col("r")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+def _spans_sql(rule: secrets.Rule, rank: int) -> str:
+    """In SQL: a list of (start, rank, text) of a rule's matches, from the gaps between them."""
+    pattern = "'" + rule.pattern.replace("'", "''") + "'"
+    good = f"length(regexp_extract_all(t, {pattern}, {rule.group})[i]) >= {rule.least}" if rule.group else "TRUE"
+    size = f"list_sum(list_transform(string_split_regex(t, {pattern})[1:i], lambda g: length(g)))"
+    start = f"CAST({size} + coalesce(list_sum(list_transform(regexp_extract_all(t, {pattern})[1:i - 1], lambda g: length(g))), 0) AS BIGINT)"
+    one = f"CASE WHEN {good} THEN {{'at': {start}, 'rank': {rank}, 'told': concat('{rule.kind}:', {start}, ':', {start} + length(m))}} END"
+    return f"CASE WHEN regexp_matches(t, {pattern}) THEN list_filter(list_transform(regexp_extract_all(t, {pattern}), lambda m, i: {one}), lambda x: x IS NOT NULL) ELSE [] END"
+
+
+_ALL_SPANS = "list_sort(list_concat(" + ", ".join(_spans_sql(r, i) for i, r in enumerate(secrets.RULES)) + "))"
+_BASE = f"list_filter(spans, lambda x: x.rank < {len(secrets.BASE)})"
+ORACLES["op7_secret_scans"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (SELECT doc_id, {_ALL_SPANS} AS spans FROM d)
+SELECT doc_id, {", ".join(f"CAST(len(list_filter(spans, lambda x: x.rank = {i})) AS BIGINT) AS n_{r.kind}" for i, r in enumerate(secrets.BASE))},
+ sha256(array_to_string(list_transform({_BASE}, lambda x: x.told), ',')) AS base_sha256, array_to_string(list_transform(spans, lambda x: x.told), ',') AS spans FROM s
+"""
+
+
 @query
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -4,11 +4,13 @@ Every historical version of a text is addressed by its content: sha256 of the te
 Parquet tables in a folder, holds which (blob, rules version) pairs have been scanned and what was
 found in them. An update scans one representative text of each blob that the ledger lacks under
 the present rules, appends, and joins the findings back to all paths that hold the blob. It is
-DataFrame functions only: spans come from the lengths of a text's gaps between matches.
+DataFrame functions only: spans come from the lengths of a text's gaps between matches, added up in
+blocks, so that very long texts with very many matches take no square of time.
 
 Cases: null texts count as empty and have no findings; a null path keeps its row; repeated rows
-keep theirs; an empty table gives an empty result; a run that dies between its two appends scans
-the same blobs again, and findings are read as a set.
+keep theirs; an empty table gives an empty result; very long texts are scanned whole; other columns
+are passed through, and a result whose name one of them has gets underscores before it; a run that
+dies between its two appends scans the same blobs again, and findings are read as a set.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corundum.llm.common import free_name, let
 
@@ -56,6 +59,28 @@ def version_of(rules: tuple[Rule, ...]) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
+#: Elements of an array that are added up one by one; longer ones by blocks of so many.
+ADDED = 64
+
+
+def running(numbers: Column) -> Column:
+    """Sums of an array up to and including each element. An array that grows by one is copied each
+    time, so blocks are added up by themselves and then moved by the sums of those before."""
+    empty = F.array().cast("array<int>")
+    last = lambda a: F.coalesce(F.element_at(a, -1), F.lit(0))
+    simple = lambda x, start: F.aggregate(x, start, lambda a, n: F.concat(a, F.array(F.when(F.size(a) > 0, F.element_at(a, -1)).otherwise(F.lit(0)) + n)))
+
+    def blocks(x: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / ADDED).cast("int")), lambda k: F.slice(x, k * ADDED + 1, ADDED))
+        return let(F.transform(parts, lambda p: simple(p, empty)), moved)
+
+    def moved(sums: Column) -> Column:
+        ends = simple(F.transform(sums, lambda p: last(p)), empty)
+        return let(ends, lambda e: F.flatten(F.transform(sums, lambda p, k: F.transform(p, lambda n: n + F.when(k > 0, F.get(e, k - 1)).otherwise(F.lit(0))))))
+
+    return F.when(F.size(numbers) <= ADDED, simple(numbers, empty)).otherwise(blocks(numbers))
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """Spans of one rule in code points, the end exclusive."""
     pattern = F.lit(rule.pattern)
@@ -65,17 +90,13 @@ def spans_of(text: Column, rule: Rule) -> Column:
         *([F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("tested")] if rule.group else []),
     )
 
-    def fold(p: Column) -> Column:
-        steps = F.transform(p["whole"], lambda m, i: F.struct(F.length(F.get(p["gaps"], i)).alias("gap"), F.length(m).alias("size"), (F.length(F.get(p["tested"], i)) >= rule.least if rule.group else F.lit(True)).alias("good")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-
-        def step(a: Column, s: Column) -> Column:
-            span = F.struct(F.lit(rule.kind).alias("kind"), (a["at"] + s["gap"]).alias("start"), (a["at"] + s["gap"] + s["size"]).alias("end"))
-            return F.struct((a["at"] + s["gap"] + s["size"]).alias("at"), F.when(s["good"], F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
-
-        return F.aggregate(steps, start, step)["spans"]
+    def found(p: Column) -> Column:
+        sizes = F.transform(p["whole"], lambda m, i: F.length(F.get(p["gaps"], i)) + F.length(m))
+        span = lambda end, i: F.struct(F.lit(rule.kind).alias("kind"), (end - F.length(F.get(p["whole"], i))).alias("start"), end.alias("end"))
+        good = lambda i: F.length(F.get(p["tested"], i)) >= rule.least if rule.group else F.lit(True)
+        return F.array_compact(F.transform(let(sizes, running), lambda end, i: F.when(good(i), span(end, i))))
 
-    return F.when(text.rlike(rule.pattern), let(parts, fold)).otherwise(F.array().cast(SPANS))
+    return F.when(text.rlike(rule.pattern), let(parts, found)).otherwise(F.array().cast(SPANS))
 
 
 def all_spans(text: Column, rules: tuple[Rule, ...]) -> Column:
@@ -100,7 +121,9 @@ class Ledger:
     def _read(self, name: str, schema: str) -> DataFrame:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(schema).parquet(str(path)) if there else self.spark.createDataFrame([], schema)
+        if there:
+            return self.spark.read.schema(schema).parquet(str(path))
+        return self.spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)))
 
     def scanned(self) -> DataFrame:
         return self._read("scanned", "blob string, rules string")
@@ -124,23 +147,33 @@ class Ledger:
 
     def attach(self, df: DataFrame, *, text: str = "text", into: str = "spans") -> DataFrame:
         """df with the spans of each row's text, from the ledger; an empty array where none."""
-        key, other = free_name(df, "blob"), free_name(df, "blob_found")
-        found = self.findings().select(F.col("blob").alias(other), F.col("spans").alias("found_spans"))
-        spans = F.coalesce(F.col("found_spans"), F.array().cast(SPANS))
-        joined = df.withColumn(key, address(F.col(text))).join(found, F.col(key) == F.col(other), "left")
-        return joined.select(*(F.col(f"`{c}`") for c in df.columns), spans.alias(into))
+        key, other, found, name = (free_name(df, n) for n in ("blob", "blob_found", "found_spans", into))
+        known = self.findings().select(F.col("blob").alias(other), F.col("spans").alias(found))
+        joined = df.withColumn(key, address(F.col(f"`{text}`"))).join(known, F.col(key) == F.col(other), "left")
+        return joined.select(*(F.col(f"`{c}`") for c in df.columns), F.coalesce(F.col(found), F.array().cast(SPANS)).alias(name))
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """text with each span, overlapping ones as one, replaced by the kind of its first."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(a: Column, s: Column) -> Column:
-        part = F.concat(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["parts"], F.array(part))).otherwise(a["parts"]).alias("parts"))
-
-    whole = lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, let(F.aggregate(spans, start, step), whole)).otherwise(text)
+    """text with each span, overlapping ones as one, replaced by the kind of its first. Spans come by
+    start. Of each the end that any before it reaches is known, so pieces are cut independently."""
+    none = F.array().cast("array<int>")
+    reach = F.transform(spans, lambda s: s["end"])
+    highest = lambda x: F.coalesce(F.array_max(x), F.lit(0))
+
+    def reached(ends: Column) -> Column:
+        """The greatest end up to and including each, by blocks."""
+        upto = lambda p: F.aggregate(p, none, lambda a, n: F.concat(a, F.array(F.greatest(F.coalesce(F.element_at(F.concat(F.array(F.lit(0)), a), -1), F.lit(0)), n))))
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(ends) - 1) / ADDED).cast("int")), lambda k: F.slice(ends, k * ADDED + 1, ADDED))
+        tops = lambda ps: F.struct(ps.alias("parts"), upto(F.transform(ps, highest)).alias("tops"))
+        return let(let(parts, tops), lambda x: F.flatten(F.transform(x["parts"], lambda p, k: F.transform(upto(p), lambda n: F.greatest(n, F.when(k > 0, F.get(x["tops"], k - 1)).otherwise(F.lit(0)))))))
+
+    def cut(r: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(r, i - 1)).otherwise(F.lit(0))
+        piece = lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        pieces = F.array_compact(F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), piece(s, i))))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(r, -1) + 1, F.length(text)))
+
+    return F.when(F.size(spans) > 0, let(let(reach, reached), cut)).otherwise(text)
 
 
 def digest(spans: Column, kinds: tuple[str, ...]) -> Column:

@@ -9,8 +9,9 @@ UNKNOWN, worth one token for each byte in UTF-8 (byte fallback).
 Pieces hold a space mark only at their beginning or are marks only, so the best path of a text is
 that of its words, and words are cached.
 
-Cases: null and empty texts have no tokens and score 0; repeated rows give repeated rows; null ids
-are kept; other columns aren't read.
+Cases: null and empty texts have no tokens and score 0; very long texts are counted word by word, a
+very long word in one pass; repeated rows give repeated rows; null ids are kept; an empty table gives
+an empty result; other columns aren't read, but for those of keep.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ word of every text.
 
 Cases: null and empty texts have no sentence and score 0; without labels, or with labels of one
 kind, every score is the share of toxic labels (0 without any); repeated rows score alike; several
-labels of a document count as their largest; other columns aren't read.
+labels of a document count as their largest; an empty table gives an empty result; very long texts
+are scored whole; other columns aren't read, but for those of keep.
 """
 
 from __future__ import annotations

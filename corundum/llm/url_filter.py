@@ -12,7 +12,8 @@ itself: all that links reach gets its part, however many seeds share the mass an
 
 Cases: a null URL, or one without ://, has an empty host and path, fits no rule and is allowed;
 null html has no links; links of a host to itself, relative ones too, move nothing; repeated rows
-are repeated pages; an empty table gives an empty result; other columns are passed through.
+are repeated pages; an empty table gives an empty result; other columns are passed through, and a
+result whose name one of them has gets underscores before it; very long pages are read whole.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corundum.llm.common import free_name, let, work_dir, written
+from corundum.llm.common import drop_dir, free_name, let, work_dir, written
 
 DAMPING, TOLERANCE = 0.85, 1e-6
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -88,6 +89,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
         new = both.select("host", flow(F.col("trust0"), F.col("t")).alias("trust"), flow(F.col("distrust0"), F.col("d")).alias("distrust"), "was_t", "was_d")
         new = written(new, folder, f"round{k}")
         moves_on = lambda now, was: F.abs(F.col(now) - F.coalesce(was, F.lit(0.0))) > TOLERANCE * F.col(now)
+        if k:
+            drop_dir(new.sparkSession, f"{folder}/round{k - 1}")
         rank = new.select("host", "trust", "distrust")
         if new.where(moves_on("trust", "was_t") | moves_on("distrust", "was_d")).isEmpty():
             return rank
@@ -109,12 +112,12 @@ def judge(pages: DataFrame, rules: list[Rule], *, url: str = "url", html: str =
     links = links.where(F.contains(F.col("link"), F.lit("://"))).select("source", host_of(F.col("link")).alias("target"))
     edges = links.where("source <> target and source <> '' and target <> ''").groupBy("source", "target").agg(F.count("*").alias("n"))
     ranks = propagate(seeds, written(edges, folder, "edges"), folder)
-    blocked = ranks.where("distrust > trust").select(F.col("host").alias("bad_host")).distinct()
-    name, key = free_name(pages, into), free_name(pages, "host_key")
-    out = pages.withColumn(name, judged(host, path)).withColumn(key, F.col(name)["host"]).join(blocked, F.col(key) == F.col("bad_host"), "left")
+    name, key, bad = free_name(pages, into), free_name(pages, "host_key"), free_name(pages, "bad_host")
+    blocked = ranks.where("distrust > trust").select(F.col("host").alias(bad)).distinct()
+    out = pages.withColumn(name, judged(host, path)).withColumn(key, F.col(name)["host"]).join(blocked, F.col(key) == F.col(bad), "left")
     rule_verdict = F.lit(None).cast("string")
     for r in rules:
         rule_verdict = F.when(F.col(name)["rule"] == r.text, F.lit(r.verdict)).otherwise(rule_verdict)
-    verdict = F.coalesce(rule_verdict, F.when(F.col("bad_host").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
+    verdict = F.coalesce(rule_verdict, F.when(F.col(bad).isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     whole = F.struct(*(F.col(name)[c].alias(c) for c in ("host", "path", "rule")), verdict.alias("verdict"))
     return out.select(*(F.col(f"`{c}`") for c in pages.columns), whole.alias(name))
