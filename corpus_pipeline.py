@@ -10,6 +10,15 @@ again as the next one's docs. All but the last return the columns of documents.
 5.  tokens      adds the byte-level BPE ids (binary, little-endian unsigned 32-bit) and their number.
 
 n_chars is kept equal to the length of the text that leaves a stage.
+
+The session's setting spark.corundum.ledger names the folder of the secrets' ledger: a later run with
+the same folder scans only texts that no run has scanned. Unset, a run has a ledger of its own.
+
+Cases, in every stage: null and empty texts are documents without words, so quality drops them, and
+the other stages pass them on as they are; of rows that share an id near keeps one, the others keep
+them all; rows with a null id are kept; an empty table gives an empty result; columns beyond those of
+documents are passed through whatever their names, and a result of the last stage whose name one of
+them has gets underscores before it; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -20,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corundum.llm import bpe, decontaminate, ngram_join, quality, secrets
-from corundum.llm.common import table, work_dir, written
+from corundum.llm.common import free_name, table, work_dir, written
 from corundum.llm.queries import tokenizer
 
 
@@ -41,11 +50,11 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ledger = secrets.Ledger(spark, f"{work_dir(spark)}/ledger")
+    ledger = secrets.Ledger(spark, spark.conf.get("spark.corundum.ledger", None) or f"{work_dir(spark)}/ledger")
     ledger.update(docs, path="doc_id")
-    found = ledger.attach(docs, into="secret_spans")
-    text = secrets.redact(F.col("text"), F.col("secret_spans"))
-    return _counted(found.withColumn("text", text).drop("secret_spans"))
+    spans = free_name(docs, "secret_spans")
+    found = ledger.attach(docs, into=spans)
+    return _counted(found.withColumn("text", secrets.redact(F.col("text"), F.col(spans))).drop(spans))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
