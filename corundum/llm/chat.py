@@ -13,8 +13,8 @@ functions.
 Cases: null or invalid arguments fail validation and are written as null; a call without a result
 is "pending", one with several "repeated"; a result without a call is dropped; rows with a null
 conversation or identifier never link; unknown tools fail validation; references to unknown calls
-are violations and don't delay; repeated calls keep their rows; an empty table gives an empty
-result.
+are violations and don't delay; repeated calls keep their rows; empty and very long texts are values
+like others; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations

@@ -8,6 +8,8 @@ has read is removed.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +19,17 @@ from corundum.llm.common import drop_dir, written
 def components(links: DataFrame, folder: str, name: str = "components") -> DataFrame:
     """node and component (its smallest node) of every node that a link (a, b) names."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before, k = written(edges, folder, f"{name}0"), None, 0
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+    edges = written(edges, folder, f"{name}0")
+    for k in count(1):
+        # Edges go from larger to smaller nodes. Where no node has two parents, or one and children,
+        # they are stars around their smallest nodes, which are the components.
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("parents"), F.lit(0).alias("children"))
+        ends = ends.union(edges.select("b", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("parents").alias("parents"), F.max("children").alias("children"))
+        if ends.where("parents > 1 or parents = 1 and children = 1").isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
-        before, k = now, k + 1
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
         edges = written(small, folder, f"{name}{k}")

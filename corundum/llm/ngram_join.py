@@ -15,6 +15,10 @@
 
 No row, partner or candidate is capped or sampled; the sketch decides the order of work only.
 
+Joins whose smaller side still grows with the corpus (hubs, groups, bitmaps, ids to remove) are merge
+joins by hint: what is known of a side's size behind filters and aggregations is a guess, and one that
+is too small would have it broadcast. A hot key of theirs is split by the adaptive skew join.
+
 Cases: null and empty texts have an empty set and link with nothing; fewer words than n are one
 n-gram; rows that share an id are one document that links if any of its rows does; rows with a
 null id get a null component; an empty table gives an empty result; very long texts are read whole;

@@ -3,8 +3,8 @@
 Every word gives the trigrams of all its code points, or itself if it has less than three, hashed
 into BUCKETS. The trusted target is the set of documents labelled good, the raw corpus is all of
 them; both are multinomials over buckets with one added count each. A document's score is the sum
-over its n-grams of log p(target) - log p(raw), divided by the number of its words; it is kept if no
-base rule fails and the score reaches a fixed threshold. All of it is DataFrame functions; what
+over its n-grams of log p(target) - log p(raw), divided by their number; it is kept if no base rule
+fails and the score reaches a fixed threshold. All of it is DataFrame functions; what
 reaches the driver is two counts a bucket.
 
 Cases: null and empty texts have no words and fail a base rule; without any trusted document the
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from corundum.llm.common import WHITE, free_name, let, words_of
 
 BUCKETS = 1 << 16
-#: Junk lies several nats a word below the raw corpus, clean text about at it.
-THRESHOLD = -1.0
+#: Clean text lies about at the raw corpus, junk about a nat an n-gram below it or more. The room
+#: between lets a language be labelled good half as often as the others without being taken for junk.
+THRESHOLD = -0.6
 SYMBOLS = "#*$%&|<>"
 
 
@@ -78,7 +79,8 @@ def base_rules(text: Column) -> Column:
 
 def log_ratios(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> list[float]:
     """log p(target) - log p(raw) of each bucket, over all documents. Texts are shuffled to meet
-    the labels, as their n-grams would take more room, and by one plan at every size."""
+    the labels, as their n-grams would take more room; labels grow with the corpus, so they are
+    never broadcast, whatever the planner takes their size for."""
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("id")).distinct().withColumn("good", F.lit(1))
     words = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(good.hint("merge"), "id", "left").select("good", F.explode(words_of(F.col("text"))).alias("w"))
     hashed = words.select("good", "w", F.explode(F.sequence(F.lit(1), n_grams(F.col("w")))).alias("at")).select("good", bucket(F.col("w"), F.col("at")).alias("b"))
@@ -94,10 +96,11 @@ def log_ratios(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id
 
 
 def ratio(words: Column, weights: list[float]) -> Column:
-    """The log-likelihood ratio of a text's n-grams, by the word; 0 without words."""
+    """The log-likelihood ratio of a text's n-grams, by the n-gram; 0 without words."""
     table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded to one literal
     total = F.aggregate(words, F.lit(0.0), lambda a, w: F.aggregate(F.sequence(F.lit(1), n_grams(w)), a, lambda x, at: x + F.get(table, bucket(w, at))))
-    return F.when(F.size(words) > 0, total / F.size(words)).otherwise(F.lit(0.0))
+    number = F.aggregate(words, F.lit(0).cast("bigint"), lambda a, w: a + n_grams(w))
+    return F.when(F.size(words) > 0, total / number).otherwise(F.lit(0.0))
 
 
 def judge(docs: DataFrame, weights: list[float], *, text: str = "text", into: str = "quality_rules", threshold: float = THRESHOLD) -> DataFrame:
