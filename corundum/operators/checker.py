@@ -95,6 +95,15 @@ def report_markdown(reports: DataFrame) -> DataFrame:
     return reports.groupBy("doc_id").agg(lines.alias("lines")).select("doc_id", F.array_join(F.concat(head, "lines"), "\n").alias("markdown"))
 
 
+def requests(best: DataFrame, skill: Skill, prompt: str) -> DataFrame:
+    """A request for each document, as adapters.complete takes them: the skill's prompt, its fields and
+    the chosen evidence (rank.select_balanced of rank.candidates) by rank."""
+    item = F.struct("rank", "evidence_id", "page_number", "source_type", "matched_terms", "snippet")
+    listed = best.groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("evidence"))  # as many as were chosen
+    told = F.concat(F.lit(f"Fields: {', '.join(skill.fields)}\nEvidence:\n"), "evidence")
+    return listed.select("doc_id", c("doc_id").alias("request_id"), F.lit(prompt).alias("system"), told.alias("prompt"), F.lit(None).cast("array<binary>").alias("images"))
+
+
 def final_table(answers: DataFrame, columns: tuple[str, ...], *, by: str = "doc_id") -> DataFrame:
     """by, markdown: the objects of a model's answer (JSON, a list or one object) as a table of these
     columns; null where the answer holds none."""

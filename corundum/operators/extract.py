@@ -4,7 +4,6 @@ factory of a function of system text, prompt and images."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,11 +15,9 @@ from corundum.operators import evidence as agents
 from corundum.operators.context import cut_context, document, window_text
 from corundum.operators.normalize import finalize
 from corundum.schemas import Domain
-from corundum.sources.adapters import complete, review_requests, sample_rows, window_requests
+from corundum.sources.adapters import Client, complete, review_requests, sample_rows, window_requests
 from corundum.sources.folders import scratch, settled
 
-Client = Callable[[], Callable[[str, str, list[bytes]], str]]
-
 c = F.col
 
 

@@ -3,13 +3,18 @@ that a figure's analysis maps to a crop; and what comes back, as evidence."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corundum.functions.core import once
 from corundum.functions.text import compact, slug
 from corundum.functions.values import strip
+from corundum.operators.visual import accept, clean_smiles, validity
 from corundum.schemas import MISSING, shaped
+from corundum.sources.adapters import Client, complete, json_payload
+from corundum.sources.folders import scratch, settled
 
 #: Evidence that is shown beside a figure, and the order of its kinds.
 NEARBY = ("paragraph", "table_caption", "table_row", "figure_caption")
@@ -135,3 +140,54 @@ def filled_detections(detections: DataFrame, found: DataFrame) -> DataFrame:
     out = detections.join(best, ["doc_id", "detection_id"], "left")
     take = ~has_smiles(c("smiles")) & c("new").isNotNull()
     return out.withColumns({"smiles": F.when(take, c("new.s")).otherwise(c("smiles")), "confidence": F.when(take, F.coalesce("new.sure", "confidence")).otherwise(c("confidence"))}).drop("new").select(*detections.columns)
+
+
+def _answered(rows: DataFrame, requests: DataFrame, client: Client, images: DataFrame | None) -> DataFrame:
+    """rows (with request_id) with content and error of the client's answers, asked once and written.
+    images: path and content; a request's are given in the order of its image_paths."""
+    asked = requests
+    if images is not None:
+        one = asked.select("request_id", F.posexplode("image_paths").alias("nth", "path")).join(images.select("path", "content"), "path")
+        listed = one.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "content"))), lambda x: x["content"]).alias("images"))  # a figure's crops at most
+        asked = asked.join(listed, "request_id", "left")
+    else:
+        asked = asked.withColumn("images", F.lit(None).cast("array<binary>"))
+    answers = settled(complete(asked.select("request_id", "system", "prompt", "images"), client), f"{scratch(rows.sparkSession)}/answers")
+    return rows.join(answers, "request_id", "left")
+
+
+def analyses(items: DataFrame, instructions: str, client: Client, *, images: DataFrame | None = None) -> DataFrame:
+    """figure_items() with analysis, the JSON object that the client gives of each (null if it gives
+    none), and error."""
+    rows = items.withColumn("request_id", F.concat_ws(":", "doc_id", "figure_id"))
+    found = _answered(rows, figure_requests(items, instructions), client, images)
+    return found.withColumn("analysis", F.to_json(json_payload(c("content")))).drop("request_id", "content")
+
+
+def compound_requests(items: DataFrame, instructions: str) -> DataFrame:
+    """request_id, system, prompt, image_paths of chemical_items()."""
+    told = F.to_json(F.struct("compound_id", "crop_label", "caption", "recognised_smiles", "mapping_evidence", "open_scaffold", "summary"))
+    return items.select(F.concat_ws(":", "doc_id", "detection_id", "compound_id").alias("request_id"), F.lit(instructions).alias("system"), F.concat(F.lit("Read this structure. Answer with one JSON object.\n"), told).alias("prompt"), F.array("image_path").alias("image_paths"))
+
+
+def recognitions(items: DataFrame, instructions: str, client: Client, *, images: DataFrame | None = None, check: Callable[[Column], Column] | None = None) -> DataFrame:
+    """chemical_items() with the structure that the client reads, what a toolkit says of it (check;
+    none: it isn't asked), and which is accepted."""
+    rows = items.withColumn("request_id", F.concat_ws(":", "doc_id", "detection_id", "compound_id"))
+    found = _answered(rows, compound_requests(items, instructions), client, images)
+    v = json_payload(c("content"))
+    read = F.struct(F.try_variant_get(v, "$.smiles", "string").alias("smiles"), F.try_variant_get(v, "$.confidence", "double").alias("sure"))
+    found = once(found, read, "told")
+    bare = F.struct(clean_smiles(c("told.smiles")).alias("model_smiles"), clean_smiles(c("recognised_smiles")).alias("recognised_smiles"))
+    found = once(found, bare, "bare").drop("recognised_smiles").select("*", "bare.*")
+    asked = check or (lambda _: F.lit(None).cast("boolean"))
+    judged = F.struct(*(validity(c(s), asked(c(s))).alias(f"{s.removesuffix('_smiles')}_validity") for s in ("model_smiles", "recognised_smiles")))
+    found = accept(once(found, judged, "judged").select("*", "judged.*"))
+    unread = F.coalesce("error", F.when(c("validation_status") == "rejected", "no structure is valid"))
+    out = found.withColumns({"smiles": c("final_smiles"), "canonical_smiles": c("final_smiles"), "agent_confidence": c("told.sure"), "molscribe_confidence": c("recognised_confidence"), "validation_error": unread})
+    return out.drop("request_id", "content", "told", "bare", "judged")
+
+
+def two_agents(items: DataFrame, client: Client, instructions: tuple[str, str], *, images: DataFrame | None = None, check: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Recognised compounds of figures: each figure is analysed, each compound that it maps is read."""
+    return recognitions(chemical_items(analyses(items, instructions[0], client, images=images)), instructions[1], client, images=images, check=check)

@@ -3,12 +3,15 @@ and the language stands for its kind, as in the ranking queries."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corundum.operators import checker, rank, route
 from corundum.plans.base import query, view
-from corundum.plans.queries import RANKED, SKILL, _hits
+from corundum.plans.queries import _SCORED, RANKED, SKILL, _hits
+from corundum.sources import adapters
 
 c = F.col
 
@@ -122,3 +125,20 @@ def final_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.when(k == 0, F.concat(F.lit('[{"a":"x|'), user, F.lit('","b":1},{"b":null}]'))).when(k == 1, F.concat(F.lit('{"a":"'), user, F.lit('"}'))).when(k == 2, "no json").otherwise("[1]")
     rows = view(spark, sf_dir, "SELECT event_id, user_id FROM {events}").withColumn("answer", answer)
     return checker.final_table(rows, ("a", "b"), by="event_id")
+
+
+def _echo():  # noqa: ANN202
+    """A stand-in for a model: it lists the ids of the evidence that it is given."""
+
+    def ask(system: str, prompt: str, images: list[bytes]) -> str:
+        return json.dumps([{"id": e["evidence_id"], "rank": e["rank"]} for e in json.loads(prompt.split("Evidence:\n", 1)[1])])
+
+    return ask
+
+
+@query(_SCORED + " SELECT doc_id, concat('| id | rank |', chr(10), '| --- | --- |', chr(10), string_agg(concat('| ', evidence_id, ' | ', rank, ' |'), chr(10) ORDER BY rank)) AS markdown FROM top WHERE rank <= 5 GROUP BY 1")
+def checked_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a check gives to the first extraction, and its answer as a table."""
+    best = rank.candidates(_evidence(spark, sf_dir), SKILL, top=5)
+    answers = adapters.complete(checker.requests(best, SKILL, "extract").drop("doc_id"), _echo)
+    return checker.final_table(answers.select(c("request_id").alias("doc_id"), c("content").alias("answer")), ("id", "rank"))

@@ -3,6 +3,9 @@ line items are crops of them, orders are the evidence around."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +93,27 @@ def ocr_decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return work.decisions(_decided(spark, sf_dir))
 
 
+# Two agents with a stand-in for their model: a figure's first crop is compound 1a, read by its page.
+def _two() -> Callable[[str, str, list[bytes]], str]:
+    def ask(system: str, prompt: str, images: list[bytes]) -> str:
+        told = json.loads(prompt.split("\n", 1)[1])
+        if system == "analyse":
+            if told["page_number"] % 6 == 0:
+                raise RuntimeError("the model is away")
+            return "```json\n" + json.dumps({"mappings": [{"compound_id": "1a", "crop_label": told["crops"][0]["crop_label"], "confidence": 0.5}], "scaffolds": [{"crop_label": told["crops"][0]["crop_label"], "requires_substituent_resolution": told["page_number"] % 5 == 0}]}) + "\n```"
+        return json.dumps({"smiles": "CCO", "confidence": 0.9}) if told["crop_label"].endswith(tuple("02468")) else "I can't read it"
+
+    return ask
+
+
+@query(f"""WITH f AS ({FIGURES}), d AS (SELECT *, trim(coalesce(smiles, '')) AS s FROM ({CROPS}) q), k AS (SELECT parent_figure_id AS figure_id, detection_id, s, row_number() OVER (PARTITION BY parent_figure_id ORDER BY CASE WHEN s <> '' THEN 0 ELSE 1 END, detection_id) AS n FROM d WHERE parent_figure_id IS NOT NULL),
+r AS (SELECT f.figure_id, k.detection_id, f.page_number AS p, k.s, CAST(right(k.detection_id, 1) AS INT) % 2 = 0 AS read FROM f JOIN k ON k.figure_id = f.figure_id AND k.n = 1 WHERE f.page_number % 6 <> 0)
+SELECT figure_id, detection_id, '1a' AS compound_id, CASE WHEN p % 5 = 0 THEN 'NOT_DETECTED' WHEN read THEN 'CCO' WHEN s <> '' THEN s ELSE 'NOT_DETECTED' END AS smiles, CASE WHEN p % 5 = 0 THEN 'rejected' WHEN read OR s <> '' THEN 'accepted' ELSE 'rejected' END AS validation_status FROM r""")
+def two_agent_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = work.two_agents(_items(spark, sf_dir), _two, ("analyse", "read"), check=lambda s: F.length(s) > 1)
+    return work.ocr_table(found).select("figure_id", "detection_id", "compound_id", "smiles", "validation_status")
+
+
 # Every other recognised part has a detection; of those some know a structure already.
 _KNOWN = "SELECT concat('d', CAST(p_partkey AS VARCHAR(20))) AS detection_id, CAST(p_partkey % 50 AS VARCHAR(20)) AS doc_id, 'main' AS file_id, CAST(p_size AS INT) AS page_number, concat('f', CAST(p_partkey AS VARCHAR(20))) AS parent_figure_id, 'x.png' AS image_path, CASE WHEN p_partkey % 4 = 0 THEN 'OLD' ELSE ' ' END AS smiles, 0.25 AS confidence FROM {part} WHERE p_partkey % 2 = 0"
 

@@ -17,6 +17,9 @@ from corundum.functions.core import let
 from corundum.functions.values import strip
 from corundum.schemas import MISSING, Domain
 
+#: Makes, once in each worker, a function of system text, prompt and images that gives a model's text.
+Client = Callable[[], Callable[[str, str, list[bytes]], str]]
+
 PAGE = "doc_id string, page_number int, width double, height double, text string, tables array<string>, image binary, error string"
 ANSWER = "request_id string, content string, error string"
 
@@ -41,7 +44,7 @@ def parse_files(files: DataFrame, factory: Callable[[], Callable[[bytes], list[d
     return files.select("doc_id", "content").mapInPandas(run, PAGE)
 
 
-def complete(requests: DataFrame, factory: Callable[[], Callable[[str, str, list[bytes]], str]]) -> DataFrame:
+def complete(requests: DataFrame, factory: Client) -> DataFrame:
     """request_id, content, error of requests (request_id, system, prompt, images), asked of a
     client: a function of system text, prompt and images that gives the model's text."""
 

@@ -70,7 +70,7 @@ def test_commands(spark, tmp_path, capsys):
     store = EvidenceStore(spark, f"{tmp_path}/s")
     store.write("documents", spark.createDataFrame([("d", "d.pdf")], "doc_id string, source_path string"))
     store.write("evidence_blocks", spark.createDataFrame([("e", "d", "paragraph", 1, "MIC of compound 5a 3 mM")], "evidence_id string, doc_id string, source_type string, page_number int, text string"))
-    cli.main(["check", "--store", f"{tmp_path}/s", "--out", str(tmp_path / "check")], spark)
+    cli.main(["check", "--store", f"{tmp_path}/s", "--domain", "benzimidazole", "--out", str(tmp_path / "check")], spark)
     assert spark.read.json(str(tmp_path / "check")).where("nth = 1").count() == 1
     cli.main(["agents", "--store", f"{tmp_path}/s", "--no-conflict"], spark)
     assert "agent_compound_links" in capsys.readouterr().out
