@@ -80,9 +80,9 @@ def documents(parts: dict[str, DataFrame], which: Agents = Agents()) -> DataFram
 
 def contexts(pages: DataFrame, limit: int) -> DataFrame:
     """doc_id, text: all pages of a document, cut at limit. Only pages that begin before the limit
-    are put together, whatever the length of a document."""
+    are put together (with the one that shows that there is more), whatever a document's length."""
     size = F.sum(F.length("whole") + 2).over(_in_order())
-    near = pages.withColumn("begins", size - F.length("whole") - 2).where(c("begins") <= limit)
+    near = pages.withColumn("begins", size - F.length("whole") - 2).where(c("begins") <= limit + 2)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "whole"))), lambda x: x["whole"]), "\n\n")
     return near.groupBy("doc_id").agg(cut_context(text, limit).alias("text"))
 
