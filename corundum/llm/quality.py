@@ -17,6 +17,7 @@ underscores before it.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,14 +58,16 @@ def repeated_words(words: Column) -> Column:
     return let(hashes, count)
 
 
-def base_rules(text: Column) -> Column:
-    """A struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+def base_rules(text: Column, score: Callable[[Column], Column] | None = None) -> Column:
+    """A struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; with
+    score, a function of the words, also its value as log_ratio. Words are split once for both."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
     dup_lines = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
     def rules(words: Column) -> Column:
-        return F.struct(F.size(words).cast("long").alias("n_words"), repeated_words(words).cast("long").alias("n_repeat_words"))
+        more = [score(words).alias("log_ratio")] if score else []
+        return F.struct(F.size(words).cast("long").alias("n_words"), repeated_words(words).cast("long").alias("n_repeat_words"), *more)
 
     s = let(words_of(text), rules)
     return let(s, lambda s: F.struct(
@@ -74,6 +77,7 @@ def base_rules(text: Column) -> Column:
         dup_lines.cast("long").alias("n_dup_lines"),
         s["n_repeat_words"].alias("n_repeat_words"),
         ((s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])).alias("base_failed"),
+        *([s["log_ratio"].alias("log_ratio")] if score else []),
     ))
 
 
@@ -105,15 +109,10 @@ def ratio(words: Column, weights: list[float]) -> Column:
 
 def judge(docs: DataFrame, weights: list[float], *, text: str = "text", into: str = "quality_rules", threshold: float = THRESHOLD) -> DataFrame:
     """docs with a struct column into: the fields of base_rules(), log_ratio and kept."""
-    body = F.col(f"`{text}`")
-    rules = base_rules(body)
-    score = let(words_of(body), lambda w: ratio(w, weights))
-    both = F.struct(rules.alias("r"), score.alias("s"))
-    return docs.withColumn(free_name(docs, into), let(both, lambda x: F.struct(
-        *(x["r"][c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")),
-        x["s"].alias("log_ratio"),
-        (~x["r"]["base_failed"] & (x["s"] >= threshold)).alias("kept"),
-    )))
+    fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ratio")
+    rules = base_rules(F.col(f"`{text}`"), lambda words: ratio(words, weights))
+    verdict = lambda x: F.struct(*(x[c].alias(c) for c in fields), (~x["base_failed"] & (x["log_ratio"] >= threshold)).alias("kept"))
+    return docs.withColumn(free_name(docs, into), let(rules, verdict))
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
