@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corundum.llm import bpe, chat, decontaminate, ngram_join, quality, secrets, substring, token_count, toxicity, url_filter
+from corundum.llm import bpe, chat, decontaminate, lexical_search, near_dedup, ngram_join, quality, secrets, substring, token_count, toxicity, url_filter, vector_codes
 from corundum.llm.common import table, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,19 +124,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 """
 
 
-# A document by its id: ids are unique in the table. Texts with equal sets would meet one by one.
-ORACLES["op6_ngram_jaccard_join"] = f"""
+def _linked_sql(size: int, percent: int, more: str = "") -> str:
+    """In SQL: n_shingles and component_id of each document. A document by its id: ids are unique in
+    the table. Texts with equal sets would meet one by one."""
+    return f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW}, {_WORDS}) AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0) q),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {size - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {size - 2}, 2))) AS i FROM d WHERE len(w) > 0) q),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON b.g = a.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-links AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+links AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= {percent} * (x.n + y.n - shared)),
 reach(doc_id, other) AS (SELECT a, b FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
 least_of AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY 1)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_of m ON m.doc_id = d.doc_id
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) AS component_id{more} FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_of m ON m.doc_id = d.doc_id
 """
 
 
+ORACLES["op6_ngram_jaccard_join"] = _linked_sql(5, 75)
+
+
 @query
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -210,3 +215,62 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base, every = (tuple(r.kind for r in rules) for rules in (secrets.BASE, secrets.RULES))
     return found.select("doc_id", *map(count, base), F.sha2(secrets.digest(F.col("spans"), base), 256).alias("base_sha256"), secrets.digest(F.col("spans"), every).alias("spans"))
+
+
+_SIZE = "(SELECT CAST(ceil(max(len(embedding)) / 16) AS INTEGER) FROM embeddings)"
+
+
+def _round_sql(k: int) -> str:
+    """In SQL: the nearest entry of each part in codebook k, and codebook k + 1."""
+    return f"""
+near{k} AS MATERIALIZED (SELECT r, p, min(struct_pack(d := d, e := e)) AS best FROM (SELECT x.r, x.p, y.e, list_sum(list_transform(list_zip(x.v, y.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM parts x JOIN book{k} y ON y.p = x.p) q GROUP BY 1, 2),
+means{k} AS (SELECT p, e, list(m ORDER BY j) AS v FROM (SELECT n.p, n.best.e AS e, j, CAST(floor(sum(x.v[j]) / count(*)) AS BIGINT) AS m FROM near{k} n JOIN parts x ON x.r = n.r AND x.p = n.p CROSS JOIN range(1, {_SIZE} + 1) t(j) GROUP BY 1, 2, 3) q GROUP BY 1, 2),
+book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN means{k} m ON m.p = b.p AND m.e = b.e)"""
+
+
+ORACLES["op11_vector_codes"] = f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, p, v[p * {_SIZE} + 1:(p + 1) * {_SIZE}] AS v FROM kept CROSS JOIN range(16) t(p)),
+book0 AS MATERIALIZED (SELECT p, CAST(r - 1 AS INTEGER) AS e, v FROM parts WHERE r <= 64),
+{_round_sql(0)},
+{_round_sql(1)},
+near2 AS MATERIALIZED (SELECT r, p, min(struct_pack(d := d, e := e)) AS best FROM (SELECT x.r, x.p, y.e, list_sum(list_transform(list_zip(x.v, y.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM parts x JOIN book2 y ON y.p = x.p) q GROUP BY 1, 2),
+coded AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near2 GROUP BY 1),
+digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS h FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM kept JOIN coded USING (r) CROSS JOIN digest
+"""
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"))
+
+
+_TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+ORACLES["op12_ranked_lexical_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, {_TERMS}) AS w FROM documents),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) q GROUP BY 1, 2),
+s AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS HUGEINT) AS total FROM d WHERE len(w) > 0),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * s.docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf CROSS JOIN s GROUP BY t, s.docs),
+q AS (SELECT b, item_id, t, count(*) AS n FROM (SELECT row_number() OVER () AS b, item_id, unnest(regexp_extract_all({_LOW}, {_TERMS})) AS t FROM benchmark) x GROUP BY 1, 2, 3),
+m AS (SELECT r, doc_id, 25 + (75 * CAST(len(w) AS HUGEINT) * s.docs) // s.total AS m FROM d CROSS JOIN s WHERE len(w) > 0),
+f AS (SELECT q.b, q.item_id, m.r, m.doc_id, CAST(sum(q.n * weight * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * m.m))) AS BIGINT) AS score FROM q JOIN weights USING (t) JOIN tf USING (t) JOIN m ON m.r = tf.r GROUP BY 1, 2, 3, 4)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id) AS rank FROM f WHERE score > 0) x WHERE rank <= 10
+"""
+
+
+@query
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_minhash_near_dedup"] = _linked_sql(2, 80, ", coalesce(d.doc_id = least(d.doc_id, coalesce(other, d.doc_id)), TRUE) AS kept")
+
+
+@query
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.join(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
