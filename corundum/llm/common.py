@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corundum.sources.folders import remove, scratch, settled
+
 #: Rows and bytes of an Arrow batch: texts may be long, so batches are kept short in both.
 ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
 
@@ -68,30 +67,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share. Only a local session may
-    do without that setting (tests): it gets a folder of the machine's own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "corundum-work")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+#: A new folder that all executors share; it goes when it is dropped, or when the session's JVM ends.
+work_dir, drop_dir = scratch, remove
 
 
 def written(df: DataFrame, path: str, name: str) -> DataFrame:
     """df written as Parquet below path and read again: its lineage ends in files that all
     executors can read, so a lost executor costs no recomputation."""
-    out = f"{path}/{name}"
-    df.write.mode("overwrite").parquet(out)
-    return df.sparkSession.read.schema(df.schema).parquet(out)
+    return settled(df, f"{path}/{name}")
 
 
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Remove a folder of rounds that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop_all(spark: SparkSession, folder: str, *names: str) -> None:
+    """Remove tables below folder that nothing reads any more."""
+    for name in names:
+        remove(spark, f"{folder}/{name}")
 
 
 def free_name(df: DataFrame, base: str) -> str:

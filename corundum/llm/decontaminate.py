@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corundum.llm.common import claim, free_name, map_texts, work_dir, written
+from corundum.llm.common import claim, drop_all, free_name, map_texts, work_dir, written
 
 WINDOW = 10
 #: Item words of one automaton: about 50 MB in a worker.
@@ -298,6 +298,7 @@ def search(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", into: s
 
         paired = rest.withColumn(both, F.struct(F.col(f"`{text}`").alias("text"), F.col(f"`{name}`").alias("found")))
         rest = written(map_texts(paired, both, add, [(name, FOUND)], docs.columns), folder, f"shard{k}")
+        drop_all(spark, folder, f"shard{k - 1}")
         model.destroy()
     return looked.where(f"not `{flag}`").drop(flag).unionByName(rest)
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corundum.llm.common import drop_dir, map_arrow, type_of, work_dir, written
+from corundum.llm.common import drop_all, map_arrow, type_of, work_dir, written
 
 BEST = 10
 #: Children of a range.
@@ -173,8 +173,7 @@ def search(docs: DataFrame, queries: DataFrame, *, text: str = "text", doc_id: s
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k)
     items = asked.select("query", "item")
     out = written(ranked.select("query", "rank", "id", "score"), folder, "ranked").join(items, "query")
-    for c in range(n_chunks if n_chunks > 1 else 0):
-        drop_dir(spark, f"{folder}/best{c}")
+    drop_all(spark, folder, *(f"best{c}" for c in range(n_chunks)))
     return out.select(F.col("item").alias(item_id), "rank", F.col("id").alias(doc_id), "score")
 
 

@@ -37,8 +37,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corundum.llm.common import claim, free_name, map_arrow, map_texts, type_of, work_dir, written
-from corundum.llm.graph import components
+from corundum.llm.common import claim, drop_all, free_name, map_arrow, map_texts, type_of, work_dir, written
+from corundum.llm.graph import components, of_documents
 
 WORDS = 5
 #: Links are at 100 * intersection >= PERCENT * union.
@@ -310,7 +310,7 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: i
         chosen = written(chosen.join(compared, ["a", "b"], "left_anti") if k else chosen, folder, f"chosen{k}")
         new = _linked(chosen, docs, size, percent, folder, f"links{k}") if not chosen.isEmpty() else chosen
         links, compared = (links.union(new), compared.union(chosen)) if k else (new, chosen)
-    groups = components(links, folder, "groups").withColumnRenamed("node", "rep")
+    groups = components(links, f"{folder}/groups").withColumnRenamed("node", "rep")
 
     grouped = shared.select("g", "rep", "n", "i").join(groups.hint("merge"), "rep", "left").withColumn("group", F.coalesce("component", "rep")).drop("component")
     maps = shared.where("bits is not null").groupBy("rep").agg(F.first("bits").alias("bits"))
@@ -346,7 +346,7 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: i
     lead = pairs.groupBy("u", "v").agg(F.max(F.struct("count", "a", "b")).alias("p")).select("u", "v", "p.a", "p.b")
     lead = written(lead, folder, "lead")
     lead_links = _linked(lead.select("a", "b"), docs, size, percent, folder, "lead_links")
-    joined = components(lead.join(lead_links, ["a", "b"]).select(c("u").alias("a"), c("v").alias("b")), folder, "joined")
+    joined = components(lead.join(lead_links, ["a", "b"]).select(c("u").alias("a"), c("v").alias("b")), f"{folder}/joined")
     follow = pairs
     for side in ("u", "v"):
         follow = follow.join(joined.select(c("node").alias(side), c("component").alias(f"{side}_of")), side, "left")
@@ -355,25 +355,10 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: i
     rest = lead_links.union(_linked(follow, docs, size, percent, folder, "follow_links"))
     signed = counted.where("block is null").select("id", "n", "low", "high")
     reps = signed.groupBy("n", "low", "high").agg(F.min("id").alias("rep"))
-    sign = F.struct("n", "low", "high")
-    unlike = signed.where("id is not null").groupBy("id").agg(F.min(sign).alias("least"), F.max(sign).alias("most")).where("least <> most").select("id")
-    unlike = written(unlike, folder, "unlike")  # ids whose rows have several sets
-    repeated, links = not unlike.isEmpty(), links.union(rest)
-    if repeated:
-        classes_of = signed.where("n > 0").join(unlike, "id", "left_semi").join(reps, ["n", "low", "high"]).select("id", "rep").distinct()
-        classes_of = written(classes_of, folder, "classes_of")
-        first_of = classes_of.groupBy("id").agg(F.min("rep").alias("first"))
-        links = links.union(classes_of.join(first_of, "id").select(c("rep").alias("a"), c("first").alias("b")))
-    reached = components(links, folder).select(c("node").alias("rep"), "component")
-
-    of_class = reps.join(reached, "rep", "left")
-    of_class = of_class.select(c("n").alias("n_"), c("low").alias("low_"), c("high").alias("high_"), "rep", F.coalesce("component", "rep").alias("component"))
-    out = signed.join(of_class, (c("n") == c("n_")) & (c("low") == c("low_")) & (c("high") == c("high_")), "left")
-    alone, by_itself = (c("n") == 0) | c("id").isNull(), c("id")
-    if repeated:  # an empty row of an id that has others goes with them
-        of_id = first_of.join(reached, c("first") == c("rep"), "left").select(c("id").alias("id_"), F.coalesce("component", "first").alias("of_id"))
-        out, by_itself = out.join(of_id, c("id") == c("id_"), "left"), F.coalesce("of_id", "id")
-    return out.select(c("id").alias(doc_id), c("n").cast("long").alias("n_shingles"), F.when(alone, c("id")).otherwise(c("rep")).alias("class_id"), F.when(alone, by_itself).otherwise(c("component")).alias("component_id"))
+    out = of_documents(signed, reps, links.union(rest), folder)
+    tables = ("shared", "grouped", "pairs", "lead", "lead_links", "follow", "follow_links", *(f"{t}{k}" for t in ("chosen", "links") for k in range(HUB_ROUNDS)))
+    drop_all(spark, folder, *tables, "groups", "joined")
+    return out.select(c("id").alias(doc_id), "n_shingles", "class_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

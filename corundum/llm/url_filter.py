@@ -24,7 +24,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corundum.llm.common import drop_dir, free_name, let, work_dir, written
+from corundum.llm.common import drop_all, drop_dir, free_name, let, work_dir, written
 
 DAMPING, TOLERANCE = 0.85, 1e-6
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -93,6 +93,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
             drop_dir(new.sparkSession, f"{folder}/round{k - 1}")
         rank = new.select("host", "trust", "distrust")
         if new.where(moves_on("trust", "was_t") | moves_on("distrust", "was_d")).isEmpty():
+            drop_all(new.sparkSession, folder, "seeds", "moves")
             return rank
 
 
@@ -112,6 +113,7 @@ def judge(pages: DataFrame, rules: list[Rule], *, url: str = "url", html: str =
     links = links.where(F.contains(F.col("link"), F.lit("://"))).select("source", host_of(F.col("link")).alias("target"))
     edges = links.where("source <> target and source <> '' and target <> ''").groupBy("source", "target").agg(F.count("*").alias("n"))
     ranks = propagate(seeds, written(edges, folder, "edges"), folder)
+    drop_all(pages.sparkSession, folder, "edges")
     name, key, bad = free_name(pages, into), free_name(pages, "host_key"), free_name(pages, "bad_host")
     blocked = ranks.where("distrust > trust").select(F.col("host").alias(bad)).distinct()
     out = pages.withColumn(name, judged(host, path)).withColumn(key, F.col(name)["host"]).join(blocked, F.col(key) == F.col(bad), "left")
