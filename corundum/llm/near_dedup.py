@@ -7,12 +7,15 @@
     one of the 32 bands of 4 bins but for five in a hundred million at a similarity of just 0.8.
 3.  In each bucket every class is a candidate of one centre, so a bucket makes no more pairs than it
     has classes. A class first meets the centre that it shares most buckets with, then, in buckets whose
-    classes aren't in one group yet, a second centre. What these rounds leave apart is settled exactly:
-    classes outside a bucket's largest group meet the bucket's classes of other groups, never those of
-    their own, the likeliest pair of two groups first.
-4.  A candidate is confirmed by counting over both whole sets. Texts travel compressed, a centre's to
+    classes aren't in one group yet, a second centre.
+4.  Classes that these rounds leave in one bucket but in several groups are settled exactly: their
+    shingles are counted among themselves and ordered rarest first, and two of them meet at a shingle
+    of their first ones only where ranks and sizes leave room for a link; classes of the largest group
+    at a shingle meet the others only, never each other. What is one document's own leaves no room,
+    so variants of one text that aren't near enough make no pairs.
+5.  A candidate is confirmed by counting over both whole sets. Texts travel compressed, a centre's to
     each part of its star and not to each class.
-5.  Components of all links, and of the classes that the rows of one id are in; the least id of a
+6.  Components of all links, and of the classes that the rows of one id are in; the least id of a
     component stays.
 
 No row, partner or candidate is capped or sampled. A node is an id and the digest of a text.
@@ -30,10 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corundum.llm.common import drop_dir, free_name, map_arrow, map_texts, type_of, work_dir, written
+from corundum.llm.common import drop_all, free_name, map_arrow, map_texts, type_of, work_dir, written
 from corundum.llm.graph import components, of_documents
 from corundum.llm.ngram_join import _filter_of, _signature, _slot, shingles
 
@@ -81,12 +84,10 @@ def bands(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return name
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, folder: str, name: str) -> DataFrame:
-    """The pairs (a, b) that link, by exact counts over their whole sets, as a written table. b is
-    the centre: its text goes once to each STAR of its pairs. docs: id, text."""
-    bits, packed = _filter_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+def _texts_of(ids: DataFrame, docs: DataFrame, folder: str, name: str) -> DataFrame:
+    """id and z, its compressed text, of each of ids (one row of several), as a written table."""
+    bits, packed = _filter_of(ids)
     wanted = docs.sparkSession.sparkContext.broadcast(packed)  # of bounded size
-    node = type_of(docs, "id")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.frombuffer(wanted.value, np.uint8)
@@ -96,10 +97,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, folder
             batch = batch.filter(pa.array((marked[slots >> 3] >> (7 - (slots & 7)) & 1).astype(bool)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([compress(t or b"") for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "z"])
 
-    texts = map_arrow(docs.select("id", F.col("text").cast("binary"), _slot(bits).alias("slot")), pack, f"id {node}, z binary")
-    # Merge joins, the same at every size. Only one of several copies of a row goes on.
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = written(texts.dropDuplicates(["id"]).hint("merge").join(ends, "id", "left_semi"), folder, f"{name}_texts")
+    texts = map_arrow(docs.select("id", F.col("text").cast("binary"), _slot(bits).alias("slot")), pack, f"id {type_of(docs, 'id')}, z binary")
+    out = written(texts.dropDuplicates(["id"]).hint("merge").join(ids.distinct(), "id", "left_semi"), folder, name)
+    wanted.destroy()
+    return out
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, folder: str, name: str) -> DataFrame:
+    """The pairs (a, b) that link, by exact counts over their whole sets, as a written table. b is
+    the centre: its text goes once to each STAR of its pairs. docs: id, text."""
+    node = type_of(docs, "id")
+    texts = _texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, folder, f"{name}_texts")
+    # Merge joins, the same at every size.
     stars = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
     members = pairs.hint("merge").join(stars, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
     members = members.hint("merge").join(texts.select(F.col("id").alias("a"), "z"), "a").select("b", "part", "a", "z")
@@ -126,8 +135,43 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, folder
             yield batch.filter(pa.array(good, pa.bool_())).select([1, 0])
 
     out = written(map_arrow(dealt.select("b", "a", "z"), compare, f"a {node}, b {node}"), folder, name)
-    drop_dir(docs.sparkSession, f"{folder}/{name}_texts")
-    wanted.destroy()
+    drop_all(docs.sparkSession, folder, f"{name}_texts")
+    return out
+
+
+def _near(n: Column, m: Column, percent: int) -> Column:
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def left_apart(rest: DataFrame, docs: DataFrame, size: int, percent: int, folder: str) -> DataFrame:
+    """Pairs (a, b) with their groups u and v of the classes in rest (rep, n, group) that may link
+    and are in different groups: all that do are among them."""
+    c = F.col
+    rest = written(rest.select("rep", "n", "group").distinct(), folder, "rest")
+    texts = _texts_of(rest.select(c("rep").alias("id")), docs, folder, "rest_texts")
+
+    def columns(rows: list) -> list[list]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        return [[s.view(np.int64).copy() for s in shingles([unpack(z) for z in rows], size)]]
+
+    of_rep = map_texts(texts, "z", columns, [("columns", "array<bigint>")], ["id"])
+    held = written(of_rep.join(rest.hint("merge"), c("id") == c("rep")).select("rep", "n", "group", F.explode("columns").alias("g")), folder, "rest_columns")
+    often = held.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    # What only one class has comes first in its order and meets nothing: it counts as ranks.
+    ordered = held.hint("merge").join(often, "g").groupBy("rep", "n", "group").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("s"))  # as long as the text
+    own = c("n") - F.size("s")
+    first = c("n") - F.ceil(c("n") * percent / 100).cast("int") + 1 - own
+    entries = ordered.where(first > 0).select("rep", "n", "group", own.alias("own"), F.posexplode(F.slice("s", F.lit(1), first)).alias("at", "x"))
+    entries = written(entries.select("rep", "n", "group", (c("own") + c("at")).alias("i"), c("x.g").alias("g")), folder, "rest_entries")
+    sizes = entries.groupBy("g", "group").count().groupBy("g").agg(F.max(F.struct("count", "group"))["group"].alias("main"), F.count("*").alias("groups")).where("groups > 1")
+    marked = written(entries.join(sizes.select("g", "main").hint("merge"), "g"), folder, "rest_marked")
+    x, y = marked.where("group <> main").alias("x"), marked.alias("y")
+    once = (c("y.group") == c("y.main")) | (c("x.rep") < c("y.rep"))  # two outside the main group meet twice
+    room = (100 + percent) * F.least(c("x.n") - c("x.i"), c("y.n") - c("y.i")) >= percent * (c("x.n") + c("y.n"))
+    met = x.join(y, (c("x.g") == c("y.g")) & (c("x.group") != c("y.group")) & once & _near(c("x.n"), c("y.n"), percent) & room)
+    met = met.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b"), F.least("x.group", "y.group").alias("u"), F.greatest("x.group", "y.group").alias("v"))
+    out = written(met.groupBy("a", "b").agg(F.count("*").alias("count"), F.first("u").alias("u"), F.first("v").alias("v")), folder, "rest_pairs")
+    drop_all(docs.sparkSession, folder, "rest", "rest_texts", "rest_columns", "rest_entries", "rest_marked")
     return out
 
 
@@ -154,8 +198,7 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: i
     least = entries.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("most")).where("hub.rep <> most")
     shared = written(entries.join(least.select("key", "hub").hint("merge"), "key"), folder, "shared")
 
-    near = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    votes = shared.where((c("rep") != c("hub.rep")) & near(c("n"), c("hub.n"))).groupBy("rep", c("hub.rep").alias("centre")).count()
+    votes = shared.where((c("rep") != c("hub.rep")) & _near(c("n"), c("hub.n"), percent)).groupBy("rep", c("hub.rep").alias("centre")).count()
     best = votes.groupBy("rep").agg(F.max(F.struct("count", "centre"))["centre"].alias("b")).select(c("rep").alias("a"), "b")
     compared = written(best, folder, "first_pairs")
     links = confirmed(compared, docs, size, percent, folder, "first_links")
@@ -167,25 +210,18 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: i
         grouped = written(grouped, folder, f"grouped{k}")
         several = grouped.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.max(F.struct("rep", "n")).alias("hub")).where("least <> most")
         out = written(grouped.join(several.select("key", "hub").hint("merge"), "key"), folder, f"apart{k}")
-        for unread in (f"groups{k}", f"grouped{k}"):
-            drop_dir(spark, f"{folder}/{unread}")
+        drop_all(spark, folder, f"groups{k}", f"grouped{k}")
         return out
 
     rest = apart("1")
     group_of_hub = rest.where("rep = hub.rep").select("key", c("group").alias("hub_group"))
-    second = rest.join(group_of_hub.hint("merge"), "key").where((c("group") != c("hub_group")) & near(c("n"), c("hub.n"))).select(c("rep").alias("a"), c("hub.rep").alias("b")).distinct()
+    second = rest.join(group_of_hub.hint("merge"), "key").where((c("group") != c("hub_group")) & _near(c("n"), c("hub.n"), percent)).select(c("rep").alias("a"), c("hub.rep").alias("b")).distinct()
     both_ways = lambda df: df.select("a", "b").union(df.select(c("b").alias("a"), c("a").alias("b")))
     second = written(second.join(both_ways(compared).hint("merge"), ["a", "b"], "left_anti"), folder, "second_pairs")
     if not second.isEmpty():
         links, compared = links.union(confirmed(second, docs, size, percent, folder, "second_links")), compared.union(second)
     rest = apart("2")
-    sizes = rest.groupBy("key", "group").count().groupBy("key").agg(F.max(F.struct("count", "group"))["group"].alias("main"))
-    marked = rest.join(sizes.hint("merge"), "key").select("key", "rep", "n", "group", "main")
-    x, y = marked.where("group <> main").alias("x"), marked.alias("y")
-    once = (c("y.group") == c("y.main")) | (c("x.rep") < c("y.rep"))  # two outside the main group meet twice
-    met = x.join(y, (c("x.key") == c("y.key")) & (c("x.group") != c("y.group")) & once & near(c("x.n"), c("y.n")))
-    met = met.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b"), F.least("x.group", "y.group").alias("u"), F.greatest("x.group", "y.group").alias("v"))
-    met = met.groupBy("a", "b").agg(F.count("*").alias("count"), F.first("u").alias("u"), F.first("v").alias("v"))
+    met = left_apart(rest, docs, size, percent, folder)
     pairs = written(met.join(both_ways(compared).hint("merge"), ["a", "b"], "left_anti"), folder, "pairs")
     if not pairs.isEmpty():
         lead = written(pairs.groupBy("u", "v").agg(F.max(F.struct("count", "a", "b")).alias("p")).select("u", "v", "p.a", "p.b"), folder, "lead")
@@ -201,8 +237,7 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: i
             links = links.union(confirmed(follow, docs, size, percent, folder, "follow_links"))
     signed = named.select(c("id.id").alias("id"), "n", "low", "high")
     out = of_documents(signed, classes.select("n", "low", "high", "rep"), links, folder, lambda rep: rep["id"])
-    for unread in ("shared", "apart1", "apart2", "pairs", "lead", "joined", "follow", "first_pairs", "second_pairs", "first_links", "second_links", "lead_links", "follow_links"):
-        drop_dir(spark, f"{folder}/{unread}")
+    drop_all(spark, folder, "shared", "apart1", "apart2", "rest_pairs", "pairs", "lead", "joined", "follow", "first_pairs", "second_pairs", "first_links", "second_links", "lead_links", "follow_links")
     return out.select(c("id").alias(doc_id), "n_shingles", "class_id", "component_id")
 
 
