@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -187,22 +188,33 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, weights, into="r").select("doc_id", *(F.col("r")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
-def _spans_sql(rule: secrets.Rule, rank: int) -> str:
+def _spans_sql(kind: str, rank: int, pattern: str, least: int, group: int = 0) -> str:
     """In SQL: a list of (start, rank, text) of a rule's matches, from the gaps between them."""
-    pattern = "'" + rule.pattern.replace("'", "''") + "'"
-    good = f"length(regexp_extract_all(t, {pattern}, {rule.group})[i]) >= {rule.least}" if rule.group else "TRUE"
+    pattern = "'" + pattern.replace("'", "''") + "'"
+    good = f"length(regexp_extract_all(t, {pattern}, {group})[i]) >= {least}" if group else "TRUE"
     size = f"list_sum(list_transform(string_split_regex(t, {pattern})[1:i], lambda g: length(g)))"
     start = f"CAST({size} + coalesce(list_sum(list_transform(regexp_extract_all(t, {pattern})[1:i - 1], lambda g: length(g))), 0) AS BIGINT)"
-    one = f"CASE WHEN {good} THEN {{'at': {start}, 'rank': {rank}, 'told': concat('{rule.kind}:', {start}, ':', {start} + length(m))}} END"
+    one = f"CASE WHEN {good} THEN {{'at': {start}, 'rank': {rank}, 'told': concat('{kind}:', {start}, ':', {start} + length(m))}} END"
     return f"CASE WHEN regexp_matches(t, {pattern}) THEN list_filter(list_transform(regexp_extract_all(t, {pattern}), lambda m, i: {one}), lambda x: x IS NOT NULL) ELSE [] END"
 
 
-_ALL_SPANS = "list_sort(list_concat(" + ", ".join(_spans_sql(r, i) for i, r in enumerate(secrets.RULES)) + "))"
-_BASE = f"list_filter(spans, lambda x: x.rank < {len(secrets.BASE)})"
+#: Without bounds of its repetitions, which nest too deep for this engine.
+_KEY_SQL = re.sub(r"\{0,\d+\}", "*", secrets.PRIVATE_KEY).replace("{1,400}", "+")
+#: The rules as they are asked for: kind, pattern, least length and the group that it is of; then what
+#: the method adds. AKIA[A-Z0-9]+ of 20 characters and [0-9a-f]+ of 24 are matches of these patterns.
+_RULES = (
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
+    ("access", "AKIA[A-Z0-9]{16,}", 20),
+    ("hex", "[0-9a-f]{24,}", 24),
+    ("private_key", _KEY_SQL, 0),
+    ("code_host", "gh[pousr]_[A-Za-z0-9]{36,}", 0),
+    ("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0),
+)
+_ALL_SPANS = "list_sort(list_concat(" + ", ".join(_spans_sql(k, i, p, *r) for i, (k, p, *r) in enumerate(_RULES)) + "))"
 ORACLES["op7_secret_scans"] = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (SELECT doc_id, {_ALL_SPANS} AS spans FROM d)
-SELECT doc_id, {", ".join(f"CAST(len(list_filter(spans, lambda x: x.rank = {i})) AS BIGINT) AS n_{r.kind}" for i, r in enumerate(secrets.BASE))},
- sha256(array_to_string(list_transform({_BASE}, lambda x: x.told), ',')) AS base_sha256, array_to_string(list_transform(spans, lambda x: x.told), ',') AS spans FROM s
+SELECT doc_id, {", ".join(f"CAST(len(list_filter(spans, lambda x: x.rank = {i})) AS BIGINT) AS n_{_RULES[i][0]}" for i in range(3))},
+ sha256(array_to_string(list_transform(list_filter(spans, lambda x: x.rank < 3), lambda x: x.told), ',')) AS base_sha256, array_to_string(list_transform(spans, lambda x: x.told), ',') AS spans FROM s
 """
 
 

@@ -1,11 +1,12 @@
 """Secret scans over an incremental blob ledger.
 
 Every historical version of a text is addressed by its content: sha256 of the text. A ledger, two
-Parquet tables in a folder, holds which (blob, rules version) pairs have been scanned and what was
-found in them. An update scans one representative text of each blob that the ledger lacks under
-the present rules, appends, and joins the findings back to all paths that hold the blob. It is
-DataFrame functions only: spans come from the lengths of a text's gaps between matches, added up in
-blocks, so that very long texts with very many matches take no square of time.
+Parquet tables in a folder, holds which (blob, rule version) pairs have been scanned and what was
+found in them, each in folders by rule version. An update scans one representative text of each blob
+under those rules only that the ledger lacks for it, appends, and joins the findings back to all paths
+that hold the blob: a changed rule is scanned anew, the others aren't, and versions that no rule has
+now aren't read. It is DataFrame functions only: spans come from the lengths of a text's gaps between
+matches, added up in blocks, so that very long texts with very many matches take no square of time.
 
 Cases: null texts count as empty and have no findings; a null path keeps its row; repeated rows
 keep theirs; an empty table gives an empty result; very long texts are scanned whole; other columns
@@ -44,23 +45,33 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+#: A private key: its BEGIN line, then lines of base64 or of headers up to its END line, or, where that
+#: is cut off, runs of 40 base64 characters or more. Lines may end in the two characters of an escaped
+#: line break, and a slash may be escaped, as in JSON. A mere mention of a BEGIN line is no key. Each
+#: piece can match in one way only, and repetitions have bounds, so that no text takes long.
+_BREAK = r"(?:\r|\n|\\[rn/])"
+_HEADER = r"[A-Za-z][A-Za-z-]{0,40}:[^\r\n\\]{0,200}"
+_LINES = rf"(?:[\x20\t]*(?:{_HEADER}|[A-Za-z0-9+/=]+[\x20\t]*)?{_BREAK}){{0,400}}[\x20\t]*[A-Za-z0-9+/=]*[\x20\t]*-----END [A-Z ]{{0,30}}PRIVATE KEY-----"
+_BLANK = r"(?:[\x20\t\r\n]|\\[rnt])"
+_RUNS = rf"(?:{_BLANK}{{0,16}}{_HEADER}{_BREAK}){{0,8}}(?:{_BLANK}{{0,16}}[A-Za-z0-9+/=]{{40,}}){{1,400}}"
+PRIVATE_KEY = rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----(?:{_LINES}|{_RUNS})"
 #: What the method adds: formats that nothing but a credential has.
 ADDED = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 RULES = BASE + ADDED
 
 
-def version_of(rules: tuple[Rule, ...]) -> str:
+def version_of(rule: Rule) -> str:
     import hashlib
 
-    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+    return f"{rule.kind}-{hashlib.sha256(repr(rule).encode()).hexdigest()[:16]}"
 
 
 #: Elements of an array that are added up one by one; longer ones by blocks of so many.
-ADDED = 64
+ADDED_UP = 64
 
 
 def running(numbers: Column) -> Column:
@@ -71,14 +82,14 @@ def running(numbers: Column) -> Column:
     simple = lambda x, start: F.aggregate(x, start, lambda a, n: F.concat(a, F.array(F.when(F.size(a) > 0, F.element_at(a, -1)).otherwise(F.lit(0)) + n)))
 
     def blocks(x: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / ADDED).cast("int")), lambda k: F.slice(x, k * ADDED + 1, ADDED))
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / ADDED_UP).cast("int")), lambda k: F.slice(x, k * ADDED_UP + 1, ADDED_UP))
         return let(F.transform(parts, lambda p: simple(p, empty)), moved)
 
     def moved(sums: Column) -> Column:
         ends = simple(F.transform(sums, lambda p: last(p)), empty)
         return let(ends, lambda e: F.flatten(F.transform(sums, lambda p, k: F.transform(p, lambda n: n + F.when(k > 0, F.get(e, k - 1)).otherwise(F.lit(0))))))
 
-    return F.when(F.size(numbers) <= ADDED, simple(numbers, empty)).otherwise(blocks(numbers))
+    return F.when(F.size(numbers) <= ADDED_UP, simple(numbers, empty)).otherwise(blocks(numbers))
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
@@ -99,51 +110,61 @@ def spans_of(text: Column, rule: Rule) -> Column:
     return F.when(text.rlike(rule.pattern), let(parts, found)).otherwise(F.array().cast(SPANS))
 
 
-def all_spans(text: Column, rules: tuple[Rule, ...]) -> Column:
-    """Spans of all rules by start, then in the order of the rules."""
-
-    def ranked(rank: int, rule: Rule) -> Column:
-        return F.transform(spans_of(text, rule), lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s.alias("span")))
-
-    return F.transform(F.array_sort(F.concat(*(ranked(i, r) for i, r in enumerate(rules)))), lambda x: x["span"])
+def by_place(spans: Column, rules: tuple[Rule, ...]) -> Column:
+    """Spans by start, then in the order of the rules."""
+    kinds = F.array(*(F.lit(r.kind) for r in rules))
+    ranked = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(kinds, s["kind"]).alias("rank"), s.alias("span")))
+    return F.transform(F.array_sort(ranked), lambda x: x["span"])
 
 
 def address(text: Column) -> Column:
-    return F.sha2(F.coalesce(text, F.lit("")), 256)
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 class Ledger:
     """What has been scanned and found, in folder: shared storage on a cluster."""
 
     def __init__(self, spark: SparkSession, folder: str, rules: tuple[Rule, ...] = RULES):
-        self.spark, self.folder, self.rules, self.version = spark, folder, rules, version_of(rules)
+        self.spark, self.folder, self.rules = spark, folder, rules
+        self.versions = [version_of(r) for r in rules]
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        if there:
-            return self.spark.read.schema(schema).parquet(str(path))
+        """A table's rows under the present rules; the folders of others aren't listed."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        paths = []
+        for v in self.versions:
+            path = hadoop(f"{self.folder}/{name}/rule={v}")
+            if path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+                paths.append(str(path))
+        if paths:
+            return self.spark.read.schema(schema).option("basePath", f"{self.folder}/{name}").parquet(*paths)
         return self.spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)))
 
     def scanned(self) -> DataFrame:
-        return self._read("scanned", "blob string, rules string")
+        """blob and rule, a version of the present ones."""
+        return self._read("scanned", "blob binary, rule string")
 
     def findings(self) -> DataFrame:
         """blob and spans, one row a blob with any, under the present rules."""
-        rows = self._read("findings", f"blob string, rules string, spans {SPANS}")
-        return rows.where(F.col("rules") == self.version).groupBy("blob").agg(F.first("spans").alias("spans"))
+        rows = self._read("findings", f"blob binary, spans {SPANS}, rule string")
+        once = rows.groupBy("blob", "rule").agg(F.first("spans").alias("spans"))
+        return once.groupBy("blob").agg(by_place(F.flatten(F.collect_list("spans")), self.rules).alias("spans"))  # a row for each rule at most
 
     def update(self, versions: DataFrame, *, path: str = "path", text: str = "text") -> None:
-        """Scan the blobs of versions that are new under the rules. Texts are shuffled by path to
-        meet their blob's representative, so many paths with one blob aren't gathered."""
+        """Scan each blob of versions under the rules that are new to it. Texts are shuffled by path
+        to meet their blob's representative, so many paths with one blob aren't gathered."""
         named = versions.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", address(F.col("text")))
-        seen = self.scanned().where(F.col("rules") == self.version).select("blob")
-        new = named.groupBy("blob").agg(F.min("path").alias("path")).join(seen, "blob", "left_anti")
-        new = new.select(F.col("blob").alias("b"), F.col("path").alias("p"))
+        every = F.array(*map(F.lit, self.versions))
+        seen = self.scanned().groupBy("blob").agg(F.collect_set("rule").alias("seen"))  # as many as there are rules
+        new = named.groupBy("blob").agg(F.min("path").alias("path")).join(seen, "blob", "left")
+        new = new.select(F.col("blob").alias("b"), F.col("path").alias("p"), F.when(F.col("seen").isNull(), every).otherwise(F.array_except(every, "seen")).alias("open")).where(F.size("open") > 0)
         texts = named.join(new, (F.col("blob") == F.col("b")) & F.col("path").eqNullSafe(F.col("p")))
-        found = texts.select("blob", F.lit(self.version).alias("rules"), all_spans(F.col("text"), self.rules).alias("spans"))
-        found.where(F.size("spans") > 0).write.mode("append").parquet(f"{self.folder}/findings")
-        new.select(F.col("b").alias("blob"), F.lit(self.version).alias("rules")).write.mode("append").parquet(f"{self.folder}/scanned")
+        none = F.array().cast(SPANS)
+        of_rule = lambda rule, v: F.struct(F.lit(v).alias("rule"), F.when(F.array_contains("open", v), spans_of(F.col("text"), rule)).otherwise(none).alias("spans"))
+        found = texts.select("blob", F.explode(F.array(*(of_rule(r, v) for r, v in zip(self.rules, self.versions)))).alias("f"))
+        found.select("blob", "f.spans", "f.rule").where(F.size("spans") > 0).write.mode("append").partitionBy("rule").parquet(f"{self.folder}/findings")
+        done = new.select(F.col("b").alias("blob"), F.explode("open").alias("rule"))
+        done.write.mode("append").partitionBy("rule").parquet(f"{self.folder}/scanned")
 
     def attach(self, df: DataFrame, *, text: str = "text", into: str = "spans") -> DataFrame:
         """df with the spans of each row's text, from the ledger; an empty array where none."""
@@ -163,7 +184,7 @@ def redact(text: Column, spans: Column) -> Column:
     def reached(ends: Column) -> Column:
         """The greatest end up to and including each, by blocks."""
         upto = lambda p: F.aggregate(p, none, lambda a, n: F.concat(a, F.array(F.greatest(F.coalesce(F.element_at(F.concat(F.array(F.lit(0)), a), -1), F.lit(0)), n))))
-        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(ends) - 1) / ADDED).cast("int")), lambda k: F.slice(ends, k * ADDED + 1, ADDED))
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(ends) - 1) / ADDED_UP).cast("int")), lambda k: F.slice(ends, k * ADDED_UP + 1, ADDED_UP))
         tops = lambda ps: F.struct(ps.alias("parts"), upto(F.transform(ps, highest)).alias("tops"))
         return let(let(parts, tops), lambda x: F.flatten(F.transform(x["parts"], lambda p, k: F.transform(upto(p), lambda n: F.greatest(n, F.when(k > 0, F.get(x["tops"], k - 1)).otherwise(F.lit(0)))))))
 
