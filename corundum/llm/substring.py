@@ -21,8 +21,8 @@ are texts that occur twice, whatever their ids; null ids are kept; an empty tabl
 result; very long texts are read whole; other columns aren't read.
 
 Names are hashes of what they name: a round names runs and pairs alike in every task, so the naming
-is global without being shuffled. Words have 128 bits, anchors 64, windows 128, and texts with
-their ids 64: of 10^10 rows about three pairs share a key and are judged as one another.
+is global without being shuffled. Words, windows and texts with their ids have 128 bits, anchors 64: two
+anchors that share a name by chance count as repeated, and their windows are then counted.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corundum.llm.common import claim, map_arrow, map_texts, work_dir, written
@@ -42,6 +42,8 @@ ANCHOR, ROUNDS = 6, 10
 CACHE_SIZE = 1 << 19
 #: Parts that the rows of one text are split into.
 SALTS = 32
+#: What a row goes by between stages.
+KEY = ["key", "key2"]
 U = np.uint64
 
 
@@ -177,35 +179,44 @@ def _marked(n: int, ranges: list[int]) -> np.ndarray:
     return out
 
 
+def row_key(half: int, doc_id: Column, text: Column) -> Column:
+    """One half of the 128 bits that a row goes by."""
+    return F.xxhash64(F.lit(half), doc_id, text)
+
+
 def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept: each text without the words of windows that also start
     elsewhere, its other words joined by one space."""
     spark = docs.sparkSession
     folder = work_dir(spark)
-    keyed = docs.select(F.xxhash64(doc_id, text).alias("key"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    id_, text_ = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    keyed = docs.select(*(row_key(k, id_, text_).alias(n) for k, n in enumerate(KEY)), id_.alias("id"), text_.alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
+            texts = [(t or "").encode().split() for t in batch.column(2).to_pylist()]
             names, _, first = _names.of(texts)
             name, lo, hi = anchors(names, first[1:] - 1)
             k = np.searchsorted(first, lo, "right") - 1  # lo is a break or -1 where the span reaches one
             inside = (hi - lo <= window) & (lo >= 0) & (hi < first[np.minimum(k + 1, len(first) - 1)]) & (lo != first[np.minimum(k + 1, len(first) - 1)] - 1)
             name, lo, hi, k = name[inside], lo[inside], hi[inside], k[inside]
-            keys = batch.column(0).to_numpy(zero_copy_only=False)[k]
+            keys = [pa.array(batch.column(i).to_numpy(zero_copy_only=False)[k], pa.int64()) for i in range(2)]
             span = (lo - first[k]) << 8 | (hi - lo)
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(keys, pa.int64()), pa.array(span, pa.int64())], names=["name", "key", "span"])
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), *keys, pa.array(span, pa.int64())], names=["name", *KEY, "span"])
 
     if window >= 256:
         raise ValueError("a span is packed with its length in 8 bits")
-    found = map_arrow(keyed.select("key", "text"), find, "name bigint, key bigint, span bigint")
-    once = found.groupBy("name").agg(F.count("*").alias("c"), F.min("key").alias("key"), F.min("span").alias("span")).where("c = 1")
-    digest = keyed.select("key", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"), F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"))
-    twice = digest.groupBy("digest").agg(F.count("*").alias("c"), F.min("key").alias("main")).where("c > 1")
-    twice = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a third of all rows may be one text
-    copies = digest.join(twice, ["digest", "salt"]).select("key", F.when(F.col("key") == F.col("main"), 1).otherwise(2).alias("copy")).distinct()
-    of_key = once.select("key", "span", F.lit(0).alias("copy")).unionByName(copies.select("key", F.lit(None).cast("bigint").alias("span"), "copy"))
-    of_key = of_key.groupBy("key").agg(F.collect_list("span").alias("spans"), F.max("copy").alias("copy"))
+    found = map_arrow(keyed.select(*KEY, "text"), find, "name bigint, key bigint, key2 bigint, span bigint")
+    least = lambda names: [F.min(n).alias(n) for n in names]  # noqa: E731  of one row, where it is alone
+    once = found.groupBy("name").agg(F.count("*").alias("c"), *least([*KEY, "span"])).where("c = 1")
+    # A third of all rows may be one text, under one id or none: rows are salted by their number.
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    digest = keyed.select(*KEY, F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"), salt.alias("salt"))
+    twice = digest.groupBy("digest").agg(F.count("*").alias("c"), F.min(F.struct(*KEY)).alias("main")).where("c > 1")
+    twice = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = digest.join(twice, ["digest", "salt"]).select(*KEY, F.when(F.struct(*KEY) == F.col("main"), 1).otherwise(2).alias("copy")).distinct()
+    of_key = once.select(*KEY, "span", F.lit(0).alias("copy")).unionByName(copies.select(*KEY, F.lit(None).cast("bigint").alias("span"), "copy"))
+    of_key = of_key.groupBy(*KEY).agg(F.collect_list("span").alias("spans"), F.max("copy").alias("copy"))
 
     def single(rows: list) -> list[list]:
         """Ranges of window starts that hold an anchor that occurs once."""
@@ -216,13 +227,13 @@ def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
             out.append(_merge((lo + (s & 255) - window).tolist(), (lo + 1).tolist()))
         return [out]
 
-    known = written(map_texts(of_key, "spans", single, [("single", "array<int>")], ["key", "copy"]), folder, "known")
-    packed = map_texts(keyed, "text", lambda rows: [list(map(_pack, rows))], [("z", "binary")], ["key", "id"])
-    first_look = packed.select("key", "z").join(known, "key", "left").where("copy is null or copy < 2")
+    known = written(map_texts(of_key, "spans", single, [("single", "array<int>")], [*KEY, "copy"]), folder, "known")
+    packed = map_texts(keyed, "text", lambda rows: [list(map(_pack, rows))], [("z", "binary")], [*KEY, "id"])
+    first_look = packed.select(*KEY, "z").join(known, KEY, "left").where("copy is null or copy < 2")
 
     def name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, z, copy, ranges = (batch.column(i).to_pylist() for i in range(4))
+            z, copy, ranges = (batch.column(i).to_pylist() for i in range(2, 5))
             texts = [_unpack(x).split() for x in z]
             low, high, first = _names.of(texts)
             n = len(low) - window + 1
@@ -240,12 +251,13 @@ def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
                 continue
             a, b = _windows(low, high, window)
             k = np.searchsorted(first, at, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64)), pa.array(np.array(key, np.int64)[k]), pa.array((at - first[k]).astype(np.int32)), pa.array(weight[at])], names=["a", "b", "key", "at", "weight"])
+            keys = [pa.array(batch.column(i).to_numpy(zero_copy_only=False)[k]) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64)), *keys, pa.array((at - first[k]).astype(np.int32)), pa.array(weight[at])], names=["a", "b", *KEY, "at", "weight"])
 
-    windows = map_arrow(first_look.select("key", "z", "copy", "single"), name_windows, "a bigint, b bigint, key bigint, at int, weight int")
-    alone = windows.groupBy("a", "b").agg(F.sum("weight").alias("c"), F.min("key").alias("key"), F.min("at").alias("at")).where("c = 1")
-    alone = alone.groupBy("key").agg(F.collect_list("at").alias("alone"))
-    facts = known.select("key", "copy", "single").join(alone, "key", "full")
+    windows = map_arrow(first_look.select(*KEY, "z", "copy", "single"), name_windows, "a bigint, b bigint, key bigint, key2 bigint, at int, weight int")
+    alone = windows.groupBy("a", "b").agg(F.sum("weight").alias("c"), *least([*KEY, "at"])).where("c = 1")
+    alone = alone.groupBy(*KEY).agg(F.collect_list("at").alias("alone"))
+    facts = known.select(*KEY, "copy", "single").join(alone, KEY, "full")
 
     def remove(rows: list) -> list[list]:
         n_words, n_removed, kept = [], [], []
@@ -269,6 +281,6 @@ def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
             kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if n_removed[-1] else words).decode())
         return [n_words, n_removed, kept]
 
-    last = packed.join(facts, "key", "left").select(F.col("id"), F.struct("z", "copy", "single", "alone").alias("all"))
+    last = packed.join(facts, KEY, "left").select(F.col("id"), F.struct("z", "copy", "single", "alone").alias("all"))
     out = map_texts(last, "all", remove, [("n_words", "bigint"), ("n_removed", "bigint"), ("kept", "string")], ["id"])
     return out.select(F.col("id").alias(doc_id), "n_words", "n_removed", "kept")
