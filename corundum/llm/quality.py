@@ -29,6 +29,8 @@ BUCKETS = 1 << 16
 #: between lets a language be labelled good half as often as the others without being taken for junk.
 THRESHOLD = -0.6
 SYMBOLS = "#*$%&|<>"
+#: Ids of good documents that are broadcast at most: some MB.
+FEW_IDS = 200_000
 
 
 def n_grams(word: Column) -> Column:
@@ -81,19 +83,26 @@ def base_rules(text: Column, score: Callable[[Column], Column] | None = None) ->
     ))
 
 
+def _counts(words: DataFrame) -> dict[int, int]:
+    """N-grams by bucket, of a table of words w. Words repeat, so they are counted before they are cut."""
+    counted = words.groupBy("w").count()
+    hashed = counted.select("count", "w", F.explode(F.sequence(F.lit(1), n_grams(F.col("w")))).alias("at")).select("count", bucket(F.col("w"), F.col("at")).alias("b"))
+    return {r["b"]: r["n"] for r in hashed.groupBy("b").agg(F.sum("count").alias("n")).collect()}  # BUCKETS rows at most
+
+
 def log_ratios(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> list[float]:
-    """log p(target) - log p(raw) of each bucket, over all documents. Texts are shuffled to meet
-    the labels, as their n-grams would take more room; labels grow with the corpus, so they are
-    never broadcast, whatever the planner takes their size for."""
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("id")).distinct().withColumn("good", F.lit(1))
-    words = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(good.hint("merge"), "id", "left").select("good", F.explode(words_of(F.col("text"))).alias("w"))
-    hashed = words.select("good", "w", F.explode(F.sequence(F.lit(1), n_grams(F.col("w")))).alias("at")).select("good", bucket(F.col("w"), F.col("at")).alias("b"))
-    counts = hashed.groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
-    raw, target = [1] * BUCKETS, [1] * BUCKETS
-    for row in counts.collect():  # BUCKETS rows at most
-        raw[row["b"]] += row["raw"]
-        target[row["b"]] += row["target"]
-    if sum(target) == BUCKETS:
+    """log p(target) - log p(raw) of each bucket, over all documents. The raw corpus is counted where
+    it lies; of the target only texts that a label is called good for go on, by a semi-join. Its ids
+    are broadcast where they are counted to be few, else both sides meet by a merge join, for which
+    the planner filters the texts by a sketch of the ids."""
+    docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("id")).distinct()
+    few = good.limit(FEW_IDS + 1).count() <= FEW_IDS
+    words = lambda df: df.select(F.explode(words_of(F.col("text"))).alias("w"))
+    raw_of = _counts(words(docs))
+    target_of = _counts(words(docs.join(good.hint("broadcast" if few else "merge"), "id", "left_semi")))
+    raw, target = ([1 + of.get(b, 0) for b in range(BUCKETS)] for of in (raw_of, target_of))
+    if not target_of:
         return [0.0] * BUCKETS
     log_sum = math.log(sum(target)) - math.log(sum(raw))
     return [math.log(t) - math.log(r) - log_sum for t, r in zip(target, raw)]
