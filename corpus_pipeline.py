@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corundum.llm import bpe, decontaminate, ngram_join, quality, secrets
-from corundum.llm.common import free_name, table, work_dir, written
+from corundum.llm.common import drop_all, free_name, table, work_dir, written
 from corundum.llm.queries import tokenizer
 
 
@@ -72,8 +72,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), work_dir(spark)
+    before = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), folder, name)
+        if before:  # nothing reads it any more
+            drop_all(spark, folder, before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corundum.functions import chemistry as chem
 from corundum.functions.core import once
+from corundum.functions.smiles import structure
 from corundum.functions.values import stable_id
 from corundum.schemas import MISSING
 
@@ -104,10 +105,10 @@ def measurements(tables: DataFrame, rows: DataFrame, plans: DataFrame | None = N
 
 def structures(evidence: DataFrame) -> DataFrame:
     """doc_id, compound_id, smiles_evidence_id, smiles, canonical_smiles and confidence of evidence
-    that holds a structure. The canonical form is the given one: no toolkit is at hand."""
+    that holds a structure. A text that is no structure is its own canonical form."""
     c = F.col
     found = evidence.where("source_type = 'chemical_structure_smiles'").select("doc_id", c("evidence_id").alias("smiles_evidence_id"), chem.compound_of_smiles(c("metadata"), c("text"), c("caption")).alias("compound_id"), chem.smiles_of_text(c("text")).alias("smiles"), "confidence")
-    return found.where("compound_id is not null and smiles is not null").withColumn("canonical_smiles", c("smiles"))
+    return found.where("compound_id is not null and smiles is not null").withColumn("canonical_smiles", F.coalesce(structure(c("smiles"))["canonical"], c("smiles")))
 
 
 def compound_links(measured: DataFrame, smiles: DataFrame) -> DataFrame:

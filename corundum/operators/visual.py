@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corundum.functions.core import once
+from corundum.functions.smiles import structure
 from corundum.functions.values import strip
 from corundum.schemas import MISSING
 
@@ -163,8 +164,9 @@ def quality_flags(smiles: Column, confidence: Column) -> Column:
 
 
 def validity(smiles: Column, checked: Column | None = None) -> Column:
-    """valid, invalid or not_checked; checked is what a toolkit says (null: it wasn't asked)."""
-    told = checked if checked is not None else F.lit(None).cast("boolean")
+    """valid, invalid or not_checked. checked is what a toolkit says (null: it wasn't asked); without
+    it the text is parsed."""
+    told = checked if checked is not None else structure(smiles)["status"] == "valid"
     return F.when((smiles == "") | F.contains(smiles, F.lit("*")), "invalid").when(told.isNull(), "not_checked").when(told, "valid").otherwise("invalid")
 
 

@@ -1,13 +1,21 @@
-"""Folders that all executors share."""
+"""Folders that all executors share.
+
+A folder of intermediate tables belongs to the job that asked for it. Tables that nothing reads any more
+are removed at once; what a result still reads stays until the session's JVM ends, which removes it. A
+JVM that is killed can't: vacuum() removes what is older than any job that may still read it."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Of the names of folders of intermediate tables.
+PREFIX = "tables-"
+
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir. Only a local session may do without that setting:
@@ -17,7 +25,23 @@ def scratch(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "corundum-work")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{PREFIX}{uuid.uuid4().hex}"
+    fs, p = _at(spark, folder)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return folder
+
+
+def vacuum(spark: SparkSession, base: str, hours: float) -> int:
+    """Remove folders of intermediate tables below base that are older than so many hours: those of
+    sessions that were killed. Returns how many."""
+    fs, p = _at(spark, base)
+    if not fs.exists(p):
+        return 0
+    old = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith(PREFIX) and s.getModificationTime() < (time.time() - hours * 3600) * 1000]
+    for x in old:
+        fs.delete(x, True)
+    return len(old)
 
 
 def _at(spark: SparkSession, path: str) -> tuple:
