@@ -288,3 +288,14 @@ def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = blocks.select(F.concat("evidence_id", F.when(c("source_type") == "table_row", "").otherwise("x")).alias("evidence_id"), "doc_id", c("evidence_id").alias("row_id"))
     store.write("table_rows", store.attach_rows(rows, store.read("evidence_blocks")).where("evidence_id not like '%x'"))
     return store.table_counts("evidence_blocks", "figures", "table_rows")
+
+
+@query(f"""WITH b AS ({BLOCKS}), v AS (SELECT 1 AS version, source_type FROM b UNION ALL SELECT 2, source_type FROM b WHERE CAST(doc_id AS INT) % 2 <> 0 OR coalesce(source_type, '') <> 'table_row'
+ UNION ALL SELECT 3, source_type FROM b WHERE (CAST(doc_id AS INT) % 2 <> 0 OR coalesce(source_type, '') <> 'table_row') AND CAST(doc_id AS INT) % 3 <> 0) SELECT version, source_type, count(*) AS n FROM v GROUP BY 1, 2""")
+def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the store held after each of three changes, read after all of them."""
+    store, blocks = _store(spark, sf_dir)
+    store.clear("evidence_blocks", blocks.where("CAST(doc_id AS INT) % 2 = 0"), source_type="table_row")
+    store.reset(blocks.where("CAST(doc_id AS INT) % 3 = 0"))
+    of = lambda v: store.at(v).read("evidence_blocks").groupBy("source_type").agg(F.count("*").alias("n")).select(F.lit(v).alias("version"), "source_type", "n")
+    return of(1).union(of(2)).union(of(3))
