@@ -115,3 +115,12 @@ def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = tables.read_text(spark, f"{out}/k=*", limit=12).select(name.alias("name"), c("text").alias("head"))
     body = F.regexp_replace(F.decode("content", "utf-8"), "\x01", "")
     return files.select(name.alias("name"), F.when(F.sha2("content", 256) == c("sha256"), F.sha2(body, 256)).alias("sha256")).join(texts, "name")
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) AS nth, CAST(c_custkey AS VARCHAR) AS k, concat(c_name, chr(10), '\"', c_mktsegment, '\"') AS note FROM customer")
+def quoted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of files whose values go over lines, in the order of the files."""
+    out = f"{scratch(spark)}/notes.csv"
+    rows = view(spark, sf_dir, "SELECT c_custkey, concat(c_name, chr(10), '\"', c_mktsegment, '\"') AS note FROM {customer}")
+    rows.orderBy("c_custkey").write.csv(out, header=True, escape='"', quoteAll=True)
+    return tables.read_rows(spark, out, "d").select("nth", c("row")["c_custkey"].alias("k"), c("row")["note"].alias("note"))

@@ -7,44 +7,81 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corundum.functions.values import clean_article, strip
 from corundum.schemas import MISSING
+from corundum.sources.quoted import read_quoted
 
 #: Limits of uploads, as their readers state them.
 MAX_BYTES, MAX_ARCHIVE_BYTES, MAX_PDFS, TEXT_LIMIT = 50 * 2**20, 120 * 2**20, 12, 250_000
+#: Of a column that holds the place of a row.
+NTH = "__nth__"
 SUFFIXES = (".csv", ".tsv", ".pdf", ".txt", ".md", ".zip")
 
 
 def read_table(spark: SparkSession, path: str, *, separator: str | None = None, multiline: bool | None = None) -> DataFrame:
     """A CSV or TSV file with a header: every value a stripped string, nothing inferred. A file is
-    split among tasks unless a value may go over lines (multiline; None: looked for first)."""
-    sep = separator or ("\t" if path.lower().endswith(".tsv") else ",")
+    split among tasks, also where values go over lines (multiline; None: looked for first)."""
+    sep, multiline = _form(spark, path, separator, multiline)
+    if multiline:
+        return _stripped(read_quoted(spark, path, sep))
+    return _stripped(spark.read.csv(path, header=True, sep=sep, inferSchema=False, escape='"', mode="PERMISSIVE"))
+
+
+def _form(spark: SparkSession, path: str, separator: str | None, multiline: bool | None) -> tuple[str, bool]:
     if multiline is None:  # a quote left open at the end of a line
         lone = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
         multiline = not spark.read.text(path).where(lone % 2 == 1).limit(1).isEmpty()
-    df = spark.read.csv(path, header=True, sep=sep, inferSchema=False, multiLine=multiline, escape='"', mode="PERMISSIVE")
+    return separator or ("\t" if path.lower().endswith(".tsv") else ","), multiline
+
+
+def _stripped(df: DataFrame) -> DataFrame:
     names = [x.lstrip("\ufeff").strip() for x in df.columns]
     return df.toDF(*names).select(*(strip(F.col(f"`{x}`")).alias(x) for x in names))
 
 
+def read_rows(spark: SparkSession, path: str, doc_id: str, *, separator: str | None = None) -> DataFrame:
+    """as_rows() of a CSV or TSV file, also where values go over lines."""
+    sep, multiline = _form(spark, path, separator, None)
+    if not multiline:
+        return as_rows(read_table(spark, path, separator=sep, multiline=False), doc_id)
+    return _mapped(_stripped(read_quoted(spark, path, sep, numbered=NTH)), doc_id, NTH)
+
+
 def preview(df: DataFrame, limit: int = 8) -> DataFrame:
     return df.limit(limit)
 
 
+def file_order(df: DataFrame, name: str) -> DataFrame:
+    """df, as it is read from files, with name: the place of each row, from 1 on, in the order of
+    files, their splits and the rows within; the same however the files are split. Rows of a split are
+    numbered in a row by their task, so a table of a row a split with the rows before it is all that
+    is needed. Of a df that no file stands behind the partitions are taken for splits."""
+    try:
+        split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+        df.select(*split)
+    except AnalysisException:
+        split = [F.lit("").alias("file"), F.spark_partition_id().cast("bigint").alias("block")]
+    rows = df.select("*", *split, F.monotonically_increasing_id().alias("at"))
+    sizes = rows.groupBy("file", "block").agg(F.min("at").alias("start"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(sizes.select("file", "block", "start", before.alias("before")), ["file", "block"])
+    return placed.select(*(F.col(f"`{x}`") for x in df.columns), (F.col("before") + F.col("at") - F.col("start") + 1).alias(name))
+
+
 def as_rows(df: DataFrame, doc_id: str) -> DataFrame:
     """doc_id, nth, row: a table as maps of header to value, for readers that don't know its header.
-    df is a file as it is read: nth counts from 1 in its order, whose parts are numbered; the driver
-    is told the rows of each part."""
-    pairs = F.map_from_arrays(F.array(*(F.lit(c) for c in df.columns)), F.array(*(F.col(f"`{c}`").cast("string") for c in df.columns)))
-    rows = df.select(pairs.alias("row"), F.monotonically_increasing_id().alias("at"))
-    part = F.shiftright("at", 33)
-    sizes = {r["part"]: r["n"] for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # one a partition
-    before = F.create_map(*(F.lit(x) for p in sizes for x in (p, sum(n for q, n in sizes.items() if q < p)))) if sizes else F.create_map().cast("map<bigint,bigint>")
-    nth = F.element_at(before, part) + F.col("at").bitwiseAND((1 << 33) - 1) + 1
-    return rows.select(F.lit(doc_id).alias("doc_id"), nth.cast("bigint").alias("nth"), "row")
+    df is a file as it is read: nth counts from 1 in its order."""
+    return _mapped(file_order(df, NTH), doc_id, NTH)
+
+
+def _mapped(df: DataFrame, doc_id: str, nth: str) -> DataFrame:
+    names = [x for x in df.columns if x != nth]
+    pairs = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.col(f"`{x}`").cast("string") for x in names)))
+    return df.select(F.lit(doc_id).alias("doc_id"), F.col(f"`{nth}`").cast("bigint").alias("nth"), pairs.alias("row"))
 
 
 def read_text(spark: SparkSession, path: str, *, limit: int = TEXT_LIMIT) -> DataFrame:
@@ -117,7 +154,7 @@ def open_articles(frame: DataFrame, *, ids: tuple[str, ...] = ("pdf",)) -> DataF
     have = [c for c in ids if c in frame.columns]
     if "doi" not in frame.columns or not have:
         return frame.sparkSession.range(0).select(F.lit("").alias("doi"), F.lit("").alias("pdf_id"), F.col("id").alias("first"))
-    out = rows.select(given("doi").alias("doi"), F.coalesce(*map(given, have)).alias("pdf_id"), F.monotonically_increasing_id().alias("at"))
+    out = file_order(rows, NTH).select(given("doi").alias("doi"), F.coalesce(*map(given, have)).alias("pdf_id"), F.col(NTH).alias("at"))
     return out.where("doi is not null and pdf_id is not null").groupBy("doi", "pdf_id").agg(F.min("at").alias("first"))
 
 

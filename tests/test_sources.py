@@ -1,9 +1,12 @@
+import csv
 import io
+import random
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from corundum.sources import tables, web
+from corundum.sources import quoted, tables, web
 from corundum.streaming import job_events
 
 
@@ -81,3 +84,71 @@ def test_job_stream(spark, tmp_path):
     assert q.awaitTermination(120)
     got = spark.sql("SELECT event_id, status FROM told ORDER BY event_id").collect()
     assert [tuple(r) for r in got] == [(1, "queued"), (2, "running"), (4, "running"), (5, "completed"), (8, "queued"), (9, "cancelled")]
+
+
+def split_at(spark, size, fn):
+    """fn() with files split at so many bytes."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        return fn()
+    finally:
+        spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_quoted_files_are_split(spark, tmp_path, seed):
+    """Random quotes, separators and line breaks in values: equal to the reader that reads a file in
+    one task, at every size of splits, in the order of the file."""
+    rng = random.Random(seed)
+    pieces = ['"', '""', "\n", "\r\n", ",", "a", "bc d", " ", "é", "\n\n", '"\n"', ";"]
+    rows = [["".join(rng.choices(pieces, k=rng.randint(0, 8))) for _ in range(3)] for _ in range(150)]
+    with (tmp_path / "q.csv").open("w", newline="", encoding="utf-8") as f:
+        w = csv.writer(f, quoting=csv.QUOTE_ALL if seed % 2 else csv.QUOTE_MINIMAL, lineterminator="\r\n" if seed == 2 else "\n")
+        w.writerow(["k", "v", "w"])
+        w.writerows([[f"r{i}", *r[1:]] for i, r in enumerate(rows)])
+    path = str(tmp_path / "q.csv")
+    whole = spark.read.csv(path, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).collect()
+    want = [tuple(r) for r in whole]
+    assert len(want) == 150
+    for size in (60, 333, 10**6):
+        found = split_at(spark, size, lambda: quoted.read_quoted(spark, path, ",", numbered="nth").collect())
+        told = [tuple(r)[1:] for r in sorted(found, key=lambda r: r.nth)]
+        if seed == 2:  # the other reader turns line breaks within values into one form
+            told = [tuple(x and x.replace("\r\n", "\n") for x in r) for r in told]
+        assert told == want
+        assert sorted(r.nth for r in found) == list(range(1, 151))
+    parts = split_at(spark, 60, lambda: spark.read.text(path, lineSep="\n").rdd.getNumPartitions())
+    assert parts > 20
+
+
+def test_many_splits_meet_their_lines_by_a_merge_join(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quoted, "FEW_SPLITS", 3)
+    (tmp_path / "q").mkdir()
+    for k in range(3):
+        (tmp_path / f"q/{k}.csv").write_text("k,v\n" + "".join(f'{k}-{i},"a\n{i}\nb"\n\n' for i in range(60)))
+    found = split_at(spark, 100, lambda: quoted.read_quoted(spark, str(tmp_path / "q"), ",", numbered="nth").collect())
+    assert {r.nth: (r.k, r.v) for r in found} == {1 + 60 * k + i: (f"{k}-{i}", f"a\n{i}\nb") for k in range(3) for i in range(60)}
+
+
+def test_a_quote_that_is_never_closed(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('k,v\n1,a\n2,"b\n3,c\n4,d\n')
+    found = split_at(spark, 8, lambda: {r.k: r.v for r in tables.read_table(spark, str(tmp_path / "q.csv")).collect()})
+    assert found["1"] == "a" and set(found) == {"1", "2"} and "4,d" in found["2"]
+
+
+def test_order_of_files_at_every_size_of_splits(spark, tmp_path):
+    (tmp_path / "n").mkdir()
+    for k in range(4):
+        (tmp_path / f"n/{k}.csv").write_text("k,v\n" + "".join(f"{k}-{i},x\n" for i in range(50 * k)))
+    (tmp_path / "m.csv").write_text("k,v\n" + "".join(f'{i},"x\n"\n' for i in range(90)))
+    want = {f"{k}-{i}" for k in range(4) for i in range(50 * k)}
+    orders = [split_at(spark, size, lambda: {r.row["k"]: r.nth for r in tables.read_rows(spark, str(tmp_path / "n"), "d").collect()}) for size in (64, 1000, 10**7)]
+    assert orders[0] == orders[1] == orders[2] and set(orders[0]) == want
+    assert [k for k, _ in sorted(orders[0].items(), key=lambda x: x[1])] == [f"{k}-{i}" for k in range(4) for i in range(50 * k)]
+    lines = split_at(spark, 64, lambda: {r.row["k"]: r.nth for r in tables.read_rows(spark, str(tmp_path / "m.csv"), "d").collect()})
+    assert lines == {str(i): i + 1 for i in range(90)}
+    (tmp_path / "t.csv").write_text("doi,pdf,access\n" + "".join(f"d{i % 40},p{i % 40},1\n" for i in range(200)))
+    firsts = [split_at(spark, size, lambda: {r.doi: r["first"] for r in tables.open_articles(tables.read_table(spark, str(tmp_path / "t.csv"))).collect()}) for size in (50, 10**7)]
+    assert firsts[0] == firsts[1] == {f"d{i}": i + 1 for i in range(40)}
