@@ -4,6 +4,7 @@ factory of a function of system text, prompt and images."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,7 +17,8 @@ from corundum.operators.context import cut_context, document, window_text
 from corundum.operators.normalize import finalize
 from corundum.schemas import Domain
 from corundum.sources.adapters import Client, complete, review_requests, sample_rows, window_requests
-from corundum.sources.folders import scratch, settled
+from corundum.sources.answers import Answers
+from corundum.sources.folders import remove, scratch, settled
 
 c = F.col
 
@@ -93,51 +95,61 @@ def _in_order():  # noqa: ANN202
     return Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def candidates(pages: DataFrame, d: Domain, client: Client, settings: Settings = Settings()) -> DataFrame:
-    """doc_id and the domain's columns: the samples of every window of a document."""
+def _asked(requests: DataFrame, client: Client, answers: Answers | None) -> DataFrame:
+    asked = requests.select("request_id", "system", "prompt", "images")
+    return complete(asked, client) if answers is None else answers.ask(asked, client)
+
+
+def candidates(pages: DataFrame, d: Domain, client: Client, settings: Settings = Settings(), answers: Answers | None = None) -> DataFrame:
+    """doc_id and the domain's columns: the samples of every window of a document. answers keeps
+    what the client tells, so that no window is asked again."""
     kept = pages if settings.max_pages is None else pages.where(c("page_number") <= settings.max_pages)
     requests = window_requests(window_text(kept, settings.pages_per_window), d)
-    answers = complete(requests.select("request_id", "system", "prompt", "images"), client)
     of_doc = F.regexp_replace("request_id", r":[^:]*\z", "")
-    return sample_rows(answers, d).withColumn("doc_id", of_doc).select("doc_id", *(c(f"`{x}`") for x in d.columns))
+    return sample_rows(_asked(requests, client, answers), d).withColumn("doc_id", of_doc).select("doc_id", *(c(f"`{x}`") for x in d.columns))
 
 
-def reviewed(found: DataFrame, pages: DataFrame, d: Domain, client: Client, settings: Settings = Settings()) -> DataFrame:
+def reviewed(found: DataFrame, pages: DataFrame, d: Domain, client: Client, settings: Settings = Settings(), answers: Answers | None = None) -> DataFrame:
     """doc_id and the domain's columns: what a review keeps of a document's candidates."""
     requests = review_requests(found, contexts(pages, settings.review_context_chars), d)
-    answers = complete(requests.select("request_id", "system", "prompt", "images"), client)
-    return sample_rows(answers, d).withColumnRenamed("request_id", "doc_id")
+    return sample_rows(_asked(requests, client, answers), d).withColumnRenamed("request_id", "doc_id")
 
 
-def records(pages: DataFrame, d: Domain, client: Client, settings: Settings = Settings()) -> DataFrame:
+def records(pages: DataFrame, d: Domain, client: Client, settings: Settings = Settings(), answers: Answers | None = None) -> DataFrame:
     """The domain's columns and pdf of all documents: windows, candidates, a review of documents that
     have any, final form. Candidates are written in between, so that no request is made twice."""
-    found = settled(candidates(pages, d, client, settings), f"{scratch(pages.sparkSession)}/candidates")
+    found = settled(candidates(pages, d, client, settings, answers), f"{scratch(pages.sparkSession)}/candidates")
     if settings.review:
-        found = settled(reviewed(found, pages, d, client, settings), f"{scratch(pages.sparkSession)}/reviewed")
+        found = settled(reviewed(found, pages, d, client, settings, answers), f"{scratch(pages.sparkSession)}/reviewed")
     named = found.withColumn("pdf", pdf_identifier(d, c("doc_id")))
     return finalize(d, named).select(*(c(f"`{x}`") for x in d.columns), "pdf")
 
 
-def review_passes(predictions: DataFrame, pages: DataFrame, d: Domain, client: Client, *, passes: int = 1, settings: Settings = Settings()) -> DataFrame:
+def review_passes(predictions: DataFrame, pages: DataFrame, d: Domain, client: Client, *, passes: int = 1, settings: Settings = Settings(), answers: Answers | None = None) -> DataFrame:
     """predictions (the domain's columns and pdf) after passes reviews, each of what the one before
     gave. Only articles with pages are reviewed, the others go. A pass is written before the next."""
     folder = scratch(pages.sparkSession)
     ids = pages.select("doc_id", pdf_identifier(d, c("doc_id")).alias("pdf_of")).distinct()
     for k in range(max(1, passes)):
         found = predictions.withColumn("pdf", pdf_identifier(d, c("pdf"))).join(ids, c("pdf") == c("pdf_of")).select("doc_id", *(c(f"`{x}`") for x in d.columns))
-        out = reviewed(found, pages, d, client, settings).withColumn("pdf", pdf_identifier(d, c("doc_id")))
+        out = reviewed(found, pages, d, client, settings, answers).withColumn("pdf", pdf_identifier(d, c("doc_id")))
         predictions = settled(finalize(d, out).select(*(c(f"`{x}`") for x in d.columns), "pdf"), f"{folder}/pass{k}")
     return predictions
 
 
-def first_with_records(stages: list[tuple[str, DataFrame]], *, by: str = "doc_id") -> DataFrame:
-    """Each document's records by the first of the stages (name, records) that has any, with its
-    name as method. Later stages are asked only for documents that are left."""
-    rest: list[DataFrame] = []
-    parts = []
-    for name, found in stages:
-        left = reduce(lambda df, seen: df.join(seen, by, "left_anti"), rest, found)
-        parts.append(left.withColumn("method", F.lit(name)))
-        rest.append(found.select(by).distinct())
+def first_with_records(docs: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], *, by: str = "doc_id") -> DataFrame:
+    """Each document's records by the first of the stages that gives any, with the stage's name as
+    method. A stage (name, function) gets the documents that no stage before has records of, and
+    nothing else; what it gives is written before the next is planned, so each is made once."""
+    folder = scratch(docs.sparkSession)
+    left, parts = docs, []
+    for k, (name, make) in enumerate(stages):
+        found = settled(make(left).withColumn("method", F.lit(name)), f"{folder}/{k}")
+        parts.append(found)
+        if k + 1 < len(stages):
+            left = settled(left.join(found.select(by).distinct(), by, "left_anti"), f"{folder}/left{k}")
+            if k:
+                remove(docs.sparkSession, f"{folder}/left{k - 1}")
+            if left.isEmpty():
+                break
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

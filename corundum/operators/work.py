@@ -14,6 +14,7 @@ from corundum.functions.values import strip
 from corundum.operators.visual import accept, clean_smiles, validity
 from corundum.schemas import MISSING, shaped
 from corundum.sources.adapters import Client, complete, json_payload
+from corundum.sources.answers import Answers
 from corundum.sources.folders import scratch, settled
 
 #: Evidence that is shown beside a figure, and the order of its kinds.
@@ -142,7 +143,7 @@ def filled_detections(detections: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumns({"smiles": F.when(take, c("new.s")).otherwise(c("smiles")), "confidence": F.when(take, F.coalesce("new.sure", "confidence")).otherwise(c("confidence"))}).drop("new").select(*detections.columns)
 
 
-def _answered(rows: DataFrame, requests: DataFrame, client: Client, images: DataFrame | None) -> DataFrame:
+def _answered(rows: DataFrame, requests: DataFrame, client: Client, images: DataFrame | None, kept: Answers | None = None) -> DataFrame:
     """rows (with request_id) with content and error of the client's answers, asked once and written.
     images: path and content; a request's are given in the order of its image_paths."""
     asked = requests
@@ -152,15 +153,16 @@ def _answered(rows: DataFrame, requests: DataFrame, client: Client, images: Data
         asked = asked.join(listed, "request_id", "left")
     else:
         asked = asked.withColumn("images", F.lit(None).cast("array<binary>"))
-    answers = settled(complete(asked.select("request_id", "system", "prompt", "images"), client), f"{scratch(rows.sparkSession)}/answers")
+    asked = asked.select("request_id", "system", "prompt", "images")
+    answers = settled(complete(asked, client), f"{scratch(rows.sparkSession)}/answers") if kept is None else kept.ask(asked, client)
     return rows.join(answers, "request_id", "left")
 
 
-def analyses(items: DataFrame, instructions: str, client: Client, *, images: DataFrame | None = None) -> DataFrame:
+def analyses(items: DataFrame, instructions: str, client: Client, *, images: DataFrame | None = None, kept: Answers | None = None) -> DataFrame:
     """figure_items() with analysis, the JSON object that the client gives of each (null if it gives
     none), and error."""
     rows = items.withColumn("request_id", F.concat_ws(":", "doc_id", "figure_id"))
-    found = _answered(rows, figure_requests(items, instructions), client, images)
+    found = _answered(rows, figure_requests(items, instructions), client, images, kept)
     return found.withColumn("analysis", F.to_json(json_payload(c("content")))).drop("request_id", "content")
 
 
@@ -170,11 +172,11 @@ def compound_requests(items: DataFrame, instructions: str) -> DataFrame:
     return items.select(F.concat_ws(":", "doc_id", "detection_id", "compound_id").alias("request_id"), F.lit(instructions).alias("system"), F.concat(F.lit("Read this structure. Answer with one JSON object.\n"), told).alias("prompt"), F.array("image_path").alias("image_paths"))
 
 
-def recognitions(items: DataFrame, instructions: str, client: Client, *, images: DataFrame | None = None, check: Callable[[Column], Column] | None = None) -> DataFrame:
+def recognitions(items: DataFrame, instructions: str, client: Client, *, images: DataFrame | None = None, check: Callable[[Column], Column] | None = None, kept: Answers | None = None) -> DataFrame:
     """chemical_items() with the structure that the client reads, what a toolkit says of it (check;
     none: it isn't asked), and which is accepted."""
     rows = items.withColumn("request_id", F.concat_ws(":", "doc_id", "detection_id", "compound_id"))
-    found = _answered(rows, compound_requests(items, instructions), client, images)
+    found = _answered(rows, compound_requests(items, instructions), client, images, kept)
     v = json_payload(c("content"))
     read = F.struct(F.try_variant_get(v, "$.smiles", "string").alias("smiles"), F.try_variant_get(v, "$.confidence", "double").alias("sure"))
     found = once(found, read, "told")
@@ -188,6 +190,6 @@ def recognitions(items: DataFrame, instructions: str, client: Client, *, images:
     return out.drop("request_id", "content", "told", "bare", "judged")
 
 
-def two_agents(items: DataFrame, client: Client, instructions: tuple[str, str], *, images: DataFrame | None = None, check: Callable[[Column], Column] | None = None) -> DataFrame:
+def two_agents(items: DataFrame, client: Client, instructions: tuple[str, str], *, images: DataFrame | None = None, check: Callable[[Column], Column] | None = None, kept: Answers | None = None) -> DataFrame:
     """Recognised compounds of figures: each figure is analysed, each compound that it maps is read."""
-    return recognitions(chemical_items(analyses(items, instructions[0], client, images=images)), instructions[1], client, images=images, check=check)
+    return recognitions(chemical_items(analyses(items, instructions[0], client, images=images, kept=kept)), instructions[1], client, images=images, check=check, kept=kept)

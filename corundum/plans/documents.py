@@ -185,8 +185,8 @@ def review_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, CASE WHEN p_size % 5 = 0 THEN 'full' WHEN p_size % 3 = 0 THEN 'model' ELSE 'heuristic' END AS method, CASE WHEN p_size % 5 = 0 THEN 'a' WHEN p_size % 3 = 0 THEN 'b' ELSE 'c' END AS object_id FROM part")
 def extraction_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = view(spark, sf_dir, "SELECT CAST(p_partkey AS STRING) AS doc_id, p_size FROM {part}")
-    of = lambda where, name: parts.where(where).select("doc_id", F.lit(name).alias("object_id"))
-    return extract.first_with_records([("full", of("p_size % 5 = 0", "a")), ("model", of("p_size % 3 = 0", "b")), ("heuristic", of("true", "c"))]).select("doc_id", "method", "object_id")
+    of = lambda where, name: lambda left: left.where(where).select("doc_id", F.lit(name).alias("object_id"))
+    return extract.first_with_records(parts, [("full", of("p_size % 5 = 0", "a")), ("model", of("p_size % 3 = 0", "b")), ("heuristic", of("true", "c"))]).select("doc_id", "method", "object_id")
 
 
 # The agents over the evidence of a table, one after the other, and what they tell as evidence.

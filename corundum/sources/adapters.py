@@ -7,6 +7,7 @@ failed task."""
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -44,15 +45,20 @@ def parse_files(files: DataFrame, factory: Callable[[], Callable[[bytes], list[d
     return files.select("doc_id", "content").mapInPandas(run, PAGE)
 
 
-def complete(requests: DataFrame, factory: Client) -> DataFrame:
+def complete(requests: DataFrame, factory: Client, *, per_second: float | None = None) -> DataFrame:
     """request_id, content, error of requests (request_id, system, prompt, images), asked of a
-    client: a function of system text, prompt and images that gives the model's text."""
+    client: a function of system text, prompt and images that gives the model's text. per_second:
+    requests of one task in a second, at most. A task that is run again asks again: sources.answers
+    keeps what was answered."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = factory()
+        ask, next_at = factory(), 0.0
         for pdf in batches:
             out: list[tuple] = []
             for r in pdf.itertuples():
+                if per_second:
+                    time.sleep(max(0.0, next_at - time.monotonic()))
+                    next_at = time.monotonic() + 1 / per_second
                 try:
                     images = [] if r.images is None else [bytes(i) for i in r.images]
                     out.append((r.request_id, ask(r.system, r.prompt, images), None))
