@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from corundum.sources import quoted, tables, web
-from corundum.streaming import job_events
 
 
 def test_tables(spark, tmp_path):
@@ -74,18 +73,6 @@ def test_open_articles(spark):
     assert tables.open_articles(df.drop("doi")).count() == 0
 
 
-def test_job_stream(spark, tmp_path):
-    schema = "job_id string, event_id long, ts timestamp, status string, payload string"
-    rows = [("a", 1, "queued", "x"), ("a", 2, "running", "x"), ("a", 3, "running", "x"), ("a", 4, "running", "y"), ("a", 5, "completed", "y"), ("a", 6, "running", "z"), ("b", 7, "running", "x"), ("b", 8, "queued", "x"), ("b", 9, "cancelled", "x")]
-    df = spark.createDataFrame([(j, e, s, p) for j, e, s, p in rows], "job_id string, event_id long, status string, payload string").withColumn("ts", F.timestamp_seconds(F.col("event_id")))
-    df.select("job_id", "event_id", "ts", "status", "payload").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    q = job_events.changes(stream).writeStream.outputMode("append").format("memory").queryName("told").option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start()
-    assert q.awaitTermination(120)
-    got = spark.sql("SELECT event_id, status FROM told ORDER BY event_id").collect()
-    assert [tuple(r) for r in got] == [(1, "queued"), (2, "running"), (4, "running"), (5, "completed"), (8, "queued"), (9, "cancelled")]
-
-
 def split_at(spark, size, fn):
     """fn() with files split at so many bytes."""
     key = "spark.sql.files.maxPartitionBytes"
