@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corundum.functions.text import cell
 from corundum.functions.values import strip
-from corundum.operators.rank import Skill, candidates, field_coverage, skill_check
+from corundum.operators.rank import Skill, candidates, check_all, field_coverage, skill_check
 from corundum.operators.recognition import structure_counts
 
 #: Evidence that a check reads of each document, by page and id.
@@ -69,11 +69,10 @@ def recommendations(checks: DataFrame, bundles: DataFrame, skill: Skill) -> Data
     return both.select("doc_id", advice.alias("advice"))
 
 
-def check_skills(evidence: DataFrame, skills: list[Skill], bundles: DataFrame, *, top: int = 16) -> DataFrame:
-    """doc_id, skill, nth and what skill_check() says of each skill; nth 1 is the document's best."""
-    counts = bundles.select("doc_id", "smiles", "detections", "visual_tasks")
-    one = lambda s: skill_check(evidence, s, counts, top=top).withColumn("skill", F.lit(s.name))
-    every = reduce(DataFrame.unionByName, map(one, skills))
+def check_skills(evidence: DataFrame, skills: list[Skill], bundles: DataFrame) -> DataFrame:
+    """doc_id, skill, nth and what skill_check() says of each skill; nth 1 is the document's best. The
+    evidence is read once for all skills."""
+    every = check_all(evidence, skills, bundles.select("doc_id", "smiles", "detections", "visual_tasks"))
     return every.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "skill")))
 
 

@@ -17,18 +17,30 @@ NUMBER = r"(?<![A-Za-z])(?:[<>]=?|=)?\s*\d+(?:[.,]\d+)?(?:\s*[-–]\s*\d+(?:[.,]
 CHEMISTRY = r"(?i)\b(?:SMILES|MIC|pMIC|IC50|EC50|AgNP|Fe3O4|TiO2|SiO2|ZnO|AuNP|DOTA|logK|lgK|Km|Vmax)\b"
 MEASURE_TERMS = ("mic", "pmic", "mic50", "mic80", "ic50", "ec50", "fic", "km", "vmax")
 SOURCE_WORTH = (("table_row", 1.25), ("table_caption", 0.75), ("figure_caption", 0.75), ("chemical_structure_smiles", 1.0), ("chemical_structure_image", 1.0))
-# Other words for the fields of molecule and kinetics records. Those of further
-# record types come from a file (sources.prompts.read_aliases).
+# Other words for the fields of all record types. Those of further types come from a file
+# (sources.prompts.read_aliases).
 FIELD_ALIASES: dict[str, tuple[str, ...]] = {
     "compound_id": ("compound", "molecule", "derivative", "ligand", "complex", "sample", "id"),
     "compound_name": ("compound", "name", "ligand", "complex", "material"),
     "name": ("name", "sample", "material", "nanoparticle"),
     "smiles": ("smiles", "structure", "chemical structure", "compound", "molecule"),
+    "SMILES": ("smiles", "structure", "chemical structure", "ligand", "complex"),
+    "SMILES_type": ("ligand", "environment", "complex"),
     "target_type": ("MIC", "pMIC", "IC50", "EC50", "activity", "measurement"),
     "target_relation": ("<", ">", "=", "less than", "greater than"),
     "target_value": ("MIC", "pMIC", "logK", "lgK", "IC50", "EC50", "activity", "value"),
     "target_units": ("ug/mL", "microg/mL", "mg/L", "mM", "uM", "units"),
     "bacteria": ("bacteria", "strain", "Staphylococcus", "aureus", "Escherichia", "coli", "E. coli", "S. aureus"),
+    "strain": ("strain", "bacteria", "isolate"),
+    "MDR": ("MDR", "multidrug", "resistant"),
+    "mdr": ("MDR", "multidrug", "resistant"),
+    "drug": ("drug", "antibiotic", "compound"),
+    "FIC": ("FIC", "fractional inhibitory", "synergy"),
+    "combined_MIC": ("combined MIC", "MIC", "combination"),
+    "peptide_MIC": ("peptide MIC", "MIC", "peptide"),
+    "effect": ("synergy", "additive", "antagonism", "effect"),
+    "fold_increase_in_antibacterial_activity": ("fold", "increase", "antibacterial activity"),
+    "viability_error": ("viability", "error", "standard deviation"),
     "activity": ("activity", "catalytic", "enzyme", "nanozyme"),
     "reaction_type": ("reaction", "substrate", "oxidase", "peroxidase", "catalase"),
     "km_value": ("Km", "Michaelis", "kinetic"),
@@ -39,6 +51,77 @@ FIELD_ALIASES: dict[str, tuple[str, ...]] = {
     "temperature": ("temperature", "C", "K"),
     "formula": ("formula", "composition", "material"),
     "surface": ("surface", "coating", "shell", "functional"),
+    "shape": ("shape", "spherical", "rod", "cube"),
+    "material": ("material", "nanoparticle", "composition"),
+    "concentration": ("concentration", "dose", "mg/mL", "ug/mL", "mM"),
+    "time_hr": ("time", "h", "hr", "hours"),
+    "test": ("assay", "test", "method"),
+    "test_indicator": ("indicator", "assay", "readout"),
+    "cell_tissue": ("cell", "tissue", "line"),
+    "cell_source": ("cell", "source", "line"),
+    "cell_age": ("cell", "age"),
+    "cell_morphology": ("morphology", "cell"),
+    "human_animal": ("human", "animal", "mouse", "rat"),
+    "no_of_cells_cells_well": ("cells/well", "cells per well", "seeding"),
+    "core_nm": ("core", "nm", "diameter", "size"),
+    "hydrodynamic_nm": ("hydrodynamic", "DLS", "nm", "diameter"),
+    "size_in_medium_nm": ("medium", "size", "nm"),
+    "potential_mv": ("potential", "mV", "zeta"),
+    "zeta_in_medium_mv": ("zeta", "mV", "medium"),
+    "surface_charge": ("surface charge", "zeta", "charge"),
+    "coat_functional_group": ("coating", "functional group", "surface"),
+    "synthesis_method": ("synthesis", "prepared", "method"),
+    "np": ("nanoparticle", "NP", "AgNP"),
+    "NP": ("nanoparticle", "NP"),
+    "NP_synthesis": ("synthesis", "prepared", "NP"),
+    "np_synthesis": ("synthesis", "prepared", "NP"),
+    "NP_size_avg_nm": ("average size", "diameter", "nm", "TEM", "DLS"),
+    "NP_size_min_nm": ("minimum size", "size range", "nm"),
+    "NP_size_max_nm": ("maximum size", "size range", "nm"),
+    "np_size_avg_nm": ("average size", "diameter", "nm", "TEM", "DLS"),
+    "np_size_min_nm": ("minimum size", "size range", "nm"),
+    "np_size_max_nm": ("maximum size", "size range", "nm"),
+    "zeta_potential_mV": ("zeta", "potential", "mV"),
+    "zoi_np_mm": ("zone of inhibition", "ZOI", "mm"),
+    "coating": ("coating", "capped", "surface"),
+    "method": ("method", "assay", "diffusion", "broth"),
+    "precursor_of_np": ("precursor", "silver nitrate", "AgNO3"),
+    "concentration_of_precursor_mM": ("precursor", "concentration", "mM"),
+    "ph_during_synthesis": ("pH", "synthesis"),
+    "temperature_for_extract_C": ("temperature", "extract", "C"),
+    "duration_preparing_extract_min": ("duration", "extract", "min"),
+    "solvent_for_extract": ("solvent", "extract"),
+    "time_set_hours": ("time", "hours", "incubation"),
+    "name_cocrystal": ("cocrystal", "co-crystal", "name"),
+    "name_drug": ("drug", "API", "active pharmaceutical"),
+    "name_coformer": ("coformer", "co-former"),
+    "SMILES_drug": ("SMILES", "drug", "structure"),
+    "SMILES_coformer": ("SMILES", "coformer", "structure"),
+    "ratio_cocrystal": ("ratio", "stoichiometry", "cocrystal"),
+    "photostability_change": ("photostability", "stability", "light"),
+    "np_core": ("core", "magnetic", "nanoparticle"),
+    "np_shell": ("shell", "coating", "surface"),
+    "np_shell_2": ("shell", "coating", "surface"),
+    "core_shell_formula": ("formula", "core", "shell"),
+    "squid_sat_mag": ("saturation magnetization", "Ms", "emu/g"),
+    "squid_rem_mag": ("remanent magnetization", "Mr", "emu/g"),
+    "squid_temperature": ("SQUID", "temperature", "K"),
+    "squid_h_max": ("SQUID", "field", "Oe", "T"),
+    "coercivity": ("coercivity", "Hc", "Oe"),
+    "hc_kOe": ("coercivity", "Hc", "kOe"),
+    "exchange_bias_shift_Oe": ("exchange bias", "shift", "Oe"),
+    "vertical_loop_shift_M_vsl_emu_g": ("vertical loop shift", "emu/g"),
+    "fc_field_T": ("field cooled", "FC", "T"),
+    "mri_r1": ("MRI", "r1", "relaxivity"),
+    "mri_r2": ("MRI", "r2", "relaxivity"),
+    "htherm_sar": ("SAR", "hyperthermia", "specific absorption"),
+    "instrument": ("instrument", "SQUID", "VSM", "MRI"),
+    "xrd_scherrer_size": ("XRD", "Scherrer", "size"),
+    "space_group_core": ("space group", "core", "XRD"),
+    "space_group_shell": ("space group", "shell", "XRD"),
+    "np_hydro_size": ("hydrodynamic", "DLS", "size"),
+    "emic_size": ("electron microscopy", "TEM", "SEM", "size"),
+    "zfc_h_meas": ("ZFC", "field", "measurement"),
 }
 
 
@@ -176,15 +259,55 @@ def skill_check(evidence: DataFrame, skill: Skill, structures: DataFrame, *, top
     coverage = field_coverage(evidence, skill, by=by).groupBy(by).agg(F.round(F.avg(F.when(c("status") == "present", 1.0).when(c("status") == "partial", 0.5).otherwise(0.0)), 3).alias("coverage"))
     best = candidates(evidence, skill, top=top, by=by).groupBy(by).agg(F.max("score").alias("best"))
     joined = coverage.join(best, by, "left").join(structures, by, "left").na.fill(0, ["smiles", "detections", "visual_tasks"])
-    structure = F.when(c("smiles") > 0, 1.0).when(c("detections") > 0, 0.55).when(c("visual_tasks") > 0, 0.35).otherwise(0.15) if skill.needs_structure else F.lit(1.0)
+    return _judged(joined, F.lit(skill.needs_structure)).select(by, "coverage", "best", "score", "status")
+
+
+def _judged(joined: DataFrame, needs_structure: Column) -> DataFrame:
+    """joined (coverage, best, smiles, detections, visual_tasks) with score and status."""
+    c = F.col
+    structure = F.when(~needs_structure, 1.0).when(c("smiles") > 0, 1.0).when(c("detections") > 0, 0.55).when(c("visual_tasks") > 0, 0.35).otherwise(0.15)
     candidate = F.round(F.least(F.lit(1.0), F.log1p(F.coalesce("best", F.lit(0.0))) / 3), 3)
-    total = F.round(c("coverage") * 0.62 + candidate * 0.26 + structure * 0.12, 3)
-    status = F.when(c("best").isNull(), "low_signal")
-    if skill.needs_structure:
-        status = status.when(c("smiles") == 0, "needs_visual_or_ocsr")
-    joined = joined.withColumn("score", total)
+    joined = joined.withColumn("score", F.round(c("coverage") * 0.62 + candidate * 0.26 + structure * 0.12, 3))
+    status = F.when(c("best").isNull(), "low_signal").when(needs_structure & (c("smiles") == 0), "needs_visual_or_ocsr")
     status = status.when((c("score") >= 0.68) & (c("coverage") >= 0.55), "ready_for_single_agent_review").when(c("score") >= 0.42, "partial_evidence").otherwise("low_signal")
-    return joined.select(by, "coverage", "best", "score", status.alias("status"))
+    return joined.withColumn("status", status)
+
+
+def check_all(evidence: DataFrame, skills: list[Skill], structures: DataFrame, *, by: str = "doc_id") -> DataFrame:
+    """by, skill and what skill_check() says of each skill, in one pass over the evidence: a text is cut
+    into words once, the terms of all skills are looked for among them, and the sums of all skills are
+    made in one grouping. The terms are part of the plan: skills are settings, not data."""
+    c = F.col
+    terms = ordered_unique(tuple(t for s in skills for t in (*s.terms, *(t for f in s.fields for t in s.terms_of(f)))))
+    low_terms = [t.lower() for t in terms]
+    listed = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    words = listed([t for t in low_terms if t.isalnum()])
+    pieces = listed([t for t in low_terms if not t.isalnum()])
+
+    def found(low: Column) -> Column:
+        tokens = F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0)))
+        return F.concat(F.array_intersect(tokens, words), F.filter(pieces, lambda t: F.contains(low, t)))
+
+    def of_skill(s: Skill, m: Column) -> Column:
+        hits = F.array(*(F.arrays_overlap(m, listed([t.lower() for t in s.terms_of(f)])).cast("int") for f in s.fields)).cast("array<int>")
+        return F.struct(F.lit(s.name).alias("skill"), F.size(F.array_intersect(m, listed([t.lower() for t in s.terms]))).alias("n"), hits.alias("hits"))
+
+    worth = F.lit(0.0)
+    for source, w in SOURCE_WORTH:
+        worth = F.when(c("source_type") == source, F.lit(w)).otherwise(worth)
+    sure = F.coalesce(F.least(F.lit(0.5), F.greatest(F.lit(0.0), c("confidence") - 0.5)), F.lit(0.0))
+    told = let(F.lower(F.coalesce("text", F.lit(""))), lambda low: let(found(low), lambda m: F.array(*(of_skill(s, m) for s in skills))))
+    extra = worth + F.when(c("text").rlike(NUMBER), 0.5).otherwise(0.0) + F.when(c("text").rlike(CHEMISTRY), 0.7).otherwise(0.0) + sure
+    rows = evidence.select(by, extra.alias("extra"), F.explode(told).alias("t"))
+    width = max(len(s.fields) for s in skills)
+    value = F.when(c("t.n") > 0, c("t.n") + c("extra"))
+    sums = rows.groupBy(by, c("t.skill").alias("skill")).agg(F.round(F.max(value), 3).alias("best"), F.array(*(F.sum(F.get("t.hits", F.lit(i))) for i in range(width))).alias("sums"))
+    sizes = F.create_map(*(F.lit(x) for s in skills for x in (s.name, len(s.fields))))
+    shares = F.transform(F.filter("sums", lambda n: n.isNotNull()), lambda n: F.when(n >= 3, 1.0).when(n > 0, 0.5).otherwise(0.0))
+    covered = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x) / F.element_at(sizes, c("skill"))
+    joined = sums.withColumn("coverage", F.round(covered, 3)).join(structures, by, "left").na.fill(0, ["smiles", "detections", "visual_tasks"])
+    needs = c("skill").isin(*(s.name for s in skills if s.needs_structure))
+    return _judged(joined, needs).select(by, "skill", "coverage", "best", "score", "status")
 
 
 def variant_score(evidence: DataFrame, keywords: tuple[str, ...], *, by: str = "doc_id") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corundum.operators import checker, rank, route
 from corundum.plans.base import query, view
 from corundum.plans.queries import _SCORED, RANKED, SKILL, _hits
+from corundum.schemas import DOMAINS
 from corundum.sources import adapters
 
 c = F.col
@@ -83,7 +84,19 @@ _BOTH = f"""WITH o AS ({_BUNDLES}, {_scores(ALIASED)} SELECT doc_id, 'aliased' A
 
 @query(_BOTH + " SELECT doc_id, skill, CAST(score AS DOUBLE) AS score, status, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, skill) AS nth FROM o", nth="INTEGER")
 def best_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checker.check_skills(_evidence(spark, sf_dir), [ALIASED, LOOSE], _bundles(spark, sf_dir), top=20).select("doc_id", "skill", "score", "status", "nth")
+    return checker.check_skills(_evidence(spark, sf_dir), [ALIASED, LOOSE], _bundles(spark, sf_dir)).select("doc_id", "skill", "score", "status", "nth")
+
+
+#: Skills of three record types with the package's own words for their fields; the texts name few of them.
+OF_TYPES = tuple(rank.Skill.of(DOMAINS[k], ("password", "token")) for k in ("nanozymes", "cytotoxicity", "seltox"))
+_TYPES = " UNION ALL ".join(f"SELECT * FROM ({_BUNDLES}, {_scores(s)} SELECT doc_id, '{s.name}' AS skill, coverage, best, score, status FROM z) y{i}" for i, s in enumerate(OF_TYPES))
+
+
+@query(f"SELECT * FROM ({_TYPES}) t", score="DOUBLE")
+def type_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All skills in one pass over the evidence."""
+    counts = _bundles(spark, sf_dir).select("doc_id", "smiles", "detections", "visual_tasks")
+    return rank.check_all(_evidence(spark, sf_dir), list(OF_TYPES), counts)
 
 
 def _examples(field: str) -> str:
