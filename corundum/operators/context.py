@@ -55,10 +55,22 @@ def document(pages: DataFrame, tables: DataFrame, rows: DataFrame, evidence: Dat
     out = page_text(pages, evidence).join(shown, ["doc_id", "page_number"], "left")
     listed = F.filter(F.transform(F.coalesce("t", F.array().cast("array<struct<table_id:string,markdown:string>>")), lambda x: x["markdown"]), lambda x: x != "")
     out = out.withColumn("tables", listed)
+    return out.select("doc_id", "page_number", "context", "tables", _whole().alias("whole"))
+
+
+def _whole() -> Column:
+    """A page's number, its context and its tables, as a model reads them."""
     number = F.col("page_number").cast("string")
     titled = F.transform("tables", lambda x, i: F.concat(F.lit("TABLE "), number, F.lit("."), (i + 1).cast("string"), F.lit("\n"), x))
-    whole = F.array_join(F.concat(present(F.concat(F.lit("PAGE "), number), strip(F.coalesce("context", F.lit("")))), titled), "\n\n")
-    return out.select("doc_id", "page_number", "context", "tables", whole.alias("whole"))
+    return F.array_join(F.concat(present(F.concat(F.lit("PAGE "), number), strip(F.coalesce("context", F.lit("")))), titled), "\n\n")
+
+
+def parsed_document(pages: DataFrame) -> DataFrame:
+    """document() of pages as a parser gives them (adapters.parse_files), without a scrape: files that
+    couldn't be read have none."""
+    tables = F.filter(F.coalesce("tables", F.array().cast("array<string>")), lambda x: strip(x) != "")
+    read = pages.where("error is null").select("doc_id", "page_number", F.col("text").alias("context"), tables.alias("tables"))
+    return read.withColumn("whole", _whole())
 
 
 def window_text(pages: DataFrame, size: int = 4) -> DataFrame:

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from corundum.functions.values import pdf_identifier
 from corundum.operators import evidence as agents
-from corundum.operators.context import cut_context, document, window_text
+from corundum.operators.context import cut_context, document, parsed_document, window_text
+from corundum.operators.evaluate import prepare_prediction
 from corundum.operators.normalize import finalize
 from corundum.schemas import Domain
-from corundum.sources.adapters import Client, complete, review_requests, sample_rows, window_requests
+from corundum.sources.adapters import Client, complete, parse_files, review_requests, sample_rows, window_requests
 from corundum.sources.answers import Answers
 from corundum.sources.folders import remove, scratch, settled
 
@@ -137,6 +138,20 @@ def review_passes(predictions: DataFrame, pages: DataFrame, d: Domain, client: C
     return predictions
 
 
+def extract_files(files: DataFrame, d: Domain, parser: Callable, client: Client, settings: Settings = Settings(), answers: Answers | None = None) -> DataFrame:
+    """records() of a batch of files (doc_id, content), all at once: parsed once, written, then read in
+    windows. A file that can't be parsed has no records."""
+    pages = settled(parsed_document(parse_files(files, parser, first=settings.max_pages)), f"{scratch(files.sparkSession)}/pages")
+    return records(pages, d, client, settings, answers)
+
+
+def review_files(predictions: DataFrame, files: DataFrame, d: Domain, parser: Callable, client: Client, *, passes: int = 1, settings: Settings = Settings(), answers: Answers | None = None) -> DataFrame:
+    """A prediction table (of any spelling that the scorer takes) after reviews under its articles'
+    files; rows of articles without a file go."""
+    pages = settled(parsed_document(parse_files(files, parser, first=settings.max_pages)), f"{scratch(files.sparkSession)}/pages")
+    return review_passes(prepare_prediction(d, predictions), pages, d, client, passes=passes, settings=settings, answers=answers)
+
+
 def first_with_records(docs: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], *, by: str = "doc_id") -> DataFrame:
     """Each document's records by the first of the stages that gives any, with the stage's name as
     method. A stage (name, function) gets the documents that no stage before has records of, and

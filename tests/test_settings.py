@@ -51,10 +51,10 @@ def test_environment(tmp_path, monkeypatch):
 
 
 def test_aliases(tmp_path):
-    (tmp_path / "a.csv").write_text("field,alias\nshape,rod\nKm_Value,affinity\n,x\n")
+    (tmp_path / "a.csv").write_text("field,alias\noutline,rod\nKm_Value,affinity\n,x\n")
     known = prompts.read_aliases(tmp_path / "a.csv")
-    assert known["shape"] == ("rod",) and "Michaelis" in known["km_value"]
-    assert rank.field_terms("shape", known) == ("shape", "rod")
+    assert known["outline"] == ("rod",) and "Michaelis" in known["km_value"]
+    assert rank.field_terms("outline", known) == ("outline", "rod")
     assert rank.field_terms("KM_value", known)[-2:] == ("Michaelis", "kinetic")
 
 
@@ -76,6 +76,48 @@ def test_commands(spark, tmp_path, capsys):
     assert "agent_compound_links" in capsys.readouterr().out
 
 
+STANDINS = """
+import json, re
+
+def parser():
+    def parse(content):
+        if content == b"broken":
+            raise ValueError("no PDF")
+        return [{"text": t} for t in content.decode().split("|")]
+    return parse
+
+def client():
+    def ask(system, prompt, images):
+        with open(LOG, "a") as f:
+            f.write(prompt[-40:].replace(chr(10), " ") + chr(10))
+        if "Candidates:" in prompt:
+            samples = json.loads(prompt.split("Candidates:\\n", 1)[1])["samples"]
+            return json.dumps({"samples": [s for s in samples if s["name"] in prompt.split("Candidates:")[0]]})
+        return json.dumps([{"name": n, "smiles": "CCO", "logP": v} for n, v in re.findall(r"drug (\\w+) has (\\d+)", prompt)])
+    return ask
+"""
+
+
+def test_batch_commands(spark, tmp_path, monkeypatch):
+    """A folder of files to a prediction CSV, twice with kept answers, and that CSV reviewed."""
+    (tmp_path / "standins.py").write_text(f"LOG = {str(tmp_path / 'log')!r}\n" + STANDINS)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "standins.py"))
+    pdfs = tmp_path / "pdfs"
+    pdfs.mkdir()
+    for name, text in (("a.pdf", b"drug x has 1|drug y has 2"), ("B.PDF", b"drug z has 3"), ("c.pdf", b"broken"), ("note.txt", b"drug n has 9")):
+        (pdfs / name).write_bytes(text)
+    told = ["--domain", "eyedrops", "--pdf-dir", str(pdfs), "--parser", "standins:parser", "--client", "standins:client", "--answers", f"file://{tmp_path}/answers"]
+    read = lambda out: sorted((r["pdf"], r["name"], r["logP"]) for r in spark.read.csv(out, header=True).collect())
+    for out in ("one", "two"):
+        cli.main(["batch", *told, "--out", str(tmp_path / out)], spark)
+        assert [r[1:] for r in read(str(tmp_path / out))] == [("z", "3"), ("x", "1"), ("y", "2")]
+    assert len((tmp_path / "log").read_text().splitlines()) == 4  # a window and a review of two files, asked once
+    (tmp_path / "pred.csv").write_text("pdf,SMILES,name,logP\na,C,x,1\na,C,lost,1\nb,C,z,3\nnone,C,x,1\n")
+    cli.main(["review-csv", *told, "--pred", str(tmp_path / "pred.csv"), "--passes", "2", "--out", str(tmp_path / "reviewed")], spark)
+    assert [r[1] for r in read(str(tmp_path / "reviewed")) if r[0].startswith("a")] == ["x"]
+
+
 def test_recogniser_batches(spark):
     def factory():
         def ask(images):
