@@ -63,7 +63,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The one tool of op4: a user's turn calls it, the turn after is its result.
-REPLY = chat.Tool("reply", (chat.Argument("prompt", "string"), chat.Argument("turn", "integer")))
+CONTEXT = (chat.Argument("conversation", "integer"), chat.Argument("roles", "array", items=chat.Argument("", "string", enum=("user", "assistant", "system"))))
+REPLY = chat.Tool("reply", (chat.Argument("context", "object", properties=CONTEXT), chat.Argument("prompt", "string"), chat.Argument("turn", "integer")))
 
 
 @query
@@ -75,7 +76,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("turn")
     call_id = lambda t: F.concat(F.lit("call_"), t.cast("string"))
     needs = F.when(turn % 6 < 4, F.array(call_id(turn + 2))).when(F.col("conv_id") % 7 == 0, F.array(call_id(turn - 4))).otherwise(F.array().cast("array<string>"))
-    calls = turns.where("role = 'user'").select("conv_id", call_id(turn).alias("call_id"), "turn", F.lit("reply").alias("tool"), F.to_json(F.struct("turn", F.col("text").alias("prompt"))).alias("arguments"), needs.alias("needs"))
+    calls = turns.where("role = 'user'").select("conv_id", call_id(turn).alias("call_id"), "turn", F.lit("reply").alias("tool"), F.to_json(F.struct("turn", F.col("text").alias("prompt"), F.struct(F.col("conv_id").alias("conversation"), F.array("role").alias("roles")).alias("context"))).alias("arguments"), needs.alias("needs"))
     results = turns.where("role = 'assistant'").select("conv_id", call_id(turn - 1).alias("call_id"), F.col("text").alias("content"))
     found = chat.link_calls(calls, results, [REPLY])
     return found.select("conv_id", "call_id", "step", "depth", "status", F.array_join("violations", "; ").alias("violations"), "valid", F.sha2("json", 256).alias("json_sha256"))
@@ -95,7 +96,7 @@ SELECT c.conv_id, concat('call_', c.turn) AS call_id, CAST(CASE WHEN NOT p.stuck
   CASE WHEN r.n > 1 THEN 'repeated' WHEN r.n = 1 THEN 'linked' ELSE 'pending' END AS status,
   CASE WHEN c.need IS NOT NULL AND k.turn IS NULL THEN concat('call_', c.need, ' isn''t a call') ELSE '' END AS violations,
   NOT (c.need IS NOT NULL AND k.turn IS NULL) AS valid,
-  sha256(concat('{"arguments":{"prompt":', to_json(c.text), ',"turn":', c.turn, '},"id":"call_', c.turn, '","name":"reply","result":', coalesce(CAST(to_json(r.content) AS VARCHAR), 'null'), '}')) AS json_sha256
+  sha256(concat('{"arguments":{"context":{"conversation":', c.conv_id, ',"roles":["user"]},"prompt":', to_json(c.text), ',"turn":', c.turn, '},"id":"call_', c.turn, '","name":"reply","result":', coalesce(CAST(to_json(r.content) AS VARCHAR), 'null'), '}')) AS json_sha256
 FROM calls c LEFT JOIN results r ON r.conv_id = c.conv_id AND r.turn = c.turn
 LEFT JOIN known k ON k.conv_id = c.conv_id AND k.turn = c.need JOIN places p ON p.conv_id = c.conv_id AND p.turn = c.turn
 """

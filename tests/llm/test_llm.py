@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import shutil
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -271,6 +272,57 @@ def test_chat_orders_random_references(spark, tmp_path):
     assert got == want and any(v[1] and v[1] > 1 for v in want.values()) and (None, None) in want.values()
 
 
+def test_chat_orders_a_very_long_chain(spark, tmp_path):
+    """Two thousand forward references in rounds by their logarithm, some of a call's references beside."""
+    n = 2000
+    rows = [(1, f"c{i}", i, [f"c{i + 1}"] + ([f"c{i + 7}"] if i % 500 == 3 else []) if i + 7 < n else []) for i in range(n)]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, needs array<string>")
+    began = time.monotonic()
+    got = {r["call_id"]: (r["step"], r["depth"]) for r in chat.order(calls, f"file://{tmp_path}/w").collect()}
+    assert time.monotonic() - began < 120
+    last = n - 7
+    assert got == {f"c{i}": (last, last - i) if i <= last else (i, 0) for i in range(n)}
+    left = [p.name for p in (tmp_path / "w").rglob("*") if p.is_dir()]
+    assert sorted(left) == ["ahead", "places"]  # rounds are gone
+
+
+NESTED = chat.Tool("g", (
+    chat.Argument("at", "object", properties=(chat.Argument("city", "string", enum=("Rome", "Oslo")), chat.Argument("no.", "integer", required=False))),
+    chat.Argument("it's", "array", required=False, items=chat.Argument("", "integer")),
+    chat.Argument("a'b\"c", "string", required=False),
+    chat.Argument("rows", "array", required=False, items=chat.Argument("", "object", properties=(chat.Argument("k", "number"),))),
+))
+
+
+@pytest.mark.parametrize(("arguments", "wrong"), [
+    ('{"at": {"city": "Rome", "no.": 3}, "it\'s": [1, 2.0, 3e1], "rows": [{"k": 1}, {"k": 0.5}]}', []),
+    ('{"at": {"city": "Bonn", "no.": 3.5}}', ["at.city isn't one of Rome, Oslo", "at.no. isn't of type integer"]),
+    ('{"at": {}, "a\'b\\"c": 1}', ["at.city is missing", "a'b\"c isn't of type string"]),
+    ('{"at": {"city": "Oslo", "x": 1}, "y": 2}', ["y isn't an argument", "at.x isn't an argument"]),
+    ('{"at": "Oslo", "it\'s": 4}', ["at isn't of type object", "it's isn't of type array"]),
+    ('{"at": {"city": "Oslo"}, "it\'s": [1, "2"]}', ["it's has an item that isn't as it should be"]),
+    ('{"at": {"city": "Oslo"}, "it\'s": [1, null]}', ["it's has an item that isn't as it should be"]),
+    ('{"at": {"city": "Oslo"}, "rows": [{"k": 1}, {}]}', ["rows has an item that isn't as it should be"]),
+    ('{"at": {"city": "Oslo"}, "it\'s": [], "rows": []}', []),
+])
+def test_nested_arguments(spark, arguments, wrong):
+    calls = spark.createDataFrame([(1, "a", 0, "g", arguments, [])], CALL)
+    results = spark.createDataFrame([], "conv_id long, call_id string, content string")
+    assert chat.link_calls(calls, results, [NESTED]).first()["violations"] == wrong
+
+
+@pytest.mark.parametrize(("numbers", "form", "integer"), [
+    (("1", "1.0", "1e0", "10E-1", "1.000"), "1", True), (("100", "1e2", "100.0", "1E+2"), "100", True), (("-3", "-3.0", "-30e-1"), "-3", True), (("0", "0.0", "-0.0"), "0", True),
+    (("0.5", "5e-1", "0.50"), "0.5", False), (("99999999999999999999",), "99999999999999999999", True), (("-1.25",), "-1.25", False),
+])
+def test_equal_numbers_have_one_form(spark, numbers, form, integer):
+    calls = spark.createDataFrame([(1, f"c{i}", 0, "f", f'{{"x": {n}, "s": "1.0 \\" 2e2"}}', []) for i, n in enumerate(numbers)], CALL)
+    results = spark.createDataFrame([], "conv_id long, call_id string, content string")
+    for r in chat.link_calls(calls, results, [TOOL]).collect():
+        assert f'"x":{form}}}' in r["json"] and '"s":"1.0 \\" 2e2"' in r["json"], r["json"]
+        assert r["valid"] == integer
+
+
 def test_chat_without_rows(spark):
     results = spark.createDataFrame([], "conv_id long, call_id string, content string")
     assert chat.link_calls(spark.createDataFrame([], CALL), results, [TOOL]).count() == 0
