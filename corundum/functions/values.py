@@ -168,5 +168,10 @@ def confidence(c: Column) -> Column:
     return F.when(x.isNull(), F.lit(0.75)).otherwise(F.least(F.lit(0.99), F.greatest(F.lit(0.01), share)))
 
 
+def as_float(c: Column) -> Column:
+    """A number, or null where a value is none."""
+    return strip(c.cast("string")).try_cast("double")
+
+
 def redacted(c: Column, secret: str, limit: int = 1000) -> Column:
     return F.left(F.replace(c, F.lit(secret), F.lit("***")) if secret else c, F.lit(limit))

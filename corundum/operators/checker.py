@@ -86,6 +86,12 @@ def report(evidence: DataFrame, skill: Skill, bundles: DataFrame, *, top: int =
     return out.select("doc_id", F.to_json(F.struct(F.lit(skill.name).alias("skill"), "status", "score", "coverage", "fields", "candidates", "advice")).alias("report"))
 
 
+def candidate_lines(found: DataFrame, skill: Skill) -> DataFrame:
+    """doc_id, rank and line: each of rank.candidates() as one line of JSON under its skill."""
+    told = F.struct(F.lit(skill.name).alias("skill"), "rank", "score", "evidence_id", "page_number", "source_type", "matched_terms", "snippet")
+    return found.select("doc_id", "rank", F.to_json(told, {"ignoreNullFields": "false"}).alias("line"))
+
+
 def report_markdown(reports: DataFrame) -> DataFrame:
     """doc_id and markdown of check_skills() rows with their skill: one table a document, best first."""
     line = F.concat(F.lit("| "), c("skill"), F.lit(" | "), c("status"), F.lit(" | "), F.format_string("%.3f", "score"), F.lit(" | "), F.format_string("%.3f", "coverage"), F.lit(" |"))

@@ -80,6 +80,13 @@ def plan_tables(tables: DataFrame, rows: DataFrame) -> DataFrame:
     return out.select(*KEY, "compound_index", "target_type", "target_units", "measurement_columns", F.least(score, F.lit(0.96)).alias("confidence"), why.alias("reasons"))
 
 
+def plan_records(plans: DataFrame) -> DataFrame:
+    """doc_id, table_id and plan, a plan_tables() row as JSON."""
+    columns = F.transform(F.coalesce("measurement_columns", F.array().cast(plans.schema["measurement_columns"].dataType)), lambda x: F.struct(*(x[n].alias(n) for n in ("index", "column", "target_type", "target_units", "bacteria", "confidence", "reasons"))))
+    told = F.struct("table_id", F.col("compound_index").alias("compound_column_index"), "target_type", "target_units", "confidence", "reasons", columns.alias("measurement_columns"))
+    return plans.select(*KEY, F.to_json(told, {"ignoreNullFields": "false"}).alias("plan"))
+
+
 def measurements(tables: DataFrame, rows: DataFrame, plans: DataFrame | None = None) -> DataFrame:
     """A record for each planned column's value in each row: the schema of agent_table_measurements."""
     plans = plan_tables(tables, rows) if plans is None else plans

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corundum.schemas import DOMAINS
+
 STAGES, TICKS = 5, 8
+# The record type that is taken where none is named, the columns of exported records,
+# the characters of a source's text in a snapshot.
+DEFAULT_TITLE = "Benzimidazoles"
+RECORD_COLUMNS = ("object_id", "primary_value", "property", "evidence", "confidence")
+SNAPSHOT_CHARS = 250_000
 
 
 def progress(stage: Column, tick: Column) -> Column:
@@ -60,3 +67,47 @@ def public_view(jobs: DataFrame, secrets: tuple[str, ...] = ("api_key",), logs:
         if s in out.columns:
             out = out.withColumn(f"{s}_configured", F.coalesce(F.col(s), F.lit("")) != "").drop(s)
     return out.withColumn("logs", F.slice("logs", F.greatest(F.size("logs") - logs + 1, F.lit(1)), logs)) if "logs" in out.columns else out
+
+
+def domain_title(name: Column) -> Column:
+    """The title of the record type that a name stands for in any case, else that of the default."""
+    out = F.lit(DEFAULT_TITLE)
+    for d in DOMAINS.values():
+        out = F.when(F.lower(name) == d.title.lower(), F.lit(d.title)).otherwise(out)
+    return out
+
+
+def domain_key(title: Column) -> Column:
+    """The key of a record type's title as it is written; null for others."""
+    out = F.lit(None).cast("string")
+    for d in DOMAINS.values():
+        out = F.when(title == d.title, F.lit(d.key)).otherwise(out)
+    return out
+
+
+def takes_whole_pipeline(source_type: Column, title: Column, saved_path: Column) -> Column:
+    """Whether a job's source can go through scrape, agents and model: a saved PDF or archive, and a
+    record type of the registry."""
+    there = F.lower(F.coalesce(source_type, F.lit(""))).isin("pdf", "zip") & domain_key(title).isNotNull()
+    return F.coalesce(there & (F.coalesce(saved_path, F.lit("")) != ""), F.lit(False))
+
+
+def newest_first(jobs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Jobs by their beginning, the newest first; of one time by id."""
+    ordered = jobs.orderBy(F.desc_nulls_last("created_at"), "job_id")
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def snapshots(jobs: DataFrame, secrets: tuple[str, ...] = ("api_key",)) -> DataFrame:
+    """job_id and snapshot, the job as JSON: without its keys, only whether there is one, and with its
+    source's text cut."""
+    kept = public_view(jobs, secrets, logs=2**31 - 1)
+    if "source_text" in kept.columns:
+        kept = kept.withColumn("source_text", F.left(F.coalesce("source_text", F.lit("")), F.lit(SNAPSHOT_CHARS)))
+    return kept.select("job_id", F.to_json(F.struct(*(F.col(f"`{x}`") for x in kept.columns)), {"ignoreNullFields": "false"}).alias("snapshot"))
+
+
+def record_table(records: DataFrame) -> DataFrame:
+    """The columns that a job's records are exported with, empty where a record lacks one."""
+    have = lambda x: F.coalesce(F.col(f"`{x}`").cast("string"), F.lit("")) if x in records.columns else F.lit("")
+    return records.select(*(have(x).alias(x) for x in RECORD_COLUMNS))

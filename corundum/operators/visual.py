@@ -159,6 +159,12 @@ def clean_smiles(c: Column) -> Column:
     return F.when(F.lower(bare).isin(*NO_SMILES), F.lit("")).otherwise(bare)
 
 
+def clean_model_smiles(c: Column) -> Column:
+    """A structure as a model tells it; its mark for none is the mark for missing."""
+    bare = strip(F.coalesce(c, F.lit("")))
+    return F.when(F.upper(bare) == MISSING, F.lit("")).otherwise(bare)
+
+
 def quality_flags(smiles: Column, confidence: Column) -> Column:
     return F.array_compact(F.array(F.when(confidence < 0.5, "low_confidence"), F.when(F.contains(smiles, F.lit("*")), "wildcard_or_r_group"), F.when(F.contains(smiles, F.lit(".")), "multiple_components_or_fragment")))
 

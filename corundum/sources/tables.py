@@ -132,6 +132,13 @@ def archive_members(files: DataFrame, *, suffix: str = ".pdf", most: int = MAX_P
     return files.select("path", "content").mapInPandas(run, "path string, nth int, member string, content binary, error string")
 
 
+def member_names(members: DataFrame) -> DataFrame:
+    """archive_members() with target: the name that each is stored under, its place before its own name
+    with anything but letters, digits, ., _ and - replaced, which is cut at 120 characters."""
+    bare = F.left(F.regexp_replace(F.element_at(F.split("member", "/"), -1), r"(?U)[^\p{Alnum}._-]", "_"), F.lit(120))
+    return members.withColumn("target", F.concat(F.lpad(F.col("nth").cast("string"), F.greatest(F.lit(2), F.length(F.col("nth").cast("string"))), F.lit("0")), F.lit("-"), bare))
+
+
 def upload_problem(name: F.Column, size: F.Column) -> F.Column:
     """Why a file can't be taken; null if it can."""
     known = F.lit(False)

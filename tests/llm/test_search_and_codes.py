@@ -228,3 +228,31 @@ def test_recall_against_the_exact_join(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     pairs = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs, size=2, percent=80).collect()}
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.join(docs).collect()} == pairs
+
+
+#: Tables that a result is read from, by operator; components and rounds by their last number.
+READ = {
+    "op2_substring_dedup": {"known"}, "op4_chat_formatting": {"ahead", "places"}, "op5_benchmark_decontamination": set(), "op6_ngram_jaccard_join": {"counts", "unlike", "components"},
+    "op7_secret_scans": {"ledger"}, "op8_url_filters": {"round", "seeds", "moves"}, "op11_vector_codes": {"codes"}, "op12_ranked_lexical_search": {"queries", "ranked"}, "op13_minhash_near_dedup": {"named", "classes", "unlike", "components"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(READ))
+def test_tables_that_nothing_reads_are_gone(spark, tmp_path, monkeypatch, name):
+    from corundum.llm import queries
+    from corundum.sources import folders
+    from tests.conftest import SF
+
+    monkeypatch.setattr(folders.tempfile, "gettempdir", lambda: str(tmp_path))
+    queries.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
+    left = [re.sub(r"\d+$", "", p.name) for p in (tmp_path / "corundum-work").glob(f"{folders.PREFIX}*/*") if p.is_dir()]
+    assert set(left) <= READ[name] and len(left) == len(set(left)), left
+
+
+def test_vacuum(spark, tmp_path):
+    from corundum.sources import folders
+
+    for name in (f"{folders.PREFIX}old", "own"):
+        (tmp_path / name).mkdir()
+    assert folders.vacuum(spark, f"file://{tmp_path}", 1) == 0
+    assert folders.vacuum(spark, f"file://{tmp_path}", 0) == 1 and [p.name for p in tmp_path.iterdir()] == ["own"]
