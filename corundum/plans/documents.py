@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corundum.functions import text
+from corundum.functions.core import let
 from corundum.operators import context, extract, layout, scrape
 from corundum.plans.base import query, view
 from corundum.schemas import DOMAINS
@@ -211,8 +212,9 @@ def nearest_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.nearest_column(heads, columns, by=["table_id"]).select("span_id", "index")
 
 
-@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ' ')[1:2], lambda x, i: concat('w', CAST(i AS VARCHAR), ': ', x)), lambda y: NOT ends_with(y, ': ')), '; ') AS line FROM (SELECT doc_id, replace(coalesce(text, ''), chr(10), ' ') AS text FROM documents) q")
+# Each line of a text is a row of its words; the feature is the limit of eighty rows.
+@query("""SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), chr(10))[1:80], lambda l: array_to_string(list_filter(list_transform(string_split(l, ' '), lambda x, i: concat('w', CAST(i AS VARCHAR), ': ', x)), lambda y: NOT ends_with(y, ': ')), '; ')), chr(10)) AS line FROM documents""")
 def row_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), " ")
-    rows = F.array(F.map_from_arrays(F.transform(F.slice(words, 1, 2), lambda _, i: F.concat(F.lit("w"), (i + 1).cast("string"))), F.slice(words, 1, 2)))
+    row = lambda words: F.map_from_arrays(F.transform(words, lambda _, i: F.concat(F.lit("w"), (i + 1).cast("string"))), words)
+    rows = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda l: let(F.split(l, " "), row))
     return view(spark, sf_dir, "SELECT doc_id, text FROM {documents}").select("doc_id", text.rows_text(rows).alias("line"))

@@ -321,9 +321,9 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "SELECT doc_id, text FROM {documents}").select("doc_id", text.snippet(c("text"), 120).alias("snippet"))
 
 
-@query("SELECT doc_id, length(array_to_string(list_filter(list_transform(string_split(replace(replace(text, '–', '-'), '−', '-'), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS n FROM documents".replace("\\\\", "\\"))
+@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(replace(text, '–', '-'), '−', '-'), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS cleaned FROM documents".replace("\\\\", "\\"))
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "SELECT doc_id, text FROM {documents}").select("doc_id", F.length(text.clean(c("text"))).cast("long").alias("n"))
+    return view(spark, sf_dir, "SELECT doc_id, text FROM {documents}").select("doc_id", text.clean(c("text")).alias("cleaned"))
 
 
 JOBS = "SELECT event_id AS job_id, event_type AS domain, CASE WHEN user_id % 4 = 0 THEN 'failed' ELSE 'completed' END AS status, ts AS updated_at, value AS macro_f1, CAST(user_id AS BIGINT) AS record_count FROM {events}"

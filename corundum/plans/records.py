@@ -111,10 +111,11 @@ def source_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heuristics.source_summary(view(spark, sf_dir, STATED)).select("doc_id", "detected_properties", F.array_join("detected_dois", ",").alias("detected_dois"), "detected_smiles", "text_tokens")
 
 
-NANO = "SELECT doc_id, concat('agnps and ', CASE WHEN doc_id % 2 = 0 THEN 'TiO2, AgNPs' ELSE 'silver nanoparticle' END, ' by AgNPs') AS text FROM {documents}"
+# Materials are put before words that begin with some letters.
+NANO = "SELECT doc_id, replace(replace(replace(replace(text, ' a', ' ZnO a'), ' b', ' AgNPs b'), ' s', ' silver nanoparticle s'), ' z', ' agnps z') AS text FROM {documents}"
 
 
-@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'agnps,TiO2,AgNPs' ELSE 'agnps,silver nanoparticle,AgNPs' END AS materials FROM ({NANO}) q")
+@query(f"SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:20], ',') AS materials FROM (SELECT doc_id, regexp_extract_all(text, '(?i)\\b(?:AgNPs?|AuNPs?|Fe3O4|TiO2|ZnO|SiO2|CeO2|magnetic nanoparticles?|silver nanoparticles?)\\b') AS l FROM ({NANO}) q) z")
 def material_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, NANO).select("doc_id", F.array_join(heuristics.materials(c("text")), ",").alias("materials"))
 
