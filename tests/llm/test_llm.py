@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from corundum.llm import bpe, chat, decontaminate, ngram_join, quality, queries, secrets, substring, token_count, toxicity, url_filter
+from corundum.sources import folders
 from tests.conftest import SF, same_rows
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -816,10 +817,21 @@ def test_empty_tables(docs):
 # The queries
 
 
+#: Tables that a result is read from, by operator; components and rounds without their number.
+READ = {
+    "op2_substring_dedup": {"known"}, "op4_chat_formatting": {"ahead", "places"}, "op5_benchmark_decontamination": set(), "op6_ngram_jaccard_join": {"counts", "unlike", "components"},
+    "op7_secret_scans": {"ledger"}, "op8_url_filters": {"round", "seeds", "moves"}, "op11_vector_codes": {"codes"}, "op12_ranked_lexical_search": {"queries", "ranked"}, "op13_minhash_near_dedup": {"named", "classes", "unlike", "components"},
+}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
-def test_query_equals_its_sql(spark, duck, name):
+def test_query_equals_its_sql(spark, duck, name, tmp_path, monkeypatch):
+    """And what it leaves in its folder is what its result is read from."""
+    monkeypatch.setattr(folders.tempfile, "gettempdir", lambda: str(tmp_path))
     ours, theirs = same_rows(queries.QUERIES[name](spark, SF), duck, queries.ORACLES[name])
     assert ours == theirs and ours
+    left = [re.sub(r"\d+$", "", p.name) for p in (tmp_path / "corundum-work").glob(f"{folders.PREFIX}*/*") if p.is_dir()]
+    assert set(left) <= READ[name] and len(left) == len(set(left)), left
 
 
 def documents_of(spark):
