@@ -51,7 +51,7 @@ BASE = (
 #: piece can match in one way only, and repetitions have bounds, so that no text takes long.
 _BREAK = r"(?:\r|\n|\\[rn/])"
 _HEADER = r"[A-Za-z][A-Za-z-]{0,40}:[^\r\n\\]{0,200}"
-_LINES = rf"(?:[\x20\t]*(?:{_HEADER}|[A-Za-z0-9+/=]+[\x20\t]*)?{_BREAK}){{0,400}}[\x20\t]*[A-Za-z0-9+/=]*[\x20\t]*-----END [A-Z ]{{0,30}}PRIVATE KEY-----"
+_LINES = rf"(?:[\x20\t]*(?:{_HEADER}|[A-Za-z0-9+/=]+[\x20\t]*)?{_BREAK}){{0,400}}[\x20\t]*(?:[A-Za-z0-9+/=]+[\x20\t]*)?-----END [A-Z ]{{0,30}}PRIVATE KEY-----"
 _BLANK = r"(?:[\x20\t\r\n]|\\[rnt])"
 _RUNS = rf"(?:{_BLANK}{{0,16}}{_HEADER}{_BREAK}){{0,8}}(?:{_BLANK}{{0,16}}[A-Za-z0-9+/=]{{40,}}){{1,400}}"
 PRIVATE_KEY = rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----(?:{_LINES}|{_RUNS})"
