@@ -47,17 +47,21 @@ def figure_crops(detections: DataFrame, most: int = MOST_CROPS) -> DataFrame:
 
 
 def nearby_evidence(figures: DataFrame, evidence: DataFrame, most: int = MOST_NEARBY) -> DataFrame:
-    """doc_id, figure_id, nearby: evidence of a figure's page and those beside it: its own page
-    first, table rows before paragraphs before the rest. Figures are exploded to the pages they
-    reach, so the join is on equal keys."""
+    """doc_id, page_number, nearby: evidence that figures of a page are shown beside: of their own page
+    first, then of those beside it, table rows before paragraphs before the rest. A page gives its
+    first ones only, as no figure is shown more, and all figures of a page have one list. Pages are
+    exploded to those they reach, so the join is on equal keys."""
     page = c("page_number")
-    reach = figures.select("doc_id", "figure_id", page.alias("own_page"), F.explode(F.sequence(F.greatest(page - 1, F.lit(1)), F.greatest(page + 1, F.lit(1)))).alias("page_number"))
-    found = reach.join(evidence.where(c("source_type").isin(*NEARBY)).select("doc_id", "page_number", "evidence_id", "source_type", "text"), ["doc_id", "page_number"])
     kind = F.when(c("source_type") == "table_row", 0).when(c("source_type") == "paragraph", 1).otherwise(2)
-    order = Window.partitionBy("doc_id", "figure_id").orderBy(F.when(page == c("own_page"), 0).otherwise(1), kind, "evidence_id")
-    first = found.withColumn("nth", F.row_number().over(order)).where(c("nth") <= most)
+    own = Window.partitionBy("doc_id", "page_number").orderBy("kind", "evidence_id")
+    told = evidence.where(c("source_type").isin(*NEARBY)).select("doc_id", "page_number", "evidence_id", "source_type", "text", kind.alias("kind"))
+    told = told.withColumn("of_page", F.row_number().over(own)).where(c("of_page") <= most)
+    reach = figures.select("doc_id", page.alias("own_page")).distinct().select("doc_id", "own_page", F.explode(F.sequence(F.greatest(c("own_page") - 1, F.lit(1)), F.greatest(c("own_page") + 1, F.lit(1)))).alias("page_number"))
+    order = Window.partitionBy("doc_id", "own_page").orderBy(F.when(page == c("own_page"), 0).otherwise(1), "kind", "evidence_id")
+    first = reach.join(told, ["doc_id", "page_number"]).withColumn("nth", F.row_number().over(order)).where(c("nth") <= most)
     item = F.struct("nth", "evidence_id", "page_number", "source_type", F.left(compact(c("text")), F.lit(NEARBY_CHARS)).alias("text"))
-    return first.groupBy("doc_id", "figure_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("nth")).alias("nearby"))
+    listed = F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("nth"))  # most of them at most
+    return first.groupBy("doc_id", c("own_page").alias("page_number")).agg(listed.alias("nearby"))
 
 
 def figure_items(figures: DataFrame, pages: DataFrame, detections: DataFrame, evidence: DataFrame, *, most_crops: int = MOST_CROPS) -> DataFrame:
@@ -65,7 +69,9 @@ def figure_items(figures: DataFrame, pages: DataFrame, detections: DataFrame, ev
     without a crop go before anything is joined to them."""
     f = figures.join(detections.select("doc_id", c("parent_figure_id").alias("figure_id")).distinct(), ["doc_id", "figure_id"], "left_semi")
     page = pages.select("doc_id", "file_id", "page_number", F.left(compact(F.coalesce("text", F.lit(""))), F.lit(PAGE_CHARS)).alias("page_text"))
-    out = f.join(page, ["doc_id", "file_id", "page_number"], "left").join(figure_crops(detections, most_crops), ["doc_id", "figure_id"], "left").join(nearby_evidence(f, evidence), ["doc_id", "figure_id"], "left")
+    near = nearby_evidence(f, evidence).select(c("doc_id").alias("of_doc"), c("page_number").alias("of_page"), "nearby")
+    out = f.join(page, ["doc_id", "file_id", "page_number"], "left").join(figure_crops(detections, most_crops), ["doc_id", "figure_id"], "left")
+    out = out.join(near, (c("doc_id") == c("of_doc")) & c("page_number").eqNullSafe(c("of_page")), "left")  # figures without a page have a list too
     return out.select("doc_id", "figure_id", "page_number", "label", F.coalesce("caption", F.lit("")).alias("caption"), "image_path", "kind", F.coalesce("page_text", F.lit("")).alias("page_text"), "nearby", "crops")
 
 
