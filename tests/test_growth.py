@@ -1,8 +1,12 @@
 """Steps whose work has to grow no faster than their input."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from corundum.operators import work
+from corundum.sources import answers
+from corundum.sources.answers import Answers
 
 
 def test_a_page_has_one_list_of_nearby_evidence(spark):
@@ -14,3 +18,12 @@ def test_a_page_has_one_list_of_nearby_evidence(spark):
     told = [(r["page_number"], 0 if r["source_type"] == "table_row" else 1, r["evidence_id"]) for r in evidence.collect() if r["source_type"] != "section_heading"]
     near = lambda p: [e for *_, e in sorted((q != p, k, e) for q, k, e in told if abs(q - (p or 1)) <= (1 if p else 0))][:30]
     assert found == {p: near(p) for p in (1, 2, None)}
+
+
+def test_a_large_call_is_dealt_to_a_bounded_number_of_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(answers, "PER_TASK", 1)
+    asked = spark.range(0, 2_500, 1, 4).select(F.col("id").cast("string").alias("request_id"), F.lit("s").alias("system"), F.col("id").cast("string").alias("prompt"), F.lit(None).cast("array<binary>").alias("images"))
+    found = Answers(spark, f"file://{tmp_path}/a").ask(asked, lambda: lambda system, prompt, images: f"told {prompt}")
+    assert found.where("content = 'told ' || request_id").count() == 2_500
+    files = [f for _, _, names in os.walk(f"{tmp_path}/a") for f in names if f.startswith("part-")]
+    assert 1000 < len(files) <= 2000
