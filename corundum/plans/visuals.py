@@ -4,8 +4,10 @@ line items are crops of them, orders are the evidence around."""
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,16 +224,11 @@ def crop_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Images drawn from supplier keys: two black blocks, near enough to be one or not.
-@query("SELECT CAST(s_suppkey AS VARCHAR) AS task_id, CASE WHEN s_nationkey * 4 + 1 <= 28 THEN 1 ELSE 2 END AS boxes, CASE WHEN s_nationkey * 4 + 1 <= 28 THEN 111 + s_nationkey * 4 ELSE 55 END AS first_width FROM supplier", boxes="BIGINT", first_width="INTEGER")
-def connected_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import pandas as pd
-
-    def draw(batches):  # noqa: ANN001, ANN202
-        import numpy as np
-
-        for pdf in batches:
+def _draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for at in range(0, len(pdf), 64):  # a batch of keys is some kilobytes, its images a gigabyte
             out = []
-            for r in pdf.itertuples():
+            for r in pdf.iloc[at : at + 64].itertuples():
                 gap = int(r.s_nationkey) * 4 + 16  # boxes have a margin of 8 on either side
                 rgb = np.full((120, 300, 3), 255, np.uint8)
                 rgb[36:84, 36:76] = 0
@@ -239,7 +236,11 @@ def connected_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append((str(r.s_suppkey), 300, 120, rgb.tobytes()))
             yield pd.DataFrame(out, columns=["task_id", "width", "height", "pixels"])
 
-    images = view(spark, sf_dir, "SELECT s_suppkey, s_nationkey FROM {supplier}").mapInPandas(draw, "task_id string, width int, height int, pixels binary")
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS task_id, CASE WHEN s_nationkey * 4 + 1 <= 28 THEN 1 ELSE 2 END AS boxes, CASE WHEN s_nationkey * 4 + 1 <= 28 THEN 111 + s_nationkey * 4 ELSE 55 END AS first_width FROM supplier", boxes="BIGINT", first_width="INTEGER")
+def connected_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = view(spark, sf_dir, "SELECT s_suppkey, s_nationkey FROM {supplier}").repartition(spark.sparkContext.defaultParallelism, "s_suppkey")  # few bytes, much work
+    images = keys.mapInPandas(_draw, "task_id string, width int, height int, pixels binary")
     found = visual.detect(images)
     width = (F.get("bbox", F.lit(2)) - F.get("bbox", F.lit(0))).cast("int")
     return found.groupBy("task_id").agg(F.count("*").alias("boxes"), F.min_by(width, "box_index").alias("first_width"))

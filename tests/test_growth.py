@@ -2,9 +2,11 @@
 
 import os
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corundum.operators import work
+from corundum.plans import visuals
 from corundum.sources import answers
 from corundum.sources.answers import Answers
 
@@ -27,3 +29,9 @@ def test_a_large_call_is_dealt_to_a_bounded_number_of_tasks(spark, tmp_path, mon
     assert found.where("content = 'told ' || request_id").count() == 2_500
     files = [f for _, _, names in os.walk(f"{tmp_path}/a") for f in names if f.startswith("part-")]
     assert 1000 < len(files) <= 2000
+
+
+def test_images_are_drawn_a_few_at_a_time():
+    keys = pd.DataFrame({"s_suppkey": range(1000), "s_nationkey": [k % 25 for k in range(1000)]})
+    drawn = [(len(x), list(x.task_id)) for x in visuals._draw(iter([keys]))]
+    assert max(n for n, _ in drawn) <= 64 and [k for _, ks in drawn for k in ks] == [str(k) for k in range(1000)]
