@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corundum.operators import work
 from corundum.plans import visuals
-from corundum.sources import answers
+from corundum.sources import adapters, answers
 from corundum.sources.answers import Answers
 
 
@@ -35,3 +35,37 @@ def test_images_are_drawn_a_few_at_a_time():
     keys = pd.DataFrame({"s_suppkey": range(1000), "s_nationkey": [k % 25 for k in range(1000)]})
     drawn = [(len(x), list(x.task_id)) for x in visuals._draw(iter([keys]))]
     assert max(n for n, _ in drawn) <= 64 and [k for _, ks in drawn for k in ks] == [str(k) for k in range(1000)]
+
+
+def test_requests_are_taken_and_answered_a_few_at_a_time(spark):
+    """How many requests of one task were asked when its first answers left it."""
+    asked = spark.range(0, 1000, 1, 1).select(F.col("id").cast("string").alias("request_id"), F.lit("s").alias("system"), F.lit("p").alias("prompt"), F.array(F.lit("x").cast("binary")).alias("images"))
+
+    def client():
+        n = [0]
+
+        def ask(system, prompt, images):
+            n[0] += 1
+            return f"{n[0]} {system} {prompt} {images!r}"
+
+        return ask
+
+    sizes = adapters.complete(asked, client).mapInArrow(lambda batches: batches, adapters.ANSWER)
+    assert sizes.count() == 1000 and sizes.where("content like '1000 s p [b%x%]' and error is null").count() == 1
+    run = complete_batches(asked, client)
+    assert max(run) <= adapters.AT_ONCE and sum(run) == 1000
+
+
+def complete_batches(asked, client):
+    """Sizes of the batches that complete() gives for one batch of all requests."""
+    given = []
+
+    class Requests:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            given.extend(b.num_rows for b in run(iter(asked.toArrow().to_batches())))
+
+    adapters.complete(Requests(), client)
+    return given
