@@ -14,6 +14,10 @@ UNIT = r"µg\s*mL[−-]1|μg\s*mL[−-]1|ug\s*mL[−-]1|µmol\s*mL[−-]1|μmol\
 TARGET = r"(?iuU)\b(MIC|pMIC|MIC50|MIC80|IC50|EC50|FIC|lgK|logK|Km|Vmax)\b"
 ZONE = r"(?iuU)\b(?:inhibition\s+zone|zone\s+diameters?|agar\s+diffusion)\b"
 VALUE = rf"(?iuU)(<=|>=|=|<|>)?\s*(\d+(?:[\.,]\d+)?)\s*((?:{UNIT}))?"
+SIGN = r"(?U)(<=|>=|=|<|>)\s*\d"
+VALUE_UNIT = rf"(?iuU)\d+(?:[\.,]\d+)?\s*({UNIT})"
+ONE_NUMBER = r"(?U)\A\D*\d+(?:[.,]\d+)?\D*\z"
+TOUCHED = r"(?U)\p{L}\d|\d\p{L}"
 BARE_VALUE = r"(?iuU)\A\s*(?:<=|>=|=|<|>)?\s*\d+(?:[\.,]\d+)?\s*\z"
 UNIT_IN_BRACKETS = rf"(?iuU)\(({UNIT})\)"
 COMPOUND = r"\b(?:compound|cmpd|compd)?\s*([A-Za-z]?\d+[A-Za-z]?(?:[-.][A-Za-z0-9]+)?)\b"
@@ -36,6 +40,8 @@ ORGANISMS = (
     ("Aspergillus niger", r"A\.?\s*niger|Aspergillus\s+niger"),
     ("Candida albicans", r"C\.?\s*albicans|Candida\s+albicans"),
 )
+#: Of each organism's pattern; a text without one of them names none.
+EPITHET = r"(?iu)aureus|coli|aeruginosa|subtilis|faecalis|typhosa|epiderm|niger|albicans"
 SAME_UNIT = (("ug", "µg"), ("umol", "µmol"), ("μ", "µ"), ("mL-1", "mL−1"))
 DEFAULT_UNIT = {"INHIBITION_ZONE": "mm"}
 
@@ -43,7 +49,8 @@ MEASURED = "struct<relation:string,value:string,units:string>"
 
 
 def _or_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    """nullif() with c computed once: where only some rows need it, nullif() holds its text twice."""
+    return let(c, lambda x: F.when(x != "", x))
 
 
 def no_value(c: Column) -> Column:
@@ -72,31 +79,45 @@ def target_type(c: Column) -> Column:
 
 
 def organism(c: Column) -> Column:
-    """The first organism of the list, in its order, that the text names."""
-    return F.coalesce(*(F.when(c.rlike(rf"(?iuU)\b(?:{p})\b"), F.lit(name)) for name, p in ORGANISMS))
+    """The first organism of the list, in its order, that the text names. Most texts name none, which
+    one pattern tells."""
+    first = lambda x: F.coalesce(*(F.when(x.rlike(rf"(?iuU)\b(?:{p})\b"), F.lit(name)) for name, p in ORGANISMS))
+    return let(c, lambda x: F.when(x.rlike(EPITHET), first(x)))
+
+
+def _only(c: Column) -> Column:
+    """measured() of a text that holds one number, as most cells do: no offsets are summed."""
+
+    def found(units: Column) -> Column:
+        whole = F.regexp_extract(c, VALUE, 0)
+        at = F.instr(c, whole) - 1  # it has all digits of the text, so it's there once
+        near = F.substring(c, F.greatest(at - 30, F.lit(0)) + 1, F.least(at, F.lit(30)) + F.length(whole) + 30)
+        named = (units != "") | near.rlike(TARGET)
+        value = F.replace(F.regexp_extract(c, r"(?U)\d+(?:[.,]\d+)?", 0), F.lit(","), F.lit("."))
+        hit = F.struct(_or_null(F.regexp_extract(c, SIGN, 1)).alias("relation"), value.alias("value"), F.when(units != "", unit(units)).alias("units"))
+        return F.when(named | c.rlike(BARE_VALUE), hit.cast(MEASURED))
+
+    return F.when(~c.rlike(TOUCHED), let(F.regexp_extract(c, VALUE_UNIT, 1), found))
 
 
 def measured(c: Column) -> Column:
     """Relation, value and unit of the first number that no letter touches and that has a unit, or
     a target within 30 characters, or is the whole text; null if there is none.
 
-    A regular-expression function gives no offsets; they are summed from the matches and from the
-    gaps between them. What a match consists of is read from the match itself."""
+    A regular-expression function gives no offsets; of several numbers they are summed from the matches
+    and from the gaps between them. Gaps are split at a character that stands for a match: a split at a
+    pattern would compile it for each text."""
 
     def found(m: Column) -> Column:
         whole, gaps = m["whole"], m["gaps"]
         sizes = F.transform(whole, lambda w, i: F.length(F.get(gaps, i)) + F.length(w))
-        start = lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x) + F.length(F.get(gaps, i))
+        start = lambda i: F.when(i == 0, 0).otherwise(F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x)) + F.length(F.get(gaps, i))
 
         def one(w: Column, i: Column) -> Column:
-            sign = F.regexp_extract(w, r"\A(?:<=|>=|=|<|>)", 0)
-
-            def parts(p: Column) -> Column:
-                units = F.regexp_replace(F.substring(w, p["head"] + F.length(p["value"]) + 1, F.length(w)), r"(?U)\A\s+", "")
-                return F.struct(start(i).alias("at"), p["value"].alias("value"), units.alias("units"), p["head"].alias("head"), w.alias("w"), sign.alias("relation"))
+            def parts(v: Column) -> Column:
+                return F.struct(start(i).alias("at"), v.alias("value"), (F.instr(w, v) - 1).alias("head"), w.alias("w"), F.get(m["units"], i).alias("units"))
 
-            value = let(F.regexp_extract(w, r"(?U)\d+(?:[.,]\d+)?", 0), lambda v: F.struct(v.alias("value"), (F.instr(w, v) - 1).alias("head")))
-            return let(let(value, parts), judged)
+            return let(let(F.get(m["values"], i), parts), judged)
 
         def judged(s: Column) -> Column:
             at = s["at"] + s["head"]
@@ -105,19 +126,22 @@ def measured(c: Column) -> Column:
             left = F.greatest(s["at"] - 30, F.lit(0))
             near = F.substring(c, left + 1, s["at"] - left + F.length(s["w"]) + 30)
             named = (s["units"] != "") | near.rlike(TARGET)
+            sign = F.regexp_extract(s["w"], r"\A(?:<=|>=|=|<|>)", 0)
             value = F.replace(s["value"], F.lit(","), F.lit("."))
-            hit = F.struct(_or_null(s["relation"]).alias("relation"), value.alias("value"), F.when(named, unit(s["units"])).alias("units"))
+            hit = F.struct(_or_null(sign).alias("relation"), value.alias("value"), F.when(named, unit(s["units"])).alias("units"))
             return F.when(~touched & (named | c.rlike(BARE_VALUE)), hit.cast(MEASURED))
 
         return F.get(F.array_compact(F.transform(whole, one)), 0)
 
-    parts = F.struct(F.regexp_extract_all(c, F.lit(VALUE), F.lit(0)).alias("whole"), F.split(c, VALUE, -1).alias("gaps"))
-    return F.when(c.rlike(r"(?U)\d"), let(parts, found))
+    matches = lambda group: F.regexp_extract_all(c, F.lit(VALUE), F.lit(group))
+    gaps = F.split(F.regexp_replace(F.replace(c, F.lit("\0"), F.lit("\1")), VALUE, "\0"), "\0", -1)
+    parts = F.struct(matches(0).alias("whole"), matches(2).alias("values"), matches(3).alias("units"), gaps.alias("gaps"))
+    return F.when(c.rlike(ONE_NUMBER), _only(c)).when(c.rlike(r"(?U)\d"), let(parts, found))
 
 
 def measured_cell(cell: Column, column: Column) -> Column:
     """measured() of a cell, else of its column's name and the cell."""
-    return F.coalesce(measured(cell), F.when(column != "", measured(F.concat(column, F.lit(" "), cell))))
+    return F.coalesce(measured(cell), F.when(column != "", let(F.concat(column, F.lit(" "), cell), measured)))
 
 
 def compound_column(columns: Column, cells: Column) -> Column:
@@ -131,9 +155,9 @@ def compound_column(columns: Column, cells: Column) -> Column:
 
 def compound_id(cells: Column, text: Column, index: Column) -> Column:
     """The compound column's cell, else an id in the first two cells, else one in the text."""
-    own = strip(F.get(cells, index))
     pick = lambda x: _or_null(F.regexp_extract(x, "(?iuU)" + COMPOUND, 1))
-    return F.coalesce(F.when((own != "") & ~no_value(own), own), pick(F.get(cells, F.lit(0))), pick(F.get(cells, F.lit(1))), pick(text))
+    own = let(strip(F.get(cells, index)), lambda x: F.when((x != "") & ~no_value(x), x))
+    return F.coalesce(own, pick(F.get(cells, F.lit(0))), pick(F.get(cells, F.lit(1))), pick(text))
 
 
 def compound_range(c: Column) -> Column:
@@ -154,8 +178,7 @@ def compound_of_smiles(metadata: Column, text: Column, caption: Column) -> Colum
     """The compound that a structure belongs to: from its metadata, its text, or its caption if that
     is an id."""
     told = lambda path: _or_null(strip(F.get_json_object(metadata, path)))
-    bare = strip(caption)
-    by_caption = F.when(bare.rlike(rf"(?iuU)\A(?:{COMPOUND})\z") & (bare != "NOT_DETECTED"), bare)
+    by_caption = let(strip(caption), lambda bare: F.when(bare.rlike(rf"(?iuU)\A(?:{COMPOUND})\z") & (bare != "NOT_DETECTED"), bare))
     return F.coalesce(told("$.compound_id"), told("$.chemical_agent_record.compound_id"), _or_null(strip(F.regexp_extract(text, COMPOUND_KEY, 1))), by_caption)
 
 

@@ -40,17 +40,20 @@ def plan_tables(tables: DataFrame, rows: DataFrame) -> DataFrame:
     """doc_id, table_id, compound_index, target_type, target_units, measurement_columns (index,
     column, target_type, target_units, bacteria, confidence, reasons), confidence, reasons.
 
-    One row a table: sample rows are unpivoted to cells and summed per column, columns per table."""
+    One row a table, which holds its sample rows; they are unpivoted to cells and summed per column,
+    columns per table."""
     t = tables.select(*KEY, F.coalesce("caption", F.lit("")).alias("caption"), F.coalesce("columns", F.array().cast("array<string>")).alias("columns"))
     few = sample(rows.select("doc_id", "table_id", "row_id", "row_index", "cells"))
-    first = few.where("nth = 1").select(*KEY, F.col("cells").alias("first_cells"))
+    held = few.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("nth", "cells"))).alias("few"))  # SAMPLE_ROWS at most
     whole = F.array_join(F.concat(F.array("caption"), F.col("columns")), " | ")
     all_columns = F.concat(F.lit(" | "), F.array_join("columns", " | "))
     target = chem.target_type(F.concat(whole, F.when(F.size("columns") > 0, all_columns).otherwise(F.lit(""))))
-    head = t.join(first, KEY, "left").select("*", chem.compound_column(F.col("columns"), F.coalesce("first_cells", F.array().cast("array<string>"))).alias("compound_index"), target.alias("target_type"), chem.unit_in_brackets(whole).alias("bracket_units"))
+    first_cells = F.coalesce(F.get("few", F.lit(0))["cells"], F.array().cast("array<string>"))
+    head = t.join(held, KEY, "left").select("*", chem.compound_column(F.col("columns"), first_cells).alias("compound_index"), target.alias("target_type"), chem.unit_in_brackets(whole).alias("bracket_units"))
     head = head.withColumn("target_units", F.coalesce("bracket_units", chem.default_unit(F.col("target_type"))))
 
-    cells = few.select(*KEY, "nth", F.posexplode("cells").alias("index", "cell")).join(head, KEY).where("compound_index is null or index <> compound_index")
+    of_table = (*KEY, "caption", "columns", "compound_index", "target_type", "target_units")
+    cells = head.select(*of_table, F.explode("few").alias("row")).select(*of_table, "row.nth", F.posexplode("row.cells").alias("index", "cell")).where("compound_index is null or index <> compound_index")
     column = F.coalesce(F.get("columns", F.col("index")), F.lit(""))
     cells = once(cells.withColumn("column", column).where(~chem.no_value(F.col("cell"))), chem.measured_cell(F.col("cell"), F.col("column")), "hit")
     units_at = F.when(F.col("hit.units").isNotNull(), F.struct("nth", F.col("hit.units").alias("units")))
@@ -91,11 +94,13 @@ def measurements(tables: DataFrame, rows: DataFrame, plans: DataFrame | None = N
     """A record for each planned column's value in each row: the schema of agent_table_measurements."""
     plans = plan_tables(tables, rows) if plans is None else plans
     t = tables.select(*KEY, "file_id", "page_number", "caption").join(plans.select(*KEY, "compound_index", "measurement_columns"), KEY)
-    r = rows.select(*KEY, "row_id", "evidence_id", "row_index", "cells", "normalized_text").join(t, KEY)
+    # A hash table of a partition's tables, so that rows needn't be sorted.
+    r = rows.select(*KEY, "row_id", "evidence_id", "row_index", "cells", "normalized_text").join(t.hint("shuffle_hash"), KEY)
     c = F.col
     text = chem.context(c("caption"), F.coalesce(F.nullif(c("normalized_text"), F.lit("")), F.array_join("cells", " | ")))
+    r = once(r, F.filter("measurement_columns", lambda p: ~chem.no_value(F.get("cells", p["index"]))), "told").where("size(told) > 0")
     r = once(r, chem.compound_id(c("cells"), text, c("compound_index")), "compound_id").where("compound_id is not null and compound_id <> ''")
-    r = r.select("*", F.explode("measurement_columns").alias("p")).withColumn("cell", F.get("cells", c("p.index"))).where(~chem.no_value(c("cell")) & c("cell").isNotNull())
+    r = r.select("*", F.explode("told").alias("p")).withColumn("cell", F.get("cells", c("p.index")))
     r = once(r, chem.measured_cell(c("cell"), c("p.column")), "m").where("m is not null")
     units = F.coalesce("m.units", "p.target_units", chem.default_unit(c("p.target_type")))
     r = r.withColumn("units", units).withColumn("organism", F.coalesce("p.bacteria", chem.organism(chem.context(c("p.column"), c("cell"), c("caption")))))
@@ -114,8 +119,10 @@ def structures(evidence: DataFrame) -> DataFrame:
     """doc_id, compound_id, smiles_evidence_id, smiles, canonical_smiles and confidence of evidence
     that holds a structure. A text that is no structure is its own canonical form."""
     c = F.col
-    found = evidence.where("source_type = 'chemical_structure_smiles'").select("doc_id", c("evidence_id").alias("smiles_evidence_id"), chem.compound_of_smiles(c("metadata"), c("text"), c("caption")).alias("compound_id"), chem.smiles_of_text(c("text")).alias("smiles"), "confidence")
-    return found.where("compound_id is not null and smiles is not null").withColumn("canonical_smiles", F.coalesce(structure(c("smiles"))["canonical"], c("smiles")))
+    found = evidence.where("source_type = 'chemical_structure_smiles'").select("doc_id", c("evidence_id").alias("smiles_evidence_id"), "metadata", "text", "caption", "confidence")
+    found = once(found, chem.smiles_of_text(c("text")), "smiles").where("smiles is not null")
+    found = once(found, chem.compound_of_smiles(c("metadata"), c("text"), c("caption")), "compound_id").where("compound_id is not null")
+    return found.select("doc_id", "smiles_evidence_id", "compound_id", "smiles", "confidence", F.coalesce(structure(c("smiles"))["canonical"], c("smiles")).alias("canonical_smiles"))
 
 
 def compound_links(measured: DataFrame, smiles: DataFrame) -> DataFrame:

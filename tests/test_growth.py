@@ -5,7 +5,8 @@ import os
 import pandas as pd
 from pyspark.sql import functions as F
 
-from corundum.operators import work
+from corundum.functions import chemistry
+from corundum.operators import evidence, work
 from corundum.plans import visuals
 from corundum.sources import adapters, answers
 from corundum.sources.answers import Answers
@@ -69,3 +70,27 @@ def complete_batches(asked, client):
 
     adapters.complete(Requests(), client)
     return given
+
+
+def test_rows_of_tables_are_read_twice(spark):
+    """Once for the plans, once for the values."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    tables = spark.range(5).select(F.lit("d").alias("doc_id"), F.lit("f").alias("file_id"), F.lit(1).alias("page_number"), F.col("id").cast("string").alias("table_id"), F.lit("MIC values").alias("caption"), F.array(F.lit("Compound"), F.lit("Value")).alias("columns"))
+    rows = spark.range(200).select(F.lit("d").alias("doc_id"), (F.col("id") % 5).cast("string").alias("table_id"), F.col("id").cast("string").alias("row_id"), F.col("id").cast("string").alias("evidence_id"), F.col("id").cast("int").alias("row_index"), F.array(F.lit("6a"), F.concat(F.col("id").cast("string"), F.lit(" mM"))).alias("cells"), F.lit(None).cast("string").alias("normalized_text"))
+    found = evidence.measurements(tables, rows.mapInPandas(counted, rows.schema)).select("evidence_id", "target_value").collect()
+    assert sorted(found) == sorted((str(k), str(k)) for k in range(200)) and read.value == 400
+
+
+def test_a_cell_and_a_structure_are_read_once(spark):
+    """A split at a pattern compiles it for each text; a condition on what a text holds reads it again."""
+    text = spark.range(1).select(F.lit("e").alias("evidence_id"), F.lit("d").alias("doc_id"), F.lit("chemical_structure_smiles").alias("source_type"), F.lit(None).cast("string").alias("metadata"), F.concat(F.lit("smiles=C"), "id").alias("text"), F.lit("6a").alias("caption"), F.lit(0.9).alias("confidence"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(evidence.structures(text)).count("canonical_smiles|smiles") == 1
+    found = plan(text.select(chemistry.measured(F.col("text"))))
+    assert "split(" in found and found.count("split(") == found.count("split(regexp_replace(")
