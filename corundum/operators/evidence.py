@@ -131,7 +131,9 @@ def compound_links(measured: DataFrame, smiles: DataFrame) -> DataFrame:
     c = F.col
     m = measured.select("record_id", "doc_id", "file_id", "page_number", "compound_id", "bacteria", "target_type", "target_value", "target_units")
     s = smiles.select("doc_id", "compound_id", "smiles_evidence_id", "smiles", "canonical_smiles", c("confidence").alias("smiles_confidence"))
-    linked = m.join(s, ["doc_id", "compound_id"], "left")
+    # By a shuffle, whatever a guess of the structures' size: links are then settled in its partitions,
+    # not by a sort of all that a task reads.
+    linked = m.join(s.hint("merge"), ["doc_id", "compound_id"], "left")
     found = c("smiles_evidence_id").isNotNull()
     sure = F.lit(0.54) + F.when(found, 0.25).otherwise(0.0) + F.when(found & c("smiles_confidence").isNotNull(), F.least("smiles_confidence", F.lit(1.0)) * 0.08).otherwise(0.0)
     sure = sure + F.when(c("bacteria") != MISSING, 0.05).otherwise(0.0) + F.when(c("target_units") != MISSING, 0.04).otherwise(0.0)

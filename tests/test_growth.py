@@ -94,3 +94,11 @@ def test_a_cell_and_a_structure_are_read_once(spark):
     assert plan(evidence.structures(text)).count("canonical_smiles|smiles") == 1
     found = plan(text.select(chemistry.measured(F.col("text"))))
     assert "split(" in found and found.count("split(") == found.count("split(regexp_replace(")
+
+
+def test_links_are_settled_behind_a_shuffle(spark):
+    measured = spark.range(10).select(F.col("id").cast("string").alias("record_id"), F.col("id").cast("string").alias("doc_id"), F.lit("f").alias("file_id"), F.lit(1).alias("page_number"), F.lit("6a").alias("compound_id"), F.lit("E. coli").alias("bacteria"), F.lit("MIC").alias("target_type"), F.lit("1").alias("target_value"), F.lit("mM").alias("target_units"))
+    known = spark.range(2).select(F.col("id").cast("string").alias("doc_id"), F.lit("6a").alias("compound_id"), F.col("id").cast("string").alias("smiles_evidence_id"), F.lit("C").alias("smiles"), F.lit("C").alias("canonical_smiles"), F.lit(0.9).alias("confidence"))
+    decided = evidence.conflict_decisions(evidence.compound_links(measured, known))
+    assert "Broadcast" not in decided._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["doc_id"], r["decision"]) for r in decided.where("doc_id < 4").collect()) == [("0", "accepted"), ("1", "accepted"), ("2", "needs_review"), ("3", "needs_review")]
