@@ -59,19 +59,21 @@ class StageLedger:
     def run(self, docs: DataFrame, stage: Stage, given: DataFrame, before: dict[str, DataFrame]) -> DataFrame:
         """The rows of a stage for docs. given: doc_id and the hash of what the stage is given."""
         at = f"{self.folder}/{stage.name}/{stage.version}"
-        lacking = given.join(self.entries(stage).select("doc_id", "given"), ["doc_id", "given"], "left_anti")
+        # Joins are by shuffles: sizes are guessed from files whose ids are packed, and a table of ids
+        # that is taken for small would go through the driver.
+        lacking = given.join(self.entries(stage).select("doc_id", "given").hint("merge"), ["doc_id", "given"], "left_anti")
         if not lacking.isEmpty():
             run = uuid.uuid4().hex
             ids = lacking.select("doc_id")
-            only = lambda df: df.join(ids, "doc_id", "left_semi")
+            only = lambda df: df.join(ids.hint("merge"), "doc_id", "left_semi")
             made = stage.make(only(docs), {name: only(df) for name, df in before.items()})
             made.select(*(c(f"`{f}`") for f in _names(stage.schema))).write.parquet(f"{at}/rows/run={run}")
             lacking.select("doc_id", "given", F.lit(run).alias("run"), F.current_timestamp().alias("made_at")).write.mode("append").parquet(f"{at}/entries")
         if not exists(self.spark, f"{at}/rows"):
             return self.spark.createDataFrame([], stage.schema)
         rows = self.spark.read.schema(f"{stage.schema}, run string").parquet(f"{at}/rows")
-        current = given.join(self.entries(stage), ["doc_id", "given"]).select("doc_id", "run")
-        return rows.join(current, ["doc_id", "run"], "left_semi").drop("run")
+        current = given.join(self.entries(stage).hint("merge"), ["doc_id", "given"]).select("doc_id", "run")
+        return rows.join(current.hint("merge"), ["doc_id", "run"], "left_semi").drop("run")
 
 
 def _names(schema: str) -> list[str]:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corundum.functions import chemistry
-from corundum.operators import evidence, work
+from corundum.operators import evidence, stages, work
 from corundum.plans import visuals
 from corundum.sources import adapters, answers
 from corundum.sources.answers import Answers
@@ -102,3 +102,11 @@ def test_links_are_settled_behind_a_shuffle(spark):
     decided = evidence.conflict_decisions(evidence.compound_links(measured, known))
     assert "Broadcast" not in decided._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["doc_id"], r["decision"]) for r in decided.where("doc_id < 4").collect()) == [("0", "accepted"), ("1", "accepted"), ("2", "needs_review"), ("3", "needs_review")]
+
+
+def test_stages_send_no_ids_through_the_driver(spark, tmp_path):
+    ledger = stages.StageLedger(spark, f"file://{tmp_path}/stages")
+    docs = spark.range(20).select(F.col("id").cast("string").alias("doc_id"), F.lit("t").alias("text"))
+    stage = stages.Stage("first", "doc_id string, text string", lambda d, _: d)
+    found = [stages.run_stages(docs, [stage], ledger)["first"] for _ in range(2)][1]
+    assert found.count() == 20 and "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
