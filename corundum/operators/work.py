@@ -66,11 +66,11 @@ def nearby_evidence(figures: DataFrame, evidence: DataFrame, most: int = MOST_NE
 
 def figure_items(figures: DataFrame, pages: DataFrame, detections: DataFrame, evidence: DataFrame, *, most_crops: int = MOST_CROPS) -> DataFrame:
     """A row for each figure with any detection: its page's text, crops and nearby evidence. Figures
-    without a crop go before anything is joined to them."""
-    f = figures.join(detections.select("doc_id", c("parent_figure_id").alias("figure_id")).distinct(), ["doc_id", "figure_id"], "left_semi")
+    without a crop go before anything is joined to them; detections are read once."""
+    f = figures.join(figure_crops(detections, most_crops), ["doc_id", "figure_id"])
     page = pages.select("doc_id", "file_id", "page_number", F.left(compact(F.coalesce("text", F.lit(""))), F.lit(PAGE_CHARS)).alias("page_text"))
-    near = nearby_evidence(f, evidence).select(c("doc_id").alias("of_doc"), c("page_number").alias("of_page"), "nearby")
-    out = f.join(page, ["doc_id", "file_id", "page_number"], "left").join(figure_crops(detections, most_crops), ["doc_id", "figure_id"], "left")
+    near = nearby_evidence(figures, evidence).select(c("doc_id").alias("of_doc"), c("page_number").alias("of_page"), "nearby")
+    out = f.join(page, ["doc_id", "file_id", "page_number"], "left")
     out = out.join(near, (c("doc_id") == c("of_doc")) & c("page_number").eqNullSafe(c("of_page")), "left")  # figures without a page have a list too
     return out.select("doc_id", "figure_id", "page_number", "label", F.coalesce("caption", F.lit("")).alias("caption"), "image_path", "kind", F.coalesce("page_text", F.lit("")).alias("page_text"), "nearby", "crops")
 
@@ -149,10 +149,13 @@ def filled_detections(detections: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumns({"smiles": F.when(take, c("new.s")).otherwise(c("smiles")), "confidence": F.when(take, F.coalesce("new.sure", "confidence")).otherwise(c("confidence"))}).drop("new").select(*detections.columns)
 
 
-def _answered(rows: DataFrame, requests: DataFrame, client: Client, images: DataFrame | None, kept: Answers | None = None) -> DataFrame:
-    """rows (with request_id) with content and error of the client's answers, asked once and written.
-    images: path and content; a request's are given in the order of its image_paths."""
-    asked = requests
+def _answered(rows: DataFrame, requests: Callable[[DataFrame], DataFrame], client: Client, images: DataFrame | None, kept: Answers | None = None) -> DataFrame:
+    """rows (with request_id) with content and error of the client's answers to requests(rows). Rows are
+    written first, as they are read twice, answers as they are asked once. images: path and content; a
+    request's are given in the order of its image_paths."""
+    folder = scratch(rows.sparkSession)
+    rows = settled(rows, f"{folder}/rows")
+    asked = requests(rows)
     if images is not None:
         one = asked.select("request_id", F.posexplode("image_paths").alias("nth", "path")).join(images.select("path", "content"), "path")
         listed = one.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "content"))), lambda x: x["content"]).alias("images"))  # a figure's crops at most
@@ -160,7 +163,7 @@ def _answered(rows: DataFrame, requests: DataFrame, client: Client, images: Data
     else:
         asked = asked.withColumn("images", F.lit(None).cast("array<binary>"))
     asked = asked.select("request_id", "system", "prompt", "images")
-    answers = settled(complete(asked, client), f"{scratch(rows.sparkSession)}/answers") if kept is None else kept.ask(asked, client)
+    answers = settled(complete(asked, client), f"{folder}/answers") if kept is None else kept.ask(asked, client)
     return rows.join(answers, "request_id", "left")
 
 
@@ -168,7 +171,7 @@ def analyses(items: DataFrame, instructions: str, client: Client, *, images: Dat
     """figure_items() with analysis, the JSON object that the client gives of each (null if it gives
     none), and error."""
     rows = items.withColumn("request_id", F.concat_ws(":", "doc_id", "figure_id"))
-    found = _answered(rows, figure_requests(items, instructions), client, images, kept)
+    found = _answered(rows, lambda x: figure_requests(x, instructions), client, images, kept)
     return found.withColumn("analysis", F.to_json(json_payload(c("content")))).drop("request_id", "content")
 
 
@@ -182,7 +185,7 @@ def recognitions(items: DataFrame, instructions: str, client: Client, *, images:
     """chemical_items() with the structure that the client reads, what a toolkit says of it (check;
     none: it isn't asked), and which is accepted."""
     rows = items.withColumn("request_id", F.concat_ws(":", "doc_id", "detection_id", "compound_id"))
-    found = _answered(rows, compound_requests(items, instructions), client, images, kept)
+    found = _answered(rows, lambda x: compound_requests(x, instructions), client, images, kept)
     v = json_payload(c("content"))
     read = F.struct(F.try_variant_get(v, "$.smiles", "string").alias("smiles"), F.try_variant_get(v, "$.confidence", "double").alias("sure"))
     found = once(found, read, "told")

@@ -110,3 +110,21 @@ def test_stages_send_no_ids_through_the_driver(spark, tmp_path):
     stage = stages.Stage("first", "doc_id string, text string", lambda d, _: d)
     found = [stages.run_stages(docs, [stage], ledger)["first"] for _ in range(2)][1]
     assert found.count() == 20 and "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_figures_and_crops_are_read_once_for_two_agents(spark):
+    """Both agents' requests, and what is joined to their answers, are of rows that were written."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    place = (F.lit("d").alias("doc_id"), F.lit("f").alias("file_id"), F.lit(1).alias("page_number"))
+    figures = spark.range(7).select(*place, F.format_string("f%d", "id").alias("figure_id"), *(F.lit(n).alias(n) for n in ("label", "caption", "image_path", "kind")))
+    boxes = spark.range(40).select(F.lit("d").alias("doc_id"), F.format_string("f%d", F.col("id") % 5).alias("parent_figure_id"), F.format_string("x%02d", "id").alias("detection_id"), F.lit("i").alias("image_path"), F.lit(None).cast("array<double>").alias("bbox"), F.lit("C").alias("smiles"), F.lit(0.5).alias("confidence"))
+    none = spark.range(0).select(*place, F.lit("e").alias("evidence_id"), F.lit("table_row").alias("source_type"), F.lit("t").alias("text"))
+    items = work.figure_items(figures, none, boxes.mapInPandas(counted, boxes.schema), none, most_crops=2)
+    found = work.two_agents(items, visuals._two, ("analyse", "read")).select("figure_id", "detection_id").collect()
+    assert sorted(map(tuple, found)) == [(f"f{k}", f"x{k:02d}") for k in range(5)] and read.value == 40
