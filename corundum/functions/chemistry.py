@@ -14,10 +14,7 @@ UNIT = r"µg\s*mL[−-]1|μg\s*mL[−-]1|ug\s*mL[−-]1|µmol\s*mL[−-]1|μmol\
 TARGET = r"(?iuU)\b(MIC|pMIC|MIC50|MIC80|IC50|EC50|FIC|lgK|logK|Km|Vmax)\b"
 ZONE = r"(?iuU)\b(?:inhibition\s+zone|zone\s+diameters?|agar\s+diffusion)\b"
 VALUE = rf"(?iuU)(<=|>=|=|<|>)?\s*(\d+(?:[\.,]\d+)?)\s*((?:{UNIT}))?"
-SIGN = r"(?U)(<=|>=|=|<|>)\s*\d"
-VALUE_UNIT = rf"(?iuU)\d+(?:[\.,]\d+)?\s*({UNIT})"
-ONE_NUMBER = r"(?U)\A\D*\d+(?:[.,]\d+)?\D*\z"
-TOUCHED = r"(?U)\p{L}\d|\d\p{L}"
+ONE_NUMBER = r"(?iuU)\A\D*?(?:(<=|>=|=|<|>)\s*)?(?<!\p{L})(\d+(?:[.,]\d+)?)(?!\p{L})(?:\s*(µg/mL|μg/mL|ug/mL|mg/L|mM|µM|μM|uM|nM|mm))?\D*\z"
 BARE_VALUE = r"(?iuU)\A\s*(?:<=|>=|=|<|>)?\s*\d+(?:[\.,]\d+)?\s*\z"
 UNIT_IN_BRACKETS = rf"(?iuU)\(({UNIT})\)"
 COMPOUND = r"\b(?:compound|cmpd|compd)?\s*([A-Za-z]?\d+[A-Za-z]?(?:[-.][A-Za-z0-9]+)?)\b"
@@ -85,19 +82,16 @@ def organism(c: Column) -> Column:
     return let(c, lambda x: F.when(x.rlike(EPITHET), first(x)))
 
 
-def _only(c: Column) -> Column:
-    """measured() of a text that holds one number, as most cells do: no offsets are summed."""
-
-    def found(units: Column) -> Column:
-        whole = F.regexp_extract(c, VALUE, 0)
-        at = F.instr(c, whole) - 1  # it has all digits of the text, so it's there once
-        near = F.substring(c, F.greatest(at - 30, F.lit(0)) + 1, F.least(at, F.lit(30)) + F.length(whole) + 30)
-        named = (units != "") | near.rlike(TARGET)
-        value = F.replace(F.regexp_extract(c, r"(?U)\d+(?:[.,]\d+)?", 0), F.lit(","), F.lit("."))
-        hit = F.struct(_or_null(F.regexp_extract(c, SIGN, 1)).alias("relation"), value.alias("value"), F.when(units != "", unit(units)).alias("units"))
-        return F.when(named | c.rlike(BARE_VALUE), hit.cast(MEASURED))
-
-    return F.when(~c.rlike(TOUCHED), let(F.regexp_extract(c, VALUE_UNIT, 1), found))
+def _only(c: Column, told: Column) -> Column:
+    """measured() of a text that holds one number, as most cells do, and no letter beside it: told is
+    its relation, value, unit and an empty text. No offsets are summed."""
+    relation, value, units = (F.get(told, F.lit(k)) for k in range(3))
+    whole = F.regexp_extract(c, VALUE, 0)
+    at = F.instr(c, whole) - 1  # it has all digits of the text, so it's there once
+    near = F.substring(c, F.greatest(at - 30, F.lit(0)) + 1, F.least(at, F.lit(30)) + F.length(whole) + 30)
+    named = (units != "") | near.rlike(TARGET)
+    hit = F.struct(F.when(relation != "", relation).alias("relation"), F.replace(value, F.lit(","), F.lit(".")).alias("value"), F.when(units != "", replaced(units, SAME_UNIT)).alias("units"))
+    return F.when(named | c.rlike(BARE_VALUE), hit.cast(MEASURED))
 
 
 def measured(c: Column) -> Column:
@@ -134,9 +128,11 @@ def measured(c: Column) -> Column:
         return F.get(F.array_compact(F.transform(whole, one)), 0)
 
     matches = lambda group: F.regexp_extract_all(c, F.lit(VALUE), F.lit(group))
-    gaps = F.split(F.regexp_replace(F.replace(c, F.lit("\0"), F.lit("\1")), VALUE, "\0"), "\0", -1)
+    bare = F.replace(c, F.lit("\0"), F.lit("\1"))
+    gaps = F.split(F.regexp_replace(bare, VALUE, "\0"), "\0", -1)
+    one_number = F.split(F.regexp_replace(bare, ONE_NUMBER, "$1\0$2\0$3\0"), "\0", -1)  # the text as a whole if it has several
     parts = F.struct(matches(0).alias("whole"), matches(2).alias("values"), matches(3).alias("units"), gaps.alias("gaps"))
-    return F.when(c.rlike(ONE_NUMBER), _only(c)).when(c.rlike(r"(?U)\d"), let(parts, found))
+    return let(one_number, lambda told: F.when(F.size(told) > 1, _only(c, told)).when(c.rlike(r"(?U)\d"), let(parts, found)))
 
 
 def measured_cell(cell: Column, column: Column) -> Column:

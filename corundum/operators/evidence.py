@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corundum.functions import chemistry as chem
-from corundum.functions.core import once
+from corundum.functions.core import let, once
 from corundum.functions.smiles import structure
 from corundum.functions.values import stable_id
 from corundum.schemas import MISSING
@@ -94,16 +94,25 @@ def measurements(tables: DataFrame, rows: DataFrame, plans: DataFrame | None = N
     """A record for each planned column's value in each row: the schema of agent_table_measurements."""
     plans = plan_tables(tables, rows) if plans is None else plans
     t = tables.select(*KEY, "file_id", "page_number", "caption").join(plans.select(*KEY, "compound_index", "measurement_columns"), KEY)
+    # An organism stands in one of the parts it is looked for in: what the column and the caption name is
+    # known of the table, and most cells name none.
+    t = t.withColumn("measurement_columns", F.transform("measurement_columns", lambda p: F.struct(*(p[n].alias(n) for n in ("index", "column", "target_type", "target_units", "bacteria")), chem.organism(chem.context(p["column"], F.col("caption"))).alias("around"))))
     # A hash table of a partition's tables, so that rows needn't be sorted.
     r = rows.select(*KEY, "row_id", "evidence_id", "row_index", "cells", "normalized_text").join(t.hint("shuffle_hash"), KEY)
     c = F.col
     text = chem.context(c("caption"), F.coalesce(F.nullif(c("normalized_text"), F.lit("")), F.array_join("cells", " | ")))
-    r = once(r, F.filter("measurement_columns", lambda p: ~chem.no_value(F.get("cells", p["index"]))), "told").where("size(told) > 0")
-    r = once(r, chem.compound_id(c("cells"), text, c("compound_index")), "compound_id").where("compound_id is not null and compound_id <> ''")
-    r = r.select("*", F.explode("told").alias("p")).withColumn("cell", F.get("cells", c("p.index")))
-    r = once(r, chem.measured_cell(c("cell"), c("p.column")), "m").where("m is not null")
+    def value(p: Column) -> Column:
+        return let(F.get("cells", p["index"]), lambda cell: F.struct(p.alias("p"), cell.alias("cell"), chem.measured_cell(cell, p["column"]).alias("m")))
+
+    def of_row(told: Column) -> Column:
+        found = F.filter(F.transform(told, value), lambda x: x["m"].isNotNull())
+        return F.when(F.size(told) > 0, F.struct(chem.compound_id(c("cells"), text, c("compound_index")).alias("compound_id"), found.alias("found")))
+
+    # All that a row's cells tell is found in one step: each step that explodes copies the row.
+    r = once(r, let(F.filter("measurement_columns", lambda p: ~chem.no_value(F.get("cells", p["index"]))), of_row), "of").where("of.compound_id is not null and of.compound_id <> ''")
+    r = r.select(*KEY, "file_id", "page_number", "evidence_id", "caption", "of.compound_id", F.explode("of.found").alias("x")).select("*", "x.p", "x.cell", "x.m")
     units = F.coalesce("m.units", "p.target_units", chem.default_unit(c("p.target_type")))
-    r = r.withColumn("units", units).withColumn("organism", F.coalesce("p.bacteria", chem.organism(chem.context(c("p.column"), c("cell"), c("caption")))))
+    r = r.withColumn("units", units).withColumn("organism", F.coalesce("p.bacteria", F.when(c("cell").rlike(chem.EPITHET), chem.organism(chem.context(c("p.column"), c("cell"), c("caption")))).otherwise(c("p.around"))))
     blank = lambda x: F.coalesce(x, F.lit(""))
     record_id = stable_id("tm", c("evidence_id"), c("p.index"), c("compound_id"), c("p.target_type"), c("m.value"), blank(c("units")), blank(c("organism")))
     raw = F.when(c("p.column") != "", F.concat(c("p.column"), F.lit(": "), c("cell"))).otherwise(c("cell"))

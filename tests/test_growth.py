@@ -128,3 +128,16 @@ def test_figures_and_crops_are_read_once_for_two_agents(spark):
     items = work.figure_items(figures, none, boxes.mapInPandas(counted, boxes.schema), none, most_crops=2)
     found = work.two_agents(items, visuals._two, ("analyse", "read")).select("figure_id", "detection_id").collect()
     assert sorted(map(tuple, found)) == [(f"f{k}", f"x{k:02d}") for k in range(5)] and read.value == 40
+
+
+def test_values_of_a_row_are_found_in_one_step(spark):
+    """Rows are copied by each step that explodes; a join brings them only what is read of a plan."""
+    tables = spark.range(1).select(F.lit("d").alias("doc_id"), F.lit("f").alias("file_id"), F.lit(1).alias("page_number"), F.lit("t").alias("table_id"), F.lit("MIC against E. coli").alias("caption"), F.array(F.lit("Compound"), F.lit("Value"), F.lit("S. aureus")).alias("columns"))
+    rows = spark.range(2).select(F.lit("d").alias("doc_id"), F.lit("t").alias("table_id"), F.col("id").cast("string").alias("row_id"), F.col("id").cast("string").alias("evidence_id"), F.col("id").cast("int").alias("row_index"), F.array(F.lit("6a"), F.when(F.col("id") == 0, "<= 1,5 mM").otherwise("2 uM, S. aureus"), F.lit("3")).alias("cells"), F.lit(None).cast("string").alias("normalized_text"))
+    plans = evidence.plan_tables(tables, rows).localCheckpoint()
+    found = evidence.measurements(tables, rows, plans)
+    assert sorted(tuple(r) for r in found.select("evidence_id", "target_relation", "target_value", "bacteria").collect()) == [
+        ("0", "<=", "1.5", "Escherichia coli"), ("0", "=", "3", "Staphylococcus aureus"), ("1", "=", "2", "Staphylococcus aureus"), ("1", "=", "3", "Staphylococcus aureus"),
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 2
