@@ -1,8 +1,10 @@
 """Steps whose work has to grow no faster than their input."""
 
 import os
+import tracemalloc
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corundum.functions import chemistry
@@ -72,6 +74,27 @@ def complete_batches(asked, client):
     return given
 
 
+def test_large_requests_are_held_one_at_a_time(spark):
+    """Most bytes of Python's objects while a batch of 64 requests of 1 MB is answered at such length."""
+    rows = [{"request_id": str(k), "system": "s", "prompt": "p" * 1_000_000, "images": None} for k in range(64)]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("request_id", pa.string()), ("system", pa.string()), ("prompt", pa.string()), ("images", pa.list_(pa.binary()))]))
+    told = []
+
+    class Requests:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            tracemalloc.start()
+            for b in run(iter([batch])):
+                told.extend((r["request_id"], len(r["content"]), r["error"]) for at in range(b.num_rows) for r in b.slice(at, 1).to_pylist())
+            told.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+
+    adapters.complete(Requests(), lambda: lambda system, prompt, images: prompt + "!")
+    assert told.pop() < 10_000_000 and told == [(str(k), 1_000_001, None) for k in range(64)]
+
+
 def test_rows_of_tables_are_read_twice(spark):
     """Once for the plans, once for the values."""
     read = spark.sparkContext.accumulator(0)
