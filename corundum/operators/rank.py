@@ -12,9 +12,10 @@ from corundum.functions.core import let, once
 from corundum.functions.text import snippet
 from corundum.schemas import Domain
 
-# What counts as a number or a term of chemistry, worth of sources and weights.
+# What counts as a number or a term of chemistry, worth of sources and weights. U: a letter
+# beyond ASCII is part of a word, which Java's own mark of a word's end leaves to its version.
 NUMBER = r"(?<![A-Za-z])(?:[<>]=?|=)?\s*\d+(?:[.,]\d+)?(?:\s*[-–]\s*\d+(?:[.,]\d+)?)?"
-CHEMISTRY = r"(?i)\b(?:SMILES|MIC|pMIC|IC50|EC50|AgNP|Fe3O4|TiO2|SiO2|ZnO|AuNP|DOTA|logK|lgK|Km|Vmax)\b"
+CHEMISTRY = r"(?iU)\b(?:SMILES|MIC|pMIC|IC50|EC50|AgNP|Fe3O4|TiO2|SiO2|ZnO|AuNP|DOTA|logK|lgK|Km|Vmax)\b"
 MEASURE_TERMS = ("mic", "pmic", "mic50", "mic80", "ic50", "ec50", "fic", "km", "vmax")
 SOURCE_WORTH = (("table_row", 1.25), ("table_caption", 0.75), ("figure_caption", 0.75), ("chemical_structure_smiles", 1.0), ("chemical_structure_image", 1.0))
 # Other words for the fields of all record types. Those of further types come from a file
@@ -189,11 +190,12 @@ def score(text: Column, source: Column, confidence: Column, matches: Column) ->
 
 def candidates(evidence: DataFrame, skill: Skill, *, top: int = 20, by: str = "doc_id") -> DataFrame:
     """by, rank, score, evidence_id, page_number, source_type, matched_terms, snippet: the best top
-    evidence of each document."""
+    evidence of each document, equal scores by page and id. Scores are equal to six digits: their sums
+    differ in the last bit by what was added."""
     c = F.col
     judged = let(matched(c("text"), skill.terms), lambda m: F.struct(m.alias("matches"), score(c("text"), c("source_type"), c("confidence"), m).alias("score")))
     scored = once(evidence, judged, "judged").where("judged.score > 0")
-    nth = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("judged.score"), "page_number", "evidence_id"))
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(F.round("judged.score", 6).desc(), "page_number", "evidence_id"))
     best = scored.withColumn("rank", nth).where(c("rank") <= top)
     return best.select(by, "rank", F.round("judged.score", 3).alias("score"), "evidence_id", "page_number", "source_type", F.slice("judged.matches", 1, 12).alias("matched_terms"), snippet(c("text"), 520).alias("snippet"))
 

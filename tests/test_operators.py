@@ -115,6 +115,20 @@ def test_terms_and_skill(spark):
     assert rank.variant_score(e, ("mic",)).first().hits == 4
 
 
+def test_equal_scores_go_by_page(spark):
+    """2.3 is 2 + 0.3 and, added up, a little more as 1 + 0.5 + 0.7 + 0.1: that isn't a better score."""
+    rows = [("d", "e1", 1, "paragraph", "password strain", 0.8), ("d", "e2", 2, "paragraph", "strain and 5 ZnO", 0.6)]
+    e = spark.createDataFrame(rows, "doc_id string, evidence_id string, page_number int, source_type string, text string, confidence double")
+    best = rank.candidates(e, rank.Skill("s", ("strain",), ("password",)), top=2).orderBy("rank").collect()
+    assert [(r.evidence_id, r.score) for r in best] == [("e1", 2.3), ("e2", 2.3)]
+
+
+def test_terms_of_chemistry_are_whole_words(spark):
+    texts = ["a DOTA, b", "dotaí", "ñdota", "éMIC", "ZnO-rods", "\u212am of it"]  # the last in Kelvin's sign
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").where(F.col("t").rlike(rank.CHEMISTRY)).select("i").collect()
+    assert sorted(r.i for r in got) == [0, 4, 5]
+
+
 def test_lines_spans_and_rows(spark):
     spans = [("d", 1, k, t, float(x0), float(y0), float(x1), y0 + 8.0) for k, (t, x0, y0, x1) in enumerate([("6a", 10, 100, 20), ("4", 50, 101, 55), ("(", 56, 102, 58), ("5)", 59, 100, 65), ("-", 90, 103, 92), ("6b", 10, 120, 20), ("7", 50, 121, 52), ("8", 90, 120, 92), ("The end", 10, 140, 60)])]
     df = spark.createDataFrame(spans, "doc_id string, page_number int, span_id int, text string, x0 double, y0 double, x1 double, y1 double")
